@@ -39,6 +39,13 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def attach(left: DataFrame, right: DataFrame, on: list[str], label: str, row_bytes: int, most_bytes: int = 64 << 20, how: str = "left") -> DataFrame:
+    """Join a small table that is written first: broadcast while its counted size stays below ``most_bytes``, shuffled beyond."""
+    kept = materialise(right, label)
+    small = kept.count() * row_bytes <= most_bytes
+    return left.join(F.broadcast(kept) if small else kept, on, how)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
