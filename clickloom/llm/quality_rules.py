@@ -116,8 +116,8 @@ RULES = (
     Rule("length", lambda: F.col("n_words") < 20, lambda: F.col("n_words") >= 60),
     Rule("word_length", lambda: (F.col("word_chars") > 14 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")), lambda: F.col("word_chars").between(3 * F.col("n_words"), 9 * F.col("n_words"))),
     Rule("symbols", lambda: _per("n_symbols", "n_words", 0.1), lambda: ~_per("n_symbols", "n_words", 0.02)),
-    Rule("repeated_lines", lambda: _per("n_dup_lines", "n_lines", 0.3), lambda: (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 3)),
-    Rule("repeated_spans", lambda: _per("n_repeat_words", "n_words", 0.2), lambda: (F.col("n_repeat_words") == 0) & (F.col("n_words") >= 60)),
+    Rule("repeated_lines", lambda: _per("n_dup_lines", "n_lines", 0.3) & (F.col("n_dup_lines") > 2), lambda: (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 3)),
+    Rule("repeated_spans", lambda: _per("n_repeat_words", "n_words", 0.25), lambda: (F.col("n_repeat_words") == 0) & (F.col("n_words") >= 60)),
     Rule("short_words", lambda: ~_per("n_short_words", "n_words", 0.05), lambda: _per("n_short_words", "n_words", 0.15)),
     Rule("line_ends", lambda: ~_per("n_end_lines", "n_lines", 0.1), lambda: _per("n_end_lines", "n_lines", 0.6)),
     Rule("letters", lambda: ~_per("n_alpha_words", "n_words", 0.6), lambda: _per("n_alpha_words", "n_words", 0.85)),
@@ -126,37 +126,42 @@ RULES = (
 
 @dataclass(frozen=True)
 class LabelModel:
+    """prior: P(good); per rule, how often its vote is right on good and on bad documents."""
+
     prior: float
-    accuracies: dict[str, float]
+    on_good: dict[str, float]
+    on_bad: dict[str, float]
 
     def posterior(self) -> Column:
         """P(good | votes) of a row that has a column of votes for each rule."""
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, a in self.accuracies.items():
-            odds = odds + F.col(name) * F.lit(math.log(a / (1 - a)))
+        for name, a in self.on_good.items():
+            b = self.on_bad[name]
+            odds = odds + F.when(F.col(name) == GOOD, math.log(a / (1 - b))).when(F.col(name) == BAD, math.log((1 - a) / b)).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, names: list[str], rounds: int = 200, least: float = 0.55, most: float = 0.99) -> LabelModel:
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, names: list[str], rounds: int = 300) -> LabelModel:
     """EM over vote patterns (rows of -1, 0, 1) and how many documents have each.
 
-    A rule that votes is right with its accuracy in either class; abstaining says nothing. Accuracies start at 0.8
-    and stay within bounds, so the classes keep their meaning: rules are better than chance.
+    A rule has an accuracy on good and one on bad documents, as most rules know one kind of bad text and pass the
+    others; abstaining says nothing. The bounds keep the classes' meaning: a rule rarely condemns good text, and
+    condemns at least some of the bad.
     """
-    accuracy, prior = np.full(votes.shape[1], 0.8), 0.8
-    voted = votes != 0
+    on_good, on_bad, prior = np.full(votes.shape[1], 0.97), np.full(votes.shape[1], 0.5), 0.85
+    good_vote, bad_vote = votes > 0, votes < 0
     for _ in range(rounds):
-        odds = math.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
-        good = 1 / (1 + np.exp(-odds))
-        right = (voted * np.where(votes > 0, good[:, None], 1 - good[:, None]) * counts[:, None]).sum(0)
-        total = (voted * counts[:, None]).sum(0)
-        fresh = np.clip((right + 8) / (total + 10), least, most)
-        share = float(np.clip((good @ counts + 8) / (counts.sum() + 10), 0.05, 0.98))
-        done = np.abs(fresh - accuracy).max() < 1e-9 and abs(share - prior) < 1e-9
-        accuracy, prior = fresh, share
-        if done:
+        odds = math.log(prior / (1 - prior)) + good_vote @ np.log(on_good / (1 - on_bad)) + bad_vote @ np.log((1 - on_good) / on_bad)
+        good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        g, b = good * counts, (1 - good) * counts
+        fresh_good = np.clip((g @ good_vote + 8) / (g @ (good_vote | bad_vote) + 8.3), 0.9, 0.9995)
+        fresh_bad = np.clip((b @ bad_vote + 4) / (b @ (good_vote | bad_vote) + 8), 0.2, 0.95)
+        share = float(np.clip((g.sum() + 8) / (counts.sum() + 10), 0.05, 0.98))
+        moved = max(np.abs(fresh_good - on_good).max(), np.abs(fresh_bad - on_bad).max(), abs(share - prior))
+        on_good, on_bad, prior = fresh_good, fresh_bad, share
+        if moved < 1e-9:
             break
-    return LabelModel(prior, dict(zip(names, accuracy.tolist())))
+    return LabelModel(prior, dict(zip(names, on_good.tolist())), dict(zip(names, on_bad.tolist())))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_words: int = 20, most_repeats: float = 0.3, threshold: float = 0.5) -> DataFrame:
