@@ -12,6 +12,7 @@ a file, with the range of doc_ids that it holds; Spark's committer makes a file
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import os
@@ -84,8 +85,9 @@ class Encoder:
         return first
 
     def _learn(self, pieces: list[str]) -> None:
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]  # " a b c" splits into " a", " b", " c" again
-        others = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        words, others = [], []
+        for p in pieces:  # " a b c" splits into " a", " b", " c" again
+            (words if p[0] == " " and p[1:].isalpha() else others).append(p)
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
             e = self.tokenizer.encode("".join(part), add_special_tokens=False)
@@ -125,6 +127,12 @@ class Encoder:
         return self.flat[ragged(self.starts[at], counts)], per_text
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """A worker process's encoder: pieces learned in one task serve the next."""
+    return Encoder(path, end_id)
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = 2, sample_docs: int = 2000, size: int = 65536) -> bytes:
     """A dictionary from the serialized ids of at most ``sample_docs`` documents (least hash of the id first).
 
@@ -195,7 +203,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, dictiona
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, size, start, rows_before = Encoder(tokenizer_path, end_id), [], 0, 0, 0
+        encoder, held, size, start, rows_before = _encoder(tokenizer_path, end_id), [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, rows_before
