@@ -23,7 +23,7 @@ from .common import as_long, crc_bucket, slices
 UNKNOWN = "und"
 #: Symbols: 0 fills chunks up, 1 is anything but a letter, 2 a letter outside the alphabet.
 _FILL, _GAP, _OTHER, _FIRST = 0, 1, 2, 3
-_BREAK = 1 << 30
+_BREAK = 1 << 28
 
 
 def letter_table(alphabet: str) -> np.ndarray:
@@ -77,7 +77,10 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Parser:
-    """All languages' tables in one: an entry is the next state's offset, plus a bit where a phrase ends before."""
+    """All languages' tables in one: an entry is the next state's offset, plus how many phrases end with the step.
+
+    A letter that the labelled text lacks is a phrase of its own, after the one before it.
+    """
 
     languages: list[str]
     table: np.ndarray
@@ -96,9 +99,10 @@ class Parser:
             codes = symbols(samples[name], letters)[:most_symbols]
             codes = codes[codes != _OTHER] if len(codes) else codes
             steps = suffix_automaton(codes, width).astype(np.int64)
-            anew = np.where(steps[0] >= 0, steps[0], 0)  # where a new phrase begins with the symbol
-            table = np.where(steps >= 0, steps * width + base, anew * width + base + _BREAK)
-            table[:, _FILL] = base
+            anew = np.where(steps[0] >= 0, steps[0] * width + _BREAK, 2 * _BREAK)  # where a new phrase begins with the symbol
+            table = np.where(steps >= 0, steps * width, anew) + base
+            table[0, steps[0] < 0] -= _BREAK  # at the root no phrase is open
+            table[:, _FILL], table[0, _FILL] = base + _BREAK, base
             tables.append(table.ravel().astype(np.int32))
             roots.append(base)
             bits.append(np.log2(max(2, len(codes))))
@@ -124,9 +128,9 @@ class Parser:
         found = np.zeros(state.shape, np.int32)
         for row in steps:
             state = self.table[state + row]
-            found += state >> 30
+            found += state >> 28
             state &= _BREAK - 1
-        found += 1  # a chunk's last phrase
+        found += state != self.roots[:, None]  # a chunk's last phrase
         owner = np.repeat(np.arange(len(texts)), lanes)
         return np.stack([np.bincount(owner, f, len(texts)) for f in found], 1)
 
