@@ -17,9 +17,12 @@ def normalise_platform(events: DataFrame) -> DataFrame:
     return events.withColumn("platform", F.when(low == "iphone", "ios").otherwise(low))
 
 
-def clip_to_window(events: DataFrame, cookies: DataFrame, small: bool | None = None) -> DataFrame:
-    """Events of known visitors with start <= ts < end. The visitors' size is counted unless it is given."""
-    bounds = cookies.select("cookie_id", "window_start_ts", "window_end_ts")
+def clip_to_window(events: DataFrame, cookies: DataFrame, small: bool | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events of known visitors with start <= ts < end, with the visitor's ``keep`` columns.
+
+    The visitors' number is counted unless it is given.
+    """
+    bounds = cookies.select("cookie_id", "window_start_ts", "window_end_ts", *keep)
     small = bounds.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST if small is None else small
     inside = (F.col("event_ts") >= F.col("window_start_ts")) & (F.col("event_ts") < F.col("window_end_ts"))
     return events.join(F.broadcast(bounds) if small else bounds, "cookie_id").where(inside).drop("window_start_ts", "window_end_ts")

@@ -223,13 +223,14 @@ def dt_granularity(ev: DataFrame, s: Settings) -> DataFrame:
     return summarise(counts, facts)
 
 
+def top_values(ev: DataFrame, column: str, k: int) -> DataFrame:
+    """The ``k`` most frequent values of fit visitors' events, by count and then by value. ``ev`` has ``is_fit``."""
+    return ev.where(f"is_fit AND {column} IS NOT NULL").groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
 def catalog_vocabulary(ev: DataFrame, s: Settings) -> dict[str, list[str]]:
     """Top values of fit visitors by column; at most the stated number each comes to the driver."""
-    out = {}
-    for column, k in s.catalog_tops:
-        top = ev.where(f"is_fit AND {column} IS NOT NULL").groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
-        out[column] = [r[column] for r in top.collect()]
-    return out
+    return {column: [r[column] for r in top_values(ev, column, k).collect()] for column, k in s.catalog_tops}
 
 
 def catalog_shares(ev: DataFrame, s: Settings, vocabulary: dict[str, list[str]]) -> DataFrame:

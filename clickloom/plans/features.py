@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import Settings
 from ..functions.kernels import KEY, merge
+from ..functions.storage import written_together
 from ..operators import events as E
 from ..operators import families as B
 from ..operators import sequences as Q
@@ -15,44 +18,56 @@ from ..operators import sequences as Q
 
 def prepare(events: DataFrame, cookies: DataFrame) -> DataFrame:
     """Events with known platforms, inside their visitor's window, each with its visitor's ``is_fit``."""
-    flagged = E.clip_to_window(E.normalise_platform(events), cookies)
-    fit = cookies.select(KEY, "is_fit")
-    small = fit.limit(E.MOST_BROADCAST + 1).count() <= E.MOST_BROADCAST
-    return flagged.join(F.broadcast(fit) if small else fit, KEY)
+    return E.clip_to_window(E.normalise_platform(events), cookies, keep=("is_fit",))
+
+
+_OF_EVENTS = (
+    B.pointer_deep, Q.compression, B.timing, B.client, B.popularity, B.content, B.navigation, B.irregular, B.pointer, B.pagination, B.id_structure,
+    B.crowd, B.conditional_timing, B.dt_granularity, B.sessions,
+)
+
+
+def _vocabularies(ev: DataFrame, s: Settings) -> tuple[list[str], dict[str, list[str]]]:
+    """The most frequent transitions and catalogue values of fit visitors, in one job."""
+    tops = {"pair": B.top_bigrams(ev, s).select("pair", "n")} | {c: B.top_values(ev, c, k) for c, k in s.catalog_tops}
+    named = [d.toDF("value", "n").select(F.lit(name).alias("field"), "value", "n") for name, d in tops.items()]
+    rows = sorted(reduce(DataFrame.unionByName, named).collect(), key=lambda r: (-r["n"], r["value"]))  # a stated number a field
+    found = {name: [r["value"] for r in rows if r["field"] == name] for name in tops}
+    return found.pop("pair"), found
 
 
 def build_features(events: DataFrame, cookies: DataFrame, settings: Settings, with_svd: bool = False, svd_min_docs: float = 20) -> DataFrame:
     """Every family's columns for every visitor; a visitor without events has NULLs beside the meta columns.
 
-    The enriched frame is kept for the families' passes; they are then joined by visitor on results that are one row
-    each. Vocabularies come from fit visitors alone.
+    The enriched frame is kept while the families read it. Each family is written as a table of its own, several at a
+    time: joining the families' plans would have every join analyse its side anew, as all come from one frame. The last
+    plan only joins tables that have a row per visitor. Vocabularies come from fit visitors alone.
     """
     s = settings
-    clipped = prepare(events, cookies)
-    ev = E.enrich(clipped, s).persist()
-    web = E.enrich(clipped.where(F.col("platform").isin(*C.WEB)), s)
-    mobile = E.enrich(clipped.where(F.col("platform").isin(*C.MOBILE)), s)
-    bigrams = [r["pair"] for r in B.top_bigrams(ev, s).collect()]
-    parts = [
-        B.volume_and_mix(ev, s),
-        B.transitions(ev, s, bigrams),
-        *(f(ev, s) for f in (B.timing, B.sessions, B.content, B.pagination, B.pointer, B.client, B.id_structure, B.dt_granularity)),
-        B.catalog_shares(ev, s, B.catalog_vocabulary(ev, s)),
-        *(f(ev, s) for f in (B.popularity, B.crowd, B.conditional_timing, B.navigation, B.pointer_deep)),
-        B.scoped(web, s, "webp_", (B.pointer,)),
-        B.scoped(web, s, "web_", (B.timing,)),
-        B.scoped(mobile, s, "mob_", (B.timing, B.navigation)),
-        *(B.binned(ev, s, w, f"b{i}") for i, w in enumerate(s.bin_widths, 1)),
-        Q.compression(ev, s),
-        B.irregular(ev, s),
-        B.window_coverage(ev, cookies, s),
-    ]
+    ev = E.enrich(prepare(events, cookies), s).persist()
+    scope = lambda names: E.enrich(ev.where(F.col("platform").isin(*names)), s)  # noqa: E731  gaps within the scope; still split by visitor
+    web, mobile = scope(C.WEB), scope(C.MOBILE)
+    bigrams, catalog = _vocabularies(ev, s)
+    families = {
+        "mix": lambda: B.volume_and_mix(ev, s),
+        "transitions": lambda: B.transitions(ev, s, bigrams),
+        "catalog": lambda: B.catalog_shares(ev, s, catalog),
+        **{f.__name__: (lambda f=f: f(ev, s)) for f in _OF_EVENTS},
+        "web-pointer": lambda: B.scoped(web, s, "webp_", (B.pointer,)),
+        "web-timing": lambda: B.scoped(web, s, "web_", (B.timing,)),
+        "mobile": lambda: B.scoped(mobile, s, "mob_", (B.timing, B.navigation)),
+        **{f"bins-{i}": (lambda w=w, i=i: B.binned(ev, s, w, f"b{i}")) for i, w in enumerate(s.bin_widths, 1)},
+        "coverage": lambda: B.window_coverage(ev, cookies, s),
+    }
     if with_svd:
-        documents = Q.token_documents(ev, s)
         fit_ids = cookies.where("is_fit").select(KEY)
-        parts += [Q.sequence_svd(documents, fit_ids, "ordered", "seqo", 3, min_docs=svd_min_docs), Q.sequence_svd(documents, fit_ids, "paced", "seqp", 2, min_docs=svd_min_docs)]
-    out = merge(B.cookie_meta(cookies), *parts)
-    return out
+        for column, prefix, words in (("ordered", "seqo", 3), ("paced", "seqp", 2)):
+            families[prefix] = lambda c=column, p=prefix, w=words: Q.sequence_svd(Q.token_documents(ev, s), fit_ids, c, p, w, min_docs=svd_min_docs)
+    try:
+        tables = written_together({f"features-{name}": build for name, build in families.items()})
+    finally:
+        ev.unpersist()
+    return merge(B.cookie_meta(cookies), *tables)
 
 
 def with_relative(features: DataFrame, cookies: DataFrame) -> DataFrame:
