@@ -349,6 +349,10 @@ def oracles() -> dict[str, str]:
         "blend_weights": f"{_scored()}, gr AS (SELECT a, b FROM range(5) x(a), range(5) y(b) WHERE a + b > 0), bl AS (SELECT a, b, y, round((a * (s / 100) + b * (s2 / 7)) / (a + b), 9) AS v FROM sc, gr), bg AS (SELECT a, b, v, sum(y) AS pos, count(*) AS n FROM bl GROUP BY 1, 2, 3), bc AS (SELECT *, sum(pos) OVER (PARTITION BY a, b ORDER BY v DESC) AS tp, sum(n) OVER (PARTITION BY a, b ORDER BY v DESC) AS seen, sum(pos) OVER (PARTITION BY a, b) AS np FROM bg) SELECT a AS w_one, b AS w_two, round(round(sum(pos * tp / seen) / max(np), 9), 6) AS ap FROM bc GROUP BY a, b ORDER BY round(sum(pos * tp / seen) / max(np), 9) DESC, a, b LIMIT 1",
         "regime_slices": " UNION ALL ".join(f"SELECT * FROM ({_scored('', w)} {_sel({'$regime': repr(n), '#n_pos': 'sum(pos)', '#n': 'sum(n)'} | _METRICS, '')} FROM cv HAVING sum(pos) >= 5)" for n, w in (("all", ""), ("english", "WHERE lang = 'en'"), ("other", "WHERE lang <> 'en'"), ("long", "WHERE n_chars > 3000"))),
         "caught_vs_missed": f"{_scored()}, ct AS (SELECT max(s) AS cut FROM cv WHERE tp / np >= 0.7), lo AS (SELECT s >= cut AS c, f.name, f.v FROM sc, ct, LATERAL (SELECT unnest([{{'name': 'n_chars', 'v': n_chars}}, {{'name': 's2', 'v': s2}}, {{'name': 's', 'v': s}}]) AS f) WHERE y = 1), ag AS (SELECT name AS feature, avg(v) FILTER (c) AS cm, avg(v) FILTER (NOT c) AS mm FROM lo GROUP BY name) SELECT feature, round(cm, 6) AS caught_mean, round(mm, 6) AS missed_mean, round(abs(cm - mm) / (abs(cm) + abs(mm) + 1e-9), 6) AS gap FROM ag",
+        "reliability": f"{_scored()} SELECT CAST(least(floor(n_chars / (n_chars + 1000) * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(n_chars / (n_chars + 1000)), 6) AS mean_score, round(avg(y), 6) AS positive_rate FROM sc GROUP BY 1",
+        "likelihood_ratios": f"{_scored()}, bi AS (SELECT CAST((n_chars >= 500)::INT + (n_chars >= 1000)::INT + (n_chars >= 2000)::INT + (n_chars >= 5000)::INT AS BIGINT) AS bin, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM sc GROUP BY 1) SELECT bin, pos, neg, CASE WHEN neg > 0 THEN round(pos * (sum(neg) OVER ())::DOUBLE / (neg * (sum(pos) OVER ())::DOUBLE), 6) END AS ratio FROM bi",
+        "prevalence_resample": f"{_scored()}, pq AS (SELECT sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS q FROM sc) SELECT id, y FROM sc, pq WHERE ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT / 4294967296.0 < CASE WHEN y = 1 THEN q * 0.2 / (p * 0.8) ELSE p * 0.8 / (q * 0.2) END",
+        "draw_spread": f"{_scored()}, dr AS (SELECT draw, s, sum(y) AS pos, count(*) AS n FROM sc, range(20) r(draw) WHERE ('0x' || substr(md5('42:' || draw || ':' || id), 1, 8))::BIGINT / 4294967296.0 < 0.5 GROUP BY 1, 2), dc AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY draw) AS np FROM dr WINDOW w AS (PARTITION BY draw ORDER BY s DESC)), da AS (SELECT draw, sum(pos * tp / seen) / nullif(max(np), 0) AS ap FROM dc GROUP BY draw) SELECT count(ap) AS n_draws, round(avg(ap), 6) AS ap_mean, round(stddev_samp(ap), 6) AS ap_std FROM da",
         "subgroup_reorder": f"{_scored()}, q AS (SELECT id, s, s2, lang <> 'en' AS inside FROM sc), v AS (SELECT row_number() OVER (ORDER BY s DESC, id) AS k, s AS new FROM q WHERE inside), o AS (SELECT id, row_number() OVER (ORDER BY s2 DESC, id) AS k FROM q WHERE inside) SELECT q.id, round(coalesce(v.new, q.s), 6) AS score FROM q LEFT JOIN o USING (id) LEFT JOIN v USING (k)",
         "subgroup_columns": base + " SELECT name, round(cover, 6) AS cover, n_values FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) / count(*) AS cover, count(DISTINCT {c}) AS n_values FROM ev0 WHERE platform IN ('android', 'ios')" for c in ("item_id", "search_page", "pointer_x", "seller_type", "platform")) + ") WHERE cover >= 0.02 AND n_values > 1",
         "forward_chain_splits": base + "SELECT d.day, CASE WHEN day_index < d.day THEN 'train' ELSE 'valid' END AS role, count(*) AS n, CAST(sum(target) AS BIGINT) AS n_pos FROM cookies JOIN (SELECT day_index AS day, row_number() OVER (ORDER BY day_index) AS k FROM (SELECT DISTINCT day_index FROM cookies)) d ON day_index <= d.day WHERE d.k > 2 GROUP BY 1, 2",

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.kernels import KEY, merge, summarise
+from ..operators import analysis as A
 from ..operators import encoding as N
 from ..operators import events as E
 from ..operators import families as B
@@ -82,6 +83,11 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"s": F.expr("double(floor(n_chars / 200))"), "s2": F.expr("double(floor(n_chars / 1000) % 7)")})
 
 
+def _unit(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows with a score in [0, 1]."""
+    return scored(spark, d).select("y", F.expr("n_chars / (n_chars + 1000)").alias("s"))
+
+
 def _rank_average(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d)
     bags = rows.select("id", F.lit("a").alias("bag"), F.col("s"), F.lit(2.0).alias("w")).unionByName(rows.select("id", F.lit("b").alias("bag"), F.col("s2").alias("s"), F.lit(1.0).alias("w")))
@@ -185,6 +191,10 @@ def queries() -> dict[str, Query]:
         "blend_weights": lambda s, d: M.blend_weights(scored(s, d).select("y", (F.col("s") / 100).alias("one"), (F.col("s2") / 7).alias("two")), ("one", "two")),
         "regime_slices": lambda s, d: M.regime_slices(scored(s, d), slices),
         "caught_vs_missed": lambda s, d: M.caught_and_missed(scored(s, d), ("n_chars", "s2", "s")),
+        "reliability": lambda s, d: A.reliability(_unit(s, d)),
+        "likelihood_ratios": lambda s, d: A.likelihood_ratios(scored(s, d), "n_chars", (500.0, 1000.0, 2000.0, 5000.0)),
+        "prevalence_resample": lambda s, d: A.at_prevalence(scored(s, d).select("id", "y"), 0.2),
+        "draw_spread": lambda s, d: A.spread_over_draws(scored(s, d), 0.5, 20),
         "subgroup_reorder": lambda s, d: M.subgroup_reorder(scored(s, d).select("id", "s", F.col("s2").alias("r"), F.expr("lang <> 'en'").alias("inside"))),
         "subgroup_columns": lambda s, d: M.subgroup_columns(_clipped(s, d).where(F.col("platform").isin(*C.MOBILE)), ("item_id", "search_page", "pointer_x", "seller_type", "platform")),
         "forward_chain_splits": lambda s, d: V.forward_chain(cookies(s, d)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.config import FIXTURE, Settings
 from clickloom.functions import kernels as K
-from clickloom.operators import encoding, events, families, metrics, models, sequences
+from clickloom.operators import analysis, encoding, events, families, metrics, models, sequences
 from clickloom.sources import readers
 from clickloom.streaming.sessions import session_counts
 
@@ -128,3 +128,55 @@ def test_streamed_sessions_close_after_the_gap(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("closed").collect()) == [1, 2]
+
+
+def _labelled(spark, n=60):
+    rows = [(i, i % 2, float(i % 2 * 10 + i % 7), float(i % 5)) for i in range(n)]
+    return spark.createDataFrame(rows, "cookie_id long, target int, good double, noise double")
+
+
+def test_calibration_is_monotone(spark):
+    rows = spark.createDataFrame([(0, 0.1), (1, 0.2), (0, 0.3), (1, 0.4), (1, 0.9)], "y long, s double")
+    got = [r["p"] for r in analysis.calibrated(rows, rows).orderBy("s").collect()]
+    assert got == pytest.approx([0, 0.5, 0.5, 1, 1])
+
+
+def test_ablation_names_the_block_that_matters(spark):
+    told = analysis.ablation(_labelled(spark), ["good", "noise"], {"a": "^good", "b": "^no"}, "linear", 2)
+    assert [x["without"] for x in told] == [None, "a", "b"] and told[0]["uncovered"] == []
+    assert told[0]["average_precision"] == told[2]["average_precision"] == 1.0 > told[1]["average_precision"]
+
+
+def test_search_restores_the_learners(spark):
+    before = set(models.LEARNERS)
+    found = analysis.search(_labelled(spark), ["good"], {"regParam": [0.01, 0.1]}, "linear", 2)
+    assert [x[0]["regParam"] for x in found] == [0.01, 0.1] and found[0][1] == 1.0 and set(models.LEARNERS) == before
+
+
+def test_stacked_scores_every_row_once(spark):
+    df = _labelled(spark)
+    got = analysis.stacked(df, df.drop("target"), ["good", "noise"], ("linear",), k=2)
+    assert got.count() == 60 and got.where("score IS NULL").count() == 0
+
+
+def test_prevalence_without_a_class_keeps_all_rows(spark):
+    one = spark.createDataFrame([(1, 0), (2, 0)], "id long, y int")
+    assert analysis.at_prevalence(one, 0.2).count() == 2
+
+
+def test_matrix_keeps_visitors_without_events_and_equals_its_families(spark):
+    from clickloom.plans.features import build_features, prepare
+    from clickloom.sources import fixture
+
+    sf = "/root/testdata/sf0.001"
+    clicks, cookies = fixture.clicks(spark, sf), fixture.cookies(spark, sf)
+    some = clicks.where("cookie_id <> 3")
+    matrix = build_features(some, cookies, FIXTURE)
+    rows = {r["cookie_id"]: r for r in matrix.collect()}
+    assert len(rows) == cookies.count() and rows[3]["n_events"] is None and rows[3]["cookie_age_days"] is not None
+    ev = events.enrich(prepare(some, cookies), FIXTURE)
+    mobile = events.enrich(prepare(some, cookies).where("platform IN ('android', 'ios')"), FIXTURE)
+    for r in families.sessions(ev, FIXTURE).collect():
+        assert rows[r["cookie_id"]]["n_sessions"] == r["n_sessions"]
+    for r in families.timing(mobile, FIXTURE).collect():
+        assert rows[r["cookie_id"]]["mob_dt_mean"] == r["dt_mean"]
