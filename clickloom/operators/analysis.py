@@ -30,7 +30,7 @@ def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
 def likelihood_ratios(scored: DataFrame, value: str, edges: tuple[float, ...]) -> DataFrame:
     """By right-open bin of ``value``: its share among positives over its share among negatives, NULL without negatives.
 
-    The bins' totals are summed after the one aggregation, so no row is shuffled.
+    Only the bins' counts are summed to totals.
     """
     bin_ = F.expr("+".join(f"int({value} >= {e}D)" for e in edges)).cast("long").alias("bin")
     counts = scored.where(F.col(value).isNotNull()).groupBy(bin_).agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
