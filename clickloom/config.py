@@ -42,6 +42,7 @@ class Settings:
     catalog_tops: tuple[tuple[str, int], ...] = (("item_location", 40), ("item_category", 20), ("search_query", 40))
     screen: tuple[int, int] = (1920, 1080)
     coverage_hours: float = 24.0
+    svd_min_docs: float = 20
     smoothing: float = 20.0
     target_recall: float = 0.70
     n_folds: int = 5
@@ -53,5 +54,5 @@ class Settings:
         return replace(self, session_gap=self.session_gap * 12, fast_gaps=(3600, 7200, 14400, 28800), bin_widths=(3600, 21600, 86400), pace_cuts=up(self.pace_cuts), compression_cuts=up(self.compression_cuts))
 
 
-#: The test tables' gaps are hours.
-FIXTURE = Settings().scaled(3600)
+#: The test tables' gaps are hours, and the smallest have few visitors.
+FIXTURE = replace(Settings().scaled(3600), svd_min_docs=5)

@@ -67,13 +67,17 @@ def token_documents(ev: DataFrame, s: Settings) -> DataFrame:
 def sequence_svd(documents: DataFrame, fit_ids: DataFrame, column: str, prefix: str, most_words: int, components: int = 8, min_docs: float = 20, terms: int = 400) -> DataFrame:
     """Truncated SVD of smoothed TF-IDF of word n-grams, fitted on ``fit_ids``; signs make the largest loading positive.
 
-    Weights are (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), then each row has length 1.
+    Weights are (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), then each row has length 1. All is NULL if no term is in
+    ``min_docs`` documents.
     """
     rows = documents.select(KEY, column)
     for n in range(1, most_words + 1):
         rows = NGram(n=n, inputCol=column, outputCol=f"g{n}").transform(rows)
     rows = rows.select(KEY, F.concat(*(f"g{n}" for n in range(1, most_words + 1))).alias("grams"))
     fit_rows = rows.join(fit_ids, KEY, "left_semi")
+    common = fit_rows.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    if common.isEmpty():
+        return documents.select(KEY, *(F.lit(None).cast("double").alias(f"{prefix}_{k}") for k in range(components)))
     model = CountVectorizer(inputCol="grams", outputCol="tf", minDF=min_docs, vocabSize=terms).fit(fit_rows)
     width = len(model.vocabulary)
     counts = lambda d: model.transform(d).select(KEY, vector_to_array("tf").alias("tf"))

@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..config import Settings
 from ..functions.kernels import KEY, merge
-from ..functions.storage import written_together
+from ..functions.storage import written, written_together
+from ..operators import encoding as N
 from ..operators import events as E
 from ..operators import families as B
 from ..operators import sequences as Q
@@ -21,12 +23,6 @@ def prepare(events: DataFrame, cookies: DataFrame) -> DataFrame:
     return E.clip_to_window(E.normalise_platform(events), cookies, keep=("is_fit",))
 
 
-_OF_EVENTS = (
-    B.pointer_deep, Q.compression, B.timing, B.client, B.popularity, B.content, B.navigation, B.irregular, B.pointer, B.pagination, B.id_structure,
-    B.crowd, B.conditional_timing, B.dt_granularity, B.sessions,
-)
-
-
 def _vocabularies(ev: DataFrame, s: Settings) -> tuple[list[str], dict[str, list[str]]]:
     """The most frequent transitions and catalogue values of fit visitors, in one job."""
     tops = {"pair": B.top_bigrams(ev, s).select("pair", "n")} | {c: B.top_values(ev, c, k) for c, k in s.catalog_tops}
@@ -36,40 +32,67 @@ def _vocabularies(ev: DataFrame, s: Settings) -> tuple[list[str], dict[str, list
     return found.pop("pair"), found
 
 
-def build_features(events: DataFrame, cookies: DataFrame, settings: Settings, with_svd: bool = False, svd_min_docs: float = 20) -> DataFrame:
+def build_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> DataFrame:
+    """``all_features`` after the clean-up."""
+    return cleaned(all_features(events, cookies, settings))
+
+
+def cleaned(features: DataFrame) -> DataFrame:
+    """NaN and infinity are NULL, and of equal columns the first stays; the features are written once."""
+    fractions = [f.name for f in features.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    clean = written(N.scrub(features, fractions), "features-clean")
+    return N.drop_duplicate_columns(clean, KEY, [c for c in clean.columns if c != KEY])
+
+
+def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> DataFrame:
     """Every family's columns for every visitor; a visitor without events has NULLs beside the meta columns.
 
     The enriched frame is kept while the families read it. Each family is written as a table of its own, several at a
-    time: joining the families' plans would have every join analyse its side anew, as all come from one frame. The last
-    plan only joins tables that have a row per visitor. Vocabularies come from fit visitors alone.
+    time: joining the families' plans would have every join analyse its side anew, as all come from one frame. These
+    tables, which have a row per visitor, are joined and written, as the platform-relative columns read the result
+    again. Vocabularies, term weights and ranks come from fit visitors alone. Columns are in the order of the source of
+    this format, which decides what stays of equal ones.
     """
     s = settings
     ev = E.enrich(prepare(events, cookies), s).persist()
     scope = lambda names: E.enrich(ev.where(F.col("platform").isin(*names)), s)  # noqa: E731  gaps within the scope; still split by visitor
     web, mobile = scope(C.WEB), scope(C.MOBILE)
     bigrams, catalog = _vocabularies(ev, s)
+    fit_ids = cookies.where("is_fit").select(KEY)
+    plain = lambda *families: {f.__name__: (lambda f=f: f(ev, s)) for f in families}
+    svd = lambda column, prefix, words: Q.sequence_svd(Q.token_documents(ev, s), fit_ids, column, prefix, words, min_docs=s.svd_min_docs)
     families = {
         "mix": lambda: B.volume_and_mix(ev, s),
         "transitions": lambda: B.transitions(ev, s, bigrams),
+        **plain(B.timing, B.sessions, B.content, B.pagination, B.pointer, B.client, B.id_structure, B.dt_granularity),
         "catalog": lambda: B.catalog_shares(ev, s, catalog),
-        **{f.__name__: (lambda f=f: f(ev, s)) for f in _OF_EVENTS},
+        **plain(B.popularity, B.crowd, B.conditional_timing, B.navigation),
         "web-pointer": lambda: B.scoped(web, s, "webp_", (B.pointer,)),
-        "web-timing": lambda: B.scoped(web, s, "web_", (B.timing,)),
+        **plain(B.pointer_deep),
         "mobile": lambda: B.scoped(mobile, s, "mob_", (B.timing, B.navigation)),
+        "web-timing": lambda: B.scoped(web, s, "web_", (B.timing,)),
         **{f"bins-{i}": (lambda w=w, i=i: B.binned(ev, s, w, f"b{i}")) for i, w in enumerate(s.bin_widths, 1)},
+        **plain(Q.compression, B.irregular),
         "coverage": lambda: B.window_coverage(ev, cookies, s),
+        "seqo": lambda: svd("ordered", "seqo", 3),
+        "seqp": lambda: svd("paced", "seqp", 2),
+        "meta": lambda: B.cookie_meta(cookies),
     }
-    if with_svd:
-        fit_ids = cookies.where("is_fit").select(KEY)
-        for column, prefix, words in (("ordered", "seqo", 3), ("paced", "seqp", 2)):
-            families[prefix] = lambda c=column, p=prefix, w=words: Q.sequence_svd(Q.token_documents(ev, s), fit_ids, c, p, w, min_docs=svd_min_docs)
+    slowest = sorted(families, key=lambda name: name not in _SLOW)
     try:
-        tables = written_together({f"features-{name}": build for name, build in families.items()})
+        tables = dict(zip(slowest, written_together({f"features-{name}": families[name] for name in slowest})))
     finally:
         ev.unpersist()
-    return merge(B.cookie_meta(cookies), *tables)
+    joined = written(merge(cookies.select(KEY), *(tables[name] for name in families)), "features-joined")
+    return with_relative(joined, cookies)
+
+
+# Begun first, so that the others fill the cores beside them.
+_SLOW = ("seqo", "seqp", "pointer_deep", "compression")
 
 
 def with_relative(features: DataFrame, cookies: DataFrame) -> DataFrame:
     """The matrix with its platform-relative columns; written or cached features are read twice."""
-    return features.join(B.relative(features.join(cookies.select(KEY, "is_fit"), KEY)), KEY, "left")
+    used = features.select(KEY, *(f"plat_{p}" for p in C.PLATFORMS), *B.RELATIVE_BASE).join(cookies.select(KEY, "is_fit"), KEY)
+    relative = B.relative(used)
+    return features.join(relative.select(KEY, *(c for c in relative.columns if c not in (KEY, "dominant_platform")), "dominant_platform"), KEY, "left")

@@ -180,3 +180,46 @@ def test_matrix_keeps_visitors_without_events_and_equals_its_families(spark):
         assert rows[r["cookie_id"]]["n_sessions"] == r["n_sessions"]
     for r in families.timing(mobile, FIXTURE).collect():
         assert rows[r["cookie_id"]]["mob_dt_mean"] == r["dt_mean"]
+
+
+def test_matrix_has_the_columns_of_every_step(spark, monkeypatch):
+    from clickloom.plans import features as plans
+    from clickloom.sources import fixture
+
+    sf, whole, seen = "/root/testdata/sf0.001", plans.all_features, []
+    monkeypatch.setattr(plans, "all_features", lambda *a: seen.append(whole(*a)) or seen[0])
+    clicks, cookies = fixture.clicks(spark, sf), fixture.cookies(spark, sf)
+    got = plans.build_features(clicks, cookies, FIXTURE)
+    full = seen[0]
+    ev = events.enrich(plans.prepare(clicks, cookies), FIXTURE)
+    of = lambda f, prefix="": {prefix + c for c in f.columns if c != "cookie_id"}
+    wanted = set().union(
+        *(of(f(ev, FIXTURE)) for f in (families.volume_and_mix, families.timing, families.sessions, families.content, families.pagination, families.pointer, families.client)),
+        *(of(f(ev, FIXTURE)) for f in (families.id_structure, families.dt_granularity, families.popularity, families.crowd, families.conditional_timing, families.navigation)),
+        *(of(f(ev, FIXTURE)) for f in (families.pointer_deep, sequences.compression, families.irregular)),
+        *(of(families.binned(ev, FIXTURE, w, f"b{i}")) for i, w in enumerate(FIXTURE.bin_widths, 1)),
+        of(families.pointer(ev, FIXTURE), "webp_"), of(families.timing(ev, FIXTURE), "web_"), of(families.timing(ev, FIXTURE), "mob_"), of(families.navigation(ev, FIXTURE), "mob_"),
+        of(families.transitions(ev, FIXTURE, [])), of(families.window_coverage(ev, cookies, FIXTURE)), of(families.cookie_meta(cookies)),
+        {f"{p}_{k}" for p in ("seqo", "seqp") for k in range(8)}, {f"rel_plat_{c}" for c in families.RELATIVE_BASE}, {"dominant_platform"},
+    )
+    assert wanted <= set(full.columns) and any(c.startswith("bg_") for c in full.columns) and any(c.startswith("cat_") for c in full.columns)
+    rows = {r["cookie_id"]: r.asDict() for r in full.collect()}
+    kept = {r["cookie_id"]: r.asDict() for r in got.collect()}
+    assert kept.keys() == rows.keys() and any(r["seqo_0"] for r in kept.values())
+    values = lambda c: tuple(rows[k][c] for k in sorted(rows))
+    assert "webp_ptr_x_std" not in got.columns and "ptr_x_std" in got.columns
+    left = [values(c) for c in got.columns]
+    assert len(set(left)) == len(left) and {values(c) for c in full.columns} == set(left)
+
+
+def test_matrix_scrubs_what_is_no_number(spark):
+    from clickloom.plans.features import cleaned
+
+    df = spark.createDataFrame([(1, float("nan"), 1, 1.0), (2, float("inf"), 2, 2.0), (3, 0.5, 3, 3.0)], "cookie_id long, a double, b long, c double")
+    assert sorted(map(tuple, cleaned(df).collect())) == [(1, None, 1), (2, None, 2), (3, 0.5, 3)]
+
+
+def test_sequences_without_a_common_term_have_null_components(spark):
+    ev = events.enrich(log(spark, (0, "login"), (5, "login")), Settings())
+    got = sequences.sequence_svd(sequences.token_documents(ev, Settings()), ev.select("cookie_id").distinct(), "ordered", "seqo", 3)
+    assert [tuple(r) for r in got.collect()] == [(1, *[None] * 8)]
