@@ -87,6 +87,18 @@ def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> D
     return with_relative(joined, cookies)
 
 
+def relative_base(events: DataFrame, cookies: DataFrame, settings: Settings) -> DataFrame:
+    """The columns that ``relative`` compares, each from its family, with platform shares and ``is_fit``."""
+    s = settings
+    ev = E.enrich(prepare(events, cookies), s).persist()
+    families = {"mix": lambda: B.volume_and_mix(ev, s), "transitions": lambda: B.transitions(ev, s, []), **{f.__name__: (lambda f=f: f(ev, s)) for f in (B.timing, B.sessions, B.content, B.client)}}
+    try:
+        tables = written_together({f"relative-{name}": build for name, build in families.items()})
+    finally:
+        ev.unpersist()
+    return merge(*tables).join(cookies.select(KEY, "is_fit"), KEY).select(KEY, "is_fit", *(f"plat_{p}" for p in C.PLATFORMS), *B.RELATIVE_BASE)
+
+
 # Begun first, so that the others fill the cores beside them.
 _SLOW = ("seqo", "seqp", "pointer_deep", "compression")
 

@@ -19,7 +19,7 @@ from ..operators import reports as R
 from ..operators import sequences as Q
 from ..operators import validation as V
 from ..sources import fixture, readers
-from .features import build_features, prepare
+from .features import build_features, prepare, relative_base
 
 S = C.FIXTURE
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +175,7 @@ def queries() -> dict[str, Query]:
         "b22_sequence_svd_paced": _svd("paced", "seqp", 2),
         "b23_cookie_meta": lambda s, d: B.cookie_meta(cookies(s, d)),
         "b24_relative": _relative,
+        "b24_relative_all": lambda s, d: B.relative(relative_base(clicks(s, d), cookies(s, d), S)),
         "feature_matrix": feature_matrix,
         "dup_columns": _duplicates,
         "dominant_keys": lambda s, d: N.dominant_keys(_clipped(s, d), cookies(s, d), {"user_agent": "key_ua", "item_category": "key_category", "item_location": "key_location"}),

@@ -223,3 +223,23 @@ def test_sequences_without_a_common_term_have_null_components(spark):
     ev = events.enrich(log(spark, (0, "login"), (5, "login")), Settings())
     got = sequences.sequence_svd(sequences.token_documents(ev, Settings()), ev.select("cookie_id").distinct(), "ordered", "seqo", 3)
     assert [tuple(r) for r in got.collect()] == [(1, *[None] * 8)]
+
+
+def test_all_relative_columns_match_counting(spark):
+    from clickloom.config import PLATFORMS
+    from clickloom.plans.features import relative_base
+    from clickloom.plans.queries import queries
+    from clickloom.sources import fixture
+
+    sf = "/root/testdata/sf0.001"
+    base = [r.asDict() for r in relative_base(fixture.clicks(spark, sf), fixture.cookies(spark, sf), FIXTURE).collect()]
+    top = lambda r: max(PLATFORMS, key=lambda p: r[f"plat_{p}"])
+    got = {r["cookie_id"]: r.asDict() for r in queries()["b24_relative_all"](spark, sf).collect()}
+    assert len(families.RELATIVE_BASE) == 20 and got.keys() == {r["cookie_id"] for r in base}
+    for r in base:
+        mine = got[r["cookie_id"]]
+        assert mine["dominant_platform"] == sorted(PLATFORMS).index(top(r))
+        for c in families.RELATIVE_BASE:
+            peers = [x[c] for x in base if x["is_fit"] and top(x) == top(r) and x[c] is not None]
+            want = None if r[c] is None or not peers else sum(x <= r[c] for x in peers) / len(peers)
+            assert mine[f"rel_plat_{c}"] == (want if want is None else pytest.approx(want, abs=1e-6)), c
