@@ -155,8 +155,12 @@ def telling_features(documents: list[tuple[list[str], int]], least_ratio: float
     return out
 
 
-def train(documents: list[tuple[str, int]], rounds: int = 50, crf_words: int = 200_000, ridge: float = 0.02, rate: float = 0.4) -> Field:
-    """Fit the field and the document model on (text, toxic) pairs."""
+def train(documents: list[tuple[str, int]], rounds: int = 50, crf_words: int | None = None, ridge: float = 0.02, rate: float = 0.4) -> Field:
+    """Fit the field and the document model on (text, toxic) pairs.
+
+    The field reads all words, or with ``crf_words`` the first documents of either side until they have half as many.
+    Of documents with one label whose first 400 words have the same ``_copy_key``, the first is read.
+    """
     kept, keys = [], set()
     for text, toxic in documents:
         words = _WORD.findall(text)
@@ -168,9 +172,9 @@ def train(documents: list[tuple[str, int]], rounds: int = 50, crf_words: int = 2
     model = Field()
     if not telling or not any(t for _, t in kept):
         return model
-    # toxic and clean documents in turn, as many words as the bound allows
+    # toxic documents, then clean ones, as many words as a bound allows
     sides = [[w for w, t in kept if t == side] for side in (1, 0)]
-    chosen, budget = [], [crf_words // 2, crf_words // 2]
+    chosen, budget = [], [math.inf if crf_words is None else crf_words // 2] * 2
     for side in (0, 1):
         for words in sides[side]:
             if budget[side] <= 0:
@@ -250,16 +254,17 @@ def training_documents(docs: DataFrame, labels: DataFrame, most_toxic: int = 150
     """A bounded sample of labelled documents with crc32(doc_id) % 3 != 1, least hash of the id first.
 
     At most ``most_toxic + most_clean`` documents of ``most_chars`` characters each are fetched. A document with
-    both labels is toxic.
+    both labels is toxic. They come in the order of the hash, so that a bound on words takes no range of ids.
     """
     known = labels.select(as_long("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(crc_bucket("doc_id", 3) != 1).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    order = (F.xxhash64("doc_id", F.lit(5)), F.col("doc_id"))
+    known = known.withColumn("place", F.xxhash64("doc_id", F.lit(5)))
+    order = ("place", "doc_id")
     sample = known.where("toxic = 1").orderBy(*order).limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(most_clean))
     texts = docs.select(as_long("doc_id"), F.substring("text", 1, most_chars).alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # the sample's bound bounds the broadcast
-    found = [(r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator()]
-    return [(text, toxic) for _, text, toxic in sorted(found)]
+    found = [(r["place"], r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator()]
+    return [(text, toxic) for _, _, text, toxic in sorted(found)]
 
 
 _TAGGED = T.StructType(
@@ -315,13 +320,13 @@ def tag(docs: DataFrame, model: Field, least: float = 0.5) -> DataFrame:
     return docs.select(as_long("doc_id"), "text").mapInArrow(scan, _TAGGED)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **sample: int) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, crf_words: int | None = None, **sample: int) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted, toxic_words, spans.
 
     Null and empty texts have no words and the score of a text without toxic words. A null doc_id has a null
     held_out. Repeated rows give a row each; without a toxic training document every score is that of no toxic words.
     """
-    model = train(training_documents(docs, labels, **sample))
+    model = train(training_documents(docs, labels, **sample), crf_words=crf_words)
     return tag(docs, model).select(
         "doc_id",
         (crc_bucket("doc_id", 3) == 1).alias("held_out"),

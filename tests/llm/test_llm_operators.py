@@ -463,3 +463,18 @@ def test_pipeline_matches_its_stages_by_hand(spark):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(left).collect()}
     got = {r["doc_id"]: r["n"] for r in corpus_pipeline.run(spark, SF).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert got == {i: n for i, n in copies.items() if n}
+
+
+def test_field_reads_every_training_document(spark):
+    filler = [" ".join(f"w{k}x{i}" for i in range(120)) for k in range(1000)]
+    pairs = [(filler[k] + f" vile late{k // 100} late{k // 100}", 1) for k in range(1000)] + [(f"plain text number {k} here", 0) for k in range(1000)]
+    assert {"w=late0", "w=late9"} <= set(toxic_crf.train(pairs, rounds=2).weights)
+    assert "w=late9" not in toxic_crf.train(pairs, rounds=2, crf_words=20_000).weights
+
+
+def test_training_documents_come_in_hash_order(spark):
+    table = docs(spark, [f"text {k}" for k in range(40)], ids=list(range(40)))
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    got = [int(text.split()[1]) for text, _ in toxic_crf.training_documents(table, labels)]
+    want = [r["doc_id"] for r in table.where(F.col("doc_id").isin(got)).orderBy(F.xxhash64("doc_id", F.lit(5))).collect()]
+    assert got == want != sorted(got)
