@@ -51,6 +51,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_name(wanted: str, *frames: DataFrame) -> str:
+    """A column name like ``wanted`` that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def crc_bucket(column: str | Column, modulus: int) -> Column:
     """crc32 of the value's decimal text, modulo ``modulus``; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column) % modulus

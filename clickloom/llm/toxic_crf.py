@@ -3,7 +3,8 @@
 Document labels become labelled tokens first: a word's form and its beginnings mark it toxic if they occur in toxic
 training documents and hardly in clean ones. The field is trained on those tokens; forward-backward marginals are
 then taken over every whole text, their spans are reported by offset, and a small logistic model turns a document's
-marginals into a score. Chains have 256 words at most; a longer text is cut into several, none of it is left out.
+marginals into a score. A text of any length is one chain: its words lie in several lanes of 256, and forward and
+backward ratios are carried from lane to lane.
 """
 
 from __future__ import annotations
@@ -25,53 +26,99 @@ from pyspark.sql import types as T
 from .common import as_long, crc_bucket, slices
 
 _WORD = re.compile(r"[^\W_]+")
-CHAIN = 256
+LANE = 256
 
 
 def word_features(word: str) -> tuple[str, ...]:
     """Form, beginnings and ending of a word, whatever its case."""
     w = word.lower()
-    return ("w=" + w, "a=" + w[:3], "b=" + w[:4], "c=" + w[:5], "s=" + w[-3:])
-
-
-def chain_ratios(emit: np.ndarray, real: np.ndarray, moves: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward ratios (toxic to clean) by (step, chain) from the words' odds; ``real`` marks steps that exist.
-
-    With two labels, forward-backward needs one ratio a step in place of two sums, and never overflows.
+    return ("w=" + w, "a=" + w[:3], "b=" + w[:4], "c=" + w[:5], "d=" + w[:6], "e=" + w[:7], "s=" + w[-3:])
+
+
+def lane_products(emit: np.ndarray, real: np.ndarray, moves: tuple[float, ...], starts: np.ndarray) -> np.ndarray:
+    """(2, 2, lane): the product of each lane's steps to its last word, without the move to a chain's first word."""
+    _, go, back, stay = moves
+    one = np.ones(emit.shape[1])
+    n = np.array([[one, 0 * one], [0 * one, one]])
+    for t in range(len(emit)):
+        e = np.where(real[t], emit[t], 1.0)
+        clean, toxic = n[:, 0] + back * n[:, 1], (go * n[:, 0] + stay * n[:, 1]) * e
+        if t == 0:
+            clean, toxic = np.where(starts, n[:, 0], clean), np.where(starts, n[:, 1] * e, toxic)
+        n = np.where(real[t], np.stack([clean, toxic], 1), n)
+        if t % 8 == 7:  # ratios matter, not sizes
+            n /= n.max((0, 1))
+    return n
+
+
+def chain_ratios(emit: np.ndarray, real: np.ndarray, moves: tuple[float, ...], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward ratios (toxic to clean) by (step, lane) from the words' odds, and each lane's entering ratio.
+
+    ``real`` marks steps that exist, ``starts`` the lanes that begin a chain; the others go on with the lane before
+    them. With two labels, forward-backward needs one ratio a step in place of two sums. A chain of several lanes is
+    carried over their borders by the product of each lane's steps, so the ratios are those of the whole chain.
     """
     first, go, back, stay = moves
+    lanes = emit.shape[1]
+    enter, leave = np.zeros(lanes), np.ones(lanes)
+    split = np.flatnonzero(~starts)
+    if len(split):
+        held = np.unique(np.concatenate((split, split - 1)))
+        product = np.ones((2, 2, lanes))
+        product[:, :, held] = lane_products(emit[:, held], real[:, held], moves, starts[held])
+        state = np.zeros(2)
+        for k in held.tolist():
+            if starts[k]:
+                state = np.array([1.0, first])
+            else:
+                enter[k] = state[1] / state[0]
+            state = state @ product[:, :, k]
+            state = state / np.abs(state).max()
+        after = np.ones(2)
+        for k in held[::-1].tolist():
+            if k + 1 >= lanes or starts[k + 1]:
+                after = np.ones(2)
+            leave[k] = after[1] / after[0]
+            after = product[:, :, k] @ after
+            after = after / np.abs(after).max()
     ahead, behind = np.zeros_like(emit), np.ones_like(emit)
     if len(emit):
-        ahead[0] = emit[0] * first
+        ahead[0] = emit[0] * np.where(starts, first, (go + stay * enter) / (1 + back * enter))
     for t in range(1, len(emit)):
         r = ahead[t - 1]
         ahead[t] = emit[t] * (go + stay * r) / (1 + back * r)
+    if len(emit):
+        behind[-1] = leave
     for t in range(len(emit) - 2, -1, -1):
         s = emit[t + 1] * behind[t + 1]
-        behind[t] = np.where(real[t + 1], (back + stay * s) / (1 + go * s), 1.0)
-    return ahead, behind
+        behind[t] = np.where(real[t + 1], (back + stay * s) / (1 + go * s), leave)
+    return ahead, behind, enter
 
 
 @dataclass
 class Layout:
-    """Words of documents, one after another, laid out as chains side by side."""
+    """Words of documents, one after another, laid out side by side in lanes of ``LANE`` steps."""
 
     step: np.ndarray
-    chain: np.ndarray
+    lane: np.ndarray
     real: np.ndarray
+    starts: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Layout:
         place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        chains = -(-counts // CHAIN)
-        step, chain = place % CHAIN, np.repeat(np.cumsum(chains) - chains, counts) + place // CHAIN
-        real = np.zeros((min(CHAIN, int(counts.max(initial=0))), int(chains.sum())), bool)
-        real[step, chain] = True
-        return cls(step, chain, real)
+        lanes = -(-counts // LANE)
+        first = np.cumsum(lanes) - lanes
+        step, lane = place % LANE, np.repeat(first, counts) + place // LANE
+        real = np.zeros((min(LANE, int(counts.max(initial=0))), int(lanes.sum())), bool)
+        real[step, lane] = True
+        starts = np.zeros(real.shape[1], bool)
+        starts[first[lanes > 0]] = True
+        return cls(step, lane, real, starts)
 
     def lay(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(self.real.shape)
-        out[self.step, self.chain] = values
+        out[self.step, self.lane] = values
         return out
 
 
@@ -90,19 +137,19 @@ class Field:
 
     def emission(self, word: str) -> float:
         w = word.lower()
-        form, three, four, five, ending = self._tables
-        return self.bias + form(w, 0.0) + three(w[:3], 0.0) + four(w[:4], 0.0) + five(w[:5], 0.0) + ending(w[-3:], 0.0)
+        form, three, four, five, six, seven, ending = self._tables
+        return self.bias + form(w, 0.0) + three(w[:3], 0.0) + four(w[:4], 0.0) + five(w[:5], 0.0) + six(w[:6], 0.0) + seven(w[:7], 0.0) + ending(w[-3:], 0.0)
 
     @functools.cached_property
     def _tables(self) -> list:
         """Lookups of each kind of feature, in the order of ``word_features``."""
-        return [{f[2:]: x for f, x in self.weights.items() if f[0] == kind}.get for kind in "wabcs"]
+        return [{f[2:]: x for f, x in self.weights.items() if f[0] == kind}.get for kind in "wabcdes"]
 
     def marginals(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """P(toxic) of each word; scores are the emissions of all documents' words, one after another."""
         at = Layout.of(counts)
-        ahead, behind = chain_ratios(at.lay(_odds(scores)), at.real, np.exp(self.moves))
-        odds = (ahead * behind)[at.step, at.chain]
+        ahead, behind, _ = chain_ratios(at.lay(_odds(scores)), at.real, np.exp(self.moves), at.starts)
+        odds = (ahead * behind)[at.step, at.lane]
         return odds / (1 + odds)
 
     def score(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -123,25 +170,48 @@ def document_facts(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _copy_key(words: list[str]) -> int:
-    """Least hash of a text's five-word shingles: near copies mostly share it."""
+def _shingles(words: list[str], width: int = 5) -> np.ndarray:
     low = " ".join(words).lower().split(" ")
-    return min((xxhash.xxh64_intdigest(" ".join(x)) for x in zip(*(low[i:] for i in range(min(5, len(low)))))), default=0)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(x)) for x in zip(*(low[i:] for i in range(min(width, len(low)))))), np.uint64))
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, True))
+    return both / (len(a) + len(b) - both)
+
+
+def without_copies(documents: list[tuple[list[str], int]], least: float = 0.8) -> list[tuple[list[str], int]]:
+    """Of documents with one label whose five-word shingles are ``least`` similar, the first.
 
+    Only documents that share one of four least hashes are compared, by their whole texts.
+    """
+    kept, held = [], {}
+    odd = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+    for words, toxic in documents:
+        mine = _shingles(words)
+        keys = [(toxic, j, int((mine * m).min())) for j, m in enumerate(odd)] if len(mine) else []
+        near = {id(x): x for k in keys for x in held.get(k, ())}.values()
+        if any(_similar(mine, x) >= least for x in near):
+            continue
+        kept.append((words, toxic))
+        for k in keys:
+            held.setdefault(k, []).append(mine)
+    return kept
 
-def telling_features(documents: list[tuple[list[str], int]], least_ratio: float = 15.0, least_evidence: float = 12.0) -> set[str]:
+
+def telling_features(documents: list[tuple[list[str], int]], least_ratio: float = 15.0, least_evidence: float = 8.0) -> set[str]:
     """Features that toxic documents have ``least_ratio`` times as often as clean ones, and not by chance.
 
     Evidence is the log likelihood ratio of a feature's documents being toxic at their own rate rather than at the
-    rate of all documents; 12 leaves about one chance find in a hundred thousand features.
+    rate of all documents; 8 leaves about three chance finds in ten thousand features.
     """
     seen = {0: Counter(), 1: Counter()}
     total = Counter()
     for words, toxic in documents:
         total[toxic] += 1
         low = {w.lower() for w in words}
-        for kind, found in (("w=", low), ("b=", {w[:4] for w in low}), ("c=", {w[:5] for w in low})):
-            seen[toxic].update([kind + x for x in found])
+        for kind, n in (("w=", None), ("b=", 4), ("c=", 5), ("d=", 6), ("e=", 7)):
+            seen[toxic].update([kind + x for x in {w[:n] for w in low}])
     share = total[1] / max(1, total[0] + total[1])
     out = set()
     for f, t in seen[1].items():
@@ -155,62 +225,66 @@ def telling_features(documents: list[tuple[list[str], int]], least_ratio: float
     return out
 
 
-def train(documents: list[tuple[str, int]], rounds: int = 50, crf_words: int | None = None, ridge: float = 0.02, rate: float = 0.4) -> Field:
-    """Fit the field and the document model on (text, toxic) pairs.
-
-    The field reads all words, or with ``crf_words`` the first documents of either side until they have half as many.
-    Of documents with one label whose first 400 words have the same ``_copy_key``, the first is read.
-    """
-    kept, keys = [], set()
-    for text, toxic in documents:
-        words = _WORD.findall(text)
-        key = (_copy_key(words[:400]), toxic)
-        if key not in keys:
-            keys.add(key)
-            kept.append((words, toxic))
+def _blocks(documents: list, most_words: int = 400_000) -> Iterator[list]:
+    """Runs of documents with about so many words each, one document at least."""
+    held, size = [], 0
+    for words, toxic in documents:
+        if held and size + len(words) > most_words:
+            yield held
+            held, size = [], 0
+        held.append((words, toxic))
+        size += len(words)
+    if held:
+        yield held
+
+
+def train(documents: list[tuple[str, int]], rounds: int = 20, ridge: float = 0.02, rate: float = 0.4) -> Field:
+    """Fit the field and the document model on (text, toxic) pairs: all words of all documents, near copies left out."""
+    kept = without_copies([(_WORD.findall(text), toxic) for text, toxic in documents])
     telling = telling_features(kept)
     model = Field()
     if not telling or not any(t for _, t in kept):
         return model
-    # toxic documents, then clean ones, as many words as a bound allows
-    sides = [[w for w, t in kept if t == side] for side in (1, 0)]
-    chosen, budget = [], [math.inf if crf_words is None else crf_words // 2] * 2
-    for side in (0, 1):
-        for words in sides[side]:
-            if budget[side] <= 0:
-                break
-            budget[side] -= len(words)
-            chosen.append((words, side == 0))
-    count = Counter(f for words, _ in chosen for w in words for f in word_features(w))
-    names = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= 2))}
     number: dict[str, int] = {}
-    tokens = np.fromiter((number.setdefault(w, len(number)) for words, _ in chosen for w in words), np.int64)
-    counts = np.array([len(words) for words, _ in chosen], np.int64)
-    marked = np.array([any(f in telling for f in word_features(w)) for w in number])
-    truth = marked[tokens] & np.repeat([toxic for _, toxic in chosen], counts)
-    table = np.full((len(number), 5), len(names))
+    parts = []
+    for block in _blocks(kept):
+        tokens = np.fromiter((number.setdefault(w, len(number)) for words, _ in block for w in words), np.int32)
+        counts = np.array([len(words) for words, _ in block], np.int64)
+        parts.append((tokens, Layout.of(counts), np.repeat([toxic > 0 for _, toxic in block], counts)))
+    uses, count = sum(np.bincount(tokens, minlength=len(number)) for tokens, _, _ in parts).tolist(), Counter()
+    for w, n in zip(number, uses):
+        for f in word_features(w):
+            count[f] += n
+    names = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= 2))}
+    marked = np.array([any(f in telling for f in word_features(w)) for w in number], bool)
+    table = np.full((len(number), len(word_features(""))), len(names), np.int32)
     for w, k in number.items():
         table[k] = [names.get(f, len(names)) for f in word_features(w)]
     weights, bias, moves = np.zeros(len(names) + 1), -4.0, np.zeros(4)
     m, v = np.zeros(len(names) + 6), np.zeros(len(names) + 6)
-    at = Layout.of(counts)
-    laid, real = at.lay(truth) > 0, at.real
-    pairs = real[1:] & real[:-1]
-    seen = np.array([laid[0].sum(), (~laid[:-1] & laid[1:] & pairs).sum(), (laid[:-1] & ~laid[1:] & pairs).sum(), (laid[:-1] & laid[1:]).sum()])
-    n = len(tokens)
+    n = sum(len(tokens) for tokens, _, _ in parts)
     for k in range(1, rounds + 1):
-        emit = at.lay(_odds((bias + weights[table].sum(1))[tokens]))
-        ahead, behind = chain_ratios(emit, real, np.exp(moves))
-        p = ahead * behind
-        p /= 1 + p
-        s, r = emit[1:] * behind[1:], ahead[:-1]
-        parts = np.exp(moves[1:])[:, None, None] * np.stack([s, r, r * s])
-        parts /= 1 + parts.sum(0)
-        expected = np.concatenate(([p[0].sum()], (parts * pairs).sum((1, 2))))
-        error = np.bincount(tokens, truth - p[at.step, at.chain], len(number))
-        slope = np.bincount(table.ravel(), np.repeat(error, 5), len(names) + 1)
+        word_scores = bias + weights[table].sum(1)
+        error, gap = np.zeros(len(number)), np.zeros(4)
+        for tokens, at, toxic in parts:
+            truth = marked[tokens] & toxic
+            emit = at.lay(_odds(word_scores[tokens]))
+            ahead, behind, enter = chain_ratios(emit, at.real, np.exp(moves), at.starts)
+            p = ahead * behind
+            p /= 1 + p
+            s, r = emit * behind, np.concatenate((enter[None], ahead[:-1]))
+            pairs = at.real.copy()
+            pairs[0] &= ~at.starts
+            both = np.exp(moves[1:])[:, None, None] * np.stack([s, r, r * s])
+            both /= 1 + both.sum(0)
+            laid = at.lay(truth) > 0
+            before = np.concatenate((np.roll(laid[-1], 1)[None], laid[:-1]))  # a lane that is continued is full
+            seen = np.array([laid[0][at.starts].sum(), (~before & laid & pairs).sum(), (before & ~laid & pairs).sum(), (before & laid & pairs).sum()])
+            gap += seen - np.concatenate(([p[0][at.starts].sum()], (both * pairs).sum((1, 2))))
+            error += np.bincount(tokens, truth - p[at.step, at.lane], len(number))
+        slope = np.bincount(table.ravel(), np.repeat(error, table.shape[1]), len(names) + 1)
         slope[-1] = 0
-        gradient = np.concatenate((slope - ridge * weights, [error.sum()], seen - expected - ridge * moves)) / n
+        gradient = np.concatenate((slope - ridge * weights, [error.sum()], gap - ridge * moves)) / n
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         move = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
@@ -219,9 +293,11 @@ def train(documents: list[tuple[str, int]], rounds: int = 50, crf_words: int | N
     model.weights = {f: float(weights[k]) for f, k in names.items() if abs(weights[k]) > 1e-3}
     model.bias, model.moves = float(bias), tuple(moves.tolist())
     memo = Emissions(model)
-    counts = np.array([len(words) for words, _ in kept], np.int64)
-    scores = np.fromiter((memo[w] for words, _ in kept for w in words), float)
-    facts = document_facts(model.marginals(scores, counts), counts)
+    facts = []
+    for block in _blocks(kept):
+        counts = np.array([len(words) for words, _ in block], np.int64)
+        facts.append(document_facts(model.marginals(np.fromiter((memo[w] for words, _ in block for w in words), float), counts), counts))
+    facts = np.concatenate(facts)
     target, beta = np.array([t for _, t in kept], float), np.zeros(4)
     for _ in range(30):  # Newton's steps with a ridge
         q = 1 / (1 + np.exp(-np.clip(facts @ beta, -30, 30)))
@@ -253,18 +329,20 @@ class Emissions(dict):
 def training_documents(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3000, most_chars: int = 20_000) -> list[tuple[str, int]]:
     """A bounded sample of labelled documents with crc32(doc_id) % 3 != 1, least hash of the id first.
 
-    At most ``most_toxic + most_clean`` documents of ``most_chars`` characters each are fetched. A document with
-    both labels is toxic. They come in the order of the hash, so that a bound on words takes no range of ids.
+    At most ``most_toxic + most_clean`` documents are fetched, and of a text of more than ``most_chars`` characters so
+    many from a place that a hash of the id names. A document with both labels is toxic; of an id with several texts
+    the least is read.
     """
     known = labels.select(as_long("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(crc_bucket("doc_id", 3) != 1).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     known = known.withColumn("place", F.xxhash64("doc_id", F.lit(5)))
     order = ("place", "doc_id")
     sample = known.where("toxic = 1").orderBy(*order).limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(most_clean))
-    texts = docs.select(as_long("doc_id"), F.substring("text", 1, most_chars).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # the sample's bound bounds the broadcast
-    found = [(r["place"], r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator()]
-    return [(text, toxic) for _, _, text, toxic in sorted(found)]
+    texts = docs.select(as_long("doc_id"), "text").where("text is not null").join(F.broadcast(sample), "doc_id")  # the sample's bound bounds the broadcast
+    start = F.pmod(F.xxhash64("doc_id", F.lit(15)), F.greatest(F.lit(1), F.length("text") - most_chars + 1).cast("long")).cast("int") + 1
+    rows = texts.select("doc_id", "place", "toxic", F.substr("text", start, F.lit(most_chars)).alias("text"))
+    rows = rows.groupBy("place", "doc_id", "toxic").agg(F.min("text").alias("text"))
+    return [(text, toxic) for _, _, text, toxic in sorted((r["place"], r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator())]
 
 
 _TAGGED = T.StructType(
@@ -320,13 +398,13 @@ def tag(docs: DataFrame, model: Field, least: float = 0.5) -> DataFrame:
     return docs.select(as_long("doc_id"), "text").mapInArrow(scan, _TAGGED)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, crf_words: int | None = None, **sample: int) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **sample: int) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted, toxic_words, spans.
 
     Null and empty texts have no words and the score of a text without toxic words. A null doc_id has a null
     held_out. Repeated rows give a row each; without a toxic training document every score is that of no toxic words.
     """
-    model = train(training_documents(docs, labels, **sample), crf_words=crf_words)
+    model = train(training_documents(docs, labels, **sample))
     return tag(docs, model).select(
         "doc_id",
         (crc_bucket("doc_id", 3) == 1).alias("held_out"),

@@ -1,28 +1,33 @@
 """Benchmark decontamination by winnowing.
 
-Words are hashed, every run of ``gram`` words gets a hash, and of each ``window - gram + 1`` neighbouring hashes
-the least is kept, on both sides. A span of ``window`` words that a document shares with an item then always
-shares a kept hash, so the join of kept hashes misses no such span; every hit is extended word by word and only
-spans of a whole window count.
+Words are hashed, every run of ``gram`` words gets a hash, and of each ``window - gram + 1`` neighbouring hashes the
+least is kept, on both sides. A span of ``window`` words that a document shares with an item then always shares a kept
+hash, so no such span is missed. A task extends each kept hash of its documents that may be one of the benchmark's to
+the windows around it, and Spark joins these windows with the benchmark's by their words, which verifies them.
+
+"May be" is asked of two bitmaps of bounded size, one of kept hashes and one of windows, that Spark's bitmap aggregates
+fill: whatever the benchmark's size, it stays a table, and a fuller bitmap only lets more windows through to the join.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_long, payloads, slices
+from .common import as_long, attach, fresh_name, materialise, payloads, slices
 
 #: Every byte that no word holds becomes a blank, A-Z become a-z. Bytes from 0x80 on are parts of letters.
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -35,16 +40,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_hashes(ids: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of each run of ``gram`` word ids (an id of -1 stands for any word outside the vocabulary)."""
-    seeds = _mix((ids + 2).astype(np.uint64))
-    n = len(ids) - gram + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(gram):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + seeds[j : j + n]
-    return _mix(out)
+def run_hashes(seeds: np.ndarray, lengths: set[int]) -> dict[int, np.ndarray]:
+    """length -> hash of each run of so many words, from the words' hashes."""
+    out, found = np.zeros(len(seeds), np.uint64), {}
+    for j in range(min(max(lengths, default=0), len(seeds))):
+        out = out[: len(seeds) - j] * _STEP + seeds[j:]
+        if j + 1 in lengths:
+            found[j + 1] = _mix(out ^ np.uint64(j + 1))
+    return found
 
 
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -63,162 +66,184 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(best)
 
 
-class BenchmarkIndex:
-    """Kept hashes of a block of items, ready to be sent to every task."""
-
-    def __init__(self, items: list[tuple[int | None, bytes]], window: int, gram: int) -> None:
-        self.window, self.gram = window, gram
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: list[tuple[int | None, list[int]]] = []
-        self.kept: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            if not ids:
-                continue
-            k = len(self.items)
-            self.items.append((item_id, ids))
-            array = np.array(ids, np.int64)
-            if len(ids) < window:  # too short for a window of its own: the whole item is one
-                self.short[len(ids)][array.tobytes()].append(k)
-                continue
-            hashes = gram_hashes(array, gram)
-            for q in winnow(hashes, window - gram + 1).tolist():
-                self.kept[int(hashes[q])].append((k, q))
-        self.short = {n: dict(x) for n, x in self.short.items()}
-        self.kept = dict(self.kept)
-        self.hashes = np.array(sorted(self.kept), np.uint64)
-
-    def hits(self, ids: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, set[int]]:
-        """Mark in ``spans`` (of len(ids)) the words inside a window; also return the items met."""
-        met: set[int] = set()
-        n = len(ids)
-        if n >= self.window and len(self.hashes):
-            hashes = gram_hashes(ids, self.gram)
-            at = winnow(hashes, self.window - self.gram + 1)
-            places = np.searchsorted(self.hashes, hashes[at])
-            places[places == len(self.hashes)] = 0
-            at = at[self.hashes[places] == hashes[at]]
-            done: dict[tuple[int, int], int] = {}
-            for p in at.tolist():
-                for k, q in self.kept[int(hashes[p])]:
-                    if done.get((k, p - q), -1) >= p:
-                        continue
-                    words = self.items[k][1]
-                    a, b = p, q
-                    while a > 0 and b > 0 and ids[a - 1] == words[b - 1]:
-                        a, b = a - 1, b - 1
-                    c, d = p, q
-                    while c < n and d < len(words) and ids[c] == words[d]:
-                        c, d = c + 1, d + 1
-                    done[k, p - q] = c
-                    if c - a >= self.window:
-                        spans[a:c] = True
-                        met.add(k)
-        for size, known in self.short.items():
-            if n < size:
-                continue
-            inside = ids >= 0
-            run = inside[: n - size + 1].copy()
-            for j in range(1, size):
-                run &= inside[j : j + n - size + 1]
-            for p in np.flatnonzero(run).tolist():
-                found = known.get(ids[p : p + size].tobytes())
-                if found:
-                    spans[p : p + size] = True
-                    met.update(found)
-        return spans, met
-
-
-_SCHEMA = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))),
-        T.StructField("item_ids", T.ArrayType(T.LongType())),
-    ]
-)
+class WordHashes(dict):
+    """word -> 64-bit hash, computed when first met; emptied when it grows large."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return value
+
+    def seeds(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_KEYS = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("words", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("kept", T.LongType())])
 
 
-def _scan(index: BenchmarkIndex):
-    def scan(batches):
+def item_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """(item_id, words, size, run, kept) for every window of every item.
+
+    ``run`` is the window's hash and ``kept`` the hash that winnowing keeps in it (an item shorter than ``window``
+    words is one window and is found by ``run`` alone).
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
         for whole in batches:
-            for batch in slices(whole):
-                n_words, spans, items = [], [], []
-                get = index.vocabulary.get
-                for data in payloads(batch.column(1)):
+            for batch in slices(whole, most=1 << 20):
+                rows: list[tuple] = []
+                for item_id, data in zip(batch.column(0).to_pylist(), payloads(batch.column(1))):
                     words = words_of(data)
-                    ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                    n_words.append(len(words))
-                    if not (ids >= 0).any():
-                        spans.append([])
-                        items.append([])
+                    size = min(window, len(words))
+                    if not size:
                         continue
-                    mask, met = index.hits(ids, np.zeros(len(ids), bool))
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                    spans.append(edges.reshape(-1, 2).tolist())
-                    items.append(sorted({index.items[k][0] for k in met if index.items[k][0] is not None}))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                        pa.array(items, pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_words", "hit_spans", "item_ids"],
-                )
-
-    return scan
-
-
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, max_block_bytes: int = 32 << 20
-) -> DataFrame:
+                    hashes = run_hashes(memo.seeds(words), {size, gram})
+                    runs = hashes[size].view(np.int64).tolist()
+                    if size == window:
+                        grams, width = hashes[gram], window - gram + 1
+                        least = np.lib.stride_tricks.sliding_window_view(grams, width).min(1).view(np.int64).tolist()
+                    else:
+                        least = [None] * len(runs)
+                    rows += [(item_id, b" ".join(words[p : p + size]).decode("utf-8", "replace"), size, r, k) for p, (r, k) in enumerate(zip(runs, least))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, _KEY_TYPES)], names=_KEYS.names)
+
+    return benchmark.select(as_long("item_id"), "text").where("text is not null").mapInArrow(scan, _KEYS)
+
+
+_KEY_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+
+
+def bitmap(hashes: DataFrame, column: str, least: int = 1 << 15, most: int = 1 << 27) -> np.ndarray:
+    """Bits (as bytes) of the low parts of a column of hashes: about 64 for each hash, ``most`` bits (16 MB) at most."""
+    n = hashes.count()
+    bits = least
+    while bits < min(most, 64 * n):
+        bits *= 2
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    cut = hashes.where(F.col(column).isNotNull()).select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("k"))
+    out = np.zeros(bits // 8, np.uint8)
+    # the aggregate's own offsets are used within a piece of 32,768 bits; rows: the bitmap's size / 4 KB
+    for r in cut.agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("b")).toLocalIterator():
+        out[4096 * r["k"] : 4096 * (r["k"] + 1)] = np.frombuffer(r["b"], np.uint8)
+    return out
+
+
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+class Screen:
+    """Finds the windows of documents that may be the benchmark's."""
+
+    def __init__(self, kept: np.ndarray, runs: np.ndarray, short: set[int], window: int, gram: int) -> None:
+        self.kept, self.runs, self.short, self.window, self.gram = kept, runs, short, window, gram
+        self.lengths = short | {window, gram}
+
+    def candidates(self, words: list[list[bytes]], memo: WordHashes) -> list[list[tuple[str, int, int]]]:
+        """For each document the distinct windows with their word ranges [lo, hi), overlapping ones joined."""
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(counts)
+        flat = [w for ws in words for w in ws]
+        hashes = run_hashes(memo.seeds(flat), self.lengths)
+        owner = np.repeat(np.arange(len(words)), counts)
+        room = ends[owner] - np.arange(len(flat))  # words of its own document from each word on
+        found: list[tuple[int, int]] = []
+        if len(flat) >= self.window:
+            # runs over a border are harmless: they only add kept hashes, and no window crosses a border
+            at = winnow(hashes[self.gram], self.window - self.gram + 1)
+            at = at[_has(self.kept, hashes[self.gram][at])]
+            starts = np.unique((at[:, None] - np.arange(self.window - self.gram + 1)).ravel())
+            starts = starts[(starts >= 0) & (starts < len(hashes[self.window]))]
+            starts = starts[room[starts] >= self.window]
+            starts = starts[_has(self.runs, hashes[self.window][starts])]
+            found += [(p, self.window) for p in starts.tolist()]
+        for size in self.short:
+            if size in hashes:
+                starts = np.flatnonzero(_has(self.runs, hashes[size]))
+                found += [(p, size) for p in starts[room[starts] >= size].tolist()]
+        out: list[dict[bytes, list[list[int]]]] = [{} for _ in words]
+        for p, size in found:
+            d = int(owner[p])
+            lo = p - int(ends[d] - counts[d])
+            ranges = out[d].setdefault(b" ".join(flat[p : p + size]), [])
+            if ranges and lo <= ranges[-1][1]:
+                ranges[-1][1] = lo + size
+            else:
+                ranges.append([lo, lo + size])
+        return [[(w.decode("utf-8", "replace"), a, b) for w, ranges in d.items() for a, b in ranges] for d in out]
+
+
+_CANDIDATE = T.StructType([T.StructField("words", T.StringType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+_ARROW_CANDIDATE = pa.list_(pa.struct([("words", pa.string()), ("lo", pa.int64()), ("hi", pa.int64())]))
+_TOLD = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("windows", T.ArrayType(_CANDIDATE))])
+_ARROW_TOLD = pa.struct([("n_words", pa.int64()), ("windows", _ARROW_CANDIDATE)])
+
+
+def _screened(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a column ``name`` (n_words, windows) from their texts, and the table of the benchmark's windows."""
+    keys = materialise(item_windows(benchmark, window, gram), "benchmark-windows")
+    short = {r["size"] for r in keys.where(F.col("size") < window).select("size").distinct().collect()}  # fewer than ``window`` rows
+    screen = Screen(bitmap(keys.select("kept").distinct(), "kept"), bitmap(keys.select("run").distinct(), "run"), short, window, gram)
+    shared = docs.sparkSession.sparkContext.broadcast(screen)
+
+    @F.arrow_udf(_TOLD)
+    def told(text: pa.Array) -> pa.Array:
+        memo, out = WordHashes(), []
+        for piece in slices(pa.RecordBatch.from_arrays([text], names=["text"]), text=0, most=1 << 20):
+            words = [words_of(x) for x in payloads(piece.column(0))]
+            found = shared.value.candidates(words, memo)
+            out += [{"n_words": len(w), "windows": [{"words": x, "lo": a, "hi": b} for x, a, b in f]} for w, f in zip(words, found)]
+        return pa.array(out, _ARROW_TOLD)
+
+    return docs.withColumn(name, told.asNondeterministic()("text")), keys
+
+
+def _hits(tagged: DataFrame, keys: DataFrame, row: str, name: str) -> DataFrame:
+    """(row, words, lo, hi) of the windows that are the benchmark's, word by word.
+
+    The distinct windows of the benchmark are broadcast while their counted size allows, else joined by shuffle; a
+    window that many documents share then lies on the side that adaptive execution splits.
+    """
+    windows = tagged.where(F.size(f"{name}.windows") > 0).select(row, F.inline(f"{name}.windows"))
+    known = keys.select("words").distinct().withColumn("known", F.lit(True))
+    return attach(windows, known, ["words"], "benchmark-words", row_bytes=160).where("known").drop("known")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
     """One row per document: doc_id, n_words, hit_spans (word ranges, end exclusive), item_ids.
 
     Null and wordless texts have no words and no hits. Repeated document rows each give a row. Items of the same id
     count once; an item with a null id marks words but has no id to list. Items without a word are left out; an item
     of fewer than ``window`` words is one window. Empty tables give empty results. Other columns are not read.
 
-    The benchmark goes to the tasks in blocks of at most ``max_block_bytes`` of text (measured first; one block
-    almost always); with several blocks, each is a pass over the documents and their spans are united per document.
+    A text of repeated words has few distinct windows, each with joined ranges, so its length does not multiply with
+    that of an item.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(as_long("item_id"), "text").where(F.col("text").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-size // max_block_bytes))
-    rows = docs.select(as_long("doc_id"), "text")
-    if blocks == 1:
-        held = [(r["item_id"], r["text"].encode()) for r in items.toLocalIterator()]
-        return rows.mapInArrow(_scan(BenchmarkIndex(held, window, gram)), _SCHEMA)
-    parts = []
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = [(r["item_id"], r["text"].encode()) for r in block.toLocalIterator()]
-        scan = _scan(BenchmarkIndex(held, window, gram))
-        # the row number rides along as the id, so that repeated documents stay apart
-        parts.append(numbered.select(F.col("row").alias("doc_id"), "text").mapInArrow(scan, _SCHEMA))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    united = found.groupBy(F.col("doc_id").alias("row")).agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hit_spans")).alias("hit_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    )
-    return numbered.select("row", "doc_id").join(united, "row").select("doc_id", "n_words", "hit_spans", "item_ids")
+    told, keys = _screened(docs.select(as_long("doc_id"), "text"), benchmark, window, gram, "told")
+    tagged = materialise(told.select("doc_id", "told").withColumn("row", F.monotonically_increasing_id()), "screened")
+    hits = materialise(_hits(tagged, keys, "row", "told"), "benchmark-hits")
+    spans = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.array("lo", "hi"))).alias("hit_spans"))
+    listed = keys.where("item_id is not null").groupBy("words").agg(F.collect_set("item_id").alias("ids"))
+    met = attach(hits.select("row", "words").distinct(), listed, ["words"], "benchmark-items", row_bytes=200, how="inner")
+    items = met.select("row", F.explode("ids").alias("id")).groupBy("row").agg(F.array_sort(F.collect_set("id")).alias("item_ids"))
+    facts = spans.join(items, "row", "left")
+    none = lambda t: F.array().cast(t)
+    found = attach(tagged.select("row", "doc_id", F.col("told.n_words").alias("n_words")), facts, ["row"], "benchmark-facts", row_bytes=400)
+    return found.select("doc_id", "n_words", F.coalesce("hit_spans", none("array<array<bigint>>")).alias("hit_spans"), F.coalesce("item_ids", none("array<bigint>")).alias("item_ids"))
 
 
 def contaminated_words(spans: str = "hit_spans"):
-    """Number of distinct words that the spans cover, which may overlap when they stem from several blocks."""
+    """Number of distinct words that the sorted spans cover; they may overlap."""
     start, stop = (lambda s: F.element_at(s, 1)), (lambda s: F.element_at(s, 2))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
     step = lambda a, s: F.struct(
         (a["n"] + F.greatest(F.lit(0).cast("long"), stop(s) - F.greatest(start(s), a["end"]))).alias("n"),
         F.greatest(a["end"], stop(s)).alias("end"),
     )
-    return F.aggregate(F.array_sort(spans), zero, step, lambda a: a["n"])
+    return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -243,30 +268,17 @@ def sha256_of_items(ids: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, max_block_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
     """The documents (all columns, nulls included) that share no window with the benchmark.
 
-    Each block of the benchmark is one filter in the same pass over the documents: no shuffle, no join.
+    They are written once with their suspect windows, if any: those without one stay as they are, and only the others
+    take part in a join. Repeated rows are judged alike; empty tables change nothing.
     """
-    items = benchmark.select(as_long("item_id"), "text").where(F.col("text").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-size // max_block_bytes))
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = BenchmarkIndex([(r["item_id"], r["text"].encode()) for r in block.toLocalIterator()], window, gram)
-        docs = docs.where(~_meets(index)(F.coalesce(F.col("text"), F.lit(""))))
-    return docs
-
-
-def _meets(index: BenchmarkIndex):
-    @F.arrow_udf(T.BooleanType())
-    def meets(text: pa.Array) -> pa.Array:
-        out = []
-        get = index.vocabulary.get
-        for data in payloads(text):
-            words = words_of(data)
-            ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-            out.append(bool(index.hits(ids, np.zeros(len(ids), bool))[0].any()) if (ids >= 0).any() else False)
-        return pa.array(out, pa.bool_())
-
-    return meets
+    name, row = fresh_name("told", docs), fresh_name("row", docs)
+    told, keys = _screened(docs, benchmark, window, gram, name)
+    tagged = materialise(told.withColumn(row, F.monotonically_increasing_id()), "screened")
+    bad = _hits(tagged, keys, row, name).select(row).distinct()
+    suspects = attach(tagged.where(F.size(f"{name}.windows") > 0), bad.withColumn(fresh_name("bad", tagged), F.lit(True)), [row], "benchmark-rows", row_bytes=16)
+    clean = suspects.where(F.col(fresh_name("bad", tagged)).isNull())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return tagged.where(F.size(f"{name}.windows") == 0).select(*columns).unionByName(clean.select(*columns))

@@ -310,8 +310,7 @@ def brute_hits(words, item):
     return {i + k for i in range(len(words) - size + 1) if tuple(words[i : i + size]) in windows for k in range(size)}
 
 
-@pytest.mark.parametrize("block", [32 << 20, 200])
-def test_winnowing_matches_brute_force(spark, block):
+def test_winnowing_matches_brute_force(spark):
     rng = random.Random(9)
     word = lambda: rng.choice("abcdefgh")
     items = [[word() for _ in range(n)] for n in (30, 12, 10, 9, 3, 40)]
@@ -323,15 +322,16 @@ def test_winnowing_matches_brute_force(spark, block):
             a = rng.randrange(len(it))
             w[len(w) // 2 : len(w) // 2] = it[a : a + rng.randrange(1, 20)]
         texts.append(" ".join(w))
-    texts += [None, "", ", . "]
+    texts += [None, "", ", . ", "a " * 5_000, "g h " * 3_000]
+    items += [["a"] * 400, ["h", "g"] * 30]
     bench = spark.createDataFrame([(i * 7, " ".join(x).upper()) for i, x in enumerate(items)] + [(99, None), (98, "!!")], "item_id long, text string")
-    got = {r["doc_id"]: r for r in winnowing.report(docs(spark, texts), bench, max_block_bytes=block).collect()}
+    got = {r["doc_id"]: r for r in winnowing.report(docs(spark, texts), bench).collect()}
     for i, t in enumerate(texts):
         words = (t or "").replace(",", " ").replace(".", " ").split()
         found = {k * 7: brute_hits(words, it) for k, it in enumerate(items)}
         ids = [k for k, h in found.items() if h]
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"]) == (len(words), len(set().union(*found.values())), len(ids), winnowing.sha256_of_items(ids)), i
-    clean = {r["doc_id"] for r in winnowing.decontaminate(docs(spark, texts), bench, max_block_bytes=block).collect()}
+    clean = {r["doc_id"] for r in winnowing.decontaminate(docs(spark, texts), bench).collect()}
     assert clean == {i for i in got if not got[i]["contaminated"]}
 
 
@@ -361,13 +361,12 @@ def test_chat_round_trip_and_mask(spark):
 
 def test_suffix_automaton_holds_exactly_the_substrings():
     text = "abcbcab"
-    codes = np.array([3 + "abc".index(c) for c in text], np.uint8)
-    steps = language_id.suffix_automaton(codes, 6)
+    follow = language_id.suffix_automaton(np.array([ord(c) for c in text]))
 
     def known(s):
         at = 0
         for c in s:
-            at = steps[at, 3 + "abc".index(c)]
+            at = follow[at].get(ord(c), -1)
             if at < 0:
                 return False
         return True
@@ -376,30 +375,69 @@ def test_suffix_automaton_holds_exactly_the_substrings():
     assert all(known(w) == (w in text) for w in words)
 
 
-def test_phrases_match_greedy_parse():
-    parser = language_id.Parser.fit({"x": "the cat sat on the mat", "y": "le chat est ici"})
-    text = "the chat sat at ici zzz"
-    codes = language_id.symbols(text, parser.letters)
-    for k, name in enumerate(parser.languages):
-        sample = language_id.symbols({"x": "the cat sat on the mat", "y": "le chat est ici"}[name], parser.letters)
-        hay, i, n = bytes(sample), 0, 0
-        while i < len(codes):
-            j = i + 1
-            while j < len(codes) and bytes(codes[i : j + 1]) in hay:
-                j += 1
-            i, n = j, n + 1
-        assert parser.phrases([codes])[0, k] == n
+SCRIPTS = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщ", "el": "αβγδεζηθικλμνξοπρστυ", "ka": "აბგდევზთიკლმნოპჟრსტ", "zh": "".join(chr(0x4E00 + i) for i in range(900))}
+
+
+def _prose(lang, k, seed):
+    rng = random.Random(sum(map(ord, lang)))
+    words = ["".join(rng.choice(SCRIPTS[lang]) for _ in range(rng.randrange(1, 7))) for _ in range(150)]
+    rng = random.Random(seed)
+    return " ".join(rng.choice(words) for _ in range(k))
+
+
+def brute_phrases(sample, codes):
+    hay, text, n = "".join(map(chr, sample)), "".join(map(chr, codes)), 0
+    i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in hay:
+            j += 1
+        i, n = j, n + 1
+    return n
+
+
+@pytest.mark.parametrize("how", [{}, {"rounds": 1}, {"chunk": 64, "most_lanes": 5, "at_once": 2}])
+def test_phrases_are_those_of_one_greedy_parse(how):
+    samples = {lang: _prose(lang, 800, 1) for lang in SCRIPTS}
+    parser = language_id.Parser.fit(samples)
+    texts = [_prose(lang, 1500, 2) for lang in SCRIPTS] + [_prose("en", 3, 3) + _prose("ru", 300, 4), "e e " * 800, "a" * 255, "b" * 256, "q" * 257, "", "Ж"]
+    coded = [language_id.symbols(t, parser.letters) for t in texts]
+    assert max(map(len, coded)) > 5000
+    got = parser.phrases(coded, **how)
+    for k, lang in enumerate(parser.languages):
+        sample = language_id.symbols(samples[lang], parser.letters)[:24_000]
+        assert [brute_phrases(sample, c) for c in coded] == got[:, k].tolist(), lang
+
+
+def test_languages_of_several_scripts(spark):
+    texts = [_prose(lang, 40, seed) for seed in range(30) for lang in SCRIPTS]
+    rows = language_id.identify(docs(spark, texts, langs=list(SCRIPTS) * 30)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in rows} == dict(enumerate(list(SCRIPTS) * 30))
 
 
 def test_language_held_out_accuracy_and_edges(spark):
     got = queries()["op9_language_cross_parsing"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert got.where("held_out").agg(F.avg(F.expr("double(lang = lang_pred)"))).first()[0] > 0.98
-    texts = ["ein haus und ein hund im wald"] * 30 + ["the house and the dog in wood"] * 30 + [None, "", "123 !", "½", "das haus"]
-    rows = {r["doc_id"]: r for r in language_id.identify(docs(spark, texts, langs=["de"] * 30 + ["en"] * 30 + [None] * 5)).collect()}
-    assert [rows[i]["lang_pred"] for i in range(60, 65)] == ["und"] * 4 + ["de"]
+    texts = ["ein haus und ein hund im wald"] * 30 + ["the house and the dog in wood"] * 30 + [None, "", "123 !", "½", "das haus", "das haus " * 30_000, "das haus"]
+    ids = [*range(66), None]
+    rows = {r["doc_id"]: r for r in language_id.identify(docs(spark, texts, langs=["de"] * 30 + ["en"] * 30 + [None] * 7, ids=ids)).collect()}
+    assert [rows[i]["lang_pred"] for i in (60, 61, 62, 63, 64, 65, None)] == ["und"] * 4 + ["de"] * 3 and rows[None]["held_out"] is None
     assert language_id.identify(docs(spark, [])).count() == 0
+    assert language_id.identify(docs(spark, ["das haus"] * 3, ids=[1, 1, 1])).count() == 3
     assert {r["lang_pred"] for r in language_id.identify(docs(spark, ["a b"], langs=[None])).collect()} == {"und"}
-    assert {r["doc_id"] for r in language_id.with_language(docs(spark, texts, langs=["de"] * 30 + ["en"] * 35)).collect()} == {*range(60), 64}
+    with pytest.raises(ValueError, match="languages"):
+        language_id.labelled_texts(docs(spark, ["a"] * 9, langs=list("abcdefghi")), most_languages=2)
+
+
+def test_language_stage_writes_its_prediction_and_rejects(spark):
+    texts = ["ein haus und ein hund im wald"] * 30 + ["the house and the dog in wood"] * 30 + [None, "", "123 !", "das haus und der hund", "ქართული ენა არის ლამაზი"]
+    table = docs(spark, texts, langs=["de"] * 30 + ["en"] * 30 + [None] * 5)
+    kept = language_id.with_language(table)
+    assert kept.columns == table.columns
+    assert {r["doc_id"]: r["lang"] for r in kept.collect()} == {i: "de" if i < 30 or i == 63 else "en" for i in (*range(60), 63)}
+    bare = language_id.with_language(docs(spark, ["plain words", "other ones", "1 2"], langs=[None] * 3)).collect()
+    assert {(r["doc_id"], r["lang"]) for r in bare} == {(0, None), (1, None)}
+    assert language_id.with_language(docs(spark, [])).count() == 0
 
 
 # Token ids
@@ -454,7 +492,8 @@ def test_pipeline_matches_its_stages_by_hand(spark):
 
     table = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in table.collect()}
-    known = {i for i, r in rows.items() if r["text"] and any(c.isalpha() for c in r["text"])}
+    known = {r["doc_id"] for r in language_id.with_language(table).collect()}
+    assert known == {i for i, r in rows.items() if r["text"] and any(c.isalpha() for c in r["text"])}
     comp = brute_components({i: brute_print(rows[i]["text"]) for i in known})
     one = {i for i in known if comp[i] == i}
     items = [winnowing.words_of(r["text"].encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -465,11 +504,34 @@ def test_pipeline_matches_its_stages_by_hand(spark):
     assert got == {i: n for i, n in copies.items() if n}
 
 
-def test_field_reads_every_training_document(spark):
+def test_field_reads_every_word_of_its_documents(spark):
     filler = [" ".join(f"w{k}x{i}" for i in range(120)) for k in range(1000)]
     pairs = [(filler[k] + f" vile late{k // 100} late{k // 100}", 1) for k in range(1000)] + [(f"plain text number {k} here", 0) for k in range(1000)]
     assert {"w=late0", "w=late9"} <= set(toxic_crf.train(pairs, rounds=2).weights)
-    assert "w=late9" not in toxic_crf.train(pairs, rounds=2, crf_words=20_000).weights
+
+
+def test_near_copies_are_told_by_their_whole_texts():
+    start = [f"w{i}" for i in range(500)]
+    texts = [(start + ["a"], 1), (start + ["b"], 1), (start + [f"x{i}" for i in range(500)], 1), (start + ["a"], 0), ([], 0), ([], 0)]
+    assert toxic_crf.without_copies(texts) == texts[:1] + texts[2:5]
+
+
+@pytest.mark.parametrize("cut", [1, 3, 256])
+def test_chains_are_carried_over_lanes(monkeypatch, cut):
+    rng = np.random.default_rng(7)
+    model = toxic_crf.Field(moves=(-0.5, 0.7, -0.2, 1.1))
+    counts = np.array([700, 0, 3, 256, 512, 257, 1])
+    scores = rng.normal(size=int(counts.sum())) * 3
+    monkeypatch.setattr(toxic_crf, "LANE", 10_000)
+    want = model.marginals(scores, counts)
+    monkeypatch.setattr(toxic_crf, "LANE", cut)
+    assert np.allclose(model.marginals(scores, counts), want)
+
+
+def test_training_documents_of_repeated_ids_are_the_least_text(spark):
+    labels = spark.createDataFrame([(2, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    table = docs(spark, ["b text", "a text", None], ids=[2, 2, 2])
+    assert toxic_crf.training_documents(table, labels) == [("a text", 1)]
 
 
 def test_training_documents_come_in_hash_order(spark):
