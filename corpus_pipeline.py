@@ -16,27 +16,36 @@ from clickloom.llm.queries import default_tokenizer
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter go."""
+    """Documents in a language, ``lang`` set to the predicted one; those without a letter or that no language fits go.
+
+    Null and empty texts go; repeated rows are judged alike; without labelled text all with a letter stay as they are.
+    """
     return language_id.with_language(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least doc_id."""
+    """One document of each group of near copies, the one with the least doc_id; of its repeated rows one stays.
+
+    Null and empty texts are one group; rows without doc_id stay.
+    """
     return simhash.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with a benchmark item."""
+    """Documents that share no window with a benchmark item; null and empty texts share none, repeated rows are alike."""
     return winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document stays out, or comes once or twice, as its source's target asks."""
+    """The mix of sources: a document stays out, or comes once or twice, as its source's target asks.
+
+    Texts without a word are not taken; a null source is a source; an empty table gives none.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    """The token files, read back: doc_id, start, n_tokens, ids_crc32; a row for each row, null texts as empty ones."""
     return token_store.tokenise(docs, default_tokenizer())
 
 
