@@ -6,15 +6,15 @@ from dataclasses import dataclass, replace
 
 # The event vocabulary and the platforms.
 EVENT_NAMES = (
-    "item_view",
     "search_results_view",
-    "seller_page_view",
+    "item_view",
     "photo_swipe",
-    "favorite_add",
-    "login",
+    "seller_page_view",
     "contact_phone_show",
     "contact_chat_open",
     "contact_message_sent",
+    "favorite_add",
+    "login",
     "captcha_shown",
 )
 ENGAGEMENT = ("photo_swipe", "favorite_add", "login")
@@ -22,10 +22,10 @@ CONTACT = ("contact_phone_show", "contact_chat_open", "contact_message_sent")
 DWELL_EVENTS = ("item_view", "search_results_view", "photo_swipe", "seller_page_view")
 PLATFORMS = ("web", "desktop", "android", "ios")
 WEB, MOBILE = ("web", "desktop"), ("android", "ios")
-# One letter for each event name, in the order above.
-EVENT_CODES = dict(zip(EVENT_NAMES, "ISPWFLTCMX"))
-# Clients whose user agent begins with one of these are scripts.
-SCRIPT_CLIENTS = ("python-requests", "curl", "Go-http-client", "okhttp", "Java", "Scrapy")
+# One letter for each event name, in the order above.
+EVENT_CODES = dict(zip(EVENT_NAMES, "SIPLHCMFGK"))
+# Clients whose user agent begins with one of these and a slash are scripts.
+SCRIPT_CLIENTS = ("curl", "Scrapy", "node-fetch", "python-requests", "python-urllib3", "Go-http-client")
 BROWSERS = ("YaBrowser", "HeadlessChrome", "Firefox", "Chrome", "Safari")
 
 
@@ -34,12 +34,14 @@ class Settings:
     session_gap: int = 1800
     fast_gaps: tuple[int, ...] = (2, 5, 10, 30)
     bin_widths: tuple[int, ...] = (60, 300, 1800)
+    bin_names: tuple[str, ...] = ("b1m", "b5m", "b30m")
     pace_cuts: tuple[int, ...] = (3, 10, 30, 120)
     compression_cuts: tuple[int, ...] = (1, 5, 30, 300)
     round_gaps: tuple[int, ...] = (5, 10, 60)
     deep_page: int = 5
     top_bigrams: int = 25
     catalog_tops: tuple[tuple[str, int], ...] = (("item_location", 40), ("item_category", 20), ("search_query", 40))
+    catalog_names: tuple[tuple[str, str], ...] = (("item_location", "shloc"), ("item_category", "shcat"), ("search_query", "shq"))
     screen: tuple[int, int] = (1920, 1080)
     coverage_hours: float = 24.0
     svd_min_docs: float = 20

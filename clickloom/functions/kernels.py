@@ -15,6 +15,16 @@ def by_time() -> Window:
     return Window.partitionBy(KEY).orderBy(*ORDER)
 
 
+def ref(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def share(of: Column) -> Column:
+    """How often ``of`` holds, among the rows where it is known."""
+    return F.avg(of.cast("double"))
+
+
 def div(a: str | Column, b: str | Column) -> Column:
     """a / b, NULL where b is 0."""
     a, b = (F.expr(x) if isinstance(x, str) else x for x in (a, b))

@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _ONE = threading.Lock()
+#: Folders to delete: at the end of the innermost ``scratch``, the first ones when the driver ends.
+_HELD: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own where none is set and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         with _ONE:
             root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-clickloom-')}"
             spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table of the shared folder, read back: cuts the plan and survives lost executors."""
+def written(df: DataFrame, label: str, keep: bool = False, **options: str) -> DataFrame:
+    """``df`` as a table of the shared folder, read back: cuts the plan and survives lost executors.
+
+    It is deleted at the end of the ``scratch`` around it, or with ``keep`` of the one around that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clickloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _HELD[max(0, len(_HELD) - 2) if keep else -1].append(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,3 +47,25 @@ def written_together(frames: dict[str, Callable[[], DataFrame]], at_once: int =
     """``written`` for independent frames, ``at_once`` at a time; their jobs share the cluster."""
     with ThreadPoolExecutor(at_once) as pool:
         return list(pool.map(lambda x: written(x[1](), x[0]), frames.items()))
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those to ``keep``."""
+    _HELD.append([])
+    try:
+        yield
+    finally:
+        _delete(_HELD.pop())
+
+
+def _delete(paths: list[str]) -> None:
+    context = SparkContext._active_spark_context
+    if context is None or context._jsc is None:
+        return
+    for path in paths:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+atexit.register(lambda: _delete(_HELD[0]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import KEY
+from ..functions.kernels import KEY, ref
 
 
 def dominant_keys(ev: DataFrame, cookies: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -48,8 +48,8 @@ def duplicate_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
     One pass takes an order-free digest of (key, value) per column; only columns of equal digest are compared.
     """
-    digest = lambda c: F.expr(f"bit_xor(xxhash64(`{key}`, cast(`{c}` AS DOUBLE)))")
-    row = df.agg(*(digest(c).alias(c) for c in columns)).first()
+    digest = lambda c: F.bit_xor(F.xxhash64(ref(key), ref(c).cast("double")))
+    row = dict(zip(columns, df.agg(*(digest(c).alias(f"d{i}") for i, c in enumerate(columns))).first()))
     seen: dict[int, list[str]] = {}
     pairs = []
     for c in columns:
@@ -58,7 +58,7 @@ def duplicate_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     schema = "name string, first string"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    same = df.agg(*(F.expr(f"bool_and(cast(`{a}` AS DOUBLE) <=> cast(`{b}` AS DOUBLE))").alias(f"p{i}") for i, (a, b) in enumerate(pairs))).first()
+    same = df.agg(*(F.bool_and(ref(a).cast("double").eqNullSafe(ref(b).cast("double"))).alias(f"p{i}") for i, (a, b) in enumerate(pairs))).first()
     first: dict[str, str] = {}
     for i, (a, b) in enumerate(pairs):
         if same[f"p{i}"]:
@@ -72,5 +72,5 @@ def drop_duplicate_columns(df: DataFrame, key: str, columns: list[str]) -> DataF
 
 def scrub(df: DataFrame, columns: list[str]) -> DataFrame:
     """NaN and infinity become NULL."""
-    clean = lambda c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c))
+    clean = lambda c: F.when(F.isnan(ref(c)) | (F.abs(ref(c)) == float("inf")), None).otherwise(ref(c))
     return df.withColumns({c: clean(c) for c in columns})

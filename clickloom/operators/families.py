@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import Settings
-from ..functions.kernels import KEY, by_time, corr, derive, div, entropy, merge, percent_rank_average, runs, summarise
+from ..functions.kernels import KEY, by_time, corr, derive, div, entropy, merge, percent_rank_average, ref, runs, share, summarise
 
 
 def _names(xs: tuple[str, ...]) -> str:
@@ -48,9 +48,9 @@ def top_bigrams(ev: DataFrame, s: Settings) -> DataFrame:
 
 def transitions(ev: DataFrame, s: Settings, vocabulary: list[str]) -> DataFrame:
     pairs = _pairs(ev)
-    facts = {"n_bigrams_uniq": "count(DISTINCT pair)", "self_loop_rate": "avg(double(prev_name = event_name))"}
-    facts |= {f"bg_{x.replace('>', '__')}": f"avg(double(pair = '{x}'))" for x in vocabulary}
-    told = merge(summarise(pairs, facts), entropy(pairs, "pair", "bigram_entropy"))
+    facts = [F.countDistinct("pair").alias("n_bigrams_uniq"), F.expr("avg(double(prev_name = event_name))").alias("self_loop_rate")]
+    told = pairs.groupBy(KEY).agg(*facts, *(share(F.col("pair") == F.lit(x)).alias(f"bg_{x}") for x in vocabulary))
+    told = merge(told, entropy(pairs, "pair", "bigram_entropy"))
     return ev.groupBy(KEY).agg(F.lit(1).alias("one")).join(told, KEY, "left").drop("one").na.fill(0, ["n_bigrams_uniq"])
 
 
@@ -116,7 +116,9 @@ def pagination(ev: DataFrame, s: Settings) -> DataFrame:
         },
     )
     longest = summarise(runs(paged, "step = 1"), {"page_run_max": "max(n)"})
-    return merge(out, longest).na.fill(0, ["page_run_max"])
+    told = merge(out, longest).na.fill(0, ["page_run_max"])
+    # only the count of steps is known, as 0, for visitors without a search
+    return ev.select(KEY).distinct().join(told, KEY, "left").na.fill(0, ["page_step_up_count"])
 
 
 _MOVE = "hypot(dx, dy)"
@@ -143,7 +145,7 @@ def pointer(ev: DataFrame, s: Settings, prefix: str = "") -> DataFrame:
         },
     )
     out = merge(coverage, out)
-    return out.select(KEY, *(F.col(c).alias(prefix + c) for c in out.columns if c != KEY))
+    return out.select(KEY, *(ref(c).alias(prefix + c) for c in out.columns if c != KEY))
 
 
 def pointer_deep(ev: DataFrame, s: Settings) -> DataFrame:
@@ -153,31 +155,31 @@ def pointer_deep(ev: DataFrame, s: Settings) -> DataFrame:
     stamp = "struct(event_ts, event_id)"
     facts = {
         "ptrd_step_q10": "percentile(step, 0.1)", "ptrd_step_q50": "percentile(step, 0.5)", "ptrd_step_q90": "percentile(step, 0.9)", "ptrd_zero_step_share": "avg(double(step = 0))",
-        "ptrd_path_len": "coalesce(sum(step), 0D)", "ends": f"hypot(max_by(pointer_x, {stamp}) - min_by(pointer_x, {stamp}), max_by(pointer_y, {stamp}) - min_by(pointer_y, {stamp}))",
+        "ptrd_path_len": "sum(step)", "ends": f"hypot(max_by(pointer_x, {stamp}) - min_by(pointer_x, {stamp}), max_by(pointer_y, {stamp}) - min_by(pointer_y, {stamp}))",
         "ptrd_turn_med": "percentile(turn, 0.5)", "ptrd_turn_std": "stddev_samp(turn)", "ptrd_reversal_share": "avg(double(turn > pi() / 2))",
         "ptrd_x_mod10": "avg(double(pointer_x % 10 = 0))", "ptrd_y_mod10": "avg(double(pointer_y % 10 = 0))",
-        "ptrd_edge_share": f"avg(double(pointer_x <= 5 OR pointer_y <= 5 OR pointer_x >= {width - 5} OR pointer_y >= {height - 5}))",
+        "ptrd_edge_share": f"avg(double(pointer_x <= 1 OR pointer_y <= 1 OR pointer_x >= {width - 1} OR pointer_y >= {height - 1}))",
         "ptrd_centre_dist_med": "percentile(centre, 0.5)", "ptrd_centre_dist_std": "stddev_samp(centre)", "ptrd_quadrants": "count(DISTINCT quadrant)",
-        "box": "(max(pointer_x) - min(pointer_x) + 1) * (max(pointer_y) - min(pointer_y) + 1)", "places": "count(DISTINCT pointer_x, pointer_y)", "n": "count(*)",
+        "ptrd_bbox_fill": f"(max(pointer_x) - min(pointer_x)) * (max(pointer_y) - min(pointer_y)) / {float(width * height)}D", "places": "count(DISTINCT pointer_x, pointer_y)", "n": "count(*)",
         "ptrd_speed_q10": "percentile(speed, 0.1)", "ptrd_speed_q90": "percentile(speed, 0.9)", "ptrd_speed_std": "stddev_samp(speed)",
     }
     out = seen.groupBy(KEY).agg(*(F.expr(e).alias(n) for n, e in facts.items()), corr("pointer_x", "pointer_y").alias("ptrd_xy_corr"))
-    out = out.withColumns({"ptrd_straightness": F.expr("ends / (ptrd_path_len + 1)"), "ptrd_bbox_fill": div("places", "box"), "ptrd_repeat_share": F.expr("1 - places / double(n)")}).drop("ends", "box", "places", "n")
+    out = out.withColumns({"ptrd_straightness": F.expr("ends / (ptrd_path_len + 1)"), "ptrd_repeat_share": F.expr("1 - places / double(n)")}).drop("ends", "places", "n")
     cover = summarise(ev, {f"ptrd_cover_{x}": f"avg(CASE WHEN event_name = '{x}' THEN double(pointer_x IS NOT NULL) END)" for x in ("item_view", "search_results_view", "photo_swipe")})
     return merge(out, entropy(seen, "step_bucket", "ptrd_step_entropy"), entropy(seen, "quadrant", "ptrd_quadrant_entropy"), cover)
 
 
 def user_agent_facts(ev: DataFrame, s: Settings) -> DataFrame:
     """Family, versions and device of each event's user agent; a pattern without match gives NULL."""
-    scripts = "|".join((s.app_name, *C.SCRIPT_CLIENTS))
-    pick = lambda pattern, g=1: f"nullif(regexp_extract(user_agent, '{pattern}', {g}), '')"
+    pick = lambda pattern: F.nullif(F.regexp_extract("user_agent", pattern, 1), F.lit(""))
+    whole = lambda c: c.try_cast("bigint")
     return ev.withColumns(
         {
-            "family": F.expr(f"coalesce({pick(f'^({scripts})')}, {pick(f'({chr(124).join(C.BROWSERS)})')}, 'other')"),
-            "app_version": F.expr(f"try_cast({pick(s.app_name + '/([0-9]+)')} AS BIGINT)"),
-            "os_version": F.expr(f"try_cast(coalesce({pick('Android ([0-9]+)')}, {pick('iOS ([0-9]+)')}) AS BIGINT)"),
-            "browser_version": F.expr(f"try_cast({pick('(?:YaBrowser|HeadlessChrome|Firefox|Chrome|Version)/([0-9]+)')} AS BIGINT)"),
-            "device": F.expr(pick("; ([A-Za-z0-9_-]+)[)]")),
+            "family": F.coalesce(pick(f"^({'|'.join((s.app_name, *C.SCRIPT_CLIENTS))})/"), pick(f"({'|'.join(C.BROWSERS)})"), F.lit("other")),
+            "app_version": whole(pick(f"^{s.app_name}/([0-9]+)")),
+            "os_version": whole(F.coalesce(pick("Android ([0-9]+)"), pick("iOS ([0-9]+)"))),
+            "browser_version": whole(pick("(?:Chrome|Firefox|Safari)/([0-9]+)")),
+            "device": pick("(?:Android [0-9]+; |iPhone; iOS [0-9.]+; )([^)]+)"),
         }
     )
 
@@ -195,12 +197,14 @@ def client(ev: DataFrame, s: Settings) -> DataFrame:
     families = (s.app_name, *C.SCRIPT_CLIENTS, *C.BROWSERS, "other")
     own = rows.groupBy(KEY, "user_agent", "device").agg(F.count("*").alias("c"), *(F.max(x).alias(x) for x in ("app_version", "os_version", "browser_version")), F.first("family").alias("family"))
     own = own.join(agents, "user_agent", "left").join(devices, "device", "left")
-    facts = {"n_user_agents": "count(DISTINCT user_agent)", "ua_headless_rate": "sum(IF(user_agent LIKE '%Headless%', c, 0)) / sum(c)", "ua_mobile_rate": "sum(IF(user_agent RLIKE '(?i)Android|iPhone|Mobile', c, 0)) / sum(c)"}
-    facts |= {f"uafam_{f.lower().replace('-', '_')}": f"sum(IF(family = '{f}', c, 0)) / sum(c)" for f in families}
-    facts |= {"ua_script_rate": f"sum(IF(family IN ({_names(C.SCRIPT_CLIENTS)}), c, 0)) / sum(c)", "ua_app_version": "max(app_version)", "ua_os_version": "max(os_version)", "ua_browser_version": "max(browser_version)"}
-    facts |= {"ua_device_freq": "sum(device_freq * c) / sum(IF(device_freq IS NOT NULL, c, NULL))", "ua_freq_min": "min(ua_freq)", "ua_freq_mean": "sum(ua_freq * c) / sum(c)"}
-    shares = summarise(ev, {f"plat_{p}": f"avg(double(platform = '{p}'))" for p in C.PLATFORMS} | {"n_platforms": "count(DISTINCT platform)"})
-    return merge(shares, entropy(ev, "platform", "platform_entropy"), summarise(own, facts))
+    part = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0)) / F.sum("c")
+    agent = F.col("user_agent")
+    facts = {"n_user_agents": F.countDistinct("user_agent"), "ua_headless_rate": part(agent.contains("Headless")), "ua_mobile_rate": part(agent.rlike("(?i)Android|iPhone|Mobile"))}
+    facts |= {f"uafam_{f}": part(F.col("family") == F.lit(f)) for f in families}
+    facts |= {"ua_script_rate": part(F.col("family").isin(*C.SCRIPT_CLIENTS)), "ua_app_version": F.max("app_version"), "ua_os_version": F.max("os_version"), "ua_browser_version": F.max("browser_version")}
+    facts |= {"ua_device_freq": F.expr("sum(device_freq * c) / sum(IF(device_freq IS NOT NULL, c, NULL))"), "ua_freq_min": F.min("ua_freq"), "ua_freq_mean": F.expr("sum(ua_freq * c) / sum(c)")}
+    shares = ev.groupBy(KEY).agg(*(share(F.col("platform") == F.lit(p)).alias(f"plat_{p}") for p in C.PLATFORMS), F.countDistinct("platform").alias("n_platforms"))
+    return merge(shares, entropy(ev, "platform", "platform_entropy"), own.groupBy(KEY).agg(*(c.alias(n) for n, c in facts.items())))
 
 
 def id_structure(ev: DataFrame, s: Settings) -> DataFrame:
@@ -210,7 +214,7 @@ def id_structure(ev: DataFrame, s: Settings) -> DataFrame:
         items,
         {
             "idst_std": "stddev_samp(double(item_id))", "idst_range": "max(item_id) - min(item_id)", "idst_iqr": "percentile(item_id, 0.75) - percentile(item_id, 0.25)", "idst_median": "percentile(item_id, 0.5)",
-            "idst_up_share": "avg(double(coalesce(step > 0, false)))", "idst_step_abs_med": "percentile(abs(step), 0.5)", "idst_prefix_nuniq": "count(DISTINCT floor(item_id / 1000))",
+            "idst_up_share": "avg(double(step > 0))", "idst_step_abs_med": "percentile(abs(step), 0.5)", "idst_prefix_nuniq": "count(DISTINCT floor(item_id / 1000))",
             "idst_range_per_item": "(max(item_id) - min(item_id)) / (count(DISTINCT item_id) + 1D)",
         },
     )
@@ -235,12 +239,11 @@ def catalog_vocabulary(ev: DataFrame, s: Settings) -> dict[str, list[str]]:
 
 def catalog_shares(ev: DataFrame, s: Settings, vocabulary: dict[str, list[str]]) -> DataFrame:
     """Share of each top value; NULL for a visitor without any value of the vocabulary."""
-    facts = {}
+    facts, names = [], dict(s.catalog_names)
     for column, values in vocabulary.items():
-        known = f"count_if({column} IN ({_names(tuple(values))}))" if values else "0"
-        for v in values:
-            facts[f"cat_{column}_{v}"] = f"CASE WHEN {known} > 0 THEN count_if({column} = '{v}') / double(count({column})) END"
-    return summarise(ev, facts)
+        known = F.count_if(F.col(column).isin(*values)) if values else F.lit(0)
+        facts += [F.when(known > 0, F.count_if(F.col(column) == F.lit(v)) / F.count(column)).alias(f"{names[column]}_{v}") for v in values]
+    return ev.groupBy(KEY).agg(*facts) if facts else ev.select(KEY).distinct()
 
 
 def popularity(ev: DataFrame, s: Settings, pool: str = "'all'") -> DataFrame:
@@ -273,7 +276,7 @@ def crowd(ev: DataFrame, s: Settings) -> DataFrame:
     dwell = ev.where("dwell IS NOT NULL").withColumn("log_dwell", F.log1p(F.greatest("dwell", F.lit(0))))
     usual = dwell.where("is_fit").groupBy("event_name").agg(F.expr("percentile(log_dwell, 0.5)").alias("usual"))
     dwell = dwell.join(F.broadcast(usual), "event_name", "left").withColumn("off", F.expr("log_dwell - usual"))  # a row per event type
-    paged = ev.where("search_page IS NOT NULL")
+    paged = ev.where("search_page IS NOT NULL AND search_query IS NOT NULL")
     depth = paged.where("is_fit").groupBy("search_query").agg(F.expr("percentile(search_page, 0.5)").alias("usual"))
     paged = paged.join(depth, "search_query", "left").withColumn("off", F.expr("search_page - usual"))
     one = summarise(dwell, {"crowd_dwell_mean": "avg(off)", "crowd_dwell_std": "stddev_samp(off)", "crowd_dwell_med": "percentile(off, 0.5)"})
@@ -300,7 +303,7 @@ def navigation(ev: DataFrame, s: Settings) -> DataFrame:
         },
     )
     parts = []
-    for column, short in (("item_category", "category"), ("item_location", "location"), ("search_query", "query")):
+    for column, short in (("item_category", "cat"), ("item_location", "loc"), ("search_query", "query")):
         rows = ev.where(f"{column} IS NOT NULL").withColumn("before", F.lag(column).over(by_time())).where("before IS NOT NULL")
         rows = rows.withColumn("changed", F.expr(f"int({column} <> before)"))
         rows = rows.withColumn("island", F.sum("changed").over(by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -308,13 +311,13 @@ def navigation(ev: DataFrame, s: Settings) -> DataFrame:
         parts.append(summarise(lengths, {f"nav_{short}_switch_rate": "sum(c) / double(sum(n))", f"nav_{short}_run_mean": "avg(n)", f"nav_{short}_run_max": "max(n)"}))
     swipes = summarise(runs(ev, "event_name = 'photo_swipe'"), {"swipe_run_max": "max(n)"})
     again = ev.where("item_id IS NOT NULL").groupBy(KEY, "item_id").agg(F.count("*").alias("n"))
-    return merge(base, *parts, swipes, summarise(again, {"item_revisit_max": "max(n)"})).na.fill(0, ["swipe_run_max", "item_revisit_max"])
+    return merge(base, *parts, swipes, summarise(again, {"item_revisit_max": "max(n)"})).na.fill(0, ["swipe_run_max"])
 
 
 def scoped(rows: DataFrame, s: Settings, prefix: str, families: tuple) -> DataFrame:
     """Families over a part of the events; ``rows`` were cut before they were enriched, so gaps skip the rest."""
     out = merge(*(f(rows, s) for f in families)) if len(families) > 1 else families[0](rows, s)
-    return out.select(KEY, *(F.col(c).alias(prefix + c) for c in out.columns if c != KEY))
+    return out.select(KEY, *(ref(c).alias(prefix + c) for c in out.columns if c != KEY))
 
 
 def binned(ev: DataFrame, s: Settings, width: int, prefix: str) -> DataFrame:
@@ -349,8 +352,9 @@ def irregular(ev: DataFrame, s: Settings) -> DataFrame:
 
 
 def window_coverage(ev: DataFrame, cookies: DataFrame, s: Settings) -> DataFrame:
-    ends = summarise(ev, {"a": "min(sec)", "b": "max(sec)"}).join(cookies.select(KEY, F.unix_timestamp(F.col("window_start_ts").cast("timestamp")).alias("start")), KEY)
-    return derive(ends, {"first_event_offset_h": "(a - start) / 3600D", "last_event_offset_h": "(b - start) / 3600D", "window_coverage": f"(b - a) / 3600D / {s.coverage_hours}D"})
+    bounds = cookies.select(KEY, *(F.unix_timestamp(F.col(c).cast("timestamp")).alias(n) for c, n in (("window_start_ts", "start"), ("window_end_ts", "stop"))))
+    ends = summarise(ev, {"a": "min(sec)", "b": "max(sec)"}).join(bounds, KEY)
+    return derive(ends, {"first_event_offset_h": "(a - start) / 3600D", "last_event_offset_h": "(stop - b) / 3600D", "window_coverage": f"(b - a) / 3600D / {s.coverage_hours}D"})
 
 
 def cookie_meta(cookies: DataFrame) -> DataFrame:
@@ -368,21 +372,39 @@ def cookie_meta(cookies: DataFrame) -> DataFrame:
 
 # The columns that are compared within a platform.
 RELATIVE_BASE = (
-    "n_events", "n_active_hours", "hour_entropy", "dt_q50", "dt_cv", "dt_burstiness", "dt_log_entropy", "events_per_h", "n_sessions", "sess_events_mean",
-    "sess_rate_mean", "item_id_nuniq", "item_category_entropy", "item_location_entropy", "rate_item_view", "rate_search_results_view", "self_loop_rate", "bigram_entropy", "span_h", "rate_contact",
-)
+    "n_events",
+    "dt_q50",
+    "dt_iqr",
+    "dtg_uniq_frac",
+    "sess_events_mean",
+    "item_location_nuniq",
+    "item_category_nuniq",
+    "item_id_nuniq",
+    "page_mean",
+    "page_max",
+    "rate_item_view",
+    "rate_engagement",
+    "funnel_items_per_search",
+    "webp_pointer_coverage",
+    "nav_loc_switch_rate",
+    "dwell_item_view_med",
+    "ptrd_straightness",
+    "events_per_h",
+    "idst_range",
+    "ua_freq_mean",
+)
 
 
 def relative(features: DataFrame, columns: tuple[str, ...] = RELATIVE_BASE) -> DataFrame:
     """Share of fit visitors of the same dominant platform at or below a visitor's value.
 
-    ``features`` has plat_* shares and is_fit. A column at a time, the values are counted by (platform, value) first,
-    so the running sum goes over distinct values and not over visitors.
+    ``features`` has plat_* shares and is_fit. Values that agree to nine digits are one value. The values of all columns
+    are counted by (platform, value) first, so the running sum goes over distinct values and not over visitors.
     """
     top = F.greatest(*(F.col(f"plat_{p}") for p in C.PLATFORMS))
     platform = F.coalesce(*(F.when(F.col(f"plat_{p}") == top, p) for p in C.PLATFORMS))
     rows = features.withColumn("platform", platform)
-    long = rows.select(KEY, "platform", "is_fit", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(KEY, "platform", "is_fit", "x.*")
+    long = rows.select(KEY, "platform", "is_fit", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.round(F.col(c).cast("double"), 9).alias("v")) for c in columns))).alias("x")).select(KEY, "platform", "is_fit", "x.*")
     known = long.where("v IS NOT NULL AND platform IS NOT NULL").groupBy("name", "platform", "v").agg(F.count_if("is_fit").alias("fit"))
     w = Window.partitionBy("name", "platform")
     share = F.try_divide(F.sum("fit").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double"), F.sum("fit").over(w).cast("double"))

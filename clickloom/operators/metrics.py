@@ -52,6 +52,15 @@ def score(scored: DataFrame, least_recall: float = 0.70, most_fpr: float = 0.01,
     )
 
 
+METRICS = ("p_at_r", "roc_auc", "average_precision", "recall_at_fpr")
+
+
+def metric_spread(scored: DataFrame, by: str) -> DataFrame:
+    """How each metric differs between the groups of ``by``, such as folds, days or seeds: mean, deviation and ends."""
+    each = score(scored, by=(by,)).select(F.explode(F.array(*(F.struct(F.lit(m).alias("name"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select("x.*")
+    return each.groupBy("name").agg(F.count("v").alias("n_groups"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("deviation"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
 def rank_average(scores: DataFrame) -> DataFrame:
     """``scores(id, bag, s, w)`` to the weighted mean of each bag's percentile ranks."""
     ranked = scores.withColumn("r", percent_rank_average("s", "bag"))
@@ -91,21 +100,29 @@ def regime_slices(scored: DataFrame, slices: dict[str, str], least_positives: in
 
 
 def caught_and_missed(scored: DataFrame, columns: tuple[str, ...], least_recall: float = 0.70, top: int = 15) -> DataFrame:
-    """Means of features over positives above and below the score of the recall floor; the widest relative gaps."""
+    """Means of features over positives above and below the score of the recall floor, and over negatives.
+
+    The gap is the difference of missed and caught positives over the caught ones' mean; the widest come first.
+    """
     cut = pr_curve(scored.select("y", "s")).where(F.col("recall") >= least_recall).agg(F.max("s").alias("cut"))
-    rows = scored.where("y = 1").join(F.broadcast(cut)).withColumn("caught", F.col("s") >= F.col("cut"))
-    long = rows.select("caught", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("caught", "x.*")
-    out = long.groupBy("feature").agg(F.expr("avg(CASE WHEN caught THEN v END)").alias("caught_mean"), F.expr("avg(CASE WHEN NOT caught THEN v END)").alias("missed_mean"))
-    gap = F.expr("abs(caught_mean - missed_mean) / (abs(caught_mean) + abs(missed_mean) + 1e-9D)")
+    rows = scored.join(F.broadcast(cut)).withColumn("part", F.expr("CASE WHEN y <> 1 THEN 'other' WHEN s >= cut THEN 'caught' ELSE 'missed' END"))
+    long = rows.select("part", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("part", "x.*")
+    out = long.groupBy("feature").agg(*(F.expr(f"avg(CASE WHEN part = '{p}' THEN v END)").alias(f"{p}_mean") for p in ("missed", "caught", "other")))
+    gap = F.expr("abs(missed_mean - caught_mean) / (abs(caught_mean) + 1e-6D)")
     return out.withColumn("gap", F.round(gap, 9)).orderBy(F.desc_nulls_last("gap"), "feature").limit(top)
 
 
-def subgroup_reorder(scores: DataFrame) -> DataFrame:
-    """``scores(id, s, r, inside)``: a subgroup keeps its own score values but takes them in the order of ``r``."""
-    part = scores.where("inside")
-    place = lambda c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(c), "id"))
-    values = part.select(place("s").alias("k"), F.col("s").alias("new"))
-    owners = part.select("id", place("r").alias("k"))
+def subgroup_reorder(scores: DataFrame, weight: float = 1.0) -> DataFrame:
+    """``scores(id, s, r, inside)``: a subgroup keeps its own score values but takes them in the order of a blend.
+
+    The blend is the percentile rank of ``s`` and, by ``weight``, that of ``r``, both inside the subgroup; equal blends
+    stand by id.
+    """
+    part = scores.where("inside").withColumns({"a": percent_rank_average("s"), "b": percent_rank_average("r")})
+    part = part.withColumn("blend", F.round((1 - weight) * F.col("a") + weight * F.col("b"), 12))
+    place = lambda *c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*c))
+    values = part.select(place("s", "id").alias("k"), F.col("s").alias("new"))
+    owners = part.select("id", place("blend", "id").alias("k"))
     return scores.join(owners.join(values, "k").select("id", "new"), "id", "left").select("id", F.coalesce("new", "s").alias("score"))
 
 

@@ -6,6 +6,8 @@ flag beside it, and trees are fitted on row subsamples.
 
 from __future__ import annotations
 
+from statistics import median
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -14,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import KEY
-from .metrics import rank_average
+from ..functions.storage import written
+from .metrics import METRICS, metric_spread, rank_average, score, subgroup_columns
 from .validation import stratified_folds
 
 LEARNERS = {
     "gbt": lambda seed: GBTClassifier(labelCol="target", weightCol="weight", maxIter=40, maxDepth=4, stepSize=0.1, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed),
     "forest": lambda seed: RandomForestClassifier(labelCol="target", weightCol="weight", numTrees=300, minInstancesPerNode=3, seed=seed),
+    # a short one that only ranks inputs by gain
+    "screen": lambda seed: GBTClassifier(labelCol="target", weightCol="weight", maxIter=10, maxDepth=4, stepSize=0.3, subsamplingRate=0.7, seed=seed),
     "linear": lambda seed: LogisticRegression(labelCol="target", weightCol="weight", regParam=0.05, standardization=True),
 }
 
@@ -70,17 +75,85 @@ def bagged(train: DataFrame, test: DataFrame, columns: list[str], learner: str =
     return rank_average(bags).withColumnRenamed("id", KEY)
 
 
-def out_of_fold(df: DataFrame, columns: list[str], learner: str = "gbt", k: int = 5, seed: int = 42) -> DataFrame:
-    """(cookie_id, fold, score): each visitor scored by the model of the other folds."""
+def select_columns(df: DataFrame, columns: list[str], top: int, seed: int = 42) -> list[str]:
+    """The ``top`` columns by the gain of a screening model; a column's gain includes that of its missing flag."""
+    gains: dict[str, float] = {}
+    for name, gain in importances(fit(df, columns, "screen", seed), 2 * len(columns)):
+        column = name.removesuffix("__filled").removesuffix("__missing")
+        gains[column] = gains.get(column, 0.0) + gain
+    return sorted(gains, key=lambda c: (-gains[c], c))[:top]
+
+
+def out_of_fold(df: DataFrame, columns: list[str], learner: str = "gbt", k: int = 5, seed: int = 42, select: int = 0) -> DataFrame:
+    """(cookie_id, fold, score): each visitor scored by the model of the other folds.
+
+    With ``select`` every fold chooses so many columns from its own training rows.
+    """
     folds = df.join(stratified_folds(df.select(KEY, "target"), k, seed).select(KEY, "fold"), KEY)
     out = None
     for f in range(k):
-        model = fit(folds.where(F.col("fold") != f).drop("fold"), columns, learner, seed)
-        one = predict(model, folds.where(F.col("fold") == f), columns).withColumn("fold", F.lit(f))
+        train = folds.where(F.col("fold") != f).drop("fold")
+        used = select_columns(train, columns, select, seed) if select else columns
+        one = predict(fit(train, used, learner, seed), folds.where(F.col("fold") == f), used).withColumn("fold", F.lit(f))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def estimate_rounds(df: DataFrame, columns: list[str], k: int = 3, most: int = 60, patience: int = 10, seed: int = 42) -> int:
+    """Median over folds of the boosting rounds with the least loss on the fold left out, stopped after ``patience`` worse ones.
+
+    Spark ML tells a model's loss after each round, and not its precision, so loss decides.
+    """
+    folds = df.join(stratified_folds(df.select(KEY, "target"), k, seed).select(KEY, "fold"), KEY)
+    LEARNERS["rounds"] = lambda s: LEARNERS["gbt"](s).setMaxIter(most)
+    try:
+        best = []
+        for f in range(k):
+            model = fit(folds.where(F.col("fold") != f).drop("fold"), columns, "rounds", seed)
+            held = flagged(folds.where(F.col("fold") == f).drop("fold"), columns).withColumn("weight", F.lit(1.0))
+            for stage in model.stages[:-1]:
+                held = stage.transform(held)
+            losses = model.stages[-1].evaluateEachIteration(held.withColumn("target", F.col("target").cast("double")), "logistic")
+            at = 0
+            for i, loss in enumerate(losses):
+                if loss < losses[at]:
+                    at = i
+                elif i - at >= patience:
+                    break
+            best.append(at + 1)
+    finally:
+        del LEARNERS["rounds"]
+    return int(median(best))
+
+
+def repeated_cv(df: DataFrame, columns: list[str], learner: str = "gbt", k: int = 5, seeds: tuple[int, ...] = (42, 43, 44), select: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Folds drawn anew for each seed: (metric, n_groups, mean, deviation, least, most, blend) and the blended scores.
+
+    ``blend`` is the metric of the mean of the seeds' percentile ranks, which are the second table's (cookie_id, score).
+    """
+    each = None
+    for seed in seeds:
+        one = out_of_fold(df, columns, learner, k, seed, select).select(F.col(KEY).alias("id"), F.lit(seed).alias("bag"), F.col("score").alias("s"), F.lit(1.0).alias("w"))
+        each = one if each is None else each.unionByName(one)
+    each = written(each, "cv-scores")
+    labels = df.select(F.col(KEY).alias("id"), F.col("target").cast("long").alias("y"))
+    blended = rank_average(each)
+    spread = metric_spread(each.join(labels, "id").select("bag", "y", "s"), "bag")
+    whole = score(blended.join(labels, "id").select("y", F.round("score", 12).alias("s")))
+    whole = whole.select(F.explode(F.array(*(F.struct(F.lit(m).alias("name"), F.col(m).alias("blend")) for m in METRICS))).alias("x")).select("x.*")
+    return spread.join(F.broadcast(whole), "name").withColumnRenamed("name", "metric"), blended.withColumnRenamed("id", KEY)  # a row per metric
+
+
+def specialist_out_of_fold(df: DataFrame, columns: list[str], inside: str, learner: str = "gbt", k: int = 5, seed: int = 42) -> DataFrame:
+    """(cookie_id, score): out-of-fold scores of a model of the subgroup where ``inside`` holds, NULL outside.
+
+    The folds are stratified inside the subgroup; columns that are empty or constant there are left out.
+    """
+    part = df.where(inside)
+    used = [r["name"] for r in subgroup_columns(part, tuple(columns)).select("name").collect()]  # at most a row per column
+    return df.select(KEY).join(out_of_fold(part, used, learner, k, seed).select(KEY, "score"), KEY, "left")
+
+
 def forward_scores(df: DataFrame, columns: list[str], first_valid: int = 2, learner: str = "gbt", seed: int = 42) -> DataFrame:
     """(cookie_id, day_index, score): each day scored by the model of the days before it."""
     days = [r["day_index"] for r in df.select("day_index").distinct().orderBy("day_index").collect()]  # a row per day

@@ -59,7 +59,7 @@ def compression(ev: DataFrame, s: Settings) -> DataFrame:
 def token_documents(ev: DataFrame, s: Settings) -> DataFrame:
     """``ordered``: a letter code per event; ``paced``: the code with the gap's bucket, ``nan`` for the first event."""
     code = F.create_map(*(F.lit(x) for kv in EVENT_CODES.items() for x in kv))[F.col("event_name")]
-    pace = f"CASE WHEN dt IS NULL THEN 'nan' ELSE {_letters(s.pace_cuts)} END"
+    pace = f"CASE WHEN dt IS NULL THEN 'nan' ELSE {_letters(s.pace_cuts, names="01234")} END"
     rows = ev.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("event_ts", "event_id", code.alias("o"), F.concat(code, F.expr(pace)).alias("p")))).alias("x"))
     return rows.select(KEY, F.col("x").getField("o").alias("ordered"), F.col("x").getField("p").alias("paced"))
 

@@ -11,16 +11,19 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..config import Settings
 from ..functions.kernels import KEY, merge
-from ..functions.storage import written, written_together
+from ..functions.storage import scratch, written, written_together
 from ..operators import encoding as N
 from ..operators import events as E
 from ..operators import families as B
+from ..operators import metrics as M
+from ..operators import models as MD
 from ..operators import sequences as Q
+from ..operators import validation as V
 
 
 def prepare(events: DataFrame, cookies: DataFrame) -> DataFrame:
-    """Events with known platforms, inside their visitor's window, each with its visitor's ``is_fit``."""
-    return E.clip_to_window(E.normalise_platform(events), cookies, keep=("is_fit",))
+    """Events with known platforms, inside their visitor's window, each with its visitor's ``is_fit`` and ``pool``, if any."""
+    return E.clip_to_window(E.normalise_platform(events), cookies, keep=tuple(c for c in ("is_fit", "pool") if c in cookies.columns))
 
 
 def _vocabularies(ev: DataFrame, s: Settings) -> tuple[list[str], dict[str, list[str]]]:
@@ -51,7 +54,8 @@ def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> D
     time: joining the families' plans would have every join analyse its side anew, as all come from one frame. These
     tables, which have a row per visitor, are joined and written, as the platform-relative columns read the result
     again. Vocabularies, term weights and ranks come from fit visitors alone. Columns are in the order of the source of
-    this format, which decides what stays of equal ones.
+    this format, which decides what stays of equal ones. Popularity compares visitors of one ``pool``, a column of
+    ``cookies``, or all of them.
     """
     s = settings
     ev = E.enrich(prepare(events, cookies), s).persist()
@@ -66,12 +70,13 @@ def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> D
         "transitions": lambda: B.transitions(ev, s, bigrams),
         **plain(B.timing, B.sessions, B.content, B.pagination, B.pointer, B.client, B.id_structure, B.dt_granularity),
         "catalog": lambda: B.catalog_shares(ev, s, catalog),
-        **plain(B.popularity, B.crowd, B.conditional_timing, B.navigation),
+        "popularity": lambda: B.popularity(ev, s, "pool" if "pool" in cookies.columns else "'all'"),
+        **plain(B.crowd, B.conditional_timing, B.navigation),
         "web-pointer": lambda: B.scoped(web, s, "webp_", (B.pointer,)),
         **plain(B.pointer_deep),
         "mobile": lambda: B.scoped(mobile, s, "mob_", (B.timing, B.navigation)),
         "web-timing": lambda: B.scoped(web, s, "web_", (B.timing,)),
-        **{f"bins-{i}": (lambda w=w, i=i: B.binned(ev, s, w, f"b{i}")) for i, w in enumerate(s.bin_widths, 1)},
+        **{f"bins-{n}": (lambda w=w, n=n: B.binned(ev, s, w, n)) for w, n in zip(s.bin_widths, s.bin_names)},
         **plain(Q.compression, B.irregular),
         "coverage": lambda: B.window_coverage(ev, cookies, s),
         "seqo": lambda: svd("ordered", "seqo", 3),
@@ -79,11 +84,12 @@ def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> D
         "meta": lambda: B.cookie_meta(cookies),
     }
     slowest = sorted(families, key=lambda name: name not in _SLOW)
-    try:
-        tables = dict(zip(slowest, written_together({f"features-{name}": families[name] for name in slowest})))
-    finally:
-        ev.unpersist()
-    joined = written(merge(cookies.select(KEY), *(tables[name] for name in families)), "features-joined")
+    with scratch():  # the families' tables go when they are joined
+        try:
+            tables = dict(zip(slowest, written_together({f"features-{name}": families[name] for name in slowest})))
+        finally:
+            ev.unpersist()
+        joined = written(merge(cookies.select(KEY), *(tables[name] for name in families)), "features-joined", keep=True)
     return with_relative(joined, cookies)
 
 
@@ -91,7 +97,9 @@ def relative_base(events: DataFrame, cookies: DataFrame, settings: Settings) ->
     """The columns that ``relative`` compares, each from its family, with platform shares and ``is_fit``."""
     s = settings
     ev = E.enrich(prepare(events, cookies), s).persist()
-    families = {"mix": lambda: B.volume_and_mix(ev, s), "transitions": lambda: B.transitions(ev, s, []), **{f.__name__: (lambda f=f: f(ev, s)) for f in (B.timing, B.sessions, B.content, B.client)}}
+    web = E.enrich(ev.where(F.col("platform").isin(*C.WEB)), s)
+    plain = (B.volume_and_mix, B.timing, B.sessions, B.content, B.pagination, B.client, B.id_structure, B.dt_granularity, B.conditional_timing, B.navigation, B.pointer_deep)
+    families = {f.__name__: (lambda f=f: f(ev, s)) for f in plain} | {"web-pointer": lambda: B.scoped(web, s, "webp_", (B.pointer,))}
     try:
         tables = written_together({f"relative-{name}": build for name, build in families.items()})
     finally:
@@ -108,3 +116,24 @@ def with_relative(features: DataFrame, cookies: DataFrame) -> DataFrame:
     used = features.select(KEY, *(f"plat_{p}" for p in C.PLATFORMS), *B.RELATIVE_BASE).join(cookies.select(KEY, "is_fit"), KEY)
     relative = B.relative(used)
     return features.join(relative.select(KEY, *(c for c in relative.columns if c not in (KEY, "dominant_platform")), "dominant_platform"), KEY, "left")
+
+
+def strict_rebuild(events: DataFrame, cookies: DataFrame, settings: Settings, cut: int, pool_days: int | None = 7) -> DataFrame:
+    """The matrix built anew for a cut in time, with ``is_fit``, ``target`` and ``day_index``.
+
+    Only visitors of days before ``cut`` shape vocabularies, term weights, medians and ranks, and popularity compares
+    visitors of one span of ``pool_days`` days (None: all), so nothing of the scored period reaches a feature.
+    """
+    split = V.strict_split(cookies, cut)
+    if pool_days:
+        split = split.withColumn("pool", F.floor(F.col("day_index") / pool_days))
+    return build_features(events, split, settings).join(split.select(KEY, "is_fit", "target", "day_index"), KEY)
+
+
+def strict_report(events: DataFrame, cookies: DataFrame, settings: Settings, cut: int, columns: tuple[str, ...] = (), learner: str = "gbt", seeds: tuple[int, ...] = (1, 2, 3), pool_days: int | None = 7) -> DataFrame:
+    """The four metrics on the days from ``cut`` on, of models fitted on the days before: a bag of seeds by mean rank."""
+    rows = written(strict_rebuild(events, cookies, settings, cut, pool_days), "strict")
+    used = list(columns) or [c for c in rows.columns if c not in (KEY, "is_fit", "target", "day_index", "dominant_platform")]
+    fit, held = rows.where("is_fit").drop("is_fit"), rows.where("NOT is_fit AND target IS NOT NULL")
+    scores = MD.bagged(fit, held, used, learner, seeds).join(held.select(KEY, F.col("target").cast("long").alias("y")), KEY)
+    return M.score(scores.select("y", F.round("score", 12).alias("s"))).withColumn("n_features", F.lit(len(used)))

@@ -18,11 +18,11 @@ placed AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN (user_id + 1) % 4 ELSE use
     ELSE CASE WHEN k % 4 = 0 THEN 'captcha_shown' ELSE 'search_results_view' END END AS event_name FROM raw),
 clicks AS (SELECT event_id, user_id AS cookie_id, date_trunc('second', ts) AS event_ts, event_name,
   CASE p WHEN 0 THEN CASE event_id % 3 WHEN 0 THEN 'WEB' WHEN 1 THEN 'Web' ELSE 'web' END WHEN 1 THEN 'desktop' WHEN 2 THEN 'ANDROID' ELSE CASE WHEN event_id % 2 = 0 THEN 'iphone' ELSE 'IOS' END END AS raw_platform,
-  CASE WHEN user_id % 12 = 3 THEN 'python-requests/2.' || (k % 5) WHEN p = 0 THEN 'Mozilla/5.0 Chrome/' || (100 + user_id % 20) || ' Safari/537' WHEN p = 1 THEN 'Mozilla/5.0 Firefox/' || (110 + user_id % 9)
-    WHEN p = 2 THEN 'NativeApp/' || (120 + user_id % 5) || ' (Android ' || (10 + user_id % 4) || '; dev' || (user_id % 6) || ')' ELSE 'NativeApp/121 (iPhone; iOS 16.2; dev' || (user_id % 6) || ')' END AS user_agent,
+  CASE WHEN user_id % 12 = 3 THEN CASE k % 3 WHEN 0 THEN 'python-requests/2.' WHEN 1 THEN 'node-fetch/1.' ELSE 'python-urllib3/2.' END || (k % 5) WHEN p = 0 AND user_id % 5 = 0 THEN 'Mozilla/5.0 (Macintosh) Version/17 Safari/605' WHEN p = 0 THEN 'Mozilla/5.0 Chrome/' || (100 + user_id % 20) || ' Safari/537' WHEN p = 1 THEN 'Mozilla/5.0 Firefox/' || (110 + user_id % 9)
+    WHEN p = 2 THEN 'NativeApp/' || (120 + user_id % 5) || ' (Android ' || (10 + user_id % 4) || '; Pixel ' || (user_id % 6) || ')' ELSE 'NativeApp/121 (iPhone; iOS 16.2; Phone ' || (user_id % 6) || ')' END AS user_agent,
   CASE WHEN {_ITEMISH} THEN 100000 + (k * 97 + user_id * 13 + event_id % 5) % 5000 END AS item_id,
   CASE WHEN {_ITEMISH} THEN 'cat_' || (k % 15) END AS item_category, CASE WHEN {_ITEMISH} THEN 'loc_' || ((k + user_id) % 60) END AS item_location,
-  CASE WHEN event_name = 'search_results_view' THEN 'q_' || (k % 30) END AS search_query, CASE WHEN event_name = 'search_results_view' THEN CAST(1 + floor(value / 15) AS BIGINT) END AS search_page,
+  CASE WHEN event_name = 'search_results_view' THEN CASE WHEN k % 30 = 7 THEN 'o''q.7' ELSE 'q_' || (k % 30) END END AS search_query, CASE WHEN event_name = 'search_results_view' THEN CAST(1 + floor(value / 15) AS BIGINT) END AS search_page,
   CASE WHEN {_ITEMISH} AND k % 10 <> 9 THEN CASE WHEN k % 4 = 0 THEN 'pro' ELSE 'private' END END AS seller_type,
   CASE WHEN p IN (0, 1) AND event_id % 3 <> 0 THEN CAST(CAST(floor(value * 40) AS BIGINT) % 1920 AS DOUBLE) END AS pointer_x, CASE WHEN p IN (0, 1) AND event_id % 3 <> 0 THEN CAST((k * 11) % 1080 AS DOUBLE) END AS pointer_y
   FROM placed),
@@ -129,9 +129,9 @@ def _islands(name: str, source: str, flag: str) -> str:
 
 def _pagination() -> str:
     more = f"paged AS (SELECT *, search_page - lag(search_page) OVER ({_P}) AS step FROM ev WHERE search_page IS NOT NULL), {_islands('r', 'paged', 'step = 1')}"
-    f = {"page_mean": "avg(search_page)", "#page_max": "max(search_page)", "page_std": "stddev_samp(search_page)", "page_first_share": "avg(CASE WHEN search_page = 1 THEN 1.0 ELSE 0.0 END)", "page_deep_share": f"avg(CASE WHEN search_page > {S.deep_page} THEN 1.0 ELSE 0.0 END)"}
-    f |= {"page_step_up_share": "avg(CASE WHEN step = 1 THEN 1.0 ELSE 0.0 END)", "#page_step_up_count": "count(*) FILTER (step = 1)", "#queries_nuniq": "count(DISTINCT search_query)", "pages_per_query": "count(*) / (count(DISTINCT search_query) + 1)", "query_repeat_rate": "1 - count(DISTINCT search_query) / count(*)", "query_len_mean": "avg(length(search_query))", "#page_run_max": "coalesce(any_value(r.n), 0)"}
-    return _q(more, f, "FROM paged LEFT JOIN r USING (cookie_id) GROUP BY cookie_id")
+    f = {"page_mean": "avg(search_page)", "#page_max": "max(search_page)", "page_std": "stddev_samp(search_page)", "page_first_share": "avg(CASE WHEN search_page IS NULL THEN NULL WHEN search_page = 1 THEN 1.0 ELSE 0.0 END)", "page_deep_share": f"avg(CASE WHEN search_page IS NULL THEN NULL WHEN search_page > {S.deep_page} THEN 1.0 ELSE 0.0 END)"}
+    f |= {"page_step_up_share": "avg(CASE WHEN search_page IS NULL THEN NULL WHEN step = 1 THEN 1.0 ELSE 0.0 END)", "#page_step_up_count": "count(search_page) FILTER (step = 1)", "#queries_nuniq": "CASE WHEN count(search_page) > 0 THEN count(DISTINCT search_query) END", "pages_per_query": "CASE WHEN count(search_page) > 0 THEN count(search_page) / (count(DISTINCT search_query) + 1) END", "query_repeat_rate": "1 - count(DISTINCT search_query) / nullif(count(search_page), 0)", "query_len_mean": "avg(length(search_query))", "#page_run_max": "CASE WHEN count(search_page) > 0 THEN coalesce(any_value(r.n), 0) END"}
+    return _q(more, f, "FROM (SELECT DISTINCT cookie_id FROM ev) v LEFT JOIN paged USING (cookie_id) LEFT JOIN r USING (cookie_id) GROUP BY cookie_id")
 
 
 _MOVES = f"""m0 AS (SELECT *, pointer_x - lag(pointer_x) OVER ({_P}) AS dx, pointer_y - lag(pointer_y) OVER ({_P}) AS dy, sec - lag(sec) OVER ({_P}) AS pdt FROM ev WHERE pointer_x IS NOT NULL AND pointer_y IS NOT NULL),
@@ -151,10 +151,10 @@ def _pointer_deep() -> str:
     more = f"{_MOVES}, mv AS (SELECT *, 2 * (CASE WHEN pointer_x > {w / 2} THEN 1 ELSE 0 END) + (CASE WHEN pointer_y > {h / 2} THEN 1 ELSE 0 END) AS quadrant, sqrt((pointer_x - {w / 2}) * (pointer_x - {w / 2}) + (pointer_y - {h / 2}) * (pointer_y - {h / 2})) AS centre, floor(ln(1 + step)) AS sb FROM moves), {_entropy('h1', 'sb', 'mv')}, {_entropy('h2', 'quadrant', 'mv')}, cv AS (SELECT cookie_id, " + ", ".join(f"avg(CASE WHEN event_name = '{x}' THEN CASE WHEN pointer_x IS NOT NULL THEN 1.0 ELSE 0.0 END END) AS v{i}" for i, x in enumerate(("item_view", "search_results_view", "photo_swipe"))) + " FROM ev GROUP BY cookie_id)"
     far = "sqrt(pow(last(pointer_x ORDER BY event_ts, event_id) - first(pointer_x ORDER BY event_ts, event_id), 2) + pow(last(pointer_y ORDER BY event_ts, event_id) - first(pointer_y ORDER BY event_ts, event_id), 2))"
     places = "count(DISTINCT pointer_x * 10000 + pointer_y)"
-    f = {"ptrd_step_q10": "quantile_cont(step, 0.1)", "ptrd_step_q50": "quantile_cont(step, 0.5)", "ptrd_step_q90": "quantile_cont(step, 0.9)", "ptrd_zero_step_share": "avg(CASE WHEN step IS NULL THEN NULL WHEN step = 0 THEN 1.0 ELSE 0.0 END)", "ptrd_path_len": "coalesce(sum(step), 0)"}
+    f = {"ptrd_step_q10": "quantile_cont(step, 0.1)", "ptrd_step_q50": "quantile_cont(step, 0.5)", "ptrd_step_q90": "quantile_cont(step, 0.9)", "ptrd_zero_step_share": "avg(CASE WHEN step IS NULL THEN NULL WHEN step = 0 THEN 1.0 ELSE 0.0 END)", "ptrd_path_len": "sum(step)"}
     f |= {"ptrd_turn_med": "quantile_cont(turn, 0.5)", "ptrd_turn_std": "stddev_samp(turn)", "ptrd_reversal_share": "avg(CASE WHEN turn IS NULL THEN NULL WHEN turn > pi() / 2 THEN 1.0 ELSE 0.0 END)", "ptrd_x_mod10": "avg(CASE WHEN pointer_x % 10 = 0 THEN 1.0 ELSE 0.0 END)", "ptrd_y_mod10": "avg(CASE WHEN pointer_y % 10 = 0 THEN 1.0 ELSE 0.0 END)"}
-    f |= {"ptrd_edge_share": f"avg(CASE WHEN pointer_x <= 5 OR pointer_y <= 5 OR pointer_x >= {w - 5} OR pointer_y >= {h - 5} THEN 1.0 ELSE 0.0 END)", "ptrd_centre_dist_med": "quantile_cont(centre, 0.5)", "ptrd_centre_dist_std": "stddev_samp(centre)", "#ptrd_quadrants": "count(DISTINCT quadrant)", "ptrd_speed_q10": "quantile_cont(speed, 0.1)", "ptrd_speed_q90": "quantile_cont(speed, 0.9)", "ptrd_speed_std": "stddev_samp(speed)"}
-    f |= {"ptrd_xy_corr": _corr("pointer_x", "pointer_y"), "ptrd_straightness": f"{far} / (coalesce(sum(step), 0) + 1)", "ptrd_bbox_fill": f"{places} / ((max(pointer_x) - min(pointer_x) + 1) * (max(pointer_y) - min(pointer_y) + 1))", "ptrd_repeat_share": f"1 - {places} / count(*)", "ptrd_step_entropy": "any_value(h1.h)", "ptrd_quadrant_entropy": "any_value(h2.h)"}
+    f |= {"ptrd_edge_share": f"avg(CASE WHEN pointer_x <= 1 OR pointer_y <= 1 OR pointer_x >= {w - 1} OR pointer_y >= {h - 1} THEN 1.0 ELSE 0.0 END)", "ptrd_centre_dist_med": "quantile_cont(centre, 0.5)", "ptrd_centre_dist_std": "stddev_samp(centre)", "#ptrd_quadrants": "count(DISTINCT quadrant)", "ptrd_speed_q10": "quantile_cont(speed, 0.1)", "ptrd_speed_q90": "quantile_cont(speed, 0.9)", "ptrd_speed_std": "stddev_samp(speed)"}
+    f |= {"ptrd_xy_corr": _corr("pointer_x", "pointer_y"), "ptrd_straightness": f"{far} / (sum(step) + 1)", "ptrd_bbox_fill": f"(max(pointer_x) - min(pointer_x)) * (max(pointer_y) - min(pointer_y)) / {float(w * h)}", "ptrd_repeat_share": f"1 - {places} / count(*)", "ptrd_step_entropy": "any_value(h1.h)", "ptrd_quadrant_entropy": "any_value(h2.h)"}
     f |= {f"ptrd_cover_{x}": f"any_value(v{i})" for i, x in enumerate(("item_view", "search_results_view", "photo_swipe"))}
     return _q(more, f, "FROM mv LEFT JOIN h1 USING (cookie_id) LEFT JOIN h2 USING (cookie_id) JOIN cv USING (cookie_id) GROUP BY cookie_id")
 
@@ -162,18 +162,18 @@ def _pointer_deep() -> str:
 def _client() -> str:
     pick = lambda p: f"nullif(regexp_extract(user_agent, '{p}', 1), '')"
     scripts = "|".join((S.app_name, *C.SCRIPT_CLIENTS))
-    more = f"""u0 AS (SELECT *, coalesce({pick(f'^({scripts})')}, {pick('(' + '|'.join(C.BROWSERS) + ')')}, 'other') AS family, TRY_CAST({pick(S.app_name + '/([0-9]+)')} AS BIGINT) AS av,
-      TRY_CAST(coalesce({pick('Android ([0-9]+)')}, {pick('iOS ([0-9]+)')}) AS BIGINT) AS ov, TRY_CAST({pick('(?:YaBrowser|HeadlessChrome|Firefox|Chrome|Version)/([0-9]+)')} AS BIGINT) AS bv, {pick('; ([A-Za-z0-9_-]+)[)]')} AS device FROM ev),
+    more = f"""u0 AS (SELECT *, coalesce({pick(f'^({scripts})/')}, {pick('(' + '|'.join(C.BROWSERS) + ')')}, 'other') AS family, TRY_CAST({pick('^' + S.app_name + '/([0-9]+)')} AS BIGINT) AS av,
+      TRY_CAST(coalesce({pick('Android ([0-9]+)')}, {pick('iOS ([0-9]+)')}) AS BIGINT) AS ov, TRY_CAST({pick('(?:Chrome|Firefox|Safari)/([0-9]+)')} AS BIGINT) AS bv, {pick('(?:Android [0-9]+; |iPhone; iOS [0-9.]+; )([^)]+)')} AS device FROM ev),
       u AS (SELECT *, CASE WHEN device IS NOT NULL THEN count(*) OVER (PARTITION BY device) / count(device) OVER () END AS df, count(*) OVER (PARTITION BY user_agent) AS uf FROM u0), {_entropy('h', 'platform')}"""
     share = lambda cond: f"avg(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END)"
     f = {f"plat_{p}": share(f"platform = '{p}'") for p in C.PLATFORMS} | {"#n_platforms": "count(DISTINCT platform)", "platform_entropy": "any_value(h.h)", "#n_user_agents": "count(DISTINCT user_agent)", "ua_headless_rate": share("contains(user_agent, 'Headless')"), "ua_mobile_rate": share("regexp_matches(user_agent, '(?i)Android|iPhone|Mobile')")}
-    f |= {f"uafam_{x.lower().replace('-', '_')}": share(f"family = '{x}'") for x in (S.app_name, *C.SCRIPT_CLIENTS, *C.BROWSERS, "other")}
+    f |= {f'"uafam_{x}"': share(f"family = '{x}'") for x in (S.app_name, *C.SCRIPT_CLIENTS, *C.BROWSERS, "other")}
     f |= {"ua_script_rate": share("family IN (" + ", ".join(f"'{x}'" for x in C.SCRIPT_CLIENTS) + ")"), "#ua_app_version": "max(av)", "#ua_os_version": "max(ov)", "#ua_browser_version": "max(bv)", "ua_device_freq": "avg(df)", "#ua_freq_min": "min(uf)", "ua_freq_mean": "avg(uf)"}
     return _q(more, f, "FROM u JOIN h USING (cookie_id) GROUP BY cookie_id")
 
 
 def _id_structure() -> str:
-    f = {"idst_std": "stddev_samp(item_id)", "#idst_range": "max(item_id) - min(item_id)", "idst_iqr": "quantile_cont(item_id, 0.75) - quantile_cont(item_id, 0.25)", "idst_median": "quantile_cont(item_id, 0.5)", "idst_up_share": "avg(CASE WHEN step > 0 THEN 1.0 ELSE 0.0 END)", "idst_step_abs_med": "quantile_cont(abs(step), 0.5)"}
+    f = {"idst_std": "stddev_samp(item_id)", "#idst_range": "max(item_id) - min(item_id)", "idst_iqr": "quantile_cont(item_id, 0.75) - quantile_cont(item_id, 0.25)", "idst_median": "quantile_cont(item_id, 0.5)", "idst_up_share": "avg(CASE WHEN step IS NULL THEN NULL WHEN step > 0 THEN 1.0 ELSE 0.0 END)", "idst_step_abs_med": "quantile_cont(abs(step), 0.5)"}
     f |= {"#idst_prefix_nuniq": "count(DISTINCT item_id // 1000)", "idst_range_per_item": "(max(item_id) - min(item_id)) / (count(DISTINCT item_id) + 1)"}
     return _q(f"it AS (SELECT *, item_id - lag(item_id) OVER ({_P}) AS step FROM ev WHERE item_id IS NOT NULL)", f, "FROM it GROUP BY cookie_id")
 
@@ -204,7 +204,7 @@ def _popularity() -> str:
 def _crowd() -> str:
     more = """d AS (SELECT *, ln(1 + greatest(dwell, 0)) AS ld FROM ev WHERE dwell IS NOT NULL), du AS (SELECT event_name, quantile_cont(ld, 0.5) AS u FROM d WHERE is_fit GROUP BY 1),
       a AS (SELECT cookie_id, avg(ld - u) AS x, stddev_samp(ld - u) AS y, quantile_cont(ld - u, 0.5) AS z FROM d LEFT JOIN du USING (event_name) GROUP BY cookie_id),
-      pu AS (SELECT search_query, quantile_cont(search_page, 0.5) AS u FROM ev WHERE is_fit AND search_page IS NOT NULL GROUP BY 1), b AS (SELECT cookie_id, avg(search_page - u) AS x2, max(search_page - u) AS y2 FROM ev LEFT JOIN pu USING (search_query) WHERE search_page IS NOT NULL GROUP BY cookie_id)"""
+      pu AS (SELECT search_query, quantile_cont(search_page, 0.5) AS u FROM ev WHERE is_fit AND search_page IS NOT NULL AND search_query IS NOT NULL GROUP BY 1), b AS (SELECT cookie_id, avg(search_page - u) AS x2, max(search_page - u) AS y2 FROM ev LEFT JOIN pu USING (search_query) WHERE search_page IS NOT NULL AND search_query IS NOT NULL GROUP BY cookie_id)"""
     return _q(more, {"crowd_dwell_mean": "x", "crowd_dwell_std": "y", "crowd_dwell_med": "z", "crowd_page_mean": "x2", "crowd_page_max": "y2"}, "FROM a FULL JOIN b USING (cookie_id)")
 
 
@@ -221,12 +221,12 @@ def _navigation(where: str = "TRUE", prefix: str = "") -> str:
     ctes, joins, f = [], [], {}
     item = f"({_cnt('item_view')} + 1)"
     f |= {"funnel_items_per_search": f"{_cnt('item_view')} / ({_cnt('search_results_view')} + 1)", "funnel_contact_per_item": f"count(*) FILTER ({_in(C.CONTACT)}) / {item}", "funnel_seller_per_item": f"{_cnt('seller_page_view')} / {item}", "funnel_swipe_per_item": f"{_cnt('photo_swipe')} / {item}"}
-    for c, short in (("item_category", "category"), ("item_location", "location"), ("search_query", "query")):
+    for c, short in (("item_category", "cat"), ("item_location", "loc"), ("search_query", "query")):
         ctes.append(f"n{short}0 AS (SELECT *, lag({c}) OVER ({_P}) AS b FROM ev WHERE {c} IS NOT NULL), n{short}1 AS (SELECT *, CASE WHEN {c} <> b THEN 1 ELSE 0 END AS ch FROM n{short}0 WHERE b IS NOT NULL), n{short}2 AS (SELECT *, sum(ch) OVER ({_P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM n{short}1), n{short} AS (SELECT cookie_id, sum(c) / sum(n) AS sw, avg(n) AS rm, max(n) AS rx FROM (SELECT cookie_id, g, count(*) AS n, sum(ch) AS c FROM n{short}2 GROUP BY 1, 2) GROUP BY 1)")
         joins.append(f"LEFT JOIN n{short} USING (cookie_id)")
         f |= {f"nav_{short}_switch_rate": f"any_value(n{short}.sw)", f"nav_{short}_run_mean": f"any_value(n{short}.rm)", f"#nav_{short}_run_max": f"any_value(n{short}.rx)"}
     ctes += [_islands("sw", "ev", "event_name = 'photo_swipe'"), "rv AS (SELECT cookie_id, max(n) AS n FROM (SELECT cookie_id, item_id, count(*) AS n FROM ev WHERE item_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"]
-    f |= {"#swipe_run_max": "coalesce(any_value(sw.n), 0)", "#item_revisit_max": "coalesce(any_value(rv.n), 0)"}
+    f |= {"#swipe_run_max": "coalesce(any_value(sw.n), 0)", "#item_revisit_max": "any_value(rv.n)"}
     f = {(n[0] + prefix + n[1:] if n[0] == "#" else prefix + n): e for n, e in f.items()}
     return _q(", ".join(ctes), f, f"FROM ev {' '.join(joins)} LEFT JOIN sw USING (cookie_id) LEFT JOIN rv USING (cookie_id) GROUP BY cookie_id", where)
 
@@ -247,15 +247,30 @@ def _irregular() -> str:
     return _q(more, f, "FROM t LEFT JOIN gl USING (cookie_id) LEFT JOIN pe USING (cookie_id)")
 
 
-_REL = ("n_events", "dt_q50", "rate_item_view", "item_id_nuniq", "span_h")
-
-
 def _relative() -> str:
-    more = f"""fx AS (SELECT cookie_id, bool_or(is_fit) AS fit, count(*) AS n_events, quantile_cont(dt, 0.5) AS dt_q50, {_cnt('item_view')} / count(*) AS rate_item_view, count(DISTINCT item_id) AS item_id_nuniq, (max(sec) - min(sec)) / 3600.0 AS span_h, {', '.join(f"avg(CASE WHEN platform = '{p}' THEN 1.0 ELSE 0.0 END) AS plat_{p}" for p in C.PLATFORMS)} FROM ev GROUP BY cookie_id),
-      fp AS (SELECT *, CASE greatest({', '.join(f'plat_{p}' for p in C.PLATFORMS)}) {' '.join(f"WHEN plat_{p} THEN '{p}'" for p in C.PLATFORMS)} END AS pf FROM fx)"""
+    """Each base column from the SQL of its own family, to nine digits."""
+    plat = tuple(f"plat_{p}" for p in C.PLATFORMS)
+    sources = {
+        _volume(): ("n_events", "rate_item_view", "rate_engagement"),
+        _timing(): ("dt_q50", "dt_iqr", "events_per_h"),
+        _granularity(): ("dtg_uniq_frac",),
+        _sessions(): ("sess_events_mean",),
+        _content(): ("item_location_nuniq", "item_category_nuniq", "item_id_nuniq"),
+        _pagination(): ("page_mean", "page_max"),
+        _navigation(): ("funnel_items_per_search", "nav_loc_switch_rate"),
+        _pointer("platform IN ('web', 'desktop')", "webp_"): ("webp_pointer_coverage",),
+        _dwell(): ("dwell_item_view_med",),
+        _pointer_deep(): ("ptrd_straightness",),
+        _id_structure(): ("idst_range",),
+        _client(): ("ua_freq_mean", *plat),
+    }
+    names = [c for columns in sources.values() for c in columns if c not in plat]
+    parts = [f"(SELECT cookie_id, {', '.join(columns)} FROM ({sql.replace(' AS DOUBLE), 6) AS ', ' AS DOUBLE), 9) AS ')}))" for sql, columns in sources.items()]
+    more = f"""fx AS (SELECT *, CASE greatest({', '.join(plat)}) {' '.join(f"WHEN plat_{p} THEN '{p}'" for p in C.PLATFORMS)} END AS pf FROM {' LEFT JOIN '.join(f'{part} s{i} USING (cookie_id)' if i else part + ' s0' for i, part in enumerate(parts))}),
+      fp AS (SELECT fx.*, m.is_fit AS fit FROM fx JOIN cookies m USING (cookie_id))"""
     f = {"#dominant_platform": "CASE pf WHEN 'android' THEN 0 WHEN 'desktop' THEN 1 WHEN 'ios' THEN 2 ELSE 3 END"}
-    f |= {f"rel_plat_{c}": f"CASE WHEN {c} IS NOT NULL THEN (SELECT count(*) FROM fp b WHERE b.fit AND b.pf = a.pf AND b.{c} <= a.{c}) / nullif((SELECT count(*) FROM fp b WHERE b.fit AND b.pf = a.pf AND b.{c} IS NOT NULL), 0) END" for c in _REL}
-    return _q(more, f, "FROM fp a")
+    f |= {f"rel_plat_{c}": f"CASE WHEN {c} IS NOT NULL THEN (SELECT count(*) FROM fp b WHERE b.fit AND b.pf = a.pf AND b.{c} <= a.{c}) / nullif((SELECT count(*) FROM fp b WHERE b.fit AND b.pf = a.pf AND b.{c} IS NOT NULL), 0) END" for c in names}
+    return f"WITH {CLICKS}, {more} {_sel(f)} FROM fp a"
 
 
 _SCORED = """sc AS (SELECT d.doc_id AS id, CAST(l.toxic AS BIGINT) AS y, floor(d.n_chars / 200.0) AS s, floor(d.n_chars / 1000.0) % 7 AS s2, d.lang, CAST(d.n_chars AS DOUBLE) AS n_chars FROM documents d JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
@@ -299,9 +314,6 @@ def _encoding_oof() -> str:
     return _q(more, {"#fold": "fold", "rate": f"(s + {_SM} * p) / (n + {_SM})"}, "FROM a")
 
 
-_PORTRAIT = ("n", "span", "pages")
-
-
 def oracles() -> dict[str, str]:
     web, mobile = "platform IN ('web', 'desktop')", "platform IN ('android', 'ios')"
     base = f"WITH {CLICKS} "
@@ -330,9 +342,9 @@ def oracles() -> dict[str, str]:
         "b18_mobile_timing": _timing(mobile, "mob_"),
         "b18_mobile_navigation": _navigation(mobile, "mob_"),
         "b19_web_timing": _timing(web, "web_"),
-        **{f"b20_bins_{i}": _bins(w, f"b{i}") for i, w in enumerate(S.bin_widths, 1)},
+        **{f"b20_bins_{i}": _bins(w, n) for i, (w, n) in enumerate(zip(S.bin_widths, S.bin_names), 1)},
         "b20_irregular": _irregular(),
-        "b21_coverage": _q("", {"first_event_offset_h": "(min(sec) - epoch(any_value(window_start_ts))) / 3600.0", "last_event_offset_h": "(max(sec) - epoch(any_value(window_start_ts))) / 3600.0", "window_coverage": "(max(sec) - min(sec)) / 3600.0 / 24"}, "FROM ev JOIN cookies USING (cookie_id) GROUP BY cookie_id"),
+        "b21_coverage": _q("", {"first_event_offset_h": "(min(sec) - epoch(any_value(window_start_ts))) / 3600.0", "last_event_offset_h": "(epoch(any_value(window_end_ts)) - max(sec)) / 3600.0", "window_coverage": "(max(sec) - min(sec)) / 3600.0 / 24"}, "FROM ev JOIN cookies USING (cookie_id) GROUP BY cookie_id"),
         "b23_cookie_meta": base + _sel({"cookie_age_days": "epoch(window_start_ts - cookie_created_at) / 86400.0", "cookie_age_log": "ln(1 + greatest(epoch(window_start_ts - cookie_created_at) / 86400.0, 0))", "#cookie_created_hour": "hour(cookie_created_at)", "#cookie_created_dow": "isodow(cookie_created_at) - 1", "#window_dow": "isodow(window_start_ts) - 1"}) + " FROM cookies",
         "b24_relative": _relative(),
         "dominant_keys": _keys(),
@@ -348,12 +360,13 @@ def oracles() -> dict[str, str]:
         "minmax_rescale": f"{_scored()} SELECT id, round((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()), 6) AS score FROM sc",
         "blend_weights": f"{_scored()}, gr AS (SELECT a, b FROM range(5) x(a), range(5) y(b) WHERE a + b > 0), bl AS (SELECT a, b, y, round((a * (s / 100) + b * (s2 / 7)) / (a + b), 9) AS v FROM sc, gr), bg AS (SELECT a, b, v, sum(y) AS pos, count(*) AS n FROM bl GROUP BY 1, 2, 3), bc AS (SELECT *, sum(pos) OVER (PARTITION BY a, b ORDER BY v DESC) AS tp, sum(n) OVER (PARTITION BY a, b ORDER BY v DESC) AS seen, sum(pos) OVER (PARTITION BY a, b) AS np FROM bg) SELECT a AS w_one, b AS w_two, round(round(sum(pos * tp / seen) / max(np), 9), 6) AS ap FROM bc GROUP BY a, b ORDER BY round(sum(pos * tp / seen) / max(np), 9) DESC, a, b LIMIT 1",
         "regime_slices": " UNION ALL ".join(f"SELECT * FROM ({_scored('', w)} {_sel({'$regime': repr(n), '#n_pos': 'sum(pos)', '#n': 'sum(n)'} | _METRICS, '')} FROM cv HAVING sum(pos) >= 5)" for n, w in (("all", ""), ("english", "WHERE lang = 'en'"), ("other", "WHERE lang <> 'en'"), ("long", "WHERE n_chars > 3000"))),
-        "caught_vs_missed": f"{_scored()}, ct AS (SELECT max(s) AS cut FROM cv WHERE tp / np >= 0.7), lo AS (SELECT s >= cut AS c, f.name, f.v FROM sc, ct, LATERAL (SELECT unnest([{{'name': 'n_chars', 'v': n_chars}}, {{'name': 's2', 'v': s2}}, {{'name': 's', 'v': s}}]) AS f) WHERE y = 1), ag AS (SELECT name AS feature, avg(v) FILTER (c) AS cm, avg(v) FILTER (NOT c) AS mm FROM lo GROUP BY name) SELECT feature, round(cm, 6) AS caught_mean, round(mm, 6) AS missed_mean, round(abs(cm - mm) / (abs(cm) + abs(mm) + 1e-9), 6) AS gap FROM ag",
+        "caught_vs_missed": f"{_scored()}, ct AS (SELECT max(s) AS cut FROM cv WHERE tp / np >= 0.7), lo AS (SELECT y, s >= cut AS c, f.name, f.v FROM sc, ct, LATERAL (SELECT unnest([{{'name': 'n_chars', 'v': n_chars}}, {{'name': 's2', 'v': s2}}, {{'name': 's', 'v': s}}]) AS f)), ag AS (SELECT name AS feature, avg(v) FILTER (y = 1 AND c) AS cm, avg(v) FILTER (y = 1 AND NOT c) AS mm, avg(v) FILTER (y <> 1) AS om FROM lo GROUP BY name) SELECT feature, round(cm, 6) AS caught_mean, round(mm, 6) AS missed_mean, round(om, 6) AS other_mean, round(abs(mm - cm) / (abs(cm) + 1e-6), 6) AS gap FROM ag",
         "reliability": f"{_scored()} SELECT CAST(least(floor(n_chars / (n_chars + 1000) * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(n_chars / (n_chars + 1000)), 6) AS mean_score, round(avg(y), 6) AS positive_rate FROM sc GROUP BY 1",
         "likelihood_ratios": f"{_scored()}, bi AS (SELECT CAST((n_chars >= 500)::INT + (n_chars >= 1000)::INT + (n_chars >= 2000)::INT + (n_chars >= 5000)::INT AS BIGINT) AS bin, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM sc GROUP BY 1) SELECT bin, pos, neg, CASE WHEN neg > 0 THEN round(pos * (sum(neg) OVER ())::DOUBLE / (neg * (sum(pos) OVER ())::DOUBLE), 6) END AS ratio FROM bi",
         "prevalence_resample": f"{_scored()}, pq AS (SELECT sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS q FROM sc) SELECT id, y FROM sc, pq WHERE ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT / 4294967296.0 < CASE WHEN y = 1 THEN q * 0.2 / (p * 0.8) ELSE p * 0.8 / (q * 0.2) END",
         "draw_spread": f"{_scored()}, dr AS (SELECT draw, s, sum(y) AS pos, count(*) AS n FROM sc, range(20) r(draw) WHERE ('0x' || substr(md5('42:' || draw || ':' || id), 1, 8))::BIGINT / 4294967296.0 < 0.5 GROUP BY 1, 2), dc AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY draw) AS np FROM dr WINDOW w AS (PARTITION BY draw ORDER BY s DESC)), da AS (SELECT draw, sum(pos * tp / seen) / nullif(max(np), 0) AS ap FROM dc GROUP BY draw) SELECT count(ap) AS n_draws, round(avg(ap), 6) AS ap_mean, round(stddev_samp(ap), 6) AS ap_std FROM da",
-        "subgroup_reorder": f"{_scored()}, q AS (SELECT id, s, s2, lang <> 'en' AS inside FROM sc), v AS (SELECT row_number() OVER (ORDER BY s DESC, id) AS k, s AS new FROM q WHERE inside), o AS (SELECT id, row_number() OVER (ORDER BY s2 DESC, id) AS k FROM q WHERE inside) SELECT q.id, round(coalesce(v.new, q.s), 6) AS score FROM q LEFT JOIN o USING (id) LEFT JOIN v USING (k)",
+        "subgroup_reorder": f"{_scored()}, q AS (SELECT id, s, s2 FROM sc WHERE lang <> 'en'), bl AS (SELECT id, s, round(0.5 * ({_pct('s', '')}) + 0.5 * ({_pct('s2', '')}), 12) AS b FROM q), v AS (SELECT row_number() OVER (ORDER BY s, id) AS k, s AS new FROM bl), o AS (SELECT id, row_number() OVER (ORDER BY b, id) AS k FROM bl) SELECT sc.id, round(coalesce(v.new, sc.s), 6) AS score FROM sc LEFT JOIN o USING (id) LEFT JOIN v USING (k)",
+        "fold_spread": f"{_scored().replace('d.lang', 'd.lang, d.doc_id % 5 AS fold', 1)}, fg AS (SELECT fold, s, sum(y) AS pos, count(*) AS n FROM sc GROUP BY 1, 2), fc AS (SELECT *, sum(pos) OVER (PARTITION BY fold ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY fold ORDER BY s DESC) AS seen, sum(pos) OVER (PARTITION BY fold) AS np, sum(n) OVER (PARTITION BY fold) AS na FROM fg), fm AS (SELECT fold, {', '.join(f'{e} AS {n}' for n, e in _METRICS.items())} FROM fc GROUP BY fold) SELECT name, count(v) AS n_groups, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS deviation, round(min(v), 6) AS least, round(max(v), 6) AS most FROM (UNPIVOT fm ON {', '.join(_METRICS)} INTO NAME name VALUE v) GROUP BY name",
         "subgroup_columns": base + " SELECT name, round(cover, 6) AS cover, n_values FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) / count(*) AS cover, count(DISTINCT {c}) AS n_values FROM ev0 WHERE platform IN ('android', 'ios')" for c in ("item_id", "search_page", "pointer_x", "seller_type", "platform")) + ") WHERE cover >= 0.02 AND n_values > 1",
         "forward_chain_splits": base + "SELECT d.day, CASE WHEN day_index < d.day THEN 'train' ELSE 'valid' END AS role, count(*) AS n, CAST(sum(target) AS BIGINT) AS n_pos FROM cookies JOIN (SELECT day_index AS day, row_number() OVER (ORDER BY day_index) AS k FROM (SELECT DISTINCT day_index FROM cookies)) d ON day_index <= d.day WHERE d.k > 2 GROUP BY 1, 2",
         "stratified_folds": base + "SELECT cookie_id, CAST(target AS BIGINT) AS target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42:' || cookie_id), cookie_id) - 1) % 5 AS BIGINT) AS fold FROM cookies",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions.kernels import KEY, merge, summarise
+from ..functions.kernels import KEY, ref, summarise
 from ..operators import analysis as A
 from ..operators import encoding as N
 from ..operators import events as E
@@ -29,7 +29,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded and whole numbers as longs, so that results compare between engines."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = ref(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             c = F.round(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
@@ -55,26 +55,19 @@ def _pairs_with_shares(spark: SparkSession, d: str) -> DataFrame:
     ev = _enriched(spark, d)
     vocabulary = [r["pair"] for r in B.top_bigrams(ev, S).collect()]
     wide = B.transitions(ev, S, vocabulary).where("n_bigrams_uniq > 0")
-    columns = {x: f"bg_{x.replace('>', '__')}" for x in vocabulary}
-    parts = F.explode(F.array(*(F.struct(F.lit(x).alias("pair"), F.col(c).alias("share")) for x, c in columns.items()))).alias("x")
+    columns = {x: f"bg_{x}" for x in vocabulary}
+    parts = F.explode(F.array(*(F.struct(F.lit(x).alias("pair"), ref(c).alias("share")) for x, c in columns.items()))).alias("x")
     return wide.select(KEY, "self_loop_rate", "n_bigrams_uniq", "bigram_entropy", parts).select(KEY, "x.*", "self_loop_rate", "n_bigrams_uniq", "bigram_entropy")
 
 
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
     ev = _enriched(spark, d)
     vocabulary = B.catalog_vocabulary(ev, S)
-    wide = B.catalog_shares(ev, S, vocabulary)
-    parts = [F.struct(F.lit(c).alias("field"), F.lit(v).alias("value"), F.col(f"cat_{c}_{v}").alias("share")) for c, values in vocabulary.items() for v in values]
+    wide, names = B.catalog_shares(ev, S, vocabulary), dict(S.catalog_names)
+    parts = [F.struct(F.lit(c).alias("field"), F.lit(v).alias("value"), ref(f"{names[c]}_{v}").alias("share")) for c, values in vocabulary.items() for v in values]
     return wide.select(KEY, F.explode(F.array(*parts)).alias("x")).select(KEY, "x.*")
 
 
-def _relative(spark: SparkSession, d: str) -> DataFrame:
-    ev = _enriched(spark, d)
-    facts = {"n_events": "count(*)", "dt_q50": "percentile(dt, 0.5)", "rate_item_view": "avg(double(event_name = 'item_view'))", "item_id_nuniq": "count(DISTINCT item_id)", "span_h": "(max(sec) - min(sec)) / 3600D", "is_fit": "bool_or(is_fit)"}
-    facts |= {f"plat_{p}": f"avg(double(platform = '{p}'))" for p in C.PLATFORMS}
-    return B.relative(summarise(ev, facts), ("n_events", "dt_q50", "rate_item_view", "item_id_nuniq", "span_h"))
-
-
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents ranked by a coarse length, so that scores tie."""
     labels = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("y"))
@@ -167,15 +160,14 @@ def queries() -> dict[str, Query]:
         "b18_mobile_timing": lambda s, d: B.scoped(_enriched(s, d, C.MOBILE), S, "mob_", (B.timing,)),
         "b18_mobile_navigation": lambda s, d: B.scoped(_enriched(s, d, C.MOBILE), S, "mob_", (B.navigation,)),
         "b19_web_timing": lambda s, d: B.scoped(_enriched(s, d, C.WEB), S, "web_", (B.timing,)),
-        **{f"b20_bins_{i}": _family(B.binned, width=w, prefix=f"b{i}") for i, w in enumerate(S.bin_widths, 1)},
+        **{f"b20_bins_{i}": _family(B.binned, width=w, prefix=n) for i, (w, n) in enumerate(zip(S.bin_widths, S.bin_names), 1)},
         "b20_compression": _family(Q.compression),
         "b20_irregular": _family(B.irregular),
         "b21_coverage": lambda s, d: B.window_coverage(_enriched(s, d), cookies(s, d), S),
         "b22_sequence_svd": _svd("ordered", "seqo", 3),
         "b22_sequence_svd_paced": _svd("paced", "seqp", 2),
         "b23_cookie_meta": lambda s, d: B.cookie_meta(cookies(s, d)),
-        "b24_relative": _relative,
-        "b24_relative_all": lambda s, d: B.relative(relative_base(clicks(s, d), cookies(s, d), S)),
+        "b24_relative": lambda s, d: B.relative(relative_base(clicks(s, d), cookies(s, d), S)),
         "feature_matrix": feature_matrix,
         "dup_columns": _duplicates,
         "dominant_keys": lambda s, d: N.dominant_keys(_clipped(s, d), cookies(s, d), {"user_agent": "key_ua", "item_category": "key_category", "item_location": "key_location"}),
@@ -196,7 +188,8 @@ def queries() -> dict[str, Query]:
         "likelihood_ratios": lambda s, d: A.likelihood_ratios(scored(s, d), "n_chars", (500.0, 1000.0, 2000.0, 5000.0)),
         "prevalence_resample": lambda s, d: A.at_prevalence(scored(s, d).select("id", "y"), 0.2),
         "draw_spread": lambda s, d: A.spread_over_draws(scored(s, d), 0.5, 20),
-        "subgroup_reorder": lambda s, d: M.subgroup_reorder(scored(s, d).select("id", "s", F.col("s2").alias("r"), F.expr("lang <> 'en'").alias("inside"))),
+        "subgroup_reorder": lambda s, d: M.subgroup_reorder(scored(s, d).select("id", "s", F.col("s2").alias("r"), F.expr("lang <> 'en'").alias("inside")), 0.5),
+        "fold_spread": lambda s, d: M.metric_spread(scored(s, d).withColumn("fold", F.col("id") % 5), "fold"),
         "subgroup_columns": lambda s, d: M.subgroup_columns(_clipped(s, d).where(F.col("platform").isin(*C.MOBILE)), ("item_id", "search_page", "pointer_x", "seller_type", "platform")),
         "forward_chain_splits": lambda s, d: V.forward_chain(cookies(s, d)),
         "stratified_folds": lambda s, d: V.stratified_folds(cookies(s, d)),

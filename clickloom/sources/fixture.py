@@ -11,12 +11,12 @@ _CLICKS = {
     "event_ts": "date_trunc('second', ts)",
     "event_name": "event_name",
     "platform": "CASE p WHEN 0 THEN element_at(array('WEB','Web','web'), int(event_id % 3) + 1) WHEN 1 THEN 'desktop' WHEN 2 THEN 'ANDROID' ELSE IF(event_id % 2 = 0, 'iphone', 'IOS') END",
-    "user_agent": "CASE WHEN user_id % 12 = 3 THEN concat('python-requests/2.', k % 5) WHEN p = 0 THEN concat('Mozilla/5.0 Chrome/', 100 + user_id % 20, ' Safari/537') WHEN p = 1 THEN concat('Mozilla/5.0 Firefox/', 110 + user_id % 9)"
-    " WHEN p = 2 THEN concat('NativeApp/', 120 + user_id % 5, ' (Android ', 10 + user_id % 4, '; dev', user_id % 6, ')') ELSE concat('NativeApp/121 (iPhone; iOS 16.2; dev', user_id % 6, ')') END",
+    "user_agent": "CASE WHEN user_id % 12 = 3 THEN concat(element_at(array('python-requests/2.', 'node-fetch/1.', 'python-urllib3/2.'), int(k % 3) + 1), k % 5) WHEN p = 0 AND user_id % 5 = 0 THEN 'Mozilla/5.0 (Macintosh) Version/17 Safari/605' WHEN p = 0 THEN concat('Mozilla/5.0 Chrome/', 100 + user_id % 20, ' Safari/537') WHEN p = 1 THEN concat('Mozilla/5.0 Firefox/', 110 + user_id % 9)"
+    " WHEN p = 2 THEN concat('NativeApp/', 120 + user_id % 5, ' (Android ', 10 + user_id % 4, '; Pixel ', user_id % 6, ')') ELSE concat('NativeApp/121 (iPhone; iOS 16.2; Phone ', user_id % 6, ')') END",
     "item_id": f"CASE WHEN {_HAS_ITEM} THEN 100000 + (k * 97 + user_id * 13 + event_id % 5) % 5000 END",
     "item_category": f"CASE WHEN {_HAS_ITEM} THEN concat('cat_', k % 15) END",
     "item_location": f"CASE WHEN {_HAS_ITEM} THEN concat('loc_', (k + user_id) % 60) END",
-    "search_query": "CASE WHEN event_name = 'search_results_view' THEN concat('q_', k % 30) END",
+    "search_query": "CASE WHEN event_name = 'search_results_view' THEN IF(k % 30 = 7, \"o'q.7\", concat('q_', k % 30)) END",
     "search_page": "CASE WHEN event_name = 'search_results_view' THEN int(1 + floor(value / 15)) END",
     "seller_type": f"CASE WHEN {_HAS_ITEM} AND k % 10 <> 9 THEN IF(k % 4 = 0, 'pro', 'private') END",
     "pointer_x": "CASE WHEN p IN (0, 1) AND event_id % 3 <> 0 THEN double(floor(value * 40) % 1920) END",

@@ -59,9 +59,25 @@ def append_results(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
 
 
-def read_results(spark: SparkSession, folder: str) -> DataFrame:
-    """All result rows; columns that a run lacks are null."""
-    return spark.read.json(folder)
+def read_results(spark: SparkSession, folder: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """All result rows; columns that a run lacks are null, as are those of ``columns`` that no run has."""
+    found = spark.read.json(folder)
+    return found.withColumns({c: F.lit(None).cast("double") for c in columns if c not in found.columns})
+
+
+def report_table(results: DataFrame, by: str) -> DataFrame:
+    """The newest row of each name, the best ``by`` first, names without it last."""
+    newest = results.groupBy("name").agg(F.max_by(F.struct(*results.columns), "ts").alias("r")).select("r.*")
+    return newest.orderBy(F.desc_nulls_last(by), "name")
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """Tuned parameters as one JSON line."""
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"])
 
 
 def check_scores(scores: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -197,12 +197,12 @@ def test_matrix_has_the_columns_of_every_step(spark, monkeypatch):
         *(of(f(ev, FIXTURE)) for f in (families.volume_and_mix, families.timing, families.sessions, families.content, families.pagination, families.pointer, families.client)),
         *(of(f(ev, FIXTURE)) for f in (families.id_structure, families.dt_granularity, families.popularity, families.crowd, families.conditional_timing, families.navigation)),
         *(of(f(ev, FIXTURE)) for f in (families.pointer_deep, sequences.compression, families.irregular)),
-        *(of(families.binned(ev, FIXTURE, w, f"b{i}")) for i, w in enumerate(FIXTURE.bin_widths, 1)),
+        *(of(families.binned(ev, FIXTURE, w, n)) for w, n in zip(FIXTURE.bin_widths, FIXTURE.bin_names)),
         of(families.pointer(ev, FIXTURE), "webp_"), of(families.timing(ev, FIXTURE), "web_"), of(families.timing(ev, FIXTURE), "mob_"), of(families.navigation(ev, FIXTURE), "mob_"),
         of(families.transitions(ev, FIXTURE, [])), of(families.window_coverage(ev, cookies, FIXTURE)), of(families.cookie_meta(cookies)),
         {f"{p}_{k}" for p in ("seqo", "seqp") for k in range(8)}, {f"rel_plat_{c}" for c in families.RELATIVE_BASE}, {"dominant_platform"},
     )
-    assert wanted <= set(full.columns) and any(c.startswith("bg_") for c in full.columns) and any(c.startswith("cat_") for c in full.columns)
+    assert wanted <= set(full.columns) and any(c.startswith("bg_") for c in full.columns) and any(c.startswith("shq_o'q.") for c in full.columns)
     rows = {r["cookie_id"]: r.asDict() for r in full.collect()}
     kept = {r["cookie_id"]: r.asDict() for r in got.collect()}
     assert kept.keys() == rows.keys() and any(r["seqo_0"] for r in kept.values())
@@ -234,7 +234,7 @@ def test_all_relative_columns_match_counting(spark):
     sf = "/root/testdata/sf0.001"
     base = [r.asDict() for r in relative_base(fixture.clicks(spark, sf), fixture.cookies(spark, sf), FIXTURE).collect()]
     top = lambda r: max(PLATFORMS, key=lambda p: r[f"plat_{p}"])
-    got = {r["cookie_id"]: r.asDict() for r in queries()["b24_relative_all"](spark, sf).collect()}
+    got = {r["cookie_id"]: r.asDict() for r in queries()["b24_relative"](spark, sf).collect()}
     assert len(families.RELATIVE_BASE) == 20 and got.keys() == {r["cookie_id"] for r in base}
     for r in base:
         mine = got[r["cookie_id"]]
@@ -243,3 +243,141 @@ def test_all_relative_columns_match_counting(spark):
             peers = [x[c] for x in base if x["is_fit"] and top(x) == top(r) and x[c] is not None]
             want = None if r[c] is None or not peers else sum(x <= r[c] for x in peers) / len(peers)
             assert mine[f"rel_plat_{c}"] == (want if want is None else pytest.approx(want, abs=1e-6)), c
+
+
+def enriched(spark, *rows):
+    return events.enrich(log(spark, *rows), Settings())
+
+
+def agent(name):
+    return (0, "login", {"user_agent": name})
+
+
+@pytest.mark.parametrize(
+    ("name", "family", "version", "device", "app"),
+    [
+        ("Mozilla/5.0 Version/17 Safari/605", "Safari", 605, None, None),
+        ("Mozilla/5.0 HeadlessChrome/119 Safari/537", "HeadlessChrome", 119, None, None),
+        ("Mozilla/5.0 Chrome/118 YaBrowser/23", "Chrome", 118, None, None),
+        ("node-fetch/1.0", "node-fetch", None, None, None),
+        ("python-urllib3/2.1", "python-urllib3", None, None, None),
+        ("curly browser", "other", None, None, None),
+        ("okhttp/4", "other", None, None, None),
+        ("NativeApp/121 (Android 13; Pixel 6)", "NativeApp", None, "Pixel 6", 121),
+        ("NativeApp/121 (iPhone; iOS 16.2; iPhone 14)", "NativeApp", None, "iPhone 14", 121),
+        ("Old NativeApp/1", "other", None, None, None),
+    ],
+)
+def test_user_agents(spark, name, family, version, device, app):
+    row = families.user_agent_facts(enriched(spark, agent(name)), Settings()).first()
+    assert (row["family"], row["browser_version"], row["device"], row["app_version"]) == (family, version, device, app)
+
+
+def test_devices_and_scripts_are_counted(spark):
+    row = families.client(enriched(spark, agent("node-fetch/1.0"), agent("NativeApp/1 (Android 13; Pixel 6)")), Settings()).first()
+    assert row["ua_script_rate"] == 0.5 and row["uafam_node-fetch"] == 0.5 and row["ua_device_freq"] == 1 and row["ua_os_version"] == 13
+
+
+def test_the_only_pointer_event_has_no_path(spark):
+    row = families.pointer_deep(enriched(spark, (0, "login", {"pointer_x": 3.0, "pointer_y": 3.0})), Settings()).first()
+    assert row["ptrd_path_len"] is None and row["ptrd_straightness"] is None and row["ptrd_bbox_fill"] == 0 and row["ptrd_edge_share"] == 0
+
+
+def test_pointer_box_and_edges(spark):
+    at = lambda x, y: {"pointer_x": x, "pointer_y": y}
+    row = families.pointer_deep(enriched(spark, (0, "login", at(0.0, 540.0)), (1, "login", at(960.0, 540.0)), (2, "login", at(960.0, 1080.0)), (3, "login", at(5.0, 500.0))), Settings()).first()
+    assert row["ptrd_bbox_fill"] == pytest.approx(960 * 580 / (1920 * 1080)) and row["ptrd_edge_share"] == 0.5
+    assert row["ptrd_straightness"] == pytest.approx((25 + 1600) ** 0.5 / (row["ptrd_path_len"] + 1))
+
+
+def test_visitors_without_searches_or_items(spark):
+    ev = enriched(spark, (0, "login"), (5, "login"))
+    row = families.pagination(ev, Settings()).first()
+    assert row["page_step_up_count"] == 0 and row["page_mean"] is None and row["page_run_max"] is None and row["queries_nuniq"] is None
+    row = families.navigation(ev, Settings()).first()
+    assert row["item_revisit_max"] is None and row["swipe_run_max"] == 0
+
+
+def test_the_first_item_has_no_step(spark):
+    items = [(i, "item_view", {"item_id": x}) for i, x in enumerate((5, 9, 3))]
+    assert families.id_structure(enriched(spark, *items), Settings()).first()["idst_up_share"] == 0.5
+
+
+def test_last_event_is_measured_from_the_window_s_end(spark):
+    meta = spark.createDataFrame([(1, T0, T0, T0 + timedelta(days=1))], "cookie_id long, cookie_created_at timestamp_ntz, window_start_ts timestamp_ntz, window_end_ts timestamp_ntz")
+    row = families.window_coverage(enriched(spark, (3600, "login"), (7200, "login")), meta, Settings()).first()
+    assert (row["first_event_offset_h"], row["last_event_offset_h"]) == (1, 22)
+
+
+def test_pages_without_a_query_have_no_usual_depth(spark):
+    rows = [(0, "search_results_view", {"search_page": 1, "search_query": "q"}), (1, "search_results_view", {"search_page": 9})]
+    row = families.crowd(enriched(spark, *rows), Settings()).first()
+    assert (row["crowd_page_mean"], row["crowd_page_max"]) == (0, 0)
+
+
+@pytest.mark.parametrize("value", ["o'reilly", 'say "x"', "a.b", "back\\slash", "per%cent", "tick`"])
+def test_values_with_any_character_become_columns(spark, value):
+    ev = enriched(spark, (0, "search_results_view", {"search_query": value, "search_page": 1}), (1, "search_results_view", {"search_query": "q", "search_page": 1}))
+    got = families.catalog_shares(ev, Settings(), families.catalog_vocabulary(ev, Settings()))
+    assert got.first().asDict() == {"cookie_id": 1, f"shq_{value}": 0.5, "shq_q": 0.5}
+
+
+def test_caught_and_missed_gap_is_over_the_caught(spark):
+    rows = spark.createDataFrame([(1, 3.0, 2.0), (1, 2.0, 4.0), (1, 1.0, 9.0), (0, 0.0, 1.0)], "y long, s double, v double")
+    row = metrics.caught_and_missed(rows, ("v",)).first()
+    assert (row["missed_mean"], row["caught_mean"], row["other_mean"]) == (None, 5.0, 1.0) or row["gap"] == pytest.approx(abs(row["missed_mean"] - row["caught_mean"]) / (row["caught_mean"] + 1e-6))
+
+
+@pytest.mark.parametrize(("weight", "want"), [(0.0, [1.0, 2.0, 3.0]), (1.0, [3.0, 2.0, 1.0]), (0.25, [1.0, 2.0, 3.0])])
+def test_reorder_by_weight(spark, weight, want):
+    rows = spark.createDataFrame([(1, 1.0, 9.0, True), (2, 2.0, 8.0, True), (3, 3.0, 7.0, True), (4, 2.5, 0.0, False)], "id long, s double, r double, inside boolean")
+    got = {r["id"]: r["score"] for r in metrics.subgroup_reorder(rows, weight).collect()}
+    assert [got[i] for i in (1, 2, 3)] == want and got[4] == 2.5
+
+
+def _easy(spark, n=120):
+    return spark.range(n).select(F.col("id").alias("cookie_id"), (F.col("id") % 3 == 0).cast("int").alias("target"), F.expr("double(id % 3) + rand(1)").alias("good"), F.rand(2).alias("noise"), F.expr("id % 2 = 0").alias("even"), F.lit(1.0).alias("flat"))
+
+
+def test_selection_inside_folds_and_repeated_folds(spark):
+    rows = _easy(spark).cache()
+    assert models.select_columns(rows, ["noise", "good"], 1) == ["good"]
+    report, blended = models.repeated_cv(rows, ["noise", "good"], "linear", k=2, seeds=(1, 2), select=1)
+    told = {r["metric"]: r for r in report.collect()}
+    assert set(told) == set(metrics.METRICS) and told["roc_auc"]["n_groups"] == 2 and told["roc_auc"]["mean"] > 0.9 and told["roc_auc"]["blend"] > 0.9
+    assert blended.count() == 120
+
+
+def test_rounds_stop_early(spark):
+    noise = _easy(spark).withColumn("target", (F.rand(5) < 0.5).cast("int")).cache()
+    assert models.estimate_rounds(noise, ["noise"], k=2, most=12, patience=3) <= 9
+
+
+def test_specialist_scores_its_subgroup_alone(spark):
+    got = models.specialist_out_of_fold(_easy(spark).cache(), ["good", "flat"], "even", "linear", k=2)
+    rows = got.collect()
+    assert len(rows) == 120 and all((r["score"] is None) == (r["cookie_id"] % 2 == 1) for r in rows)
+
+
+def test_strict_rebuild_knows_nothing_of_the_scored_days(spark):
+    from clickloom.plans.features import strict_rebuild, strict_report
+    from clickloom.sources import fixture
+
+    sf = "/root/testdata/sf0.001"
+    clicks, cookies = fixture.clicks(spark, sf), fixture.cookies(spark, sf)
+    later = clicks.join(cookies.where("day_index >= 4").select("cookie_id"), "cookie_id", "left_semi")
+    twice = clicks.unionByName(later.withColumn("event_id", F.col("event_id") + 10**9))
+    one, two = ({r["cookie_id"]: r.asDict() for r in strict_rebuild(x, cookies, FIXTURE, 4, pool_days=4).where("is_fit").collect()} for x in (clicks, twice))
+    same = [c for c in next(iter(one.values())) if not c.startswith(("ua_freq", "ua_device", "seq")) and c in next(iter(two.values()))]
+    assert len(same) > 300 and all(one[k][c] == two[k][c] for k in one for c in same if not c.startswith("rel_plat_ua"))
+    report = strict_report(clicks, cookies, FIXTURE, 4, columns=("n_events", "dt_q50"), learner="linear", seeds=(1,)).first()
+    assert 0 <= report["roc_auc"] <= 1 and report["n_features"] == 2
+
+
+def test_results_with_absent_columns_and_settings(spark, tmp_path):
+    readers.append_results(spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.4), ("b", 1, 0.9)], "name string, ts long, ap double"), f"{tmp_path}/r")
+    rows = readers.read_results(spark, f"{tmp_path}/r", ("roc",))
+    assert rows.where("roc IS NOT NULL").count() == 0
+    assert [(r["name"], r["ap"]) for r in readers.report_table(rows, "ap").collect()] == [("b", 0.9), ("a", 0.4)]
+    readers.write_settings(spark, {"maxDepth": 4, "stepSize": 0.1}, f"{tmp_path}/s")
+    assert readers.read_settings(spark, f"{tmp_path}/s") == {"maxDepth": 4, "stepSize": 0.1}
