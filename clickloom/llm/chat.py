@@ -28,11 +28,13 @@ def expand(conversations: DataFrame, reply_role: str = "assistant") -> DataFrame
     """Examples: conv_id, example (0, 1, ..), text, loss_start (0-based), loss_chars, is_last.
 
     Turns stand in the order of (turn, role, text), nulls first; repeated rows count each. Null roles and texts are
-    empty strings. A null conv_id is a conversation of its own. ``loss_chars`` is 0 where there is no reply.
+    empty strings. Each row without conv_id is a conversation of its own, of one turn: nothing tells what it belongs to,
+    and together such rows could be any part of the table. ``loss_chars`` is 0 where there is no reply.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id")
-    talks = grouped.agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    talks = whole.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     written = talks.select(
         "conv_id",
         F.transform("turns", lambda t: t["role"] == reply_role).alias("replies"),
@@ -66,7 +68,10 @@ def parse(text: Column) -> Column:
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """One row per conversation, from the formatted examples: turns from the last, replies from under the masks."""
+    """One row per conversation, from the formatted examples: turns from the last, replies from under the masks.
+
+    An example without conv_id is a conversation of its own.
+    """
     under = unescape(F.substr("text", (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int")))
     mine = examples.select(
         "conv_id",
@@ -75,12 +80,14 @@ def read_back(examples: DataFrame) -> DataFrame:
         F.when(F.col("is_reply"), under).alias("reply"),
         F.when(F.col("is_last"), F.col("text")).alias("whole"),
     )
-    per = mine.groupBy("conv_id").agg(
+    per = mine.where("conv_id is not null").groupBy("conv_id").agg(
         F.sum("formatted").alias("formatted_chars"),
         F.sort_array(F.collect_list(F.struct("example", "reply"))).alias("replies"),
         F.max("whole").alias("whole"),
         F.count("*").alias("n_examples"),
     )
+    alone = F.array(F.struct("example", "reply")).alias("replies")
+    per = per.unionByName(mine.where("conv_id is null").select("conv_id", F.col("formatted").alias("formatted_chars"), alone, "whole", F.lit(1).cast("long").alias("n_examples")))
     loss = F.array_join(F.transform("replies", lambda r: r["reply"]), "")
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return per.select("conv_id", "formatted_chars", "n_examples", loss.alias("loss"), parse(F.col("whole")).alias("turns")).select(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_dir, written
+
 #: Bytes that split words in the contracts ``[^\x20\x09-\x0D]+``.
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -20,23 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-clickloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, keep: bool = False, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/clickloom/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, label, keep, **options)
 
 
 def attach(left: DataFrame, right: DataFrame, on: list[str], label: str, row_bytes: int, most_bytes: int = 64 << 20, how: str = "left") -> DataFrame:
@@ -47,7 +33,9 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], label: str, row_byt
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 

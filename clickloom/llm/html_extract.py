@@ -3,15 +3,21 @@
 Each page's containers are scored by the running text that they hold, the scores become votes for generalised
 tag-class paths, Spark adds the votes per host, and every page is read again at its host's winning path. A page
 without that path, or of no host, falls back to its own best container.
+
+What is no part of the article is told by its element, role or name, by where it stands and what it holds, by lists of
+nothing but links, and by the host: what stands at one path with one text on page after page is the site's, not the
+article's. A path is the hash of its parent's path and its own step, so deep pages cost no more than long ones.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,80 +53,114 @@ _ENDS = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
-_DROPPED = frozenset("nav header footer aside form button dialog menu fieldset input datalist video audio canvas map".split())
-_CONTAINERS = frozenset("body article main section div td blockquote center".split())
-_DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-_DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|topbar|toolbar|breadcrumb|breadcrumbs|header|masthead|footer|foot"
-    r"|sidebar|side|aside|rail|ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promos|promoted|promotion"
-    r"|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|comment|comments|disqus|respond|replies"
-    r"|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|pagination|pager|hidden)(?:$|[\s_-]|\d)",
-    re.I,
+#: Never part of an article, whatever they hold.
+_GONE = frozenset("button dialog menu datalist video audio canvas map input".split())
+#: Part of the frame, unless they hold the article itself.
+_FRAME = frozenset("nav footer aside form fieldset".split())
+_CONTAINERS = frozenset("body article main section div td blockquote center form".split())
+_FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption td th tr tbody li dd dt".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_CONTENT_NAMES = frozenset("article content main entry post story body text".split())
+#: Words of class and id names. Advertising is told on any element, the frame on blocks and text, the rest on blocks.
+_ADS = frozenset("ad ads advert adverts advertisement advertising advertorial adsbygoogle adslot adunit sponsor sponsors sponsored".split())
+_FRAME_NAMES = _ADS | frozenset(
+    "nav navbar navigation topnav sidenav subnav menu menus breadcrumb breadcrumbs sidebar footer masthead rail promo promos promoted promotion"
+    " cookie cookies consent gdpr comment comments commentlist disqus newsletter subscribe subscription pagination pager popup modal".split()
+)
+_BLOCK_NAMES = _FRAME_NAMES | frozenset(
+    "side aside foot topbar toolbar banner notice notices alert alerts overlay respond replies share sharing social related recommended"
+    " recommendations signup login search hidden".split()
 )
-_KEPT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|entry|post|story|body|text)(?:$|[\s_-]|\d)", re.I)
-_DIGITS = re.compile(r"\d+")
+_STEMS = ("footer", "sidebar", "navbar", "comment", "cookie", "advert", "sponsor", "newsletter", "breadcrumb")
+#: A word after one of the first, or before one of the second, describes a page's layout or state.
+_BEFORE, _AFTER = frozenset("has with no without is show hide".split()), frozenset("open opened closed on off enabled disabled".split())
+_HUMP, _WORDS, _DIGITS = re.compile(r"([a-z0-9])([A-Z])"), re.compile(r"[a-z]+"), re.compile(r"\d+")
+
+
+def _names(value: str) -> set[str]:
+    """Words of class and id names, split at marks and humps, without those that tell a state."""
+    out = set()
+    for name in value.split():
+        words = _WORDS.findall(_HUMP.sub(r"\1-\2", name).lower())
+        for k, w in enumerate(words):
+            if not (k and words[k - 1] in _BEFORE) and not (k + 1 < len(words) and words[k + 1] in _AFTER):
+                out.add(w)
+    return out
+
+
+def _named(words: set[str], names: frozenset[str]) -> bool:
+    return not words.isdisjoint(names) or (names is not _ADS and any(w.startswith(_STEMS) or w.endswith(_STEMS) for w in words))
 
 
 class _Node:
-    __slots__ = ("tag", "path", "dropped", "links", "text", "own", "up")
+    __slots__ = ("tag", "step", "key", "depth", "gone", "suspect", "inside", "links", "up", "own", "mass", "size", "linked", "n_links", "anchor", "content", "dropped")
 
-    def __init__(self, tag: str, path: str, dropped: bool, links: bool, up: int) -> None:
-        self.tag, self.path, self.dropped, self.links, self.up = tag, path, dropped, links, up
-        self.text = self.own = 0.0
+    def __init__(self, tag: str, step: str, key: int, depth: int, gone: bool, links: bool, up: int) -> None:
+        self.tag, self.step, self.key, self.depth, self.gone, self.links, self.up = tag, step, key, depth, gone, links, up
+        self.own = self.mass = 0.0
+        self.size = self.linked = self.n_links = 0
+        self.suspect = self.inside = self.anchor = self.content = self.dropped = False
 
 
-def _step(tag: str, attributes: str, inside_main: bool) -> tuple[str, bool]:
-    """The generalised path step of an element (digits in classes become #), and whether its content is dropped."""
-    dropped, classes = tag in _DROPPED, ""
+def _look(tag: str, attributes: str) -> tuple[str, bool, bool, set[str]]:
+    """An element's step (digits in classes become #), whether it is hidden, whether its role is the frame's, its names."""
+    classes, hidden, role, words = "", False, False, set()
     if attributes and not attributes.isspace():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name == "class":
-                classes = ".".join(sorted(_DIGITS.sub("#", value).split()))
-            if name == "role":
-                dropped = dropped or value.strip().lower() in _DROPPED_ROLES
-            elif name in ("class", "id"):
-                named = any(_DROPPED_NAMES.search(x) and not _KEPT_NAMES.search(x) for x in value.split())
-                dropped = dropped or (named and tag not in ("body", "html", "article", "main"))
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                dropped = dropped or (name == "hidden" and tag not in ("body", "html"))
+                classes = ".".join(sorted(set(_DIGITS.sub("#", value).split())))
+            if name in ("class", "id"):
+                words |= _names(value)
+            elif name == "role":
+                role = role or value.strip().lower() in _FRAME_ROLES
+            elif name == "hidden":
+                hidden = True
             elif name == "style":
-                dropped = dropped or "display:none" in value.replace(" ", "").lower()
-    return (f"{tag}.{classes}" if classes else tag), dropped
+                plain = value.replace(" ", "").lower()
+                hidden = hidden or "display:none" in plain or "visibility:hidden" in plain
+    return (f"{tag}.{classes}" if classes else tag), hidden and tag not in ("body", "html"), role, words
 
 
-def read_page(html: str) -> tuple[list[_Node], list[tuple[int, str]]]:
-    """Elements in document order and text blocks as (innermost container's number, text), boilerplate left out."""
-    nodes = [_Node("#", "", False, False, -1)]
-    stack = [0]
-    blocks: list[tuple[int, str]] = []
+def read_page(html: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
+    """Elements in document order and text blocks as (innermost block element's number, text, heading), frame included."""
+    nodes = [_Node("#", "", 0, 0, False, False, -1)]
+    stack, open_tags = [0], Counter()
+    blocks: list[tuple[int, str, bool]] = []
     piece: list[str] = []
-    linked = 0
-    holder = 0
+    linked = n_links = holder = 0
 
     def end_block() -> None:
-        nonlocal piece, linked
+        nonlocal piece, linked, n_links
         if piece:
-            text = _SPACE.sub(" ", unescape("".join(piece))).strip()
+            text = _SPACE.sub(" ", "".join(piece)).strip()
             if text:
-                blocks.append((holder, text))
-                node = nodes[holder]
-                plain = max(0, len(text) - linked)
-                node.own += plain * plain / (len(text) or 1)
-            piece, linked = [], 0
+                blocks.append((holder, text, nodes[holder].tag in _HEADINGS))
+                node, n = nodes[holder], len(text)
+                plain = max(0, n - linked)
+                node.own += plain * plain / n
+                node.size, node.linked, node.n_links = node.size + n, node.linked + min(n, linked), node.n_links + n_links
+            piece, linked, n_links = [], 0, 0
 
     def pop_to(depth: int) -> None:
         nonlocal holder
+        for i in stack[depth:]:
+            open_tags[nodes[i].tag] -= 1
         del stack[depth:]
-        holder = stack[-1]
+        for i in reversed(stack):  # inline elements hold no blocks
+            if nodes[i].tag not in _INLINE:
+                holder = i
+                break
 
     def add(raw: str) -> None:
         nonlocal linked
         top = nodes[stack[-1]]
-        if not top.dropped:
-            piece.append(raw)
+        if not top.gone:
+            text = unescape(raw) if "&" in raw else raw
+            piece.append(text)
             if top.links:
-                linked += len(raw)
+                linked += len(text)
 
     at = 0
     for m in _TAG.finditer(html):
@@ -134,6 +174,8 @@ def read_page(html: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             continue
         tag = tag.lower()
         if m[2]:
+            if not open_tags[tag]:
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == tag:
                     if tag not in _INLINE:
@@ -149,12 +191,13 @@ def read_page(html: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             elif tag == "hr":
                 end_block()
             continue
-        if tag not in _INLINE:
+        inline = tag in _INLINE
+        if not inline:
             end_block()
             closing, scope = _ENDS.get(tag, ((), ()))
             if tag in _CLOSES_P:
                 closing, scope = (*closing, "p"), (*scope, "article", "td", "li", "button")
-            if closing:
+            if any(open_tags[t] for t in closing):
                 for depth in range(len(stack) - 1, 0, -1):
                     name = nodes[stack[depth]].tag
                     if name in closing:
@@ -162,103 +205,148 @@ def read_page(html: str) -> tuple[list[_Node], list[tuple[int, str]]]:
                         break
                     if name in scope or (tag in _CLOSES_P and tag not in _ENDS and name not in _INLINE):
                         break
-            if tag == "html" or tag == "body":
-                if any(nodes[i].tag == tag for i in stack):
-                    continue
+            if tag in ("html", "body") and open_tags[tag]:
+                continue
         up = stack[-1]
         parent = nodes[up]
         if m[4].rstrip().endswith("/") and tag not in _CONTAINERS:
             continue
-        step, dropped = _step(tag, m[4], False)
-        inline = tag in _INLINE
-        path = parent.path if inline or tag in ("html", "p") else f"{parent.path}/{step}"
-        nodes.append(_Node(tag, path, parent.dropped or dropped, parent.links or tag == "a", up))
-        stack.append(len(nodes) - 1)
+        step, hidden, role, words = _look(tag, m[4])
+        plain = inline or tag in ("html", "p")
+        key = parent.key if plain else xxhash.xxh64_intdigest(step, parent.key) >> 1
+        gone = parent.gone or hidden or tag in _GONE or (inline and _named(words, _ADS))
+        node = _Node(tag, step, key, parent.depth + (not plain), gone, parent.links or tag == "a", up)
+        node.inside = parent.inside or tag in ("article", "main")
+        if tag == "a":
+            n_links += 1
         if not inline:
-            holder = stack[-1]
+            node.content = not words.isdisjoint(_CONTENT_NAMES)
+            frame = tag in _FRAME or role
+            if tag not in ("html", "body", "main"):
+                frame = frame or _named(words, _FRAME_NAMES if tag in _TEXT_TAGS or tag == "article" else _BLOCK_NAMES)
+            if (tag == "header" or not words.isdisjoint(("header", "head"))) and tag not in _TEXT_TAGS:
+                frame = frame or not (parent.inside or node.content)  # an article's own header holds its title
+            node.suspect = frame
+            node.anchor = tag in ("h1", "main") or (tag == "article" and not frame)
+            holder = len(nodes)
+        open_tags[tag] += 1
+        nodes.append(node)
+        stack.append(len(nodes) - 1)
     if at < len(html):
         add(html[at:])
     end_block()
+    _judge(nodes)
     return nodes, blocks
 
 
-def _container(nodes: list[_Node], i: int) -> int:
-    while i > 0 and nodes[i].tag not in _CONTAINERS:
-        i = nodes[i].up
-    return i
+def _judge(nodes: list[_Node]) -> None:
+    """Which elements are the frame's: told by name or element, unless they hold the heading and most of the text."""
+    for n in nodes:
+        n.mass = n.own
+    for n in reversed(nodes[1:]):
+        up = nodes[n.up]
+        up.mass, up.size, up.linked, up.n_links, up.anchor = up.mass + n.mass, up.size + n.size, up.linked + n.linked, up.n_links + n.n_links, up.anchor or n.anchor
+    half = nodes[0].mass / 2
+    for n in nodes[1:]:
+        links_only = n.tag in ("ul", "ol") and n.n_links >= 3 and n.linked >= 0.9 * n.size
+        n.dropped = nodes[n.up].dropped or n.gone or links_only or (n.suspect and not (n.anchor and n.mass >= half))
 
 
-def score_containers(nodes: list[_Node], blocks: list[tuple[int, str]]) -> dict[int, float]:
-    """Score of each container: unlinked text, halved with every container that lies between.
+def _kept(nodes: list[_Node], blocks: list[tuple[int, str, bool]]) -> list[tuple[int, str, bool]]:
+    return [b for b in blocks if not nodes[b[0]].dropped]
+
+
+def score_containers(nodes: list[_Node], blocks: list[tuple[int, str, bool]]) -> dict[int, float]:
+    """Score of each container with kept text: its unlinked text, 0.7 of that for each container that lies between.
 
     ``article`` and ``main`` count twice, a container named like content half as much again.
     """
-    scores: dict[int, float] = {}
-    own: dict[int, float] = {}
-    for i in {i for i, _ in blocks}:
-        c = _container(nodes, i)
-        own[c] = own.get(c, 0.0) + nodes[i].own
-    for c, value in own.items():
-        share = value
-        while True:
-            scores[c] = scores.get(c, 0.0) + share
-            if c <= 0:
-                break
-            c, share = _container(nodes, nodes[c].up), share * 0.7
-    for c in scores:
-        tag, step = nodes[c].tag, nodes[c].path.rpartition("/")[2]
-        scores[c] *= 2.0 if tag in ("article", "main") else 1.5 if _KEPT_NAMES.search(step.replace(".", " ")) else 1.0
-    return scores
+    held = [0.0] * len(nodes)
+    for i in {i for i, _, _ in blocks}:
+        held[i] = nodes[i].own
+    for i in range(len(nodes) - 1, 0, -1):
+        if held[i]:
+            held[nodes[i].up] += held[i] * (0.7 if nodes[i].tag in _CONTAINERS else 1.0)
+    return {
+        i: held[i] * (2.0 if n.tag in ("article", "main") else 1.5 if n.content else 1.0)
+        for i, n in enumerate(nodes)
+        if held[i] and (i == 0 or n.tag in _CONTAINERS)
+    }
 
 
 def _best(scores: dict[int, float]) -> int:
     return max(scores, key=lambda c: (scores[c], -c), default=0)
 
 
-def page_votes(html: str) -> list[tuple[str, float]]:
-    """(path, share of the best score) for every container path of a page."""
+def _label(nodes: list[_Node], i: int, most: int = 12) -> str:
+    """The last steps of a path, for people."""
+    steps = []
+    while i > 0 and len(steps) < most:
+        steps.append(nodes[i].step)
+        i = nodes[i].up
+    return ("" if i > 0 else "/") + "/".join(reversed(steps))
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1
+
+
+def path_texts(nodes: list[_Node], blocks: list[tuple[int, str, bool]], most_share: float = 0.2) -> dict[int, int]:
+    """path -> digest of all texts at it, for paths of plain blocks that hold a small share of the page's text."""
+    texts: dict[int, list[str]] = {}
+    for i, text, heading in blocks:
+        if not heading:
+            texts.setdefault(nodes[i].key, []).append(text)
+    total = sum(len(t) for _, t, _ in blocks)
+    return {k: _digest("\n".join(x)) for k, x in texts.items() if sum(map(len, x)) <= most_share * total}
+
+
+def page_votes(html: str, least: float = 0.1) -> tuple[list[tuple[int, int, str, float]], dict[int, int], int]:
+    """(path, depth, label, share of the best score) for containers of ``least`` of it, texts by path, the page's digest."""
     nodes, blocks = read_page(html)
+    blocks = _kept(nodes, blocks)
     scores = score_containers(nodes, blocks)
     most = max(scores.values(), default=0.0)
-    votes: dict[str, float] = {}
+    votes: dict[int, tuple[int, int, str, float]] = {}
     for c, score in scores.items():
-        if most > 0:
-            votes[nodes[c].path] = max(votes.get(nodes[c].path, 0.0), score / most)
-    return list(votes.items())
+        if score >= least * most > 0:
+            known = votes.get(nodes[c].key)
+            if known is None or known[3] < score / most:
+                votes[nodes[c].key] = (nodes[c].key, nodes[c].depth, _label(nodes, c), score / most)
+    return list(votes.values()), path_texts(nodes, blocks), _digest("\n".join(t for _, t, _ in blocks))
 
 
-def page_text(html: str, path: str | None) -> str:
-    """Text at ``path``, or at the page's own best container where it has no text there."""
+def page_text(html: str, path: int | None, site: frozenset[int] = frozenset()) -> str:
+    """Text at ``path``, or at the page's own best container where it has no text there; ``site``: paths of the site's texts."""
     nodes, blocks = read_page(html)
+    blocks = _kept(nodes, blocks)
+    if site:
+        small = path_texts(nodes, blocks)
+        blocks = [b for b in blocks if b[2] or nodes[b[0]].key not in site or nodes[b[0]].key not in small]
     if not blocks:
         return ""
 
-    def under(wanted: set[int]) -> list[str]:
-        inside = {0: 0 in wanted}
-        out = []
-        for i, text in blocks:
-            trail = []
-            j = i
-            while j not in inside and j not in wanted:
-                trail.append(j)
-                j = nodes[j].up
-            found = inside.get(j, True)
-            for k in trail:
-                inside[k] = found
-            if found:
-                out.append(text)
-        return out
-
-    found: list[str] = []
-    if path is not None:
-        wanted = {i for i, n in enumerate(nodes) if n.path == path and (n.tag in _CONTAINERS or i == 0)}
-        found = under(wanted) if wanted else []
+    def under(wanted) -> list[str]:
+        inside = [False] * len(nodes)
+        for i, n in enumerate(nodes):
+            inside[i] = (n.up >= 0 and inside[n.up]) or wanted(i, n)
+        return [text for i, text, _ in blocks if inside[i]]
+
+    found = under(lambda i, n: n.key == path and (i == 0 or n.tag in _CONTAINERS)) if path is not None else []
     if not found:
-        found = under({_best(score_containers(nodes, blocks))})
+        best = _best(score_containers(nodes, blocks))
+        found = under(lambda i, n: i == best)
     return "\n\n".join(found)
 
 
-_VOTES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("votes", T.DoubleType()), T.StructField("pages", T.LongType())])
+_VOTES = T.StructType(
+    [
+        T.StructField("host", T.StringType()), T.StructField("path", T.LongType()), T.StructField("depth", T.LongType()), T.StructField("label", T.StringType()),
+        T.StructField("votes", T.DoubleType()), T.StructField("pages", T.LongType()), T.StructField("text_min", T.LongType()), T.StructField("text_max", T.LongType()),
+        T.StructField("page_min", T.LongType()), T.StructField("page_max", T.LongType()),
+    ]
+)
+_VOTE_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), *[pa.int64()] * 5]
 
 
 def host_of(url: str = "url"):
@@ -269,30 +357,35 @@ def host_of(url: str = "url"):
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        sums: dict[tuple[str, str], list] = {}  # pre-aggregated by batch: a hot host sends few rows
+        sums: dict[tuple[str, int], list] = {}  # pre-aggregated by batch: a hot host sends few rows
         for batch in slices(whole):
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for path, vote in page_votes(html):
-                    entry = sums.setdefault((host, path), [0.0, 0])
-                    entry[0] += vote
-                    entry[1] += 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([h for h, _ in sums], pa.string()),
-                pa.array([p for _, p in sums], pa.string()),
-                pa.array([v for v, _ in sums.values()], pa.float64()),
-                pa.array([n for _, n in sums.values()], pa.int64()),
-            ],
-            names=_VOTES.names,
-        )
-
-
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes of each host; ties go to the shorter, then the lesser path."""
+                votes, texts, page = page_votes(html)
+                for path, depth, label, vote in votes:
+                    entry = sums.setdefault((host, path), [0, None, 0.0, 0, None, None, None, None])
+                    entry[0], entry[1], entry[2] = depth, label, entry[2] + vote
+                for path, text in texts.items():
+                    e = sums.setdefault((host, path), [0, None, 0.0, 0, None, None, None, None])
+                    e[3:] = (1, text, text, page, page) if not e[3] else (e[3] + 1, min(e[4], text), max(e[5], text), min(e[6], page), max(e[7], page))
+        rows = [(h, p, *e) for (h, p), e in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 10, _VOTE_TYPES)], names=_VOTES.names)
+
+
+def winning_paths(pages: DataFrame, least_pages: int = 4) -> DataFrame:
+    """(host, path, label, site): the path with most votes of each host, and the paths of the site's own texts.
+
+    Ties go to the shallower, then the lesser path. A path's texts are the site's if ``least_pages`` pages or more have
+    it, all with one text, and these pages are not all alike.
+    """
     rows = pages.select(host_of().alias("host"), "html").where("host is not null and html is not null and html <> ''")
-    sums = rows.mapInArrow(_vote, _VOTES).groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    order = F.struct((-F.col("votes")).alias("v"), F.length("path").alias("n"), "path")
-    return sums.groupBy("host").agg(F.min_by("path", order).alias("path"))
+    sums = rows.mapInArrow(_vote, _VOTES).groupBy("host", "path").agg(
+        F.max("depth").alias("depth"), F.max("label").alias("label"), F.round(F.sum("votes"), 6).alias("votes"), F.sum("pages").alias("pages"),
+        *(F.expr(f"{x[-3:]}({x})").alias(x) for x in ("text_min", "text_max", "page_min", "page_max")),
+    )
+    order = F.struct((-F.col("votes")).alias("v"), "depth", "path")
+    own = (F.col("pages") >= least_pages) & (F.col("text_min") == F.col("text_max")) & (F.col("page_min") < F.col("page_max"))
+    best = F.min_by(F.when(F.col("votes") > 0, F.struct("path", "label")), order)
+    return sums.groupBy("host").agg(best.alias("best"), F.collect_set(F.when(own, F.col("path"))).alias("site")).select("host", "best.path", "best.label", "site")
 
 
 _TEXT = T.StructType(
@@ -303,19 +396,19 @@ _TEXT = T.StructType(
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, text=2):
-            paths = batch.column(3).to_pylist()
-            texts = [page_text(html, path) if html else "" for html, path in zip(batch.column(2).to_pylist(), paths)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3)], names=_TEXT.names)
+            more = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            texts = [page_text(html, path, frozenset(site or ())) if html else "" for html, path, site in zip(*more)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(5)], names=_TEXT.names)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page row: page_id, url, text, n_chars, and the host's winning path.
+    """One row per page row: page_id, url, text, n_chars, and the host's winning path (its last steps).
 
     Null and empty pages, and pages of boilerplate alone, have an empty text. Pages of a null or hostless url take
     their own best container. Repeated rows give a row each; extra columns are not read; an empty table gives none.
     Hosts are far fewer than pages: their paths are broadcast below a checked size and joined by shuffle beyond it.
     """
     rows = pages.select(as_long("page_id"), "url", "html", host_of().alias("host"))
-    placed = attach(rows, winning_paths(pages), ["host"], "paths", row_bytes=300)
-    out = placed.select("page_id", "url", "html", "path").mapInArrow(_extract, _TEXT)
+    placed = attach(rows, winning_paths(pages), ["host"], "paths", row_bytes=400)
+    out = placed.select("page_id", "url", "html", "path", "site", "label").mapInArrow(_extract, _TEXT)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, attach, materialise
+from .common import as_long, attach, fresh_name, materialise
 
 _START, _NOW = Window.unboundedPreceding, Window.currentRow
 
@@ -56,42 +56,77 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, laps: int = 2, seed: int = 6) -> DataFrame:
-    """One row per document row: doc_id, source, size, source_size, target, copies, taken.
+def _sized(docs: DataFrame, seed: int, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with columns of the given names: source key, size, and the hash that shuffles."""
+    key, size, h = names
+    return docs.withColumns({key: F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), size: word_count(), h: _queue_key(seed)})
 
-    Null and empty texts have size 0 and are taken 0 words; a null source is a source of its own; repeated rows
-    stand in the queue one after another; an empty table gives no rows. Reruns agree: the order hangs on hashes of
-    doc_id and text alone.
 
-    Within a source the queue is cut by the leading bits of the hash, about the square root of the rows in number,
-    so neither a hot source nor the table of cuts meets in one task. The document that reaches the budget is the
-    last one taken.
+def queue(rows: DataFrame, weights: tuple[float, ...], share: float, laps: int) -> tuple[DataFrame, DataFrame]:
+    """For ``rows(doc_id, source, key, size, h)``: the targets of the sources and where each source's laps end.
+
+    Targets have a row per source. The ends have a row per source and lap: the last unit taken, ``last`` = (h, doc_id,
+    size), and of the rows that are this unit the number taken, ``n_last``.
+
+    Equal rows are counted first and stand one after another. Within a source the queue is cut by the leading bits of
+    the hash, about the square root of the rows in number, so neither a hot source nor the table of cuts meets in one
+    task. The document that reaches the budget is the last one taken.
     """
-    sized = docs.select(as_long("doc_id"), "source", word_count().alias("size"), _queue_key(seed).alias("h"))
-    sized = materialise(sized.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix-sizes")
-    bits = max(1, math.ceil(math.log2(max(1, sized.count())) / 2))
-    sized = sized.withColumn("cut", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - min(32, bits)))
-    cuts = sized.groupBy("key", "cut").agg(F.first("source").alias("source"), F.sum("size").alias("part"))
+    bits = max(1, math.ceil(math.log2(max(1, rows.count())) / 2))
+    cut = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - min(32, bits))
+    units = materialise(rows.withColumn("cut", cut).groupBy("key", "cut", "h", "doc_id", "size").agg(F.first("source").alias("source"), F.count("*").alias("n")), "mix-units")
+    cuts = units.groupBy("key", "cut").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("part"))
     cuts = materialise(cuts, "mix-cuts")
     targets = source_targets(cuts.groupBy("key").agg(F.first("source").alias("source"), F.sum("part").alias("source_size")), weights, share, laps)
+    targets = materialise(targets, "mix-targets")
     earlier = F.coalesce(F.sum("part").over(Window.partitionBy("key").orderBy("cut").rowsBetween(_START, -1)), F.lit(0))
-    placed = attach(cuts.select("key", "cut", earlier.alias("earlier")), targets, ["key"], "mix-targets", row_bytes=120)
-    queued = attach(sized, placed, ["key", "cut"], "mix-places", row_bytes=120)
-    inside = Window.partitionBy("key", "cut").orderBy("h", "doc_id", "size").rowsBetween(_START, _NOW)
-    queued = queued.withColumn("reached", F.col("earlier") + F.sum("size").over(inside))
-    finish = [(F.col("reached") + lap * F.col("source_size")) / F.col("weight") for lap in range(laps)]
-    queued = queued.select("doc_id", "source", "size", "h", "source_size", "target", "budget", "rank", F.array(*finish).alias("finish"))
-    queued = materialise(queued, "mix-queue")
+    placed = attach(cuts.select("key", "cut", earlier.alias("earlier")), targets, ["key"], "mix-sources", row_bytes=120)
+    queued = attach(units.where("size > 0"), placed, ["key", "cut"], "mix-places", row_bytes=120)
+    inside = Window.partitionBy("key", "cut").orderBy("h", "doc_id", "size").rowsBetween(_START, -1)
+    before = F.col("earlier") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))
+    queued = queued.withColumn("before", before).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    reached = F.col("before") + F.col("k") * F.col("size")
+    finish = [(reached + lap * F.col("source_size")) / F.col("weight") for lap in range(laps)]
+    queued = materialise(queued.select("key", "h", "doc_id", "size", "k", "budget", "rank", F.array(*finish).alias("finish")), "mix-queue")
     cut = _cut(queued)
-    if cut is None:
-        copies = F.lit(0)
-    else:
-        time, rank = F.lit(cut["finish"]), F.lit(cut["rank"])
-        copies = F.size(F.filter("finish", lambda x: (x < time) | ((x == time) & (F.col("rank") <= rank))))
-        copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    return queued.withColumn("copies", copies.cast("int")).select(
-        "doc_id", "h", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken")
-    )
+    taken = F.lit(False) if cut is None else (F.col("time") < cut["finish"]) | ((F.col("time") == cut["finish"]) & (F.col("rank") <= cut["rank"]))
+    laps_taken = queued.select("key", "h", "doc_id", "size", "k", "rank", F.posexplode("finish").alias("lap", "time")).where(taken)
+    ends = laps_taken.groupBy("key", "lap").agg(F.max(F.struct("h", "doc_id", "size", "k")).alias("end"))
+    return targets, ends.select("key", "lap", F.struct("end.h", "end.doc_id", "end.size").alias("last"), F.col("end.k").alias("n_last"))
+
+
+def _copies(rows: DataFrame, ends: DataFrame, names: tuple[str, str, str], copies: str, order: list[Column]) -> DataFrame:
+    """``rows`` with how often each is taken: in place, from the ends of its source's laps.
+
+    Only rows equal to an end, which are one document, are numbered, so that as many of them are taken as its lap holds.
+    """
+    key, size, h = names
+    laps, places, place = fresh_name("laps", rows), fresh_name("places", rows), fresh_name("place", rows)
+    told = ends.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("last", "n_last")).alias(laps))  # at most a row per source and lap
+    own = F.struct(F.col(h).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.col(size).alias("size"))
+    # struct order has nulls first, as the queue has
+    passed = F.coalesce(F.size(F.filter(laps, lambda e: own < e["last"])), F.lit(0))
+    rows = attach(rows, told, [key], "mix-ends", row_bytes=400).withColumn(copies, F.when(F.col(size) > 0, passed).otherwise(0))
+    at_end = F.coalesce(F.exists(laps, lambda e: own == e["last"]), F.lit(False)) & (F.col(size) > 0)
+    ended = rows.where(at_end).withColumn(place, F.row_number().over(Window.partitionBy(h, "doc_id", key).orderBy(*order)))
+    more = F.size(F.filter(laps, lambda e: (own == e["last"]) & (F.col(place) <= e["n_last"])))
+    ended = ended.withColumn(copies, F.col(copies) + more).drop(place)
+    return rows.where(~at_end).unionByName(ended).drop(laps)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, laps: int = 2, seed: int = 6) -> DataFrame:
+    """One row per document row: doc_id, source, size, source_size, target, copies, taken.
+
+    Null and empty texts have size 0 and are taken 0 words; a null source is a source of its own; repeated rows
+    stand in the queue one after another; an empty table gives no rows. Reruns agree: the order hangs on hashes of
+    doc_id and text alone.
+    """
+    names = ("key", "size", "h")
+    rows = materialise(_sized(docs.select(as_long("doc_id"), F.col("source").cast("string").alias("source"), "text"), seed, names).drop("text"), "mix-sizes")
+    targets, ends = queue(rows, weights, share, laps)
+    placed = attach(rows, targets.select("key", "source_size", "target"), ["key"], "mix-shares", row_bytes=120)
+    found = _copies(placed, ends, names, "copies", [F.lit(0)])
+    return found.select("doc_id", "h", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def _cut(queued: DataFrame):
@@ -104,7 +139,7 @@ def _cut(queued: DataFrame):
     budget = queued.agg(F.max("budget").alias("b")).first()["b"]
     if not budget:
         return None
-    units = queued.where("size > 0").select(F.explode("finish").alias("finish"), "rank", "size")
+    units = queued.select(F.explode("finish").alias("finish"), "rank", "size")
     ordered = units.repartitionByRange("finish", "rank").sortWithinPartitions("finish", "rank")
     ordered = materialise(ordered.withColumn("slot", F.spark_partition_id()), "mix-order")
     sums = ordered.groupBy("slot").agg(F.sum("size").alias("part"))
@@ -117,10 +152,17 @@ def _cut(queued: DataFrame):
     return here.withColumn("reached", reached).where(F.col("reached") >= budget).agg(F.min(F.struct("finish", "rank")).alias("u")).first()["u"]
 
 
-def mixed_documents(docs: DataFrame, seed: int = 6, **options) -> DataFrame:
-    """The mix itself: all columns of the documents taken, a row for each time one is taken."""
-    taken = mix(docs, seed=seed, **options).groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    keyed = docs.withColumn("_h", _queue_key(seed)).dropDuplicates(["doc_id", "_h"])
-    same = keyed["doc_id"].cast("long").eqNullSafe(taken["doc_id"]) & (keyed["_h"] == taken["h"])
-    rows = keyed.join(taken.select(F.col("doc_id"), "h", "_copies"), same).select(*(keyed[c] for c in docs.columns), "_copies")
-    return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies")
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, laps: int = 2, seed: int = 6) -> DataFrame:
+    """The mix itself: all columns of the documents taken, a row for each time one is taken.
+
+    Texts are not shuffled: each row is dropped or repeated where it lies. Rows of one doc_id and text that differ in
+    other columns are taken in the order of those.
+    """
+    names = tuple(fresh_name(x, docs) for x in ("key", "size", "h"))
+    copies, sized = fresh_name("copies", docs), _sized(docs, seed, names)
+    plain = sized.select(as_long("doc_id"), F.col("source").cast("string").alias("source"), *(F.col(c).alias(n) for c, n in zip(names, ("key", "size", "h"))))
+    _, ends = queue(materialise(plain, "mix-sizes"), weights, share, laps)
+    order = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text", "source")]
+    found = _copies(sized, ends, names, copies, order or [F.lit(0)])
+    rows = found.where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,14 +1,14 @@
 """SimHash near-duplicates: exact tiled comparison of fingerprints with exclusive-or and bit counts.
 
-Fingerprints within ``radius`` bits of each other agree on all bits of one of ``radius + 1`` blocks, so tiles only
-meet inside the groups of one block's value; within a group the fingerprints are sorted by population count, cut
+Cut into ``radius + k`` blocks, fingerprints within ``radius`` bits of each other agree on all bits of some ``k``
+blocks, so tiles only meet inside the groups of one such key; the larger the table, the longer its keys. Within a group the fingerprints are sorted by population count, cut
 into tiles, and tile pairs whose population counts differ by more than the radius are skipped. No link is lost,
 and no pairs but a spanning forest leave a task.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_long, materialise, payloads, slices
+from .common import as_long, fresh_name, materialise, payloads, slices
 from .components import components
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -144,21 +144,34 @@ def _linker(radius: int, tile: int):
     return scan
 
 
+def key_plan(n_rows: int, radius: int, group_rows: int, most_agree: int = 4) -> list[list[tuple[int, int]]]:
+    """The keys that make groups, each as (first bit, bits) pieces.
+
+    A table of ``group_rows`` rows or fewer is one group. Beyond that ``k`` blocks must agree, as few as give groups of
+    about ``group_rows`` random rows: more blocks make more and longer keys, so work stays in proportion to the rows.
+    """
+    if n_rows <= group_rows:
+        return [[(0, 0)]]
+    for agree in range(1, most_agree + 1):
+        blocks = radius + agree
+        edges = [64 * i // blocks for i in range(blocks + 1)]
+        pieces = [(a, b - a) for a, b in zip(edges, edges[1:])]
+        keys = [list(x) for x in itertools.combinations(pieces, agree)]
+        if n_rows <= group_rows << min(sum(b for _, b in k) for k in keys):
+            break
+    return keys
+
+
 def links(reps: DataFrame, n_rows: int, radius: int = 4, tile: int = 256, group_rows: int = 1024, most_rows: int = 8192) -> DataFrame:
     """Edges (u, v) between the ids of distinct fingerprints ``reps(fp, id)`` within ``radius`` bits.
 
-    Each of ``radius + 1`` blocks of the 64 bits makes groups of equal block values; as many bits of a block are used
-    as give about ``group_rows`` rows a group. Groups above ``most_rows`` are cut by a hash into parts, and every pair
-    of parts is a cell of its own, so that no task holds more than a cell of bounded size.
+    Rows are grouped by each key of ``key_plan``. Groups above ``most_rows`` are cut by a hash into parts, and every
+    pair of parts is a cell of its own, so that no task holds more than a cell of bounded size.
     """
-    blocks = radius + 1
-    widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    bits = [min(w, max(0, math.ceil(math.log2(max(1, n_rows / group_rows))))) for w in widths]
-    offset, bands = 0, []
-    for i, (w, b) in enumerate(zip(widths, bits)):
-        key = F.shiftrightunsigned("fp", offset).bitwiseAND(F.lit((1 << b) - 1))
-        bands.append((key + F.lit(i * (1 << max(bits)))).alias(f"g{i}"))
-        offset += w
+    bands = []
+    for i, pieces in enumerate(key_plan(n_rows, radius, group_rows)):
+        parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b) - 1)) for a, b in pieces]
+        bands.append(F.xxhash64(F.lit(i), *parts).alias(f"g{i}"))  # keys that share a hash only meet more rows
     banded = reps.select("fp", "id", F.explode(F.array(*bands)).alias("grp"))
     hot = banded.groupBy("grp").count().where(F.col("count") > most_rows)
     parts = F.ceil(F.col("count") / F.lit(most_rows // 2)).cast("int")
@@ -203,10 +216,19 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents (all columns) whose doc_id is their component's; of repeated rows of that id one stays.
+    """The documents (all columns) whose doc_id is their component's; of repeated rows of that id the least stays.
 
     Rows without a doc_id cannot be named as anyone's copy and stay.
     """
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    keep = near_duplicates(named, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return named.join(keep, named["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
+    repeated, n = fresh_name("repeated", docs), fresh_name("n", docs)
+    prints = near_duplicates(named, **options)
+    chosen = prints.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(n))
+    chosen = chosen.select(F.col("doc_id").alias(repeated), n)
+    rows = named.join(chosen, named["doc_id"].cast("long") == chosen[repeated])
+    once, often = rows.where(F.col(n) == 1), rows.where(F.col(n) > 1)
+    # rows of one id in the order of all their columns as text: the same one stays whatever the partitions
+    order = F.struct(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = often.groupBy(repeated).agg(F.min_by(row, order).alias("row")).select("row.*")
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(least).unionByName(nameless)

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,6 +112,7 @@ class Encoder:
         fresh = list(set().union(*(s for s in split if type(s) is list)).difference(self.number))
         if fresh:
             self._learn(fresh)
+        known = self.n, self.used
         numbers, sizes, number = [], [], self.number.__getitem__
         for pieces in split:
             if type(pieces) is str:  # a piece of its own, for this batch only
@@ -124,7 +126,9 @@ class Encoder:
         counts = self.counts[at]
         ends = np.cumsum(np.array(sizes, np.int64) + 1)
         per_text = np.diff(np.concatenate(([0], np.cumsum(counts)[ends - 1])))
-        return self.flat[ragged(self.starts[at], counts)], per_text
+        ids = self.flat[ragged(self.starts[at], counts)]
+        self.n, self.used = known  # whole texts' ids are forgotten
+        return ids, per_text
 
 
 @functools.lru_cache(maxsize=1)
@@ -133,16 +137,19 @@ def _encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = 2, sample_docs: int = 2000, size: int = 65536) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = 2, sample_docs: int = 2000, sample_chars: int = 16384, sample_ids: int = 4096, size: int = 65536) -> bytes:
     """A dictionary from the serialized ids of at most ``sample_docs`` documents (least hash of the id first).
 
-    The first 4,096 ids of each are enough: dictionaries serve the beginnings of frames. Empty if the sample is too
-    small to train on; frames are then compressed without one.
+    Of a longer text ``sample_chars`` characters are read, from a place that a hash of the id names, and of these
+    ``sample_ids`` ids are used; of an id with several texts the least is read. The sample shapes only how well frames
+    compress. Empty if it is too small to train on; frames are then compressed without a dictionary.
     """
     ids = docs.select(as_long("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(sample_docs)
-    texts = docs.select(as_long("doc_id"), "text").join(F.broadcast(ids), "doc_id").where("length(text) > 0").select(F.substring("text", 1, 16384).alias("text"))
+    texts = docs.select(as_long("doc_id"), "text").join(F.broadcast(ids), "doc_id").where("length(text) > 0")  # the sample's bound bounds the broadcast
+    start = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.lit(1), F.length("text") - sample_chars + 1).cast("long")).cast("int") + 1
+    texts = texts.select("doc_id", F.substr("text", start, F.lit(sample_chars)).alias("text")).groupBy("doc_id").agg(F.min("text").alias("text"))
     encoder = Encoder(tokenizer_path, end_id)
-    samples = [encoder.encode([row["text"].encode()])[0][:4096].astype("<u4").tobytes() for row in texts.toLocalIterator()]
+    samples = [encoder.encode([row["text"].encode()])[0][:sample_ids].astype("<u4").tobytes() for row in texts.toLocalIterator()]
     samples.sort()
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
@@ -150,18 +157,19 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int = 2, samp
         return b""
 
 
-def pack(rows: list[tuple[int | None, int, bytes]], dictionary: bytes, level: int = 3) -> bytes:
-    """A file of ``(doc_id, start, ids as bytes)`` in order."""
+def compressor(dictionary: bytes, level: int = 3):
     data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    compress = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=True, write_checksum=False).compress
-    index, frames, offset = np.zeros(len(rows), _ENTRY), [], 0
-    for k, (doc_id, start, ids) in enumerate(rows):
-        frame = compress(ids)
-        index[k] = (doc_id or 0, start, len(ids) // 4, offset, zlib.crc32(ids), doc_id is None)
-        frames.append(frame)
+    return zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=True, write_checksum=False).compress
+
+
+def pack(rows: list[tuple[int | None, int, int, int, bytes]], digest: bytes) -> bytes:
+    """A file of ``(doc_id, start, number of ids, their CRC, frame)`` in order; ``digest`` is the dictionary's."""
+    index, offset = np.zeros(len(rows), _ENTRY), 0
+    for k, (doc_id, start, n, crc, frame) in enumerate(rows):
+        index[k] = (doc_id or 0, start, n, offset, crc, doc_id is None)
         offset += len(frame)
     table = index.tobytes()
-    return b"".join([_HEAD.pack(MAGIC, hashlib.sha256(dictionary).digest(), len(rows), len(table)), table, *frames])
+    return b"".join([_HEAD.pack(MAGIC, digest, len(rows), len(table)), table, *(r[-1] for r in rows)])
 
 
 class TokenFile:
@@ -190,43 +198,63 @@ class TokenFile:
         return [self.ids(int(k)) for k in np.flatnonzero((self.index["doc_id"] == doc_id) & (self.index["flags"] == 0))]
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, dictionary: bytes | None = None, file_bytes: int = 8 << 20, file_docs: int = 50_000) -> tuple[DataFrame, bytes]:
+_FRAME = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n_ids", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("frame", T.BinaryType())])
+
+
+def frames(docs: DataFrame, tokenizer_path: str, end_id: int, dictionary: bytes, level: int = 3) -> DataFrame:
+    """Every text's ids as one compressed frame, with their number and CRC and the text's digest, which orders equal ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, compress = _encoder(tokenizer_path, end_id), compressor(shared.value, level)
+        for whole in batches:
+            for batch in slices(whole, most=2 << 20):
+                texts = payloads(batch.column(1))
+                ids, counts = encoder.encode(texts)
+                data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                raw = [data[a:b] for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(counts.astype(np.int64)),
+                        pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([compress(x) for x in raw], pa.binary()),
+                    ],
+                    names=_FRAME.names,
+                )
+
+    return docs.select(as_long("doc_id"), "text").mapInArrow(scan, _FRAME)
+
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, dictionary: bytes | None = None, file_bytes: int = 4 << 20, file_docs: int = 50_000) -> tuple[DataFrame, bytes]:
     """Encode, order by doc_id, and write the files; returns the table of files and the dictionary.
 
-    Documents are range-partitioned by doc_id before encoding, so texts are shuffled once and each file holds a
-    range. A partition's documents are cut into files of about ``file_bytes`` of ids. Starts within a partition are
-    counted while encoding; the partitions' sums (one row each) then give what lies before each.
+    Texts are encoded and compressed where they lie; only the frames, a fraction of the texts, are range-partitioned by
+    (doc_id, digest of the text), so each file holds a range and equal doc_ids have one order whatever the partitions. A
+    partition's frames are cut into files of about ``file_bytes``. Starts are counted within a partition; the
+    partitions' sums (one row each) then give what lies before each.
     """
     if dictionary is None:
         dictionary = train_dictionary(docs, tokenizer_path, end_id)
-    rows = docs.select(as_long("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary)
+    made = materialise(frames(docs, tokenizer_path, end_id, dictionary), "frames", compression="uncompressed")
+    rows = made.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    digest = hashlib.sha256(dictionary).digest()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, size, start, rows_before = _encoder(tokenizer_path, end_id), [], 0, 0, 0
+        held, size, start, rows_before = [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, rows_before
-            content = pack(held, shared.value)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([rows_before]), pa.array([len(held)]), pa.array([sum(len(x[2]) for x in held) // 4]), pa.array([content], pa.binary())],
-                names=_FILE.names,
-            )
+            content = [pa.array([rows_before]), pa.array([len(held)]), pa.array([sum(x[2] for x in held)]), pa.array([pack(held, digest)], pa.binary())]
             rows_before += len(held)
             held, size = [], 0
-            return out
+            return pa.RecordBatch.from_arrays(content, names=_FILE.names)
 
-        for whole in batches:
-            for batch in slices(whole, most=2 << 20):
-                ids, counts = encoder.encode(payloads(batch.column(1)))
-                data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
-                for doc_id, n, end in zip(batch.column(0).to_pylist(), counts.tolist(), ends.tolist()):
-                    raw = data[end - 4 * n : end]
-                    held.append((doc_id, start, raw))
-                    start += len(raw) // 4
-                    size += len(raw)
-                    if size >= file_bytes or len(held) >= file_docs:
-                        yield flush()
+        for batch in batches:
+            for doc_id, n, crc, frame in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_ids", "crc", "frame"))):
+                held.append((doc_id, start, n, crc, frame))
+                start += n
+                size += len(frame)
+                if size >= file_bytes or len(held) >= file_docs:
+                    yield flush()
         if held:
             yield flush()
 
@@ -276,6 +304,6 @@ def read_tokens(files: DataFrame, dictionary: bytes) -> DataFrame:
 
 def tokenise(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write and read back. Null and empty texts hold the end id alone; repeated rows each have their place (equal
-    doc_ids by text); rows without doc_id come first, as nulls sort; an empty table has no rows."""
+    doc_ids by the digest of the text); rows without doc_id come first, as nulls sort; an empty table has no rows."""
     files, dictionary = write_tokens(docs, tokenizer_path, **options)
     return read_tokens(files, dictionary)

@@ -10,15 +10,12 @@ backward ratios are carried from lane to lane.
 from __future__ import annotations
 
 import functools
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,8 +113,8 @@ class Layout:
         starts[first[lanes > 0]] = True
         return cls(step, lane, real, starts)
 
-    def lay(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.real.shape)
+    def lay(self, values: np.ndarray, kind: type = float) -> np.ndarray:
+        out = np.zeros(self.real.shape, kind)
         out[self.step, self.lane] = values
         return out
 
@@ -170,9 +167,14 @@ def document_facts(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shingles(words: list[str], width: int = 5) -> np.ndarray:
-    low = " ".join(words).lower().split(" ")
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(x)) for x in zip(*(low[i:] for i in range(min(width, len(low)))))), np.uint64))
+def _shingles(tokens: np.ndarray, width: int = 5) -> np.ndarray:
+    """Distinct hashes of runs of five words, given by their numbers; fewer words are one run."""
+    n = max(1, len(tokens) - width + 1) if len(tokens) else 0
+    out = np.zeros(n, np.uint64)
+    for j in range(min(width, len(tokens))):
+        x = (tokens[j : j + n].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ (x ^ (x >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(32)))
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> float:
@@ -180,107 +182,105 @@ def _similar(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def without_copies(documents: list[tuple[list[str], int]], least: float = 0.8) -> list[tuple[list[str], int]]:
-    """Of documents with one label whose five-word shingles are ``least`` similar, the first.
+def without_copies(documents: list[tuple[np.ndarray, int]], least: float = 0.8) -> list[tuple[np.ndarray, int]]:
+    """Of documents (word numbers, label) with one label whose five-word shingles are ``least`` similar, the first.
 
-    Only documents that share one of four least hashes are compared, by their whole texts.
+    Only documents that share one of four least hashes are compared, by their whole texts. Those without a word go.
     """
     kept, held = [], {}
     odd = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
-    for words, toxic in documents:
-        mine = _shingles(words)
-        keys = [(toxic, j, int((mine * m).min())) for j, m in enumerate(odd)] if len(mine) else []
+    for tokens, toxic in documents:
+        mine = _shingles(tokens)
+        if not len(mine):
+            continue
+        keys = [(toxic, j, int((mine * m).min())) for j, m in enumerate(odd)]
         near = {id(x): x for k in keys for x in held.get(k, ())}.values()
         if any(_similar(mine, x) >= least for x in near):
             continue
-        kept.append((words, toxic))
+        kept.append((tokens, toxic))
         for k in keys:
             held.setdefault(k, []).append(mine)
     return kept
 
 
-def telling_features(documents: list[tuple[list[str], int]], least_ratio: float = 15.0, least_evidence: float = 8.0) -> set[str]:
-    """Features that toxic documents have ``least_ratio`` times as often as clean ones, and not by chance.
+#: Kinds of features that may tell toxic words: not the shortest beginnings and the endings.
+_TELLING = np.array([True, False, True, True, True, True, False])
+
+
+def telling_features(documents: list[tuple[np.ndarray, int]], table: np.ndarray, n_features: int, least_ratio: float = 15.0, least_evidence: float = 8.0) -> np.ndarray:
+    """Which features toxic documents have ``least_ratio`` times as often as clean ones, and not by chance.
 
     Evidence is the log likelihood ratio of a feature's documents being toxic at their own rate rather than at the
     rate of all documents; 8 leaves about three chance finds in ten thousand features.
     """
-    seen = {0: Counter(), 1: Counter()}
-    total = Counter()
-    for words, toxic in documents:
+    seen, total = np.zeros((2, n_features)), np.zeros(2)
+    for tokens, toxic in documents:
+        seen[toxic][np.unique(table[np.unique(tokens)][:, _TELLING])] += 1
         total[toxic] += 1
-        low = {w.lower() for w in words}
-        for kind, n in (("w=", None), ("b=", 4), ("c=", 5), ("d=", 6), ("e=", 7)):
-            seen[toxic].update([kind + x for x in {w[:n] for w in low}])
-    share = total[1] / max(1, total[0] + total[1])
-    out = set()
-    for f, t in seen[1].items():
-        c = seen[0][f]
-        if (t + 0.5) / (total[1] + 1) < least_ratio * (c + 0.5) / (total[0] + 1):
-            continue
+    c, t = seen
+    share = total[1] / max(1, total.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
         rate = t / (t + c)
-        evidence = t * math.log(rate / share) + (c * math.log((1 - rate) / (1 - share)) if c else 0.0)
-        if evidence >= least_evidence:
-            out.add(f)
-    return out
+        evidence = t * np.log(rate / share) + np.where(c > 0, c * np.log((1 - rate) / (1 - share)), 0.0)
+    return (t > 0) & ((t + 0.5) / (total[1] + 1) >= least_ratio * (c + 0.5) / (total[0] + 1)) & (evidence >= least_evidence)
 
 
-def _blocks(documents: list, most_words: int = 400_000) -> Iterator[list]:
+def _blocks(documents: list[tuple[np.ndarray, int]], most_words: int = 400_000) -> Iterator[list]:
     """Runs of documents with about so many words each, one document at least."""
     held, size = [], 0
-    for words, toxic in documents:
-        if held and size + len(words) > most_words:
+    for tokens, toxic in documents:
+        if held and size + len(tokens) > most_words:
             yield held
             held, size = [], 0
-        held.append((words, toxic))
-        size += len(words)
+        held.append((tokens, toxic))
+        size += len(tokens)
     if held:
         yield held
 
 
 def train(documents: list[tuple[str, int]], rounds: int = 20, ridge: float = 0.02, rate: float = 0.4) -> Field:
     """Fit the field and the document model on (text, toxic) pairs: all words of all documents, near copies left out."""
-    kept = without_copies([(_WORD.findall(text), toxic) for text, toxic in documents])
-    telling = telling_features(kept)
+    number: dict[str, int] = {}
+    told = [(np.fromiter((number.setdefault(w, len(number)) for w in _WORD.findall(text.lower())), np.int32), int(toxic > 0)) for text, toxic in documents]
+    kept = without_copies(told)
     model = Field()
-    if not telling or not any(t for _, t in kept):
+    if not any(t for _, t in kept):
         return model
-    number: dict[str, int] = {}
-    parts = []
+    names: dict[str, int] = {}
+    table = np.array([[names.setdefault(f, len(names)) for f in word_features(w)] for w in number], np.int32)
+    telling = telling_features(kept, table, len(names))
+    if not telling.any():
+        return model
+    marked = telling[table].any(1)
+    parts, uses = [], np.zeros(len(number), np.int64)
     for block in _blocks(kept):
-        tokens = np.fromiter((number.setdefault(w, len(number)) for words, _ in block for w in words), np.int32)
-        counts = np.array([len(words) for words, _ in block], np.int64)
-        parts.append((tokens, Layout.of(counts), np.repeat([toxic > 0 for _, toxic in block], counts)))
-    uses, count = sum(np.bincount(tokens, minlength=len(number)) for tokens, _, _ in parts).tolist(), Counter()
-    for w, n in zip(number, uses):
-        for f in word_features(w):
-            count[f] += n
-    names = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= 2))}
-    marked = np.array([any(f in telling for f in word_features(w)) for w in number], bool)
-    table = np.full((len(number), len(word_features(""))), len(names), np.int32)
-    for w, k in number.items():
-        table[k] = [names.get(f, len(names)) for f in word_features(w)]
+        tokens, counts = np.concatenate([t for t, _ in block]), np.array([len(t) for t, _ in block], np.int64)
+        uses += np.bincount(tokens, minlength=len(number))
+        parts.append((tokens, counts, Layout.of(counts), np.repeat([toxic > 0 for _, toxic in block], counts)))
+    often = np.bincount(table.ravel(), np.repeat(uses, table.shape[1]), len(names)) >= 2
+    table = np.where(often[table], table, len(names))  # a feature met once has no weight
     weights, bias, moves = np.zeros(len(names) + 1), -4.0, np.zeros(4)
     m, v = np.zeros(len(names) + 6), np.zeros(len(names) + 6)
-    n = sum(len(tokens) for tokens, _, _ in parts)
+    n = sum(len(tokens) for tokens, *_ in parts)
     for k in range(1, rounds + 1):
-        word_scores = bias + weights[table].sum(1)
+        word_odds = np.exp(np.clip(bias + weights[table].sum(1), -15, 15)).astype(np.float32)  # products stay in range
         error, gap = np.zeros(len(number)), np.zeros(4)
-        for tokens, at, toxic in parts:
+        for tokens, _, at, toxic in parts:
             truth = marked[tokens] & toxic
-            emit = at.lay(_odds(word_scores[tokens]))
+            emit = at.lay(word_odds[tokens], np.float32)
             ahead, behind, enter = chain_ratios(emit, at.real, np.exp(moves), at.starts)
-            p = ahead * behind
-            p /= 1 + p
-            s, r = emit * behind, np.concatenate((enter[None], ahead[:-1]))
+            s, r = emit * behind, np.concatenate((enter[None], ahead[:-1])).astype(np.float32)
             pairs = at.real.copy()
             pairs[0] &= ~at.starts
-            both = np.exp(moves[1:])[:, None, None] * np.stack([s, r, r * s])
-            both /= 1 + both.sum(0)
-            laid = at.lay(truth) > 0
+            go, back, stay = np.exp(moves[1:]).astype(np.float32)
+            both = s * r * stay
+            share = pairs / (1 + go * s + back * r + both)
+            p = ahead * behind
+            p /= 1 + p
+            laid = at.lay(truth, bool)
             before = np.concatenate((np.roll(laid[-1], 1)[None], laid[:-1]))  # a lane that is continued is full
             seen = np.array([laid[0][at.starts].sum(), (~before & laid & pairs).sum(), (before & ~laid & pairs).sum(), (before & laid & pairs).sum()])
-            gap += seen - np.concatenate(([p[0][at.starts].sum()], (both * pairs).sum((1, 2))))
+            gap += seen - np.array([p[0][at.starts].sum(), go * (s * share).sum(), back * (r * share).sum(), (both * share).sum()])
             error += np.bincount(tokens, truth - p[at.step, at.lane], len(number))
         slope = np.bincount(table.ravel(), np.repeat(error, table.shape[1]), len(names) + 1)
         slope[-1] = 0
@@ -290,14 +290,11 @@ def train(documents: list[tuple[str, int]], rounds: int = 20, ridge: float = 0.0
         move = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
         weights, bias, moves = weights + move[: len(weights)], bias + move[len(weights)], moves + move[len(weights) + 1 :]
         weights[-1] = 0
-    model.weights = {f: float(weights[k]) for f, k in names.items() if abs(weights[k]) > 1e-3}
+    weights[np.abs(weights) <= 1e-3] = 0
+    model.weights = {f: float(weights[k]) for f, k in names.items() if weights[k]}
     model.bias, model.moves = float(bias), tuple(moves.tolist())
-    memo = Emissions(model)
-    facts = []
-    for block in _blocks(kept):
-        counts = np.array([len(words) for words, _ in block], np.int64)
-        facts.append(document_facts(model.marginals(np.fromiter((memo[w] for words, _ in block for w in words), float), counts), counts))
-    facts = np.concatenate(facts)
+    word_scores = bias + weights[table].sum(1)
+    facts = np.concatenate([document_facts(model.marginals(word_scores[tokens], counts), counts) for tokens, counts, *_ in parts])
     target, beta = np.array([t for _, t in kept], float), np.zeros(4)
     for _ in range(30):  # Newton's steps with a ridge
         q = 1 / (1 + np.exp(-np.clip(facts @ beta, -30, 30)))

@@ -40,6 +40,58 @@ def test_html_blocks_and_boilerplate():
     assert html_extract.page_text(PAGE, None) == "Head & line\n\nFirst paragraph that is long enough to count as running text.\n\nSecond one broken."
 
 
+RUNNING = "Running text that is long enough to count, with more of it. " * 3
+
+
+def in_site(inner):
+    return html_extract.page_text(f"<html><body><div class='site'>{inner}</div></body></html>", None)
+
+
+@pytest.mark.parametrize("name", "main-nav main-navigation sidebar-content entry-footer post-comments comment-body content-ad text-ad promo-text story-alert siteFooter cookieBanner navContent".split())
+def test_html_frame_names_are_told_whatever_else_they_say(name):
+    got = in_site(f"<div class='content'><h1>Head</h1><p>{RUNNING}</p><div class='{name}'><p>BAD {RUNNING}</p></div><p>End.</p></div>")
+    assert got == f"Head\n\n{RUNNING.strip()}\n\nEnd."
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        f"<article><header><h1>Head</h1></header><p>{RUNNING}</p></article>",
+        f"<article><h1>Head</h1><p class=side>{RUNNING}</p></article>",
+        f"<article><h1>Head</h1><p class='share foot'>{RUNNING}</p></article>",
+        f"<div class='content has-sidebar comments-open'><h1>Head</h1><p>{RUNNING}</p></div>",
+        f"<form id=page><div><h1>Head</h1><p>{RUNNING}</p></div></form>",
+        f"<div class='sidebar-layout'><div><h1>Head</h1><p>{RUNNING}</p></div><div class=sidebar>No</div></div>",
+        f"<header><p>Site</p></header><div class=post><div class=entry-header><h1>Head</h1></div><p>{RUNNING}</p></div>",
+        f"<article><h1>Head</h1><p>{RUNNING}</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></article>",
+        f"<article><h1>Head</h1><p>{RUNNING}</p></article><article class=comment><p>{RUNNING}</p><p>{RUNNING}</p></article>",
+    ],
+)
+def test_html_articles_keep_what_is_theirs(inner):
+    assert in_site(inner) == f"Head\n\n{RUNNING.strip()}"
+
+
+def test_html_references_are_decoded_within_one_piece_of_text():
+    assert in_site("<article><p>&<b>lt;</b> &amp; &lt;p&gt; &am<!-- x -->p; &#233;</p></article>") == "&lt; & <p> &amp; é"
+
+
+def test_html_deep_and_long_pages():
+    assert html_extract.page_text("<div class=a>" * 50_000 + "deep text" + "</div>" * 50_000, None) == "deep text"
+    assert len(html_extract.page_votes("<div class=a>" * 50_000 + "deep text")[0]) < 20
+    assert html_extract.page_text("<div>" * 20_000 + "</b></p></li>" * 20_000 + "x", None) == "x"
+    long = "<article>" + "".join(f"<p>Paragraph {i} of a long page.</p>" for i in range(30_000)) + "</article>"
+    assert html_extract.page_text(long, None).count("\n\n") == 29_999
+
+
+def test_html_texts_of_the_site_are_told_by_the_host(spark):
+    page = "<html><body><div><h1>Title {i}</h1><p>" + RUNNING + " {i}</p><p class=x>" + RUNNING + " {i}</p><div class=tagline>Best in town.</div></div></body></html>"
+    rows = [(i, f"https://a.example/{i}", page.format(i=i), "x", "y") for i in range(5)] + [(9, "https://b.example/", page.format(i=9), "x", "y")] * 5
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string")
+    got = html_extract.extract(table).collect()
+    assert len(got) == 10 and all("Best" not in r["text"] and r["text"].startswith("Title") for r in got if r["page_id"] < 9)
+    assert all("Best" in r["text"] for r in got if r["page_id"] == 9)  # copies of one page tell nothing
+
+
 def test_html_host_vote_beats_an_odd_page(spark):
     odd = "<body><div class='post-7 content'><p>Short.</p></div><div class='offers'><p>" + "Very long offer text. " * 40 + "</p></div></body>"
     rows = [(i, f"https://h.example/{i}", PAGE.replace("post-12", f"post-{i}")) for i in range(6)] + [(9, "https://h.example/9", odd), (10, None, None), (11, "nohost", ""), (12, "https://h.example/x", "<nav>only</nav>")]
@@ -88,6 +140,24 @@ def test_quality_verdicts(spark):
     assert quality_rules.judge(docs(spark, [])).count() == 0
 
 
+def test_label_model_recovers_known_accuracies():
+    rng = np.random.default_rng(3)
+    n, on_good, on_bad, speaks = 200_000, np.array([0.99, 0.97, 0.95, 0.98]), np.array([0.9, 0.6, 0.8, 0.4]), np.array([1, 0.9, 0.7, 0.8])
+    good = rng.random(n) < 0.8
+    right = rng.random((n, 4)) < np.where(good[:, None], on_good, on_bad)
+    votes = np.where(right == good[:, None], 1, -1) * (rng.random((n, 4)) < speaks)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality_rules.fit_label_model(patterns.astype(float), counts.astype(float), list("abcd"), rounds=2000)
+    assert abs(model.prior - 0.8) < 0.02
+    assert np.allclose(list(model.on_good.values()), on_good, atol=0.01) and np.allclose(list(model.on_bad.values()), on_bad, atol=0.05)
+
+
+def test_quality_of_repeats_and_null_ids(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = quality_rules.judge(docs(spark, [text, text, text], ids=[None, 4, 4])).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["4", "4", "None"] and len({(r["kept"], r["posterior"]) for r in rows}) == 1
+
+
 def test_quality_agrees_with_labels(spark):
     got = queries()["op2_quality_weak_supervision"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("NOT base_failed")
     row = got.agg(F.avg(F.expr("double(kept = (quality = 1))")).alias("right")).first()
@@ -162,6 +232,43 @@ def test_simhash_hot_groups_are_cut_into_cells(spark):
                 assert forest.root(i) == forest.root(j)
 
 
+def test_simhash_keys_lose_no_link_at_any_size():
+    rng = random.Random(2)
+    for n in (10, 5_000, 10**7, 10**10, 10**12):
+        keys = simhash.key_plan(n, 4, 1024)
+        for _ in range(300):
+            flips = [rng.randrange(64) for _ in range(4)]
+            x = sum({1 << f for f in flips})
+            assert any(all(not (x >> a) & ((1 << b) - 1) for a, b in pieces) for pieces in keys)
+        assert n <= 1024 or 2 ** min(sum(b for _, b in k) for k in keys) * 1024 >= n
+
+
+@pytest.mark.parametrize("group_rows", [1, 4])
+def test_simhash_links_by_longer_keys(spark, group_rows):
+    rng = random.Random(8)
+    base = [rng.getrandbits(63) for _ in range(300)]
+    prints = sorted({b ^ sum({1 << rng.randrange(63) for _ in range(rng.randrange(5))}) for b in base for _ in range(3)})
+    reps = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, id long")
+    found = simhash.links(reps, len(prints) << 14, radius=4, group_rows=group_rows).collect()
+    forest = simhash._Forest(len(prints))
+    forest.link(np.array([r["u"] for r in found]), np.array([r["v"] for r in found]))
+    for i, p in enumerate(prints):
+        for j in range(i):
+            if (p ^ prints[j]).bit_count() <= 4:
+                assert forest.root(i) == forest.root(j)
+
+
+def test_simhash_long_texts_and_repeated_ids(spark):
+    texts = ["w " * 30_000, "w " * 30_001, "a b c d e", "a b c d e", "z y x w v"]
+    table = docs(spark, texts, ids=[5, 6, 3, 3, 3], langs=["en", "en", "fr", "de", "de"])
+    got = simhash.near_duplicates(table).collect()
+    assert len(got) == 5 and {r["component_id"] for r in got if r["doc_id"] > 3} == {5}
+    for table in (table, table.repartition(3)):
+        kept = simhash.deduplicate(table)
+        assert kept.columns == table.columns
+        assert sorted((r["doc_id"], r["lang"], r["text"][:1]) for r in kept.collect()) == [(3, "de", "a"), (5, "en", "w")]
+
+
 def test_simhash_empty_table_and_null_ids(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     assert simhash.deduplicate(docs(spark, ["a b c d e", "a b c d e"], ids=[None, 4])).count() == 2
@@ -292,6 +399,22 @@ def test_mix_targets_and_caps(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mix_of_repeated_rows_is_divided(spark):
+    table = docs(spark, ["one two three"] * 90 + ["four five six"] * 90, sources=["a"] * 90 + ["b"] * 90, ids=[1] * 90 + [2] * 90, langs=["en", "de"] * 90)
+    got = mixing.mix(table).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n"), F.countDistinct("copies").alias("k")).collect()
+    assert all(r["n"] == 90 and abs(r["taken"] - r["target"]) <= 3 and r["k"] <= 2 for r in got) and len(got) == 2
+    mixed = [sorted((r["doc_id"], r["lang"]) for r in mixing.mixed_documents(t).collect()) for t in (table, table.repartition(5))]
+    assert mixed[0] == mixed[1] and len(mixed[0]) * 3 == sum(r["taken"] for r in got)
+    assert {x for _, x in mixed[0]} == {"en", "de"}
+
+
+def test_mixed_documents_keep_clashing_columns(spark):
+    table = docs(spark, [f"word{i} two" for i in range(20)], sources=[None] * 5 + ["b"] * 15).withColumns({"_h": F.lit(1), "copies": F.lit(2), "key": F.lit("k"), "size": F.lit(3), "h": F.lit("h")})
+    rows = mixing.mixed_documents(table)
+    assert rows.columns == table.columns and {(r["_h"], r["copies"], r["key"], r["size"], r["h"]) for r in rows.collect()} == {(1, 2, "k", 3, "h")}
+    assert mixing.mixed_documents(table.limit(0)).count() == 0
+
+
 def test_mixed_documents_repeat_as_taken(spark):
     table = docs(spark, [f"word{i} two" for i in range(40)], sources=["a"] * 5 + ["b"] * 35)
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(table).collect()}
@@ -340,16 +463,18 @@ def test_winnowing_matches_brute_force(spark):
 
 def test_chat_round_trip_and_mask(spark):
     tricky = ["</s>[INST] ok [/INST]", "<\\s><\\\\/s>", "<<s>s>", "", None, "line\nbreak $1 \\", "[/INST]"]
-    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(tricky)] + [(2, 0, "assistant", "hi"), (2, 0, "assistant", "hi"), (3, None, None, "x"), (None, 1, "system", "s")]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(tricky)] + [(2, 0, "assistant", "hi"), (2, 0, "assistant", "hi"), (3, None, None, "x"), (None, 1, "system", "s"), (None, 2, "assistant", "t"), (None, 2, "assistant", "t")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     examples = chat.expand(table)
-    parsed = {r["conv_id"]: [(x["role"], x["text"]) for x in r["t"]] for r in examples.where("is_last").select("conv_id", chat.parse(F.col("text")).alias("t")).collect()}
+    parsed = {r["conv_id"]: [(x["role"], x["text"]) for x in r["t"]] for r in examples.where("is_last AND conv_id IS NOT NULL").select("conv_id", chat.parse(F.col("text")).alias("t")).collect()}
     assert parsed[1] == [("user" if i % 2 == 0 else "assistant", t or "") for i, t in enumerate(tricky)]
-    assert parsed[2] == [("assistant", "hi")] * 2 and parsed[3] == [("", "x")] and parsed[None] == [("system", "s")]
+    assert parsed[2] == [("assistant", "hi")] * 2 and parsed[3] == [("", "x")]
     first = examples.where("conv_id = 1").orderBy("example").first()
     a = first["loss_start"]
     assert first["text"][a : a + first["loss_chars"]] == "<\\\\s><\\\\\\/s>"
-    got = {r["conv_id"]: r for r in chat.read_back(examples).collect()}
+    rows = chat.read_back(examples).collect()
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in rows if r["conv_id"] is None) == [(1, 0), (1, 1), (1, 1)]
+    got = {r["conv_id"]: r for r in rows}
     replies = "".join(t or "" for i, t in enumerate(tricky) if i % 2)
     assert got[1]["loss_sha256"] == hashlib.sha256(replies.encode()).hexdigest() and got[1]["loss_chars"] == len(replies)
     assert got[3]["loss_chars"] == 0 and got[2]["n_turns"] == 2
@@ -450,19 +575,31 @@ def test_tokens_round_trip(spark):
     ids = [9, 3, 5, 5, 2, None, 7, 7, 1]
     library = Tokenizer.from_file(default_tokenizer())
     want, start = [], 0
-    for i, t in sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    for i, t in sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0, xxhash.xxh3_128_digest((x[1] or "").encode()))):
         enc = library.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, start, len(enc), zlib.crc32(np.array(enc, "<u4").tobytes())))
         start += len(enc)
-    got = [tuple(r) for r in token_store.tokenise(docs(spark, texts, ids=ids), default_tokenizer()).collect()]
-    assert sorted(got, key=lambda r: r[1]) == want
+    for table in (docs(spark, texts, ids=ids), docs(spark, texts, ids=ids).repartition(5).withColumnRenamed("source", "digest")):
+        got = [tuple(r) for r in token_store.tokenise(table, default_tokenizer()).collect()]
+        assert sorted(got, key=lambda r: r[1]) == want
     assert token_store.tokenise(docs(spark, []), default_tokenizer()).count() == 0
 
 
+def test_encoder_forgets_texts_that_go_to_the_library_whole():
+    encoder = token_store.Encoder(default_tokenizer(), 2)
+    text = "日本語の文 " * 50
+    first = encoder.encode([text.encode(), b"plain"])[0]
+    used = encoder.used
+    for _ in range(5):
+        assert encoder.encode([text.encode(), b"plain"])[0].tolist() == first.tolist()
+    assert encoder.used == used
+
+
 def test_token_file_reads_one_document_by_its_index():
-    rows = [(k, 0, np.arange(k, k + 50, dtype="<u4").tobytes()) for k in range(40)]
-    shared = token_store.zstandard.train_dictionary(2048, [r[2] for r in rows] * 20).as_bytes()
-    content = token_store.pack(rows, shared)
+    raw = [np.arange(k, k + 50, dtype="<u4").tobytes() for k in range(40)]
+    shared = token_store.zstandard.train_dictionary(2048, raw * 20).as_bytes()
+    compress = token_store.compressor(shared)
+    content = token_store.pack([(k, 0, 50, zlib.crc32(x), compress(x)) for k, x in enumerate(raw)], hashlib.sha256(shared).digest())
     file = token_store.TokenFile(content, shared)
     assert file.find(17)[0].tolist() == list(range(17, 67)) and file.find(99) == []
     with pytest.raises(ValueError):
@@ -487,6 +624,29 @@ def test_queries_agree_with_sql(spark):
         assert sorted(plain(r) for r in got.select(columns).collect()) == sorted(plain(r[i] for i in order) for r in want.fetchall()), name
 
 
+def test_pipeline_stages_take_odd_tables(spark):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs(spark, [None, "", "a b", "a b", "the house and the dog", "the house and the dog"], ids=[None, 1, 2, 2, 3, 4], langs=[None] * 6, sources=[None, "a", "a", "a", None, "b"]).select(table.columns)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), SF).count() == 0, name
+        assert stage(spark, odd, SF).count() >= 2, name
+
+
+def test_storage_of_a_scratch_is_deleted(spark):
+    from clickloom.functions.storage import scratch
+    from clickloom.llm.common import materialise
+
+    with scratch():
+        gone = materialise(spark.range(3), "gone")
+        kept = materialise(spark.range(3), "kept", keep=True)
+        assert gone.count() == 3
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="exist|PATH_NOT_FOUND|FILE"):
+        spark.read.parquet(gone.inputFiles()[0]).count()
+
+
 def test_pipeline_matches_its_stages_by_hand(spark):
     import corpus_pipeline
 
@@ -511,9 +671,9 @@ def test_field_reads_every_word_of_its_documents(spark):
 
 
 def test_near_copies_are_told_by_their_whole_texts():
-    start = [f"w{i}" for i in range(500)]
-    texts = [(start + ["a"], 1), (start + ["b"], 1), (start + [f"x{i}" for i in range(500)], 1), (start + ["a"], 0), ([], 0), ([], 0)]
-    assert toxic_crf.without_copies(texts) == texts[:1] + texts[2:5]
+    start, other = np.arange(500), np.arange(1000, 1500)
+    texts = [(np.append(start, 7001), 1), (np.append(start, 7002), 1), (np.append(start, other), 1), (np.append(start, 7001), 0), (start[:0], 0), (start[:2], 0), (start[:2], 0)]
+    assert [id(x) for x, _ in toxic_crf.without_copies(texts)] == [id(texts[i][0]) for i in (0, 2, 3, 5)]
 
 
 @pytest.mark.parametrize("cut", [1, 3, 256])
