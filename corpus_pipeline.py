@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickloom.functions.storage import scratch
 from clickloom.llm import language_id, mixing, simhash, token_store, winnowing
 from clickloom.llm.common import materialise, table
 from clickloom.llm.queries import default_tokenizer
@@ -64,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():  # a stage's own tables go when its result is written
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return docs
