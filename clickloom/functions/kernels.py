@@ -40,10 +40,18 @@ def derive(df: DataFrame, facts: dict[str, str | Column], keep: Iterable[str] =
     return df.select(KEY, *keep, *((F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in facts.items()))
 
 
-def entropy(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Entropy in nats of a column's non-null values per visitor: ln n - sum(c ln c) / n. Aggregates twice, shuffles once."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(KEY, column).agg(F.count("*").alias("c"))
-    return counts.groupBy(KEY).agg(F.expr("ln(sum(c)) - sum(c * ln(c)) / sum(c)").alias(name))
+def value_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Per visitor and named expression: distinct values ``_u``, rows ``_n``, entropy in nats ``_h``, the top value's rows ``_top``.
+
+    All expressions share one aggregation by (visitor, expression, value); unknown values do not count.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.expr(e).cast("string").alias("v")) for i, e in enumerate(columns.values())))).alias("x")
+    counts = df.select(KEY, each).select(KEY, "x.*").where("v IS NOT NULL").groupBy(KEY, "i", "v").agg(F.count("*").alias("c"))
+    facts = []
+    for i, name in enumerate(columns):
+        c = f"CASE WHEN i = {i} THEN c END"
+        facts += [f"count({c}) AS {name}_u", f"coalesce(sum({c}), 0) AS {name}_n", f"ln(sum({c})) - sum({c} * ln({c})) / sum({c}) AS {name}_h", f"max({c}) AS {name}_top"]
+    return counts.groupBy(KEY).agg(*(F.expr(f) for f in facts))
 
 
 def corr(x: str, y: str, where: str = "TRUE") -> Column:

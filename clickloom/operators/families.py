@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import Settings
-from ..functions.kernels import KEY, by_time, corr, derive, div, entropy, merge, percent_rank_average, ref, runs, share, summarise
+from ..functions.kernels import KEY, by_time, corr, derive, div, merge, ref, runs, share, summarise, value_counts
 
 
 def _names(xs: tuple[str, ...]) -> str:
@@ -20,11 +20,12 @@ def _names(xs: tuple[str, ...]) -> str:
 
 def volume_and_mix(ev: DataFrame, s: Settings) -> DataFrame:
     facts = {"n_events": "count(*)"} | {f"cnt_{x}": f"count_if(event_name = '{x}')" for x in C.EVENT_NAMES}
-    facts |= {"n_active_hours": "count(DISTINCT hour(event_ts))", "night_rate": "avg(double(hour(event_ts) BETWEEN 1 AND 5))"}
-    out = summarise(ev, facts)
+    facts |= {"night_rate": "avg(double(hour(event_ts) BETWEEN 1 AND 5))"}
+    hours = derive(value_counts(ev, {"hour": "hour(event_ts)"}), {"n_active_hours": "hour_u", "hour_entropy": "hour_h"})
+    out = merge(summarise(ev, facts), hours)
     rate = {f"rate_{x}": div(f"cnt_{x}", "n_events") for x in C.EVENT_NAMES}
     out = out.withColumns(rate)
-    out = out.withColumns(
+    return out.withColumns(
         {
             "n_events_log": F.log1p("n_events"),
             "rate_engagement": F.expr("+".join(f"rate_{x}" for x in C.ENGAGEMENT)),
@@ -34,7 +35,6 @@ def volume_and_mix(ev: DataFrame, s: Settings) -> DataFrame:
             "events_per_active_hour": div("n_events", "n_active_hours"),
         }
     ).withColumn("ratio_contact_seller", F.expr("rate_contact / (rate_seller_page_view + 0.01D)"))
-    return merge(out, entropy(ev.withColumn("hour", F.hour("event_ts")), "hour", "hour_entropy"))
 
 
 def _pairs(ev: DataFrame) -> DataFrame:
@@ -47,11 +47,11 @@ def top_bigrams(ev: DataFrame, s: Settings) -> DataFrame:
 
 
 def transitions(ev: DataFrame, s: Settings, vocabulary: list[str]) -> DataFrame:
-    pairs = _pairs(ev)
-    facts = [F.countDistinct("pair").alias("n_bigrams_uniq"), F.expr("avg(double(prev_name = event_name))").alias("self_loop_rate")]
-    told = pairs.groupBy(KEY).agg(*facts, *(share(F.col("pair") == F.lit(x)).alias(f"bg_{x}") for x in vocabulary))
-    told = merge(told, entropy(pairs, "pair", "bigram_entropy"))
-    return ev.groupBy(KEY).agg(F.lit(1).alias("one")).join(told, KEY, "left").drop("one").na.fill(0, ["n_bigrams_uniq"])
+    pair = F.when(F.col("prev_name").isNotNull(), F.concat_ws(">", "prev_name", "event_name"))
+    shares = [share(pair == F.lit(x)).alias(f"bg_{x}") for x in vocabulary]
+    told = ev.groupBy(KEY).agg(F.expr("avg(double(prev_name = event_name))").alias("self_loop_rate"), *shares)
+    pairs = value_counts(ev, {"pair": "CASE WHEN prev_name IS NOT NULL THEN concat_ws('>', prev_name, event_name) END"})
+    return merge(told, derive(pairs, {"n_bigrams_uniq": "pair_u", "bigram_entropy": "pair_h"})).na.fill(0, ["n_bigrams_uniq"])
 
 
 def timing(ev: DataFrame, s: Settings) -> DataFrame:
@@ -69,8 +69,7 @@ def timing(ev: DataFrame, s: Settings) -> DataFrame:
             "dt_rel_iqr": F.expr("(dt_q75 - dt_q25) / (dt_q50 + 1)"),
         }
     )
-    counts = gaps.groupBy(KEY, "bucket").agg(F.count("*").alias("c")).groupBy(KEY)
-    spread = counts.agg(F.expr("ln(sum(c)) - sum(c * ln(c)) / sum(c)").alias("dt_log_entropy"), F.expr("max(c) / sum(c)").alias("dt_mode_share"))
+    spread = derive(value_counts(gaps, {"bucket": "bucket"}), {"dt_log_entropy": "bucket_h", "dt_mode_share": "bucket_top / bucket_n"})
     span = summarise(ev, {"n": "count(*)", "span_h": "(max(sec) - min(sec)) / 3600D"})
     span = derive(span, {"span_h": "span_h", "events_per_h": "n / greatest(span_h, 1 / 60D)"})
     return merge(span, out, spread)
@@ -90,17 +89,17 @@ def sessions(ev: DataFrame, s: Settings) -> DataFrame:
 
 def content(ev: DataFrame, s: Settings) -> DataFrame:
     columns = ("item_category", "item_location", "item_id", "search_query")
-    facts = {"n": "count(*)", "known": "count(seller_type)", "pro": "count_if(seller_type = 'pro')"}
-    facts |= {f"u_{c}": f"count(DISTINCT {c})" for c in columns} | {f"n_{c}": f"count({c})" for c in columns}
-    base = summarise(ev, facts)
+    base = summarise(ev, {"n": "count(*)", "known": "count(seller_type)", "pro": "count_if(seller_type = 'pro')"})
+    values = value_counts(ev, {c: c for c in columns})
+    base = merge(base, values).na.fill(0, [f"{c}_{x}" for c in columns for x in "un"])
     out: dict[str, object] = {}
     for c in columns:
-        out |= {f"{c}_nuniq": f"u_{c}", f"{c}_uniq_ratio": div(f"u_{c}", f"n_{c} + 1"), f"{c}_per_event": div(f"u_{c}", "n")}
+        out |= {f"{c}_nuniq": f"{c}_u", f"{c}_uniq_ratio": div(f"{c}_u", f"{c}_n + 1"), f"{c}_per_event": div(f"{c}_u", "n"), f"{c}_entropy": f"{c}_h"}
     out |= {
-        "seller_pro_rate": div("pro", "known"), "seller_known_rate": div("known", "n"), "item_repeat_rate": F.expr("1 - u_item_id / (n_item_id + 1D)"),
-        "items_per_category": div("u_item_id", "u_item_category + 1"), "locations_per_category": div("u_item_location", "u_item_category + 1"),
+        "seller_pro_rate": div("pro", "known"), "seller_known_rate": div("known", "n"), "item_repeat_rate": F.expr("1 - item_id_u / (item_id_n + 1D)"),
+        "items_per_category": div("item_id_u", "item_category_u + 1"), "locations_per_category": div("item_location_u", "item_category_u + 1"),
     }
-    return merge(derive(base, out), *(entropy(ev, c, f"{c}_entropy") for c in columns))
+    return derive(base, out)
 
 
 def pagination(ev: DataFrame, s: Settings) -> DataFrame:
@@ -139,7 +138,7 @@ def pointer(ev: DataFrame, s: Settings, prefix: str = "") -> DataFrame:
         _moves(ev),
         {
             "ptr_x_std": "stddev_samp(pointer_x)", "ptr_y_std": "stddev_samp(pointer_y)", "ptr_x_mean": "avg(pointer_x)", "ptr_y_mean": "avg(pointer_y)",
-            "ptr_bbox": "(max(pointer_x) - min(pointer_x)) * (max(pointer_y) - min(pointer_y))", "ptr_uniq_share": "count(DISTINCT pointer_x, pointer_y) / double(count(*))",
+            "ptr_bbox": "(max(pointer_x) - min(pointer_x)) * (max(pointer_y) - min(pointer_y))", "ptr_uniq_share": "size(collect_set(struct(pointer_x, pointer_y))) / double(count(*))",
             "ptr_step_med": "percentile(step, 0.5)", "ptr_step_std": "stddev_samp(step)", "ptr_speed_med": "percentile(speed, 0.5)", "ptr_speed_max": "max(speed)",
             "ptr_step_cv": "stddev_samp(step) / (avg(step) + 1)",
         },
@@ -159,14 +158,16 @@ def pointer_deep(ev: DataFrame, s: Settings) -> DataFrame:
         "ptrd_turn_med": "percentile(turn, 0.5)", "ptrd_turn_std": "stddev_samp(turn)", "ptrd_reversal_share": "avg(double(turn > pi() / 2))",
         "ptrd_x_mod10": "avg(double(pointer_x % 10 = 0))", "ptrd_y_mod10": "avg(double(pointer_y % 10 = 0))",
         "ptrd_edge_share": f"avg(double(pointer_x <= 1 OR pointer_y <= 1 OR pointer_x >= {width - 1} OR pointer_y >= {height - 1}))",
-        "ptrd_centre_dist_med": "percentile(centre, 0.5)", "ptrd_centre_dist_std": "stddev_samp(centre)", "ptrd_quadrants": "count(DISTINCT quadrant)",
-        "ptrd_bbox_fill": f"(max(pointer_x) - min(pointer_x)) * (max(pointer_y) - min(pointer_y)) / {float(width * height)}D", "places": "count(DISTINCT pointer_x, pointer_y)", "n": "count(*)",
+        "ptrd_centre_dist_med": "percentile(centre, 0.5)", "ptrd_centre_dist_std": "stddev_samp(centre)", 
+        "ptrd_bbox_fill": f"(max(pointer_x) - min(pointer_x)) * (max(pointer_y) - min(pointer_y)) / {float(width * height)}D", 
         "ptrd_speed_q10": "percentile(speed, 0.1)", "ptrd_speed_q90": "percentile(speed, 0.9)", "ptrd_speed_std": "stddev_samp(speed)",
     }
     out = seen.groupBy(KEY).agg(*(F.expr(e).alias(n) for n, e in facts.items()), corr("pointer_x", "pointer_y").alias("ptrd_xy_corr"))
-    out = out.withColumns({"ptrd_straightness": F.expr("ends / (ptrd_path_len + 1)"), "ptrd_repeat_share": F.expr("1 - places / double(n)")}).drop("ends", "places", "n")
+    out = out.withColumns({"ptrd_straightness": F.expr("ends / (ptrd_path_len + 1)"), }).drop("ends")
     cover = summarise(ev, {f"ptrd_cover_{x}": f"avg(CASE WHEN event_name = '{x}' THEN double(pointer_x IS NOT NULL) END)" for x in ("item_view", "search_results_view", "photo_swipe")})
-    return merge(out, entropy(seen, "step_bucket", "ptrd_step_entropy"), entropy(seen, "quadrant", "ptrd_quadrant_entropy"), cover)
+    values = value_counts(seen, {"step": "step_bucket", "quadrant": "quadrant", "place": "concat_ws(':', pointer_x, pointer_y)"})
+    values = derive(values, {"ptrd_step_entropy": "step_h", "ptrd_quadrant_entropy": "quadrant_h", "ptrd_quadrants": "quadrant_u", "ptrd_repeat_share": "1 - place_u / double(place_n)"})
+    return merge(out, values, cover)
 
 
 def user_agent_facts(ev: DataFrame, s: Settings) -> DataFrame:
@@ -199,12 +200,13 @@ def client(ev: DataFrame, s: Settings) -> DataFrame:
     own = own.join(agents, "user_agent", "left").join(devices, "device", "left")
     part = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0)) / F.sum("c")
     agent = F.col("user_agent")
-    facts = {"n_user_agents": F.countDistinct("user_agent"), "ua_headless_rate": part(agent.contains("Headless")), "ua_mobile_rate": part(agent.rlike("(?i)Android|iPhone|Mobile"))}
+    facts = {"n_user_agents": F.size(F.collect_set("user_agent")), "ua_headless_rate": part(agent.contains("Headless")), "ua_mobile_rate": part(agent.rlike("(?i)Android|iPhone|Mobile"))}
     facts |= {f"uafam_{f}": part(F.col("family") == F.lit(f)) for f in families}
     facts |= {"ua_script_rate": part(F.col("family").isin(*C.SCRIPT_CLIENTS)), "ua_app_version": F.max("app_version"), "ua_os_version": F.max("os_version"), "ua_browser_version": F.max("browser_version")}
     facts |= {"ua_device_freq": F.expr("sum(device_freq * c) / sum(IF(device_freq IS NOT NULL, c, NULL))"), "ua_freq_min": F.min("ua_freq"), "ua_freq_mean": F.expr("sum(ua_freq * c) / sum(c)")}
-    shares = ev.groupBy(KEY).agg(*(share(F.col("platform") == F.lit(p)).alias(f"plat_{p}") for p in C.PLATFORMS), F.countDistinct("platform").alias("n_platforms"))
-    return merge(shares, entropy(ev, "platform", "platform_entropy"), own.groupBy(KEY).agg(*(c.alias(n) for n, c in facts.items())))
+    shares = ev.groupBy(KEY).agg(*(share(F.col("platform") == F.lit(p)).alias(f"plat_{p}") for p in C.PLATFORMS))
+    platforms = derive(value_counts(ev, {"platform": "platform"}), {"n_platforms": "platform_u", "platform_entropy": "platform_h"})
+    return merge(shares, platforms, own.groupBy(KEY).agg(*(c.alias(n) for n, c in facts.items())))
 
 
 def id_structure(ev: DataFrame, s: Settings) -> DataFrame:

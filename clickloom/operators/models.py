@@ -113,7 +113,7 @@ def estimate_rounds(df: DataFrame, columns: list[str], k: int = 3, most: int = 6
             held = flagged(folds.where(F.col("fold") == f).drop("fold"), columns).withColumn("weight", F.lit(1.0))
             for stage in model.stages[:-1]:
                 held = stage.transform(held)
-            losses = model.stages[-1].evaluateEachIteration(held.withColumn("target", F.col("target").cast("double")), "logistic")
+            losses = model.stages[-1].evaluateEachIteration(held.withColumn("target", F.col("target").cast("double")))
             at = 0
             for i, loss in enumerate(losses):
                 if loss < losses[at]:

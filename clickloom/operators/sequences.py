@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer, NGram
-from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import EVENT_CODES, Settings
 from ..functions.kernels import KEY
+from ..functions.storage import written
 
 
 def _letters(cuts: tuple[int, ...], of: str = "dt", names: str = "abcdefgh") -> str:
@@ -67,37 +67,56 @@ def token_documents(ev: DataFrame, s: Settings) -> DataFrame:
 def sequence_svd(documents: DataFrame, fit_ids: DataFrame, column: str, prefix: str, most_words: int, components: int = 8, min_docs: float = 20, terms: int = 400) -> DataFrame:
     """Truncated SVD of smoothed TF-IDF of word n-grams, fitted on ``fit_ids``; signs make the largest loading positive.
 
-    Weights are (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), then each row has length 1. All is NULL if no term is in
-    ``min_docs`` documents.
+    The terms are the ``terms`` most frequent n-grams of ``min_docs`` fit documents or more. Weights are
+    (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), then each row has length 1. All is NULL if there is no such term.
+
+    N-grams are counted once per visitor and written. The terms and the Gram matrix, terms by terms and so bounded, come
+    to the driver; its eigenvectors are the right singular vectors.
     """
     rows = documents.select(KEY, column)
     for n in range(1, most_words + 1):
         rows = NGram(n=n, inputCol=column, outputCol=f"g{n}").transform(rows)
-    rows = rows.select(KEY, F.concat(*(f"g{n}" for n in range(1, most_words + 1))).alias("grams"))
-    fit_rows = rows.join(fit_ids, KEY, "left_semi")
-    common = fit_rows.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    if common.isEmpty():
-        return documents.select(KEY, *(F.lit(None).cast("double").alias(f"{prefix}_{k}") for k in range(components)))
-    model = CountVectorizer(inputCol="grams", outputCol="tf", minDF=min_docs, vocabSize=terms).fit(fit_rows)
-    width = len(model.vocabulary)
-    counts = lambda d: model.transform(d).select(KEY, vector_to_array("tf").alias("tf"))
-    fit_counts = counts(fit_rows)
-    df = fit_counts.select(F.posexplode("tf").alias("j", "c")).where("c > 0").groupBy("j").agg(F.count("*").alias("df")).collect()  # a row per term
-    n = fit_rows.count()
-    idf = np.full(width, np.log(1.0 + n) + 1)
-    for r in df:
-        idf[r["j"]] = np.log((1 + n) / (1 + r["df"])) + 1
-    weights = F.array(*(F.lit(float(x)) for x in idf))
-
-    def weighed(d: DataFrame) -> DataFrame:
-        w = d.select(KEY, F.zip_with("tf", weights, lambda t, i: F.when(t > 0, (1 + F.log(t)) * i).otherwise(0.0)).alias("w"))
-        norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
-        return w.withColumn("norm", norm).select(KEY, F.transform("w", lambda x: F.coalesce(F.try_divide(x, F.col("norm")), F.lit(0.0))).alias("w"))
-
-    # one pass gives the Gram matrix, terms by terms and so bounded; its eigenvectors are the right singular vectors
-    matrix = RowMatrix(weighed(fit_counts).select("w").rdd.map(lambda r: OldVectors.dense(r["w"])))
-    v = np.linalg.eigh(matrix.computeGramianMatrix().toArray())[1][:, ::-1][:, : min(components, width)]
+    grams = rows.select(KEY, F.explode(F.concat(*(f"g{n}" for n in range(1, most_words + 1)))).alias("gram"))
+    fit_rows = fit_ids.select(KEY).distinct().withColumn("is_fit", F.lit(True))
+    counted = written(grams.groupBy(KEY, "gram").agg(F.count("*").alias("c")).join(fit_rows, KEY, "left"), f"{prefix}-grams")
+    known = counted.where("is_fit").groupBy("gram").agg(F.count("*").alias("df"), F.sum("c").alias("tf"))
+    found = known.where(F.col("df") >= min_docs).orderBy(F.desc("tf"), "gram").limit(terms).collect()
+    names = [f"{prefix}_{k}" for k in range(components)]
+    if not found:
+        return documents.select(KEY, *(F.lit(None).cast("double").alias(n) for n in names))
+    n_fit = documents.select(KEY).join(fit_rows, KEY, "left_semi").count()
+    spark, width = documents.sparkSession, len(found)
+    table = [(r["gram"], j, float(np.log((1 + n_fit) / (1 + r["df"])) + 1)) for j, r in enumerate(found)]
+    vocabulary = F.broadcast(spark.createDataFrame(table, "gram string, j int, idf double"))  # ``terms`` rows
+    weighed = counted.join(vocabulary, "gram").groupBy(KEY).agg(F.max("is_fit").alias("is_fit"), F.collect_list("j").alias("j"), F.collect_list(F.expr("(1 + ln(c)) * idf")).alias("w"))
+
+    def dense(batch: pa.RecordBatch) -> np.ndarray:
+        j, w = (batch.column(batch.schema.get_field_index(c)) for c in "jw")
+        out = np.zeros((batch.num_rows, width))
+        out[np.repeat(np.arange(batch.num_rows), np.diff(j.offsets.to_numpy())), j.flatten().to_numpy()] = w.flatten().to_numpy()
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+    def gram_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            block = dense(batch)
+            total += block.T @ block
+        at = np.flatnonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "value"])
+
+    parts = weighed.where("is_fit").select("j", "w").mapInArrow(gram_parts, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    gram = np.zeros(width * width)
+    for r in parts.toLocalIterator():  # at most terms x terms / 2 rows
+        gram[r["at"]] = r["value"]
+    gram = gram.reshape(width, width)
+    v = np.linalg.eigh(np.triu(gram) + np.triu(gram, 1).T)[1][:, ::-1][:, : min(components, width)]
     v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
-    out = [F.aggregate(F.zip_with("w", F.array(*(F.lit(float(x)) for x in v[:, k])), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias(f"{prefix}_{k}") for k in range(v.shape[1])]
-    out += [F.lit(None).cast("double").alias(f"{prefix}_{k}") for k in range(v.shape[1], components)]
-    return weighed(counts(rows)).select(KEY, *out)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = dense(batch) @ v
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[:, k]) for k in range(got.shape[1]))], names=[KEY, *names[: got.shape[1]]])
+
+    schema = T.StructType([documents.schema[KEY], *(T.StructField(n, T.DoubleType()) for n in names[: v.shape[1]])])
+    placed = documents.select(KEY).join(weighed.select(KEY, "j", "w").mapInArrow(project, schema), KEY, "left").na.fill(0.0, names[: v.shape[1]])
+    return placed.select("*", *(F.lit(None).cast("double").alias(n) for n in names[v.shape[1] :]))

@@ -64,7 +64,8 @@ def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> D
     bigrams, catalog = _vocabularies(ev, s)
     fit_ids = cookies.where("is_fit").select(KEY)
     plain = lambda *families: {f.__name__: (lambda f=f: f(ev, s)) for f in families}
-    svd = lambda column, prefix, words: Q.sequence_svd(Q.token_documents(ev, s), fit_ids, column, prefix, words, min_docs=s.svd_min_docs)
+    documents = Q.token_documents(ev, s).persist()
+    svd = lambda column, prefix, words: Q.sequence_svd(documents, fit_ids, column, prefix, words, min_docs=s.svd_min_docs)
     families = {
         "mix": lambda: B.volume_and_mix(ev, s),
         "transitions": lambda: B.transitions(ev, s, bigrams),
@@ -89,6 +90,7 @@ def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> D
             tables = dict(zip(slowest, written_together({f"features-{name}": families[name] for name in slowest})))
         finally:
             ev.unpersist()
+            documents.unpersist()
         joined = written(merge(cookies.select(KEY), *(tables[name] for name in families)), "features-joined", keep=True)
     return with_relative(joined, cookies)
 

@@ -381,3 +381,28 @@ def test_results_with_absent_columns_and_settings(spark, tmp_path):
     assert [(r["name"], r["ap"]) for r in readers.report_table(rows, "ap").collect()] == [("b", 0.9), ("a", 0.4)]
     readers.write_settings(spark, {"maxDepth": 4, "stepSize": 0.1}, f"{tmp_path}/s")
     assert readers.read_settings(spark, f"{tmp_path}/s") == {"maxDepth": 4, "stepSize": 0.1}
+
+
+def test_sequence_svd_matches_numpy(spark):
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = {i: [rng.choice("SIPL") for _ in range(rng.randrange(1, 30))] for i in range(60)} | {60: ["Z"]}
+    fit_ids = [i for i in texts if i % 4]
+    table = spark.createDataFrame([(i, t) for i, t in texts.items()], "cookie_id long, ordered array<string>")
+    got = {r["cookie_id"]: r for r in sequences.sequence_svd(table, spark.createDataFrame([(i,) for i in fit_ids], "cookie_id long"), "ordered", "seqo", 2, components=3, min_docs=5, terms=12).collect()}
+    grams = {i: [*t, *map(" ".join, itertools.pairwise(t))] for i, t in texts.items()}
+    tf = {g: sum(grams[i].count(g) for i in fit_ids) for i in fit_ids for g in grams[i]}
+    df = {g: sum(g in grams[i] for i in fit_ids) for g in tf}
+    terms = sorted((g for g in tf if df[g] >= 5), key=lambda g: (-tf[g], g))[:12]
+    idf = np.array([np.log((1 + len(fit_ids)) / (1 + df[g])) + 1 for g in terms])
+    x = np.array([[1 + np.log(grams[i].count(g)) if g in grams[i] else 0 for g in terms] for i in texts]) * idf
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    v = np.linalg.svd(x[fit_ids], full_matrices=False)[2][:3].T
+    v *= np.sign(v[np.abs(v).argmax(0), np.arange(3)])
+    want = x @ v
+    assert all(np.allclose([got[i][f"seqo_{k}"] for k in range(3)], want[i], atol=1e-8) for i in texts)
