@@ -62,11 +62,36 @@ def corr(x: str, y: str, where: str = "TRUE") -> Column:
     return F.when((n > 2) & (spread > 1e-9), (n * sxy - sx * sy) / F.sqrt(spread))
 
 
-def percent_rank_average(value: str, *partition: str) -> Column:
-    """Average rank over the group's size, ties sharing their mean rank."""
-    whole = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    same = Window.partitionBy(*partition, value) if partition else Window.partitionBy(value)
-    return (F.rank().over(whole.orderBy(value)) + (F.count("*").over(same) - 1) / 2) / F.count("*").over(whole)
+def running(df: DataFrame, value: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, pieces: int = 1024) -> DataFrame:
+    """``df`` with running sums over all rows of its ``by`` in the order of ``value``, which is distinct there.
+
+    NULL stands first, or last if descending.
+
+    The range of values is cut into ``pieces``; sums of the pieces, at most so many rows for each ``by``, tell what lies
+    before each, and only within a piece a window is taken. So no task holds all the rows.
+    """
+    one = () if by else (F.lit(0).alias("_all"),)
+    keys = list(by) or ["_all"]
+    rows = df.select("*", *one)
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    piece = F.when(F.col("_hi") > F.col("_lo"), F.width_bucket(F.col(value).cast("double"), F.col("_lo").cast("double"), F.col("_hi").cast("double"), F.lit(pieces))).otherwise(1)
+    piece = F.when(F.col(value).isNotNull(), piece).otherwise(-1)
+    rows = rows.join(ends, keys).withColumn("_piece", -piece if descending else piece).drop("_lo", "_hi")
+    told = rows.groupBy(*keys, "_piece").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    told = told.select(*keys, "_piece", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(told, [*keys, "_piece"]).withColumns({n: F.col(f"_before_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
+    return out.drop("_all", "_piece", *(f"_before_{n}" for n in sums))
+
+
+def percent_ranks(df: DataFrame, value: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the average rank of ``value`` over the group's size, ties sharing their mean rank; NULL for NULL."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    told = running(counts, value, {"_upto": "_c"}, by)
+    told = (told.join(total, list(by)) if by else told.join(F.broadcast(total))).select(*by, value, ((F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2) / F.col("_n")).alias(name))
+    return df.join(told, [*by, value], "left")
 
 
 def runs(df: DataFrame, flag: str, keep: str = "flag") -> DataFrame:

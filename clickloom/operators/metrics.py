@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import percent_rank_average
+from ..functions.kernels import percent_ranks, running
 
 
 def pr_curve(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """tp, fp, precision and recall at the end of each group of equal scores, best first, per slice of ``by``."""
     groups = scored.groupBy(*by, "s").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = whole.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = groups.select(*by, "s", "pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("pos").over(whole).alias("n_pos"), F.sum("n").over(whole).alias("n_all"))
+    total = groups.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("n").alias("n_all"))
+    curve = running(groups, "s", {"tp": "pos", "seen": "n"}, by, descending=True)
+    curve = curve.join(total, list(by)) if by else curve.join(F.broadcast(total))  # one row
     return curve.withColumns({"fp": F.expr("seen - tp"), "precision": F.expr("tp / double(seen)"), "recall": F.expr("try_divide(double(tp), double(n_pos))")})
 
 
@@ -63,7 +63,7 @@ def metric_spread(scored: DataFrame, by: str) -> DataFrame:
 
 def rank_average(scores: DataFrame) -> DataFrame:
     """``scores(id, bag, s, w)`` to the weighted mean of each bag's percentile ranks."""
-    ranked = scores.withColumn("r", percent_rank_average("s", "bag"))
+    ranked = percent_ranks(scores, "s", "r", ("bag",))
     return ranked.groupBy("id").agg((F.sum(F.col("r") * F.col("w")) / F.sum("w")).alias("score"))
 
 
@@ -118,7 +118,7 @@ def subgroup_reorder(scores: DataFrame, weight: float = 1.0) -> DataFrame:
     The blend is the percentile rank of ``s`` and, by ``weight``, that of ``r``, both inside the subgroup; equal blends
     stand by id.
     """
-    part = scores.where("inside").withColumns({"a": percent_rank_average("s"), "b": percent_rank_average("r")})
+    part = percent_ranks(percent_ranks(scores.where("inside"), "s", "a"), "r", "b")
     part = part.withColumn("blend", F.round((1 - weight) * F.col("a") + weight * F.col("b"), 12))
     place = lambda *c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*c))
     values = part.select(place("s", "id").alias("k"), F.col("s").alias("new"))

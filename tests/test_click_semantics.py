@@ -47,10 +47,23 @@ def test_metrics_match_pair_counting(spark):
 
 
 def test_percent_rank_shares_ties(spark):
-    df = spark.createDataFrame([(x,) for x in (2, 2, 5, 5, 9)], "x int").withColumn("p", K.percent_rank_average("x"))
+    df = K.percent_ranks(spark.createDataFrame([(x,) for x in (2, 2, 5, 5, 9)], "x int"), "x", "p")
     assert sorted(r["p"] for r in df.collect()) == [0.3, 0.3, 0.7, 0.7, 1.0]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("pieces", [1, 3, 1000])
+def test_running_sums_match_adding(spark, descending, pieces):
+    values = [None, -5.0, -4.999, 0.0, 0.1, 0.2, 7.0, 1e9]
+    rows = [(g, v, i + 1) for g in "ab" for i, v in enumerate(values) if g == "a" or i < 2]
+    got = K.running(spark.createDataFrame(rows, "g string, v double, n long"), "v", {"upto": "n"}, ("g",), descending, pieces).collect()
+    order = lambda v: (v is not None, v or 0)  # noqa: E731  NULL first, and last if descending
+    for r in got:
+        want = sum(n for g, v, n in rows if g == r["g"] and (order(v) >= order(r["v"]) if descending else order(v) <= order(r["v"])))
+        assert r["upto"] == want
+    assert len(got) == len(rows)
+
+
 def test_session_at_exactly_the_gap(spark):
     s = Settings()
     ev = events.enrich(log(spark, (0, "login"), (1800, "login"), (3601, "login")), s)
