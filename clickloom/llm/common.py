@@ -25,11 +25,14 @@ def materialise(df: DataFrame, label: str, keep: bool = False, **options: str) -
     return written(df, label, keep, **options)
 
 
-def attach(left: DataFrame, right: DataFrame, on: list[str], label: str, row_bytes: int, most_bytes: int = 64 << 20, how: str = "left") -> DataFrame:
-    """Join a small table that is written first: broadcast while its counted size stays below ``most_bytes``, shuffled beyond."""
+def attach(left: DataFrame, right: DataFrame, on: list[str], label: str, row_bytes: int | Column, most_bytes: int = 64 << 20, how: str = "left") -> DataFrame:
+    """Join a small table that is written first: broadcast while its measured size stays below ``most_bytes``, shuffled beyond.
+
+    ``row_bytes`` is what a row takes at most, or an expression of it where rows hold arrays or texts.
+    """
     kept = materialise(right, label)
-    small = kept.count() * row_bytes <= most_bytes
-    return left.join(F.broadcast(kept) if small else kept, on, how)
+    size = kept.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes).alias("b")).first()["b"] or 0
+    return left.join(F.broadcast(kept) if size <= most_bytes else kept, on, how)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

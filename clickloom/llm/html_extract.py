@@ -409,6 +409,6 @@ def extract(pages: DataFrame) -> DataFrame:
     Hosts are far fewer than pages: their paths are broadcast below a checked size and joined by shuffle beyond it.
     """
     rows = pages.select(as_long("page_id"), "url", "html", host_of().alias("host"))
-    placed = attach(rows, winning_paths(pages), ["host"], "paths", row_bytes=400)
+    placed = attach(rows, winning_paths(pages), ["host"], "paths", row_bytes=F.octet_length("host") + F.coalesce(F.octet_length("label"), F.lit(0)) + 8 * F.size("site") + 80)
     out = placed.select("page_id", "url", "html", "path", "site", "label").mapInArrow(_extract, _TEXT)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

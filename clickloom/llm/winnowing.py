@@ -209,7 +209,7 @@ def _hits(tagged: DataFrame, keys: DataFrame, row: str, name: str) -> DataFrame:
     """
     windows = tagged.where(F.size(f"{name}.windows") > 0).select(row, F.inline(f"{name}.windows"))
     known = keys.select("words").distinct().withColumn("known", F.lit(True))
-    return attach(windows, known, ["words"], "benchmark-words", row_bytes=160).where("known").drop("known")
+    return attach(windows, known, ["words"], "benchmark-words", row_bytes=F.octet_length("words") + 40).where("known").drop("known")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
@@ -227,11 +227,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     hits = materialise(_hits(tagged, keys, "row", "told"), "benchmark-hits")
     spans = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.array("lo", "hi"))).alias("hit_spans"))
     listed = keys.where("item_id is not null").groupBy("words").agg(F.collect_set("item_id").alias("ids"))
-    met = attach(hits.select("row", "words").distinct(), listed, ["words"], "benchmark-items", row_bytes=200, how="inner")
+    met = attach(hits.select("row", "words").distinct(), listed, ["words"], "benchmark-items", row_bytes=F.octet_length("words") + 8 * F.size("ids") + 60, how="inner")
     items = met.select("row", F.explode("ids").alias("id")).groupBy("row").agg(F.array_sort(F.collect_set("id")).alias("item_ids"))
     facts = spans.join(items, "row", "left")
     none = lambda t: F.array().cast(t)
-    found = attach(tagged.select("row", "doc_id", F.col("told.n_words").alias("n_words")), facts, ["row"], "benchmark-facts", row_bytes=400)
+    size = 48 * F.size("hit_spans") + 8 * F.coalesce(F.size("item_ids"), F.lit(0)) + 80
+    found = attach(tagged.select("row", "doc_id", F.col("told.n_words").alias("n_words")), facts, ["row"], "benchmark-facts", row_bytes=size)
     return found.select("doc_id", "n_words", F.coalesce("hit_spans", none("array<array<bigint>>")).alias("hit_spans"), F.coalesce("item_ids", none("array<bigint>")).alias("item_ids"))
 
 
