@@ -95,23 +95,33 @@ def queue(rows: DataFrame, weights: tuple[float, ...], share: float, laps: int)
     return targets, ends.select("key", "lap", F.struct("end.h", "end.doc_id", "end.size").alias("last"), F.col("end.k").alias("n_last"))
 
 
-def _copies(rows: DataFrame, ends: DataFrame, names: tuple[str, str, str], copies: str, order: list[Column]) -> DataFrame:
+def _near_ends(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """The few rows whose doc_id is one of the ends'."""
+    near = fresh_name("near", rows)
+    ids = materialise(ends.select(F.col("last.doc_id").alias(near)).distinct(), "mix-near")  # at most a row per source and lap
+    small = ids.count() * 16 <= 64 << 20
+    return rows.join(F.broadcast(ids) if small else ids, rows["doc_id"].cast("long").eqNullSafe(ids[near]), "left_semi")
+
+
+def _copies(rows: DataFrame, near: DataFrame, ends: DataFrame, names: tuple[str, str, str], copies: str, order: list[Column]) -> DataFrame:
     """``rows`` with how often each is taken: in place, from the ends of its source's laps.
 
-    Only rows equal to an end, which are one document, are numbered, so that as many of them are taken as its lap holds.
+    Only rows equal to an end, which are one document and among ``near``, are numbered, so that as many of them are
+    taken as its lap holds.
     """
     key, size, h = names
-    laps, places, place = fresh_name("laps", rows), fresh_name("places", rows), fresh_name("place", rows)
-    told = ends.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("last", "n_last")).alias(laps))  # at most a row per source and lap
+    laps, place = fresh_name("laps", rows), fresh_name("place", rows)
+    told = materialise(ends.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("last", "n_last")).alias(laps)), "mix-laps")  # a row per source
+    told = F.broadcast(told) if told.count() * 400 <= 64 << 20 else told
     own = F.struct(F.col(h).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.col(size).alias("size"))
-    # struct order has nulls first, as the queue has
-    passed = F.coalesce(F.size(F.filter(laps, lambda e: own < e["last"])), F.lit(0))
-    rows = attach(rows, told, [key], "mix-ends", row_bytes=400).withColumn(copies, F.when(F.col(size) > 0, passed).otherwise(0))
     at_end = F.coalesce(F.exists(laps, lambda e: own == e["last"]), F.lit(False)) & (F.col(size) > 0)
-    ended = rows.where(at_end).withColumn(place, F.row_number().over(Window.partitionBy(h, "doc_id", key).orderBy(*order)))
+    # struct order has nulls first, as the queue has
+    passed = F.when(F.col(size) > 0, F.coalesce(F.size(F.filter(laps, lambda e: own < e["last"])), F.lit(0))).otherwise(0)
+    placed = rows.join(told, [key], "left").where(~at_end).withColumn(copies, passed)
+    ended = near.join(told, [key], "left").where(at_end)
+    ended = ended.withColumn(place, F.row_number().over(Window.partitionBy(h, "doc_id", key).orderBy(*order)))
     more = F.size(F.filter(laps, lambda e: (own == e["last"]) & (F.col(place) <= e["n_last"])))
-    ended = ended.withColumn(copies, F.col(copies) + more).drop(place)
-    return rows.where(~at_end).unionByName(ended).drop(laps)
+    return placed.unionByName(ended.withColumn(copies, passed + more).drop(place)).drop(laps)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, laps: int = 2, seed: int = 6) -> DataFrame:
@@ -125,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     rows = materialise(_sized(docs.select(as_long("doc_id"), F.col("source").cast("string").alias("source"), "text"), seed, names).drop("text"), "mix-sizes")
     targets, ends = queue(rows, weights, share, laps)
     placed = attach(rows, targets.select("key", "source_size", "target"), ["key"], "mix-shares", row_bytes=120)
-    found = _copies(placed, ends, names, "copies", [F.lit(0)])
+    found = _copies(placed, _near_ends(placed, ends), ends, names, "copies", [F.lit(0)])
     return found.select("doc_id", "h", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
@@ -163,6 +173,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     plain = sized.select(as_long("doc_id"), F.col("source").cast("string").alias("source"), *(F.col(c).alias(n) for c, n in zip(names, ("key", "size", "h"))))
     _, ends = queue(materialise(plain, "mix-sizes"), weights, share, laps)
     order = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text", "source")]
-    found = _copies(sized, ends, names, copies, order or [F.lit(0)])
+    found = _copies(sized, _sized(_near_ends(docs, ends), seed, names), ends, names, copies, order or [F.lit(0)])
     rows = found.where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
