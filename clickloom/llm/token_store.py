@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,47 +197,23 @@ class TokenFile:
         return [self.ids(int(k)) for k in np.flatnonzero((self.index["doc_id"] == doc_id) & (self.index["flags"] == 0))]
 
 
-_FRAME = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n_ids", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("frame", T.BinaryType())])
-
-
-def frames(docs: DataFrame, tokenizer_path: str, end_id: int, dictionary: bytes, level: int = 3) -> DataFrame:
-    """Every text's ids as one compressed frame, with their number and CRC and the text's digest, which orders equal ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compress = _encoder(tokenizer_path, end_id), compressor(shared.value, level)
-        for whole in batches:
-            for batch in slices(whole, most=2 << 20):
-                texts = payloads(batch.column(1))
-                ids, counts = encoder.encode(texts)
-                data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-                raw = [data[a:b] for a, b in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(counts.astype(np.int64)),
-                        pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([compress(x) for x in raw], pa.binary()),
-                    ],
-                    names=_FRAME.names,
-                )
-
-    return docs.select(as_long("doc_id"), "text").mapInArrow(scan, _FRAME)
-
-
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, dictionary: bytes | None = None, file_bytes: int = 4 << 20, file_docs: int = 50_000) -> tuple[DataFrame, bytes]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, dictionary: bytes | None = None, file_bytes: int = 8 << 20, file_docs: int = 50_000, level: int = 3) -> tuple[DataFrame, bytes]:
     """Encode, order by doc_id, and write the files; returns the table of files and the dictionary.
 
-    Texts are encoded and compressed where they lie; only the frames, a fraction of the texts, are range-partitioned by
-    (doc_id, digest of the text), so each file holds a range and equal doc_ids have one order whatever the partitions. A
-    partition's frames are cut into files of about ``file_bytes``. Starts are counted within a partition; the
-    partitions' sums (one row each) then give what lies before each.
+    Documents are range-partitioned by (doc_id, hash of the text) before encoding, so texts are shuffled once, each file
+    holds a range, and equal doc_ids have one order whatever the partitions. Encoding first was measured: the frames
+    would have to be written before they are sampled for ranges, which took more disk than the texts' exchange. A
+    partition's documents are cut into files of about ``file_bytes`` of ids. Starts within a partition are counted while
+    encoding; the partitions' sums (one row each) then give what lies before each.
     """
     if dictionary is None:
         dictionary = train_dictionary(docs, tokenizer_path, end_id)
-    made = materialise(frames(docs, tokenizer_path, end_id, dictionary), "frames", compression="uncompressed")
-    rows = made.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
-    digest = hashlib.sha256(dictionary).digest()
+    hashed = docs.select(as_long("doc_id"), "text", F.xxhash64("text").alias("h"))
+    rows = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, compress, digest = _encoder(tokenizer_path, end_id), compressor(shared.value, level), hashlib.sha256(shared.value).digest()
         held, size, start, rows_before = [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -248,13 +223,17 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, dictiona
             held, size = [], 0
             return pa.RecordBatch.from_arrays(content, names=_FILE.names)
 
-        for batch in batches:
-            for doc_id, n, crc, frame in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_ids", "crc", "frame"))):
-                held.append((doc_id, start, n, crc, frame))
-                start += n
-                size += len(frame)
-                if size >= file_bytes or len(held) >= file_docs:
-                    yield flush()
+        for whole in batches:
+            for batch in slices(whole, most=2 << 20):
+                ids, counts = encoder.encode(payloads(batch.column(1)))
+                data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+                for doc_id, n, end in zip(batch.column(0).to_pylist(), counts.tolist(), ends.tolist()):
+                    raw = data[end - 4 * n : end]
+                    held.append((doc_id, start, n, zlib.crc32(raw), compress(raw)))
+                    start += n
+                    size += len(raw)
+                    if size >= file_bytes or len(held) >= file_docs:
+                        yield flush()
         if held:
             yield flush()
 
@@ -304,6 +283,6 @@ def read_tokens(files: DataFrame, dictionary: bytes) -> DataFrame:
 
 def tokenise(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write and read back. Null and empty texts hold the end id alone; repeated rows each have their place (equal
-    doc_ids by the digest of the text); rows without doc_id come first, as nulls sort; an empty table has no rows."""
+    doc_ids by a hash of the text); rows without doc_id come first, as nulls sort; an empty table has no rows."""
     files, dictionary = write_tokens(docs, tokenizer_path, **options)
     return read_tokens(files, dictionary)
