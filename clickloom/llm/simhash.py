@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_long, fresh_name, materialise, payloads, slices
+from .common import as_long, materialise, payloads, slices
 from .components import components
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -221,14 +221,15 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     Rows without a doc_id cannot be named as anyone's copy and stay.
     """
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    repeated, n = fresh_name("repeated", docs), fresh_name("n", docs)
-    prints = near_duplicates(named, **options)
-    chosen = prints.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(n))
-    chosen = chosen.select(F.col("doc_id").alias(repeated), n)
-    rows = named.join(chosen, named["doc_id"].cast("long") == chosen[repeated])
-    once, often = rows.where(F.col(n) == 1), rows.where(F.col(n) > 1)
+    chosen = near_duplicates(named, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    chosen = materialise(chosen, "simhash-chosen")
+    columns, same = [F.col(f"`{c}`") for c in docs.columns], lambda ids: named["doc_id"].cast("long") == ids["doc_id"]
+    once, often = chosen.where("n = 1"), chosen.where("n > 1")
+    # what stays grows with the documents: never broadcast
+    kept = named.join(once.hint("merge"), same(once), "left_semi").unionByName(nameless)
+    if often.isEmpty():
+        return kept
     # rows of one id in the order of all their columns as text: the same one stays whatever the partitions
     order = F.struct(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in docs.columns))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    least = often.groupBy(repeated).agg(F.min_by(row, order).alias("row")).select("row.*")
-    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(least).unionByName(nameless)
+    least = named.join(often.hint("merge"), same(often), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return kept.unionByName(least.select("row.*"))
