@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 KEY = "cookie_id"
 ORDER = ("event_ts", "event_id")
 
@@ -20,6 +22,13 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def seconds(df: DataFrame, column: str) -> Column:
+    """Whole seconds of a time stamp since 1970; one without zone is taken as it stands, whatever the session's zone."""
+    if dict(df.dtypes)[column] == "timestamp":
+        return F.unix_timestamp(column)
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(`{column}` AS TIMESTAMP_NTZ))")
+
+
 def share(of: Column) -> Column:
     """How often ``of`` holds, among the rows where it is known."""
     return F.avg(of.cast("double"))
@@ -62,36 +71,45 @@ def corr(x: str, y: str, where: str = "TRUE") -> Column:
     return F.when((n > 2) & (spread > 1e-9), (n * sxy - sx * sy) / F.sqrt(spread))
 
 
-def running(df: DataFrame, value: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, pieces: int = 1024) -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL equals NULL; ``right`` has the keys and new columns."""
+    names = {k: f"_of_{i}" for i, k in enumerate(keys)}
+    same = [ref(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
+def running(df: DataFrame, value: str | tuple[str, ...], sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, pieces: int | None = None) -> DataFrame:
     """``df`` with running sums over all rows of its ``by`` in the order of ``value``, which is distinct there.
 
-    NULL stands first, or last if descending.
+    NULL stands first, or last if descending, and NaN above infinity, as Spark sorts; a NULL in ``by`` is a group.
 
-    The range of values is cut into ``pieces``; sums of the pieces, at most so many rows for each ``by``, tell what lies
-    before each, and only within a piece a window is taken. So no task holds all the rows.
+    A range sort deals the rows out in pieces of about equal numbers, whatever their values, and is written, as another
+    run might cut elsewhere. Sums of the pieces, a row for each (``by``, piece), tell what lies before each, and only
+    within a piece a window is taken. So no task holds all the rows of a group.
     """
-    one = () if by else (F.lit(0).alias("_all"),)
-    keys = list(by) or ["_all"]
-    rows = df.select("*", *one)
-    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    piece = F.when(F.col("_hi") > F.col("_lo"), F.width_bucket(F.col(value).cast("double"), F.col("_lo").cast("double"), F.col("_hi").cast("double"), F.lit(pieces))).otherwise(1)
-    piece = F.when(F.col(value).isNotNull(), piece).otherwise(-1)
-    rows = rows.join(ends, keys).withColumn("_piece", -piece if descending else piece).drop("_lo", "_hi")
+    keys, values = list(by), [value] if isinstance(value, str) else list(value)
+    order = [F.desc(ref(v)) if descending else F.asc(ref(v)) for v in values]
+    dealt = [*(ref(k) for k in keys), *order]
+    rows = df.repartitionByRange(pieces, *dealt) if pieces else df.repartitionByRange(*dealt)
+    rows = written(rows.withColumn("_piece", F.spark_partition_id()), "running")
     told = rows.groupBy(*keys, "_piece").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # rows are pieces
     told = told.select(*keys, "_piece", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
-    inside = Window.partitionBy(*keys, "_piece").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.join(told, [*keys, "_piece"]).withColumns({n: F.col(f"_before_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
-    return out.drop("_all", "_piece", *(f"_before_{n}" for n in sums))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = beside(rows, told, [*keys, "_piece"]).withColumns({n: F.col(f"_before_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
+    return out.drop("_piece", *(f"_before_{n}" for n in sums))
 
 
 def percent_ranks(df: DataFrame, value: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with the average rank of ``value`` over the group's size, ties sharing their mean rank; NULL for NULL."""
+    """``df`` with the average rank of ``value`` over the group's size, ties sharing their mean rank; NULL for NULL.
+
+    NaN is the greatest value, above infinity.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     told = running(counts, value, {"_upto": "_c"}, by)
-    told = (told.join(total, list(by)) if by else told.join(F.broadcast(total))).select(*by, value, ((F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2) / F.col("_n")).alias(name))
-    return df.join(told, [*by, value], "left")
+    total = told.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    told = (beside(told, total, by) if by else told.join(F.broadcast(total))).select(*by, value, ((F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2) / F.col("_n")).alias(name))
+    return beside(df, told, [*by, value], "left")
 
 
 def runs(df: DataFrame, flag: str, keep: str = "flag") -> DataFrame:

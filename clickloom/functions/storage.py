@@ -9,13 +9,16 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _ONE = threading.Lock()
-#: Folders to delete: at the end of the innermost ``scratch``, the first ones when the driver ends.
-_HELD: list[list[str]] = [[]]
+#: Folders to delete when the driver ends.
+_LAST: list[str] = []
+#: Folders to delete at the end of each open ``scratch``, the innermost last. Threads have a stack of their own.
+_HELD: ContextVar[tuple[list[str], ...]] = ContextVar("held", default=(_LAST,))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,27 +39,43 @@ def written(df: DataFrame, label: str, keep: bool = False, **options: str) -> Da
 
     It is deleted at the end of the ``scratch`` around it, or with ``keep`` of the one around that.
     """
+    return written_at(df, label, keep, **options)[0]
+
+
+def written_at(df: DataFrame, label: str, keep: bool = False, **options: str) -> tuple[DataFrame, str]:
+    """``written``, and the table's folder for ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clickloom/{label}-{uuid.uuid4().hex}"
-    _HELD[max(0, len(_HELD) - 2) if keep else -1].append(path)
+    held = _HELD.get()
+    held[max(0, len(held) - 2) if keep else -1].append(path)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    _delete([path])
+    for folders in _HELD.get():
+        if path in folders:
+            folders.remove(path)
 
 
 def written_together(frames: dict[str, Callable[[], DataFrame]], at_once: int = 8) -> list[DataFrame]:
     """``written`` for independent frames, ``at_once`` at a time; their jobs share the cluster."""
-    with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(lambda x: written(x[1](), x[0]), frames.items()))
+    with ThreadPoolExecutor(at_once) as pool:  # each thread writes for the scratch of this one
+        return list(pool.map(lambda x: x[0].run(lambda: written(x[1][1](), x[1][0])), [(copy_context(), x) for x in frames.items()]))
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables written inside are deleted at the end, but for those to ``keep``."""
-    _HELD.append([])
+    mine: list[str] = []
+    token = _HELD.set((*_HELD.get(), mine))
     try:
         yield
     finally:
-        _delete(_HELD.pop())
+        _HELD.reset(token)
+        _delete(mine)
 
 
 def _delete(paths: list[str]) -> None:
@@ -68,4 +87,4 @@ def _delete(paths: list[str]) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-atexit.register(lambda: _delete(_HELD[0]))
+atexit.register(lambda: _delete(_LAST))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.kernels import by_time, derive  # noqa: F401
+from ..functions.kernels import by_time, derive, seconds  # noqa: F401
 
 #: Visitors' windows are broadcast below so many rows; a larger table is joined by shuffle.
 MOST_BROADCAST = 1_000_000
@@ -53,7 +53,7 @@ def enrich(events: DataFrame, settings: Settings) -> DataFrame:
     bucket (floor of log1p of the gap), sess (number of the session).
     """
     w = by_time()
-    out = events.withColumn("sec", F.unix_timestamp(F.col("event_ts").cast("timestamp")))
+    out = events.withColumn("sec", seconds(events, "event_ts"))
     out = out.withColumn("dt", F.col("sec") - F.lag("sec").over(w)).withColumn("dwell", F.lead("sec").over(w) - F.col("sec")).withColumn("prev_name", F.lag("event_name").over(w))
     out = out.withColumn("dt_before", F.lag("dt").over(w)).withColumn("dt_third", F.lag("dt", 2).over(w)).withColumn("bucket", F.floor(F.log1p("dt")))
     started = F.when(F.col("dt").isNull() | (F.col("dt") > settings.session_gap), 1).otherwise(0)

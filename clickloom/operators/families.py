@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import Settings
-from ..functions.kernels import KEY, by_time, corr, derive, div, merge, ref, runs, share, summarise, value_counts
+from ..functions.kernels import KEY, by_time, corr, derive, div, merge, ref, running, runs, seconds, share, summarise, value_counts
 
 
 def _names(xs: tuple[str, ...]) -> str:
@@ -354,13 +354,13 @@ def irregular(ev: DataFrame, s: Settings) -> DataFrame:
 
 
 def window_coverage(ev: DataFrame, cookies: DataFrame, s: Settings) -> DataFrame:
-    bounds = cookies.select(KEY, *(F.unix_timestamp(F.col(c).cast("timestamp")).alias(n) for c, n in (("window_start_ts", "start"), ("window_end_ts", "stop"))))
+    bounds = cookies.select(KEY, *(seconds(cookies, c).alias(n) for c, n in (("window_start_ts", "start"), ("window_end_ts", "stop"))))
     ends = summarise(ev, {"a": "min(sec)", "b": "max(sec)"}).join(bounds, KEY)
     return derive(ends, {"first_event_offset_h": "(a - start) / 3600D", "last_event_offset_h": "(stop - b) / 3600D", "window_coverage": f"(b - a) / 3600D / {s.coverage_hours}D"})
 
 
 def cookie_meta(cookies: DataFrame) -> DataFrame:
-    at = {c: F.unix_timestamp(F.col(c).cast("timestamp")) for c in ("window_start_ts", "cookie_created_at")}
+    at = {c: seconds(cookies, c) for c in ("window_start_ts", "cookie_created_at")}
     age = (at["window_start_ts"] - at["cookie_created_at"]) / 86400.0
     return cookies.select(
         KEY,
@@ -408,8 +408,9 @@ def relative(features: DataFrame, columns: tuple[str, ...] = RELATIVE_BASE) -> D
     rows = features.withColumn("platform", platform)
     long = rows.select(KEY, "platform", "is_fit", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.round(F.col(c).cast("double"), 9).alias("v")) for c in columns))).alias("x")).select(KEY, "platform", "is_fit", "x.*")
     known = long.where("v IS NOT NULL AND platform IS NOT NULL").groupBy("name", "platform", "v").agg(F.count_if("is_fit").alias("fit"))
-    w = Window.partitionBy("name", "platform")
-    share = F.try_divide(F.sum("fit").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double"), F.sum("fit").over(w).cast("double"))
+    known = running(known, "v", {"upto": "fit"}, ("name", "platform"))
+    known = known.join(known.groupBy("name", "platform").agg(F.sum("fit").alias("all_fit")), ["name", "platform"])  # a row for each column and platform
+    share = F.try_divide(F.col("upto").cast("double"), F.col("all_fit").cast("double"))
     placed = long.join(known.select("name", "platform", "v", share.alias("share")), ["name", "platform", "v"], "left")
     wide = placed.groupBy(KEY).pivot("name", list(columns)).agg(F.max("share"))
     codes = F.create_map(*(F.lit(x) for k, p in enumerate(sorted(C.PLATFORMS)) for x in (p, k)))

@@ -1,19 +1,22 @@
-"""Ranking metrics of ``scored(y, s)``; equal scores are one point of the curve, whatever their order."""
+"""Ranking metrics of ``scored(y, s)``; equal scores are one point of the curve, whatever their order.
+
+A NaN score stands above infinity and a missing one below all, each a point of its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import percent_ranks, running
+from ..functions.kernels import beside, percent_ranks, running
 
 
 def pr_curve(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """tp, fp, precision and recall at the end of each group of equal scores, best first, per slice of ``by``."""
     groups = scored.groupBy(*by, "s").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n"))
-    total = groups.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("n").alias("n_all"))
     curve = running(groups, "s", {"tp": "pos", "seen": "n"}, by, descending=True)
-    curve = curve.join(total, list(by)) if by else curve.join(F.broadcast(total))  # one row
+    total = curve.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("n").alias("n_all"))
+    curve = beside(curve, total, by) if by else curve.join(F.broadcast(total))  # one row
     return curve.withColumns({"fp": F.expr("seen - tp"), "precision": F.expr("tp / double(seen)"), "recall": F.expr("try_divide(double(tp), double(n_pos))")})
 
 
@@ -120,9 +123,9 @@ def subgroup_reorder(scores: DataFrame, weight: float = 1.0) -> DataFrame:
     """
     part = percent_ranks(percent_ranks(scores.where("inside"), "s", "a"), "r", "b")
     part = part.withColumn("blend", F.round((1 - weight) * F.col("a") + weight * F.col("b"), 12))
-    place = lambda *c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*c))
-    values = part.select(place("s", "id").alias("k"), F.col("s").alias("new"))
-    owners = part.select("id", place("blend", "id").alias("k"))
+    part = part.withColumn("one", F.lit(1))
+    values = running(part.select("s", "id", "one"), ("s", "id"), {"k": "one"}).select("k", F.col("s").alias("new"))
+    owners = running(part.select("blend", "id", "one"), ("blend", "id"), {"k": "one"}).select("id", "k")
     return scores.join(owners.join(values, "k").select("id", "new"), "id", "left").select("id", F.coalesce("new", "s").alias("score"))
 
 

@@ -201,6 +201,46 @@ def _popularity() -> str:
     return _q(more, f, "FROM p2 GROUP BY cookie_id")
 
 
+def _covisitation() -> str:
+    more = """p AS (SELECT DISTINCT cookie_id, item_id FROM ev WHERE item_id IS NOT NULL), o AS (SELECT cookie_id, count(*) AS k FROM p GROUP BY 1),
+      e AS (SELECT a.cookie_id, b.cookie_id AS w, count(*) AS n FROM p a JOIN p b ON a.item_id = b.item_id AND a.cookie_id <> b.cookie_id GROUP BY 1, 2),
+      j AS (SELECT e.cookie_id, n, n / (x.k + y.k - n) AS j FROM e JOIN o x ON x.cookie_id = e.cookie_id JOIN o y ON y.cookie_id = w),
+      g AS (SELECT cookie_id, count(*) AS deg, max(n) AS mx, CAST(sum(n) AS BIGINT) AS sm, avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END) AS rp, max(j) AS jm, avg(j) AS ja FROM j GROUP BY 1),
+      h AS (SELECT o.cookie_id, coalesce(deg, 0) AS deg, mx, sm / deg AS mean, coalesce(sm, 0) AS sm, coalesce(deg, 0) / k AS per, rp, jm, ja FROM o LEFT JOIN g USING (cookie_id))"""
+    f = {"#cv_degree": "deg", "#cv_shared_max": "mx", "cv_shared_mean": "mean", "#cv_shared_sum": "sm", "cv_deg_per_item": "per", "cv_repeat": "rp", "cv_jaccard_max": "jm", "cv_jaccard_mean": "ja"}
+    f |= {"cv_degree_pct": _pct("deg", ""), "cv_deg_per_item_pct": _pct("per", ""), "cv_shared_mean_pct": f"CASE WHEN mean IS NOT NULL THEN {_pct('mean', 'PARTITION BY mean IS NULL')} END"}
+    return _q(more, f, "FROM h")
+
+
+def _shapes() -> str:
+    from ..operators.shapes import CHANNELS
+
+    sql = lambda e: e.replace("log1p(dt)", "ln(1 + dt)").replace("string(item_id % 100)", "CAST(item_id % 100 AS VARCHAR)").replace("string(hour(event_ts))", "CAST(hour(event_ts) AS VARCHAR)").replace("double(", "(").replace("0D", "0")
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS channel, cookie_id, is_fit, {sql(g)} AS grp, round(CAST({sql(v)} AS DOUBLE), 6) AS v FROM ev" for c, (g, v) in CHANNELS.items())
+    more = f"""l AS (SELECT * FROM ({rows}) WHERE grp IS NOT NULL AND v IS NOT NULL),
+      vs AS (SELECT channel, grp, v, count(*) FILTER (is_fit) AS fit FROM l GROUP BY 1, 2, 3),
+      vb AS (SELECT channel, grp, v, coalesce(least(floor(24 * (sum(fit) OVER (PARTITION BY channel, grp ORDER BY v) - fit) / nullif(sum(fit) OVER (PARTITION BY channel, grp), 0)), 23), 0) AS bin FROM vs),
+      lb AS (SELECT l.channel, l.cookie_id, l.grp, vb.bin, CASE WHEN l.is_fit THEN l.cookie_id % 5 ELSE -1 END AS fold, m.target AS y, l.is_fit FROM l JOIN vb USING (channel, grp, v) JOIN cookies m USING (cookie_id)),
+      fo AS (SELECT DISTINCT fold FROM lb),
+      ce AS (SELECT channel, grp, bin, fo.fold, count(*) FILTER (y = 1 AND b.fold <> fo.fold) AS pos, count(*) FILTER (y = 0 AND b.fold <> fo.fold) AS neg FROM (SELECT * FROM lb WHERE is_fit) b, fo GROUP BY 1, 2, 3, 4),
+      ra AS (SELECT channel, grp, bin, fold, ln((pos + 1) / (sum(pos) OVER w + count(*) OVER w)) - ln((neg + 1) / (sum(neg) OVER w + count(*) OVER w)) AS r FROM ce WINDOW w AS (PARTITION BY channel, fold)),
+      sc AS (SELECT lb.cookie_id, lb.channel, coalesce(r, 0) AS r FROM lb LEFT JOIN ra USING (channel, grp, bin, fold)),
+      al AS (SELECT cookie_id, channel, avg(r) AS mean, stddev_pop(r) AS std, min(r) AS least, max(r) AS most, quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.9) AS q90 FROM sc GROUP BY 1, 2
+        UNION ALL SELECT cookie_id, 'total', sum(r) / any_value(n), NULL, NULL, NULL, NULL, NULL, NULL FROM sc JOIN (SELECT cookie_id, count(*) AS n FROM ev GROUP BY 1) USING (cookie_id) GROUP BY 1)"""
+    return _q(more, {"$channel": "channel"} | {c: c for c in ("mean", "std", "least", "most", "q10", "q50", "q90")}, "FROM al")
+
+
+def _drift() -> str:
+    columns = ("n_events", "n_active_hours", "hour_entropy", "rate_item_view", "night_rate", "dt_q50", "dt_iqr")
+    nine = lambda sql: sql.replace(" AS DOUBLE), 6) AS ", " AS DOUBLE), 9) AS ")
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS name, NOT is_fit AS b, round(CAST({c} AS DOUBLE), 9) AS v FROM f" for c in columns)
+    more = f"f AS (SELECT * FROM ({nine(_volume())}) JOIN ({nine(_timing())}) USING (cookie_id) JOIN cookies USING (cookie_id)), l AS ({rows}), k AS (SELECT *, rank() OVER (PARTITION BY name, v IS NULL ORDER BY v) + (count(*) OVER (PARTITION BY name, v) - 1) / 2.0 AS r FROM l)"
+    known = lambda side: f"count(*) FILTER ({side} AND v IS NOT NULL)"
+    f = {"$name": "name", "#n_a": known("NOT b"), "#n_b": known("b"), "auc": f"(sum(r) FILTER (b AND v IS NOT NULL) - {known('b')} * ({known('b')} + 1) / 2.0) / ({known('b')} * {known('NOT b')})"}
+    f |= {f"missing_{s}": f"avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) FILTER ({e})" for s, e in (("a", "NOT b"), ("b", "b"))}
+    return f"WITH {CLICKS}, {more} {_sel(f, '')} FROM k GROUP BY name"
+
+
 def _crowd() -> str:
     more = """d AS (SELECT *, ln(1 + greatest(dwell, 0)) AS ld FROM ev WHERE dwell IS NOT NULL), du AS (SELECT event_name, quantile_cont(ld, 0.5) AS u FROM d WHERE is_fit GROUP BY 1),
       a AS (SELECT cookie_id, avg(ld - u) AS x, stddev_samp(ld - u) AS y, quantile_cont(ld - u, 0.5) AS z FROM d LEFT JOIN du USING (event_name) GROUP BY cookie_id),
@@ -247,7 +287,12 @@ def _irregular() -> str:
     return _q(more, f, "FROM t LEFT JOIN gl USING (cookie_id) LEFT JOIN pe USING (cookie_id)")
 
 
-def _relative() -> str:
+def _stated() -> str:
+    """The compared columns to six digits beside their ranks."""
+    return _relative(True)
+
+
+def _relative(with_base: bool = False) -> str:
     """Each base column from the SQL of its own family, to nine digits."""
     plat = tuple(f"plat_{p}" for p in C.PLATFORMS)
     sources = {
@@ -269,7 +314,11 @@ def _relative() -> str:
     more = f"""fx AS (SELECT *, CASE greatest({', '.join(plat)}) {' '.join(f"WHEN plat_{p} THEN '{p}'" for p in C.PLATFORMS)} END AS pf FROM {' LEFT JOIN '.join(f'{part} s{i} USING (cookie_id)' if i else part + ' s0' for i, part in enumerate(parts))}),
       fp AS (SELECT fx.*, m.is_fit AS fit FROM fx JOIN cookies m USING (cookie_id))"""
     f = {"#dominant_platform": "CASE pf WHEN 'android' THEN 0 WHEN 'desktop' THEN 1 WHEN 'ios' THEN 2 ELSE 3 END"}
-    f |= {f"rel_plat_{c}": f"CASE WHEN {c} IS NOT NULL THEN (SELECT count(*) FROM fp b WHERE b.fit AND b.pf = a.pf AND b.{c} <= a.{c}) / nullif((SELECT count(*) FROM fp b WHERE b.fit AND b.pf = a.pf AND b.{c} IS NOT NULL), 0) END" for c in names}
+    fit = lambda c, order: f"sum(CASE WHEN fit THEN 1 ELSE 0 END) OVER (PARTITION BY pf, {c} IS NULL{order})"
+    f |= {f"rel_plat_{c}": f"CASE WHEN {c} IS NOT NULL AND pf IS NOT NULL THEN {fit(c, f' ORDER BY {c}')} / nullif({fit(c, '')}, 0) END" for c in names}
+    if with_base:
+        whole = ("n_events", "item_location_nuniq", "item_category_nuniq", "item_id_nuniq", "page_max", "idst_range")
+        f |= {(f"#{c}" if c in whole else c): c for c in names}
     return f"WITH {CLICKS}, {more} {_sel(f)} FROM fp a"
 
 
@@ -314,6 +363,22 @@ def _encoding_oof() -> str:
     return _q(more, {"#fold": "fold", "rate": f"(s + {_SM} * p) / (n + {_SM})"}, "FROM a")
 
 
+def _checks() -> str:
+    more = """wanted AS (SELECT cookie_id FROM cookies WHERE NOT is_fit), scores AS (SELECT cookie_id, cookie_id / (cookie_id + 1000.0) AS s FROM wanted),
+      told AS (SELECT count(*) AS n_rows, count(DISTINCT cookie_id) AS n_ids, count(DISTINCT s) AS n_scores, count(*) FILTER (s IS NULL OR isnan(s)) AS n_missing, count(*) FILTER (s < 0 OR s > 1) AS n_outside FROM scores),
+      more AS (SELECT count(*) AS n_extra FROM scores ANTI JOIN wanted USING (cookie_id)), less AS (SELECT count(*) AS n_absent FROM wanted ANTI JOIN scores USING (cookie_id))"""
+    passes = "n_rows = n_ids AND n_missing = 0 AND n_outside = 0 AND n_extra = 0 AND n_absent = 0 AND n_scores > 0.9 * n_rows"
+    return f"WITH {CLICKS}, {more} SELECT *, {passes} AS passes FROM told, more, less"
+
+
+def _duplicates() -> str:
+    columns = {"n_events": "n_events", "n_active_hours": "n_active_hours", "hour_entropy": "hour_entropy", "a_copy": "n_events", "n_hours_copy": "n_active_hours"}
+    rows = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+    pairs = [(a, b, i) for i, a in enumerate(columns) for b in list(columns)[i + 1 :]]
+    same = " UNION ALL ".join(f"SELECT '{b}' AS name, '{a}' AS f, {i} AS k, bool_and({a} IS NOT DISTINCT FROM {b}) AS same FROM v" for a, b, i in pairs)
+    return f"WITH v AS (SELECT {rows} FROM ({_volume()})) SELECT name, arg_min(f, k) AS first FROM ({same}) WHERE same GROUP BY name"
+
+
 def oracles() -> dict[str, str]:
     web, mobile = "platform IN ('web', 'desktop')", "platform IN ('android', 'ios')"
     base = f"WITH {CLICKS} "
@@ -347,6 +412,10 @@ def oracles() -> dict[str, str]:
         "b21_coverage": _q("", {"first_event_offset_h": "(min(sec) - epoch(any_value(window_start_ts))) / 3600.0", "last_event_offset_h": "(epoch(any_value(window_end_ts)) - max(sec)) / 3600.0", "window_coverage": "(max(sec) - min(sec)) / 3600.0 / 24"}, "FROM ev JOIN cookies USING (cookie_id) GROUP BY cookie_id"),
         "b23_cookie_meta": base + _sel({"cookie_age_days": "epoch(window_start_ts - cookie_created_at) / 86400.0", "cookie_age_log": "ln(1 + greatest(epoch(window_start_ts - cookie_created_at) / 86400.0, 0))", "#cookie_created_hour": "hour(cookie_created_at)", "#cookie_created_dow": "isodow(cookie_created_at) - 1", "#window_dow": "isodow(window_start_ts) - 1"}) + " FROM cookies",
         "b24_relative": _relative(),
+        "b25_covisitation": _covisitation(),
+        "b26_class_shapes": _shapes(),
+        "column_drift": _drift(),
+        "feature_matrix_stated": _stated(),
         "dominant_keys": _keys(),
         "target_encoding": _encoding(),
         "target_encoding_oof": _encoding_oof(),
@@ -372,7 +441,7 @@ def oracles() -> dict[str, str]:
         "stratified_folds": base + "SELECT cookie_id, CAST(target AS BIGINT) AS target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42:' || cookie_id), cookie_id) - 1) % 5 AS BIGINT) AS fold FROM cookies",
         "strict_split": base + "SELECT day_index < 4 AS is_fit, count(*) AS n, CAST(sum(target) AS BIGINT) AS n_pos FROM cookies GROUP BY 1",
         "recency_weights": base + "SELECT cookie_id, round(pow(0.5, ((SELECT max(day_index) FROM cookies) - day_index) / 3.0), 6) AS weight FROM cookies",
-        "submission_checks": base + "SELECT count(*) AS n_rows, count(DISTINCT cookie_id) AS n_ids, count(DISTINCT s) AS n_scores, 0::BIGINT AS n_missing, 0::BIGINT AS n_outside, 0::BIGINT AS n_extra, 0::BIGINT AS n_absent, count(DISTINCT s) > 0.9 * count(*) AS passes FROM (SELECT cookie_id, cookie_id / (cookie_id + 1000.0) AS s FROM cookies WHERE NOT is_fit)",
+        "submission_checks": _checks(),
         "eda_value_counts": base + "SELECT event_name AS value, count(*) AS n FROM clicks GROUP BY 1",
         "eda_missing": base + " UNION ALL ".join(f"SELECT '{c}' AS name, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing FROM clicks" for c in ("item_id", "search_page", "pointer_x", "seller_type")),
         "eda_portrait": base + ", fx AS (SELECT cookie_id, any_value(target) AS target, count(*) AS n_events, avg(CASE WHEN pointer_x IS NOT NULL THEN 1.0 ELSE 0.0 END) AS pointer_coverage, count(DISTINCT item_id) AS n_items FROM ev0 GROUP BY cookie_id) " + " UNION ALL ".join(f"SELECT '{c}' AS name, round(avg({c}) FILTER (target = 0), 6) AS mean_0, round(avg({c}) FILTER (target = 1), 6) AS mean_1 FROM fx" for c in ("n_events", "pointer_coverage", "n_items")),
@@ -381,7 +450,7 @@ def oracles() -> dict[str, str]:
         "dedup_keep_first": base + "SELECT cookie_id, event_id FROM (SELECT cookie_id, event_id, row_number() OVER (PARTITION BY cookie_id ORDER BY event_id) AS k FROM clicks) WHERE k = 1",
         "dedup_keep_last": base + "SELECT cookie_id, event_id FROM (SELECT cookie_id, event_id, row_number() OVER (PARTITION BY cookie_id ORDER BY event_id DESC) AS k FROM clicks) WHERE k = 1",
         "set_ops": base + "SELECT count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b, count(*) FILTER (a AND b) AS both, count(*) FILTER (a OR b) AS either FROM (SELECT is_fit AS a, target = 1 AS b FROM cookies)",
-        "dup_columns": "SELECT 'a_copy' AS name, 'n_events' AS first UNION ALL SELECT 'n_hours_copy', 'n_active_hours'",
+        "dup_columns": _duplicates(),
         "url_parts": "SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS host, count(*) AS n, count(*) FILTER (contains(url, 'utm_')) AS n_tracked FROM pages GROUP BY 1",
         "top_customers": "SELECT n_name AS nation, c_custkey, round(total, 2) AS total FROM (SELECT n_name, c_custkey, sum(o_totalprice) AS total, row_number() OVER (PARTITION BY n_name ORDER BY sum(o_totalprice) DESC, c_custkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) WHERE k <= 3",
     }

@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions.kernels import KEY, ref, summarise
+from ..functions.kernels import KEY, merge, ref, summarise
 from ..operators import analysis as A
+from ..operators import covisits as CV
 from ..operators import encoding as N
 from ..operators import events as E
 from ..operators import families as B
 from ..operators import metrics as M
 from ..operators import reports as R
 from ..operators import sequences as Q
+from ..operators import shapes as SH
 from ..operators import validation as V
 from ..sources import fixture, readers
 from .features import build_features, prepare, relative_base
 
 S = C.FIXTURE
+STATED = (*B.RELATIVE_BASE, *(f"rel_plat_{c}" for c in B.RELATIVE_BASE), "dominant_platform")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -132,6 +135,18 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     return build_features(fixture.clicks(spark, d), fixture.cookies(spark, d), S)
 
 
+def _drift(spark: SparkSession, d: str) -> DataFrame:
+    ev = _enriched(spark, d)
+    rows = merge(B.volume_and_mix(ev, S), B.timing(ev, S)).join(fixture.cookies(spark, d).select(KEY, (~F.col("is_fit")).alias("scored")), KEY)
+    return SH.column_drift(rows, ("n_events", "n_active_hours", "hour_entropy", "rate_item_view", "night_rate", "dt_q50", "dt_iqr"), "scored")
+
+
+def _stated(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix' columns that do not hang on the data's values: compared columns, and their ranks within the platform."""
+    found = feature_matrix(spark, d)
+    return found.select(KEY, *(c for c in STATED if c in found.columns))
+
+
 def queries() -> dict[str, Query]:
     cookies, clicks = fixture.cookies, fixture.clicks
     slices = {"all": "TRUE", "english": "lang = 'en'", "other": "lang <> 'en'", "long": "n_chars > 3000"}
@@ -168,7 +183,11 @@ def queries() -> dict[str, Query]:
         "b22_sequence_svd_paced": _svd("paced", "seqp", 2),
         "b23_cookie_meta": lambda s, d: B.cookie_meta(cookies(s, d)),
         "b24_relative": lambda s, d: B.relative(relative_base(clicks(s, d), cookies(s, d), S)),
+        "b25_covisitation": _family(CV.covisitation),
+        "b26_class_shapes": lambda s, d: SH.class_shapes(_enriched(s, d), cookies(s, d).withColumn("fold", F.expr("int(cookie_id % 5)"))),
+        "column_drift": _drift,
         "feature_matrix": feature_matrix,
+        "feature_matrix_stated": _stated,
         "dup_columns": _duplicates,
         "dominant_keys": lambda s, d: N.dominant_keys(_clipped(s, d), cookies(s, d), {"user_agent": "key_ua", "item_category": "key_category", "item_location": "key_location"}),
         "target_encoding": lambda s, d: N.encode(_keyed(s, d), "k", "is_fit", S.smoothing).select(KEY, "rate"),
