@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from ..functions.storage import discard, written_at
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -36,17 +36,20 @@ def _digest(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges(u, v)`` of longs to ``(node, component)`` with the least reachable node, roots left out.
 
-    The edge table is written to the shared folder after each round, so a lost executor costs one round at most.
+    The edge table is written to the shared folder after each round and the one before deleted, so a lost executor costs
+    one round at most.
     Minima are taken with partial aggregation and the joins have one row a key on one side, so a hub's rows are
     split by adaptive skew handling. An empty table gives an empty result; loops and repeated edges are ignored.
     """
-    edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges, path = written_at(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     before = _digest(edges)
     for _ in range(most_rounds):
         if not before[0]:
             break
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges, new = written_at(_small_star(_large_star(edges)), "components")
         now = _digest(edges)
+        discard(path)
+        path = new
         if now == before:
             break
         before = now

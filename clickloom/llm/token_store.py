@@ -56,12 +56,12 @@ class Encoder:
     pattern above is not known to split alike, or with a special token's text, go to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, most_pieces: int = 800_000) -> None:
+    def __init__(self, path: str, end_id: int, most_pieces: int = 800_000, most_chars: int = 24 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end_id, self.most = end_id, most_pieces
+        self.end_id, self.most, self.most_chars = end_id, most_pieces, most_chars
         self.clear()
 
     def clear(self) -> None:
@@ -69,6 +69,7 @@ class Encoder:
         self.flat = np.full(1 << 16, self.end_id, np.uint32)
         self.starts, self.counts = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
         self.used = self.n = 1  # piece 0 is the end id
+        self.chars = 0
 
     def _add(self, ids: list[int] | np.ndarray, counts: np.ndarray) -> int:
         """Append pieces by their ids and counts; the first one's number."""
@@ -86,6 +87,7 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         words, others = [], []
+        self.chars += sum(map(len, pieces))
         for p in pieces:  # " a b c" splits into " a", " b", " c" again
             (words if p[0] == " " and p[1:].isalpha() else others).append(p)
         for i in range(0, len(words), 2000):
@@ -101,7 +103,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts, the end id after each, and how many ids each has."""
-        if len(self.number) > self.most:
+        if len(self.number) > self.most or self.chars > self.most_chars:
             self.clear()
         split = []
         for data in texts:

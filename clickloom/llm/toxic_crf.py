@@ -308,14 +308,15 @@ def train(documents: list[tuple[str, int]], rounds: int = 20, ridge: float = 0.0
 
 
 class Emissions(dict):
-    """word -> emission, computed when first met; emptied when it grows large."""
+    """word -> emission, computed when first met; emptied when it grows large. Long words are not remembered."""
 
     def __init__(self, model: Field, most: int = 500_000) -> None:
         self.model, self.most = model, most
 
     def __missing__(self, word: str) -> float:
         value = self.model.emission(word)
-        self[word] = value
+        if len(word) <= 64:
+            self[word] = value
         return value
 
     def trim(self) -> None:

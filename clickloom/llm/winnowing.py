@@ -67,10 +67,12 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, computed when first met; emptied when it grows large."""
+    """word -> 64-bit hash, computed when first met; emptied when it grows large. Long words are not remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word, 7)
+        value = xxhash.xxh64_intdigest(word, 7)
+        if len(word) <= 64:
+            self[word] = value
         return value
 
     def seeds(self, words: list[bytes]) -> np.ndarray:
