@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.functions.storage import scratch
+from clickloom.functions.storage import discard, scratch, written_at
 from clickloom.llm import language_id, mixing, simhash, token_store, winnowing
-from clickloom.llm.common import materialise, table
+from clickloom.llm.common import table
 from clickloom.llm.queries import default_tokenizer
 
 
@@ -63,8 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another; what a stage has read is deleted when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         with scratch():  # a stage's own tables go when its result is written
-            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+            docs, path = written_at(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if before:
+            discard(before)
+        before = path
     return docs
