@@ -1,7 +1,7 @@
-"""Scoring models over the feature matrix: Spark ML learners, bags of seeds, fold and forward-chained scores.
+"""Scoring models over the feature matrix: boosted trees and Spark ML learners, bags of seeds, fold and forward scores.
 
-Gradient sampling and native missing values have no counterpart in Spark ML: missing values become the median with a
-flag beside it, and trees are fitted on row subsamples.
+``gbt`` samples rows by gradient and takes missing values as they are (``boosting``). For the learners of Spark ML missing
+values become the median with a flag beside it.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import KEY
 from ..functions.storage import written
-from .metrics import METRICS, metric_spread, rank_average, score, subgroup_columns
+from .boosting import BoostedTrees, Boosting
+from .metrics import METRICS, average_precision, metric_spread, rank_average, score, subgroup_columns
 from .validation import stratified_folds
 
 LEARNERS = {
-    "gbt": lambda seed: GBTClassifier(labelCol="target", weightCol="weight", maxIter=40, maxDepth=4, stepSize=0.1, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed),
+    "gbt": lambda seed: Boosting(seed=seed),
+    "spark_gbt": lambda seed: GBTClassifier(labelCol="target", weightCol="weight", maxIter=40, maxDepth=4, stepSize=0.1, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=seed),
     "forest": lambda seed: RandomForestClassifier(labelCol="target", weightCol="weight", numTrees=300, minInstancesPerNode=3, seed=seed),
     # a short one that only ranks inputs by gain
     "screen": lambda seed: GBTClassifier(labelCol="target", weightCol="weight", maxIter=10, maxDepth=4, stepSize=0.3, subsamplingRate=0.7, seed=seed),
@@ -41,26 +43,33 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(share)).withColumn("weight", base * F.when(F.col("target") == 1, F.coalesce("_ratio", F.lit(1.0))).otherwise(1.0)).drop("_ratio")
 
 
-def fit(df: DataFrame, columns: list[str], learner: str = "gbt", seed: int = 42) -> PipelineModel:
-    """A pipeline of imputing, assembling and learning; columns without any value are left out."""
+def fit(df: DataFrame, columns: list[str], learner: str = "gbt", seed: int = 42) -> PipelineModel | BoostedTrees:
+    """Boosted trees, or a pipeline of imputing, assembling and learning; columns without any value are left out there."""
+    made = LEARNERS[learner](seed)
+    if isinstance(made, Boosting):
+        return made.fit(balanced(df), columns)
     counts = df.agg(*(F.count(c).alias(c) for c in columns)).first()
     known = [c for c in columns if counts[c]]
     filled = [f"{c}__filled" for c in known]
     stages = [
         Imputer(strategy="median", inputCols=known, outputCols=filled),
         VectorAssembler(inputCols=filled + [f"{c}__missing" for c in known], outputCol="features"),
-        LEARNERS[learner](seed),
+        made,
     ]
     return Pipeline(stages=stages).fit(balanced(flagged(df, columns)))
 
 
-def predict(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFrame:
+def predict(model: PipelineModel | BoostedTrees, df: DataFrame, columns: list[str]) -> DataFrame:
+    if isinstance(model, BoostedTrees):
+        return model.predict(df)
     out = model.transform(flagged(df, columns).withColumn("weight", F.lit(1.0)))
     return out.select(KEY, vector_to_array("probability")[1].alias("score"))
 
 
-def importances(model: PipelineModel, top: int) -> list[tuple[str, float]]:
+def importances(model: PipelineModel | BoostedTrees, top: int) -> list[tuple[str, float]]:
     """The inputs with the largest gain, from a fitted tree model."""
+    if isinstance(model, BoostedTrees):
+        return model.importances(top)
     names = model.stages[1].getInputCols()
     ranked = sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
     return ranked[:top]
@@ -99,30 +108,27 @@ def out_of_fold(df: DataFrame, columns: list[str], learner: str = "gbt", k: int
     return out
 
 
-def estimate_rounds(df: DataFrame, columns: list[str], k: int = 3, most: int = 60, patience: int = 10, seed: int = 42) -> int:
-    """Median over folds of the boosting rounds with the least loss on the fold left out, stopped after ``patience`` worse ones.
+def estimate_rounds(df: DataFrame, columns: list[str], k: int = 3, most: int = 60, patience: int = 10, seed: int = 42, learner: str = "gbt") -> int:
+    """Median over folds of the boosting rounds that rank the fold left out best, stopped after ``patience`` rounds without gain.
 
-    Spark ML tells a model's loss after each round, and not its precision, so loss decides.
+    The metric is average precision, of the scores after every round.
     """
     folds = df.join(stratified_folds(df.select(KEY, "target"), k, seed).select(KEY, "fold"), KEY)
-    LEARNERS["rounds"] = lambda s: LEARNERS["gbt"](s).setMaxIter(most)
-    try:
-        best = []
-        for f in range(k):
-            model = fit(folds.where(F.col("fold") != f).drop("fold"), columns, "rounds", seed)
-            held = flagged(folds.where(F.col("fold") == f).drop("fold"), columns).withColumn("weight", F.lit(1.0))
-            for stage in model.stages[:-1]:
-                held = stage.transform(held)
-            losses = model.stages[-1].evaluateEachIteration(held.withColumn("target", F.col("target").cast("double")))
-            at = 0
-            for i, loss in enumerate(losses):
-                if loss < losses[at]:
-                    at = i
-                elif i - at >= patience:
-                    break
-            best.append(at + 1)
-    finally:
-        del LEARNERS["rounds"]
+    best = []
+    for f in range(k):
+        model = LEARNERS[learner](seed).setParams(rounds=most).fit(balanced(folds.where(F.col("fold") != f).drop("fold")), columns)
+        if not model.trees:
+            best.append(1)
+            continue
+        staged = model.staged(folds.where(F.col("fold") == f)).join(df.select(KEY, F.col("target").alias("y")), KEY)
+        reached = dict(average_precision(staged.select("round", "y", F.round("score", 12).alias("s")), ("round",)).collect())  # a row a round
+        at = 1
+        for i in sorted(reached):
+            if (reached[i] or 0.0) > (reached[at] or 0.0):
+                at = i
+            elif i - at >= patience:
+                break
+        best.append(at)
     return int(median(best))
 
 
