@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import KEY
-from .metrics import average_precision, score
+from .metrics import score
 from .models import LEARNERS, fit, out_of_fold, predict
+from .resampling import hashed_share, weighted_metrics
 
 
 def share_of_hash(*parts: str | Column) -> Column:
@@ -53,8 +54,7 @@ def at_prevalence(rows: DataFrame, prevalence: float, seed: int = 42) -> DataFra
 
 def spread_over_draws(scored: DataFrame, share: float, draws: int, seed: int = 42) -> DataFrame:
     """Mean and deviation of average precision over ``draws`` hashed samples of ``share`` of the rows."""
-    drawn = scored.select("id", "y", "s", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).where(share_of_hash(F.lit(str(seed)), "draw", "id") < share)
-    each = average_precision(drawn, ("draw",))
+    each = weighted_metrics(scored, hashed_share(share, seed), draws)
     return each.agg(F.count("average_precision").alias("n_draws"), F.avg("average_precision").alias("ap_mean"), F.stddev_samp("average_precision").alias("ap_std"))
 
 

@@ -333,6 +333,22 @@ _METRICS = {
 }
 
 
+def _agreement() -> str:
+    from .queries import MODELS
+
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS model, id, y, CAST({e} AS DOUBLE) AS v FROM sc" for m, e in MODELS.items())
+    part = "PARTITION BY model, split, h"
+    return f"""{_scored()}, mo AS ({rows}),
+      dr AS (SELECT model, split, ('0x' || substr(md5('42:' || split || ':' || id), 1, 8))::BIGINT / 4294967296.0 >= 0.5 AS h, v, sum(y) AS pos, count(*) AS n FROM mo, range(60) r(split) GROUP BY 1, 2, 3, 4),
+      dc AS (SELECT *, sum(pos) OVER ({part} ORDER BY v DESC) AS tp, sum(n) OVER ({part} ORDER BY v DESC) AS seen, sum(pos) OVER ({part}) AS np, sum(n) OVER ({part}) AS na FROM dr),
+      me AS (SELECT model, split, h, {', '.join(f'{e} AS {n}' for n, e in _METRICS.items())} FROM dc GROUP BY 1, 2, 3),
+      un AS (SELECT model, split, name AS surrogate, v AS a FROM (UNPIVOT (SELECT * FROM me WHERE NOT h) ON {', '.join(_METRICS)} INTO NAME name VALUE v)),
+      bo AS (SELECT un.model, un.split, surrogate, round(a, 12) AS a, round(p_at_r, 12) AS b FROM un JOIN me ON me.h AND me.model = un.model AND me.split = un.split WHERE p_at_r IS NOT NULL),
+      rk AS (SELECT surrogate, split, {_pct('a', 'PARTITION BY surrogate, split')} AS ra, {_pct('b', 'PARTITION BY surrogate, split')} AS rb FROM bo),
+      co AS (SELECT surrogate, split, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS r FROM rk GROUP BY 1, 2)
+      SELECT surrogate, count(r) AS n_splits, round(avg(r), 6) AS agreement, 'p_at_r' AS target FROM co GROUP BY 1"""
+
+
 def _scored(by: str = "", where: str = "") -> str:
     return "WITH " + _SCORED.format(by=f"{by}, " if by else "", part=f"PARTITION BY {by}" if by else "", where=where)
 
@@ -434,6 +450,7 @@ def oracles() -> dict[str, str]:
         "likelihood_ratios": f"{_scored()}, bi AS (SELECT CAST((n_chars >= 500)::INT + (n_chars >= 1000)::INT + (n_chars >= 2000)::INT + (n_chars >= 5000)::INT AS BIGINT) AS bin, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM sc GROUP BY 1) SELECT bin, pos, neg, CASE WHEN neg > 0 THEN round(pos * (sum(neg) OVER ())::DOUBLE / (neg * (sum(pos) OVER ())::DOUBLE), 6) END AS ratio FROM bi",
         "prevalence_resample": f"{_scored()}, pq AS (SELECT sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS q FROM sc) SELECT id, y FROM sc, pq WHERE ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT / 4294967296.0 < CASE WHEN y = 1 THEN q * 0.2 / (p * 0.8) ELSE p * 0.8 / (q * 0.2) END",
         "draw_spread": f"{_scored()}, dr AS (SELECT draw, s, sum(y) AS pos, count(*) AS n FROM sc, range(20) r(draw) WHERE ('0x' || substr(md5('42:' || draw || ':' || id), 1, 8))::BIGINT / 4294967296.0 < 0.5 GROUP BY 1, 2), dc AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY draw) AS np FROM dr WINDOW w AS (PARTITION BY draw ORDER BY s DESC)), da AS (SELECT draw, sum(pos * tp / seen) / nullif(max(np), 0) AS ap FROM dc GROUP BY draw) SELECT count(ap) AS n_draws, round(avg(ap), 6) AS ap_mean, round(stddev_samp(ap), 6) AS ap_std FROM da",
+        "surrogate_agreement": _agreement(),
         "subgroup_reorder": f"{_scored()}, q AS (SELECT id, s, s2 FROM sc WHERE lang <> 'en'), bl AS (SELECT id, s, round(0.5 * ({_pct('s', '')}) + 0.5 * ({_pct('s2', '')}), 12) AS b FROM q), v AS (SELECT row_number() OVER (ORDER BY s, id) AS k, s AS new FROM bl), o AS (SELECT id, row_number() OVER (ORDER BY b, id) AS k FROM bl) SELECT sc.id, round(coalesce(v.new, sc.s), 6) AS score FROM sc LEFT JOIN o USING (id) LEFT JOIN v USING (k)",
         "fold_spread": f"{_scored().replace('d.lang', 'd.lang, d.doc_id % 5 AS fold', 1)}, fg AS (SELECT fold, s, sum(y) AS pos, count(*) AS n FROM sc GROUP BY 1, 2), fc AS (SELECT *, sum(pos) OVER (PARTITION BY fold ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY fold ORDER BY s DESC) AS seen, sum(pos) OVER (PARTITION BY fold) AS np, sum(n) OVER (PARTITION BY fold) AS na FROM fg), fm AS (SELECT fold, {', '.join(f'{e} AS {n}' for n, e in _METRICS.items())} FROM fc GROUP BY fold) SELECT name, count(v) AS n_groups, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS deviation, round(min(v), 6) AS least, round(max(v), 6) AS most FROM (UNPIVOT fm ON {', '.join(_METRICS)} INTO NAME name VALUE v) GROUP BY name",
         "subgroup_columns": base + " SELECT name, round(cover, 6) AS cover, n_values FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) / count(*) AS cover, count(DISTINCT {c}) AS n_values FROM ev0 WHERE platform IN ('android', 'ios')" for c in ("item_id", "search_page", "pointer_x", "seller_type", "platform")) + ") WHERE cover >= 0.02 AND n_values > 1",

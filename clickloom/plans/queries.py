@@ -17,6 +17,7 @@ from ..operators import events as E
 from ..operators import families as B
 from ..operators import metrics as M
 from ..operators import reports as R
+from ..operators import resampling as RS
 from ..operators import sequences as Q
 from ..operators import shapes as SH
 from ..operators import validation as V
@@ -135,6 +136,15 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     return build_features(fixture.clicks(spark, d), fixture.cookies(spark, d), S)
 
 
+#: Scores that the agreement of metrics is measured over.
+MODELS = {"a": "s", "b": "s2", "c": "-s", "d": "s + 3 * s2", "e": "n_chars % 500", "f": "-s2", "g": "s % 5 - s2"}
+
+
+def _agreement(spark: SparkSession, d: str) -> DataFrame:
+    each = scored(spark, d).select("id", "y", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.expr(e).cast("double").alias("s")) for m, e in MODELS.items()))).alias("x"))
+    return RS.surrogate_agreement(RS.of_models(each.select("id", "y", "x.*"), RS.hashed_halves(42), 120))
+
+
 def _drift(spark: SparkSession, d: str) -> DataFrame:
     ev = _enriched(spark, d)
     rows = merge(B.volume_and_mix(ev, S), B.timing(ev, S)).join(fixture.cookies(spark, d).select(KEY, (~F.col("is_fit")).alias("scored")), KEY)
@@ -207,6 +217,8 @@ def queries() -> dict[str, Query]:
         "likelihood_ratios": lambda s, d: A.likelihood_ratios(scored(s, d), "n_chars", (500.0, 1000.0, 2000.0, 5000.0)),
         "prevalence_resample": lambda s, d: A.at_prevalence(scored(s, d).select("id", "y"), 0.2),
         "draw_spread": lambda s, d: A.spread_over_draws(scored(s, d), 0.5, 20),
+        "bootstrap_spread": lambda s, d: RS.bootstrap(scored(s, d)),
+        "surrogate_agreement": _agreement,
         "subgroup_reorder": lambda s, d: M.subgroup_reorder(scored(s, d).select("id", "s", F.col("s2").alias("r"), F.expr("lang <> 'en'").alias("inside")), 0.5),
         "fold_spread": lambda s, d: M.metric_spread(scored(s, d).withColumn("fold", F.col("id") % 5), "fold"),
         "subgroup_columns": lambda s, d: M.subgroup_columns(_clipped(s, d).where(F.col("platform").isin(*C.MOBILE)), ("item_id", "search_page", "pointer_x", "seller_type", "platform")),
