@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,15 +58,19 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
         inside = np.flatnonzero(size > k)
         total[inside] += h[at[inside] + k] * factors[k]
     total = mixed(total)
-    order = np.lexsort((total, owner))
-    total, owner = total[order], owner[order]
+    ends = np.cumsum(take)
+    for a, b in zip((ends - take).tolist(), ends.tolist()):
+        total[a:b].sort()
     new = np.concatenate(([True], (total[1:] != total[:-1]) | (owner[1:] != owner[:-1])))
     return total[new], np.bincount(owner[new], minlength=len(n))
 
 
 def sketch_bits(size: int) -> int:
-    """Bits of a set's sketch: the power of two from its size on, at least 64."""
-    return max(64, 1 << (max(size, 1) - 1).bit_length())
+    """Bits of a set's sketch: the power of two from twice its size on, at least 64.
+
+    Few enough shingles share a bit that sets a seventh farther apart than linked ones may be are told apart.
+    """
+    return max(64, 1 << (2 * max(size, 1) - 1).bit_length())
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -98,13 +101,14 @@ def bands(largest: int, share: Fraction) -> list[tuple[int, int, int, int]]:
     """(least size, largest size, D, blocks) of each band.
 
     A pair belongs to the band of its larger set; the band reaches down to the smallest set that may link to one there.
-    There are some more blocks than D, so that nearly every set has more than D blocks with a shingle.
+    There are some more blocks than D, so that nearly every set has more than D blocks with a shingle. Bands twice as
+    wide as sizes that link give the fewest blocks, as a set is in one and a half of them on average.
     """
     out, below = [], 0
     while below < largest:
-        upto = max(below + 1, int(below / share))
+        upto = max(below + 1, int(below / share / share))
         most = most_differing(upto, upto, share)
-        blocks = 1 if not most else int(most * 1.17) + 3
+        blocks = 1 if not most else int(most * 1.22) + 3
         out.append((-int(-(below + 1) * share // 1), upto, most, blocks))
         below = upto
     return out
@@ -131,11 +135,8 @@ def block_keys(hashes: np.ndarray, counts: np.ndarray, share: Fraction) -> tuple
         n = counts[of[at:stop]]
         h = hashes[ragged(starts[of[at:stop]], n)]
         cell = np.repeat(offset[at:stop], n) + (mixed(h, 0xB1) % np.repeat(cells[at:stop], n).astype(np.uint64)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        cell, h = cell[order], mixed(h[order], 0xC3)
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        total[cell[first]] = np.bitwise_xor.reduceat(h, first)
-        filled[cell[first]] = True
+        np.bitwise_xor.at(total, cell, mixed(h, 0xC3))
+        filled[cell] = True
         at = stop
     row = np.repeat(np.arange(len(band)), cells)
     has = np.bincount(row[filled], minlength=len(band))
@@ -272,59 +273,95 @@ class _Verifier:
         return materialise(both.mapInArrow(_linked(self.share), _PAIR).distinct(), f"{label}-links")
 
 
-def _cross_pairs(share: Fraction, tile: int = 128):
+def _cross_pairs(share: Fraction, tile: int = 128, small: int = 64):
     """Pairs of one cell in different components whose sizes and sketches allow a link; cells come one after another.
 
-    Rows are (cell, side, id, n, component, sketch of one length a cell); sides as in ``in_cells``. Holds one cell.
+    Rows are (cell, side, id, n, component, sketch); sides as in ``in_cells``. Cells of at most ``small`` rows are met
+    together, a pair of several of them once; larger ones in tiles, one cell at a time.
     """
     p, q = share.numerator, share.denominator
 
-    def work(side, ids, n, comp, bits) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(n, kind="stable")
-        side, ids, n, comp, bits = (x[order] for x in (side, ids, n, comp, bits))
-        left, right = [], []
-        for a in range(0, len(ids), tile):
-            for b in range(a, len(ids), tile):
-                if q * n[min(a + tile, len(ids)) - 1] < p * n[b]:
+    def near(rows: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of places (i, j) those in different components and sides that may link."""
+        side, ids, n, comp, told = rows
+        low, high = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
+        ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (q * low >= p * high)
+        i, j, most = i[ok], j[ok], ((low + high) * (q - p) // (q + p))[ok]
+        if len(i):  # a pair of several cells is told once
+            both = np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+            first = np.unique(both, axis=1, return_index=True)[1]
+            i, j, most = i[first], j[first], most[first]
+        size = np.fromiter(map(len, told), np.int64, len(told))
+        length, keep = np.minimum(size[i], size[j]), np.zeros(len(i), bool)
+        for k in np.unique(length).tolist():
+            of = np.flatnonzero(length == k)
+            used, at = np.unique(np.concatenate((i[of], j[of])), return_inverse=True)
+            bits = np.stack([folded(np.frombuffer(told[x], np.uint8), k) for x in used.tolist()]).view(np.uint64)
+            for a in range(0, len(of), 1 << 14):
+                x, y = at[: len(of)][a : a + (1 << 14)], at[len(of) :][a : a + (1 << 14)]
+                part = of[a : a + (1 << 14)]
+                keep[part] = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most[part]
+        return i[keep], j[keep]
+
+    def of_small(rows: tuple, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        behind = np.repeat(np.cumsum(counts), counts) - np.arange(len(rows[1])) - 1
+        i = np.repeat(np.arange(len(behind)), behind)
+        j = ragged(np.arange(len(behind)) + 1, behind)
+        return near(rows, i, j)
+
+    def of_large(rows: tuple) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(rows[2], kind="stable")
+        n, left, right = rows[2][order].astype(np.int64), [order[:0]], [order[:0]]
+        for a in range(0, len(order), tile):
+            for b in range(a, len(order), tile):
+                if q * n[min(a + tile, len(n)) - 1] < p * n[b]:
                     break  # sorted by size: all later ones are too large
-                i, j = slice(a, a + tile), slice(b, b + tile)
-                total = n[i][:, None].astype(np.int64) + n[j][None, :]
-                ok = (comp[i][:, None] != comp[j][None, :]) & ((side[i][:, None] != side[j][None, :]) | (side[i][:, None] == 0)) & (q * n[i][:, None] >= p * n[j][None, :])
+                x, y = (c.ravel() for c in np.meshgrid(order[a : a + tile], order[b : b + tile], indexing="ij"))
                 if a == b:
-                    ok &= np.arange(len(n[i]))[:, None] < np.arange(len(n[j]))[None, :]
-                x, y = np.nonzero(ok)
-                far = np.bitwise_count(bits[i][x] ^ bits[j][y]).sum(1, dtype=np.int64)
-                near = far <= (total[x, y] * (q - p)) // (q + p)
-                left.append(ids[i][x[near]])
-                right.append(ids[j][y[near]])
-        return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
+                    x, y = x[x < y], y[x < y]
+                x, y = near(rows, x, y)
+                left.append(x)
+                right.append(y)
+        return np.concatenate(left), np.concatenate(right)
+
+    def found(rows: tuple, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        few = np.repeat(counts <= small, counts)
+        parts = [(tuple(x[few] for x in rows), counts[counts <= small])]
+        ends = np.cumsum(counts)
+        parts += [(tuple(x[ends[k] - counts[k] : ends[k]] for x in rows), None) for k in np.flatnonzero(counts > small)]
+        for part, sizes in parts:
+            i, j = of_large(part) if sizes is None else of_small(part, sizes)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(part[1][i]), pa.array(part[1][j])], names=["u", "v"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # rows of the cell that the last batch left open
         open_cell = None
-
-        def flush():
-            rows = [np.concatenate(x) for x in zip(*held)]
-            length = min(len(s) for s in rows[4])
-            bits = np.stack([folded(np.frombuffer(s, np.uint8), length) for s in rows[4]])
-            u, v = work(*rows[:4], bits.view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, side, ids, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            cell, *columns = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             told = np.empty(batch.num_rows, object)
             told[:] = batch.column(5).to_pylist()
+            columns = [*(c.copy() for c in columns), told]
             edges = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if held and cell[a] != open_cell:
-                    yield flush()
-                    held = []
-                open_cell = cell[a]
-                held.append(tuple(x[a:b].copy() for x in (side, ids, n, comp, told)))
+            start = 0
+            if held and cell[0] == open_cell:
+                start = 1
+                held.append(tuple(c[: edges[1]] for c in columns))
+            if held and len(edges) > start + 1:  # the open cell has ended
+                rows = tuple(np.concatenate(x) for x in zip(*held))
+                yield from found(rows, np.array([len(rows[0])]))
+                held = []
+            if len(edges) > start + 1:
+                a, b = edges[start], edges[-2]
+                if b > a:
+                    yield from found(tuple(c[a:b] for c in columns), np.diff(edges[start:-1]))
+                held = [tuple(c[b:] for c in columns)]
+            open_cell = cell[-1]
         if held:
-            yield flush()
+            rows = tuple(np.concatenate(x) for x in zip(*held))
+            yield from found(rows, np.array([len(rows[0])]))
 
     return scan
 
@@ -388,11 +425,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, most_
 
     classes = reps.select(F.col("n").cast("long").alias("n_shingles"), "h1", "h2", F.col("id").alias("u"))
     one_node = named.join(again, "doc_id", "left_semi").join(classes, ["n_shingles", "h1", "h2"]).select("u", F.col("doc_id").alias("v"))
-    rounds = [one_node, verifier.links(met.select(F.col("hub").alias("u"), F.col("id").alias("v")), "parity-1")]
-    labelled = lambda: components(reduce(DataFrame.unionByName, rounds))
+    found = components(one_node.unionByName(verifier.links(met.select(F.col("hub").alias("u"), F.col("id").alias("v")), "parity-1")))
     open_ = met.select("key", "id", "n")
     for last in (False, True):
-        found = labelled()
         rows = open_.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component"), F.xxhash64("id", "key")).alias("hub")).where("lo <> hi")
         rows = materialise(rows.join(mixed_.select("key", "hub"), "key"), "parity-open")
@@ -404,8 +439,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, most_
             short = reps.select("id", "n", "sketch").mapInArrow(_sketch_at_most(512), "id long, n int, sketch binary")
             told = cells.join(short.select("id", "sketch"), "id").select("cell", "side", "id", "n", "component", "sketch")
             pairs = told.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cross_pairs(share), _PAIR)
-        rounds.append(verifier.links(pairs, f"parity-{3 if last else 2}"))
-    known = labelled().withColumnRenamed("node", "id")
+        links = verifier.links(pairs, f"parity-{3 if last else 2}")
+        found = components(links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    known = found.withColumnRenamed("node", "id")
     whole = reps.join(known, "id", "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"))
     whole = whole.groupBy("n", "h1", "h2").agg(F.min("component_id").alias("component_id"))
     out = facts.join(whole, (facts["n_shingles"] == whole["n"]) & (facts["h1"] == whole["h1"]) & (facts["h2"] == whole["h2"]), "left")

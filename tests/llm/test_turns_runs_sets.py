@@ -341,3 +341,29 @@ def test_members_stream_over_batches():
         got = [tuple(r.values()) for out in parity._met(iter(batches)) for r in out.to_pylist()]
         first = {k: i for k, i in zip(key[::-1].tolist(), ids[::-1].tolist())}
         assert got == [(k, i, i, first[k]) for k, i in zip(key.tolist(), ids.tolist()) if (key == k).sum() > 1]
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_cross_pairs_of_cells_over_batches(small):
+    import pyarrow as pa
+
+    rng, share = random.Random(14), Fraction(4, 5)
+    for trial in range(30):
+        base = [np.array([rng.getrandbits(64) for _ in range(rng.choice([20, 30]))], np.uint64) for _ in range(3)]
+        sets = {}
+        for k in range(14):
+            own = rng.choice(base)
+            sets[k] = np.unique(np.concatenate((own[: len(own) - rng.randrange(6)], np.array([rng.getrandbits(64) for _ in range(rng.randrange(4))], np.uint64))))
+        rows = sorted((cell, rng.choice([0, 0, 1, 2]) if cell == 3 else 0, k, len(sets[k]), rng.randrange(5), parity.sketch(sets[k])) for cell in range(6) for k in rng.sample(range(14), rng.randrange(1, 9)))
+        rows.sort(key=lambda r: r[0])
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(4))})
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a:b]), types)], names=list("abcdef")) for a, b in zip(cuts, cuts[1:])]
+        got = {tuple(sorted(r.values())) for out in parity._cross_pairs(share, 4, small)(iter(batches)) for r in out.to_pylist()}
+        want = set()
+        for x in rows:
+            for y in rows:
+                if x[0] == y[0] and x[2] < y[2] and x[4] != y[4] and (x[1] != y[1] or x[1] == 0) and 5 * min(x[3], y[3]) >= 4 * max(x[3], y[3]):
+                    if parity.differ(x[5], y[5]) <= (x[3] + y[3]) // 9:
+                        want.add((x[2], y[2]))
+        assert got == want, trial
