@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import KEY, ref
+from ..functions.kernels import KEY, beside, ref, running
 
 
 def dominant_keys(ev: DataFrame, cookies: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -43,6 +43,26 @@ def encode_out_of_fold(rows: DataFrame, key: str, fold: str, smoothing: float) -
     return rows.join(rest.select(key, fold, rate.alias("rate")), [key, fold])
 
 
+def encode_ordered(rows: DataFrame, key: str, is_fit: str, permutations: int = 4, prior: float = 0.5, weight: float = 1.0, seed: int = 42) -> DataFrame:
+    """``rows`` (cookie_id, key, y, a flag) with ``rate``, a category's mean target among the rows before it.
+
+    Flagged rows stand in the order of an MD5 of (seed, permutation, cookie_id), and each takes ``prior`` with ``weight``
+    and the targets of its category that come before its own, so no row's label reaches its own value; the mean over
+    permutations is taken. Other rows take all flagged ones of their category. A NULL category is one of its own; a NULL
+    target counts for nothing.
+    """
+    y = F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("_y")
+    told = rows.where(is_fit).select(KEY, key, y, F.col("y").isNotNull().cast("long").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_perm"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_perm").cast("string"), F.col(KEY).cast("string"))).alias("_order")
+    told = running(told.select("*", order), ("_order", KEY), {"_pos": "_y", "_seen": "_n"}, ("_perm", key))
+    value = lambda pos, n: (pos + weight * prior) / (n + weight)
+    own = told.groupBy(KEY).agg(F.avg(value(F.col("_pos") - F.col("_y"), F.col("_seen") - F.col("_n"))).alias("rate"))
+    whole = rows.where(is_fit).groupBy(key).agg(F.sum(F.coalesce(F.col("y").cast("double"), F.lit(0.0))).alias("_pos"), F.count("y").alias("_n"))
+    fitted = rows.where(is_fit).join(own, KEY)
+    others = beside(rows.where(f"NOT ({is_fit})"), whole, (key,), "left").withColumn("rate", value(F.coalesce("_pos", F.lit(0.0)), F.coalesce("_n", F.lit(0)))).drop("_pos", "_n")
+    return fitted.unionByName(others)
+
+
 def duplicate_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(name, first): columns equal row by row to an earlier one.
 

@@ -6,6 +6,7 @@ values become the median with a flag beside it.
 
 from __future__ import annotations
 
+import re
 from statistics import median
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import KEY
+from ..functions.kernels import KEY, percent_ranks
 from ..functions.storage import written
 from .boosting import BoostedTrees, Boosting
 from .metrics import METRICS, average_precision, metric_spread, rank_average, score, subgroup_columns
@@ -169,3 +170,37 @@ def forward_scores(df: DataFrame, columns: list[str], first_valid: int = 2, lear
         one = predict(model, df.where(F.col("day_index") == day), columns).withColumn("day_index", F.lit(day))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def pseudo_labelled(df: DataFrame, unlabelled: DataFrame, columns: list[str], learner: str = "gbt", k: int = 5, tail: float = 0.10, weight: float = 0.3, rounds: int = 1, seed: int = 42) -> DataFrame:
+    """(cookie_id, fold, score): out-of-fold scores of models that also learn from the surest of ``unlabelled``.
+
+    In each fold the model of the other folds scores the unlabelled rows; those among the ``tail`` best and worst by
+    percentile rank join its training rows as positives and negatives at ``weight``, and it is fitted again, ``rounds``
+    times. Nothing of the fold that is scored, nor its labels, reaches its model.
+    """
+    folds = df.join(stratified_folds(df.select(KEY, "target"), k, seed).select(KEY, "fold"), KEY)
+    out = None
+    for f in range(k):
+        train = folds.where(F.col("fold") != f).select(KEY, "target", *columns).withColumn("weight", F.lit(1.0))
+        model = fit(train, columns, learner, seed)
+        for _ in range(rounds):
+            placed = percent_ranks(predict(model, unlabelled, columns).withColumn("score", F.round("score", 12)), "score", "_at")
+            sure = placed.where((F.col("_at") <= tail) | (F.col("_at") > 1 - tail)).select(KEY, (F.col("_at") > 1 - tail).cast("int").alias("target"))
+            more = unlabelled.select(KEY, *columns).join(sure, KEY).withColumn("weight", F.lit(weight))
+            model = fit(train.unionByName(written(more.select(*train.columns), "pseudo")), columns, learner, seed)
+        one = predict(model, folds.where(F.col("fold") == f), columns).withColumn("fold", F.lit(f))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def adversarial(fitted: DataFrame, scored: DataFrame, columns: list[str], learner: str = "gbt", k: int = 5, seed: int = 42) -> float | None:
+    """ROC-AUC of an out-of-fold model that tells ``scored`` rows from ``fitted`` ones; 0.5 where nothing drifts."""
+    rows = fitted.select(KEY, *columns, F.lit(0).alias("target")).unionByName(scored.select(KEY, *columns, F.lit(1).alias("target")))
+    told = out_of_fold(rows, columns, learner, k, seed).join(rows.select(KEY, F.col("target").alias("y")), KEY)
+    return score(told.select("y", F.round("score", 12).alias("s"))).first()["roc_auc"]
+
+
+def columns_like(columns: list[str], keep: str = "", drop: str = "") -> list[str]:
+    """The columns that a pattern finds, without those that another one finds; an empty pattern keeps or drops nothing."""
+    return [c for c in columns if (not keep or re.search(keep, c)) and not (drop and re.search(drop, c))]

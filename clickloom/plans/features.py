@@ -132,10 +132,14 @@ def strict_rebuild(events: DataFrame, cookies: DataFrame, settings: Settings, cu
     return build_features(events, split, settings).join(split.select(KEY, "is_fit", "target", "day_index"), KEY)
 
 
-def strict_report(events: DataFrame, cookies: DataFrame, settings: Settings, cut: int, columns: tuple[str, ...] = (), learner: str = "gbt", seeds: tuple[int, ...] = (1, 2, 3), pool_days: int | None = 7) -> DataFrame:
-    """The four metrics on the days from ``cut`` on, of models fitted on the days before: a bag of seeds by mean rank."""
+def strict_report(events: DataFrame, cookies: DataFrame, settings: Settings, cut: int, columns: tuple[str, ...] = (), learner: str = "gbt", seeds: tuple[int, ...] = (1, 2, 3), pool_days: int | None = 7, keep: str = "", drop: str = "") -> DataFrame:
+    """The four metrics on the days from ``cut`` on, of models fitted on the days before: a bag of seeds by mean rank.
+
+    ``keep`` and ``drop`` are patterns that choose among the columns.
+    """
     rows = written(strict_rebuild(events, cookies, settings, cut, pool_days), "strict")
     used = list(columns) or [c for c in rows.columns if c not in (KEY, "is_fit", "target", "day_index", "dominant_platform")]
+    used = MD.columns_like(used, keep, drop)
     fit, held = rows.where("is_fit").drop("is_fit"), rows.where("NOT is_fit AND target IS NOT NULL")
     scores = MD.bagged(fit, held, used, learner, seeds).join(held.select(KEY, F.col("target").cast("long").alias("y")), KEY)
     return M.score(scores.select("y", F.round("score", 12).alias("s"))).withColumn("n_features", F.lit(len(used)))

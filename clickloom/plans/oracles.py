@@ -435,6 +435,10 @@ def oracles() -> dict[str, str]:
         "dominant_keys": _keys(),
         "target_encoding": _encoding(),
         "target_encoding_oof": _encoding_oof(),
+        "target_encoding_ordered": _q(
+            f"{_KEYED}, pm AS (SELECT cookie_id, k, y, perm, md5('42:' || perm || ':' || cookie_id) AS o FROM kd, range(4) r(perm) WHERE is_fit), rn AS (SELECT cookie_id, (sum(y) OVER w - y + 0.5) / (count(*) OVER w) AS r FROM pm WINDOW w AS (PARTITION BY perm, k ORDER BY o, cookie_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), al AS (SELECT k, sum(y) AS p, count(*) AS n FROM kd WHERE is_fit GROUP BY k), ot AS (SELECT cookie_id, avg(r) AS rate FROM rn GROUP BY 1 UNION ALL SELECT cookie_id, (coalesce(p, 0) + 0.5) / (coalesce(n, 0) + 1) FROM kd LEFT JOIN al USING (k) WHERE NOT is_fit)",
+            {"rate": "rate"}, "FROM ot",
+        ),
         "pr_curve": f"{_scored()} {_sel({'s': 's', '#tp': 'tp', '#fp': 'seen - tp', 'precision': 'tp / seen', 'recall': 'tp / np'}, '')} FROM cv",
         "p_at_r70": _metric("p_at_r"),
         "recall_at_fpr": _metric("recall_at_fpr"),

@@ -202,6 +202,7 @@ def queries() -> dict[str, Query]:
         "dominant_keys": lambda s, d: N.dominant_keys(_clipped(s, d), cookies(s, d), {"user_agent": "key_ua", "item_category": "key_category", "item_location": "key_location"}),
         "target_encoding": lambda s, d: N.encode(_keyed(s, d), "k", "is_fit", S.smoothing).select(KEY, "rate"),
         "target_encoding_oof": lambda s, d: N.encode_out_of_fold(_keyed(s, d), "k", "fold", S.smoothing).select(KEY, "fold", "rate"),
+        "target_encoding_ordered": lambda s, d: N.encode_ordered(_keyed(s, d), "k", "is_fit").select(KEY, "rate"),
         "pr_curve": lambda s, d: M.pr_curve(scored(s, d)).select("s", "tp", "fp", "precision", "recall"),
         "p_at_r70": lambda s, d: M.precision_at_recall(scored(s, d), S.target_recall),
         "recall_at_fpr": lambda s, d: M.recall_at_fpr(scored(s, d)),

@@ -166,3 +166,52 @@ def test_tuned_settings_are_written(spark, tmp_path):
     rows = spark.range(80).select(F.col("id").alias("cookie_id"), (F.col("id") % 2).cast("int").alias("target"), (F.col("id") % 2 + F.rand(1)).alias("good"), (F.col("id") % 4).alias("day_index"))
     told = tuning.tune(rows.cache(), ["good"], "linear", trials=2, k=2, cuts=(2,), folder=f"{tmp_path}/trials", out=f"{tmp_path}/best")
     assert told["value"] > 0.8 and readers.read_settings(spark, f"{tmp_path}/best") == told and "linear:trial" not in models.LEARNERS
+
+
+# Labels that must not leak
+
+
+def test_ordered_rates_never_hold_the_own_label(spark):
+    from clickloom.operators import encoding
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([0, 1, None]) if i < 60 else 1, i < 60) for i in range(80)]
+    schema = "cookie_id long, k string, y int, is_fit boolean"
+    rate = lambda x: {r["cookie_id"]: r["rate"] for r in encoding.encode_ordered(spark.createDataFrame(x, schema), "k", "is_fit", seed=1).collect()}
+    got = rate(rows)
+    assert len(got) == 80 and all(0 < v < 1 for v in got.values())
+    for k in (3, 17):
+        turned = [(i, c, 1 - (y or 0) if i == k else y, f) for i, c, y, f in rows]
+        other = rate(turned)
+        assert other[k] == got[k] and other != got
+    for c in ("a", None):
+        own = [y for _, x, y, f in rows if f and x == c and y is not None]
+        assert all(got[i] == pytest.approx((sum(own) + 0.5) / (len(own) + 1)) for i, x, _, f in rows if not f and x == c)
+
+
+def test_pseudo_labels_leave_the_scored_fold_out(spark):
+    rng = random.Random(10)
+    df = frame(spark, rows_of(rng, 120)).select("cookie_id", "target", "a", "c").cache()
+    new = frame(spark, [(1000 + i, 0, *r[2:]) for i, r in enumerate(rows_of(rng, 80))]).select("cookie_id", "a", "c").cache()
+    one = {r["cookie_id"]: (r["fold"], r["score"]) for r in models.pseudo_labelled(df, new, ["a", "c"], "linear", 2).collect()}
+    assert len(one) == 120
+    from clickloom.operators import validation
+
+    folds = validation.stratified_folds(df.select("cookie_id", "target"), 2).cache()
+    held = {r["cookie_id"] for r in folds.where("fold = 0").collect()}
+    # labels of the scored fold changed within the classes' sizes, with the same folds
+    import unittest.mock
+
+    turned = df.withColumn("target", F.when(F.col("cookie_id").isin(*held), 1 - F.col("target")).otherwise(F.col("target")))
+    with unittest.mock.patch.object(models, "stratified_folds", lambda *_: folds):
+        two = {r["cookie_id"]: r["score"] for r in models.pseudo_labelled(turned, new, ["a", "c"], "linear", 2).where("fold = 0").collect()}
+        three = {r["cookie_id"]: r["score"] for r in models.pseudo_labelled(df, new, ["a", "c"], "linear", 2).where("fold = 0").collect()}
+    assert two == pytest.approx(three) and set(two) == held
+
+
+def test_adversarial_model_tells_drift(spark):
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(i, float(x), float(x + (i % 2))) for i, x in enumerate(rng.normal(size=160))], "cookie_id long, same double, moved double").cache()
+    a, b = rows.where("cookie_id % 2 = 0"), rows.where("cookie_id % 2 = 1")
+    assert models.adversarial(a, b, ["moved"], "linear", 2) > 0.65 and abs(models.adversarial(a, b, ["same"], "linear", 2) - 0.5) < 0.17
+    assert models.columns_like(["pop_a", "pop_b", "dt"], "^pop", "b$") == ["pop_a"]
