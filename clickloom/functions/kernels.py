@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,6 +120,18 @@ def runs(df: DataFrame, flag: str, keep: str = "flag") -> DataFrame:
     return marked.withColumn("island", island).where("flag").groupBy(KEY, "island").agg(F.count("*").alias("n"))
 
 
+def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """``merge`` of many wide tables as one statement, so that their columns are resolved once and not at every join."""
+    spark, names = first.sparkSession, [f"_table_{uuid.uuid4().hex}" for _ in (first, *others)]
+    try:
+        for name, table in zip(names, (first, *others)):
+            table.createOrReplaceTempView(name)
+        return spark.sql(f"SELECT * FROM {names[0]}" + "".join(f" LEFT JOIN {n} USING ({KEY})" for n in names[1:]))
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
+
+
 def merge(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Left join of small per-visitor results."""
     for other in others:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +67,43 @@ def encode_ordered(rows: DataFrame, key: str, is_fit: str, permutations: int = 4
     return fitted.unionByName(others)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def column_digests(df: DataFrame, key: str, columns: list[str]) -> dict[str, int]:
+    """A digest of the (key, value) rows of each column, free of their order; NULL is a value, -0 is 0, NaN is one value."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(columns), np.uint64)
+        for batch in batches:
+            keys = _mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+            for i in range(len(columns)):
+                column = batch.column(i + 1)
+                values = column.fill_null(0.0).to_numpy(zero_copy_only=False) + 0.0
+                bits = np.where(np.isnan(values), np.nan, values).view(np.uint64)
+                bits = np.where(column.is_null().to_numpy(zero_copy_only=False), np.uint64(0x7FF0DEADBEEF0001), bits)
+                sums[i] ^= np.bitwise_xor.reduce(_mixed(keys ^ _mixed(bits))) if len(bits) else np.uint64(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(columns), dtype=np.int32)), pa.array(sums.view(np.int64))], names=["i", "d"])
+
+    rows = df.select(F.xxhash64(ref(key)), *(ref(c).cast("double") for c in columns)).toDF("k", *(f"c{i}" for i in range(len(columns))))
+    told = rows.mapInArrow(scan, "i int, d long").groupBy("i").agg(F.bit_xor("d").alias("d"))
+    return {columns[r["i"]]: r["d"] for r in told.collect()}  # a row a column
+
+
 def duplicate_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(name, first): columns equal row by row to an earlier one.
 
-    One pass takes an order-free digest of (key, value) per column; only columns of equal digest are compared.
+    One pass takes a digest of each column; only columns of equal digest are compared.
     """
-    digest = lambda c: F.bit_xor(F.xxhash64(ref(key), ref(c).cast("double")))
-    row = dict(zip(columns, df.agg(*(digest(c).alias(f"d{i}") for i, c in enumerate(columns))).first()))
+    row = column_digests(df, key, columns)
     seen: dict[int, list[str]] = {}
     pairs = []
     for c in columns:
-        pairs += [(c, f) for f in seen.get(row[c], [])]
-        seen.setdefault(row[c], []).append(c)
+        pairs += [(c, f) for f in seen.get(row.get(c, 0), [])]
+        seen.setdefault(row.get(c, 0), []).append(c)
     schema = "name string, first string"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)

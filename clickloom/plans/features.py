@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..config import Settings
-from ..functions.kernels import KEY, merge
+from ..functions.kernels import KEY, merge, side_by_side
 from ..functions.storage import scratch, written, written_together
 from ..operators import encoding as N
 from ..operators import events as E
@@ -36,15 +36,22 @@ def _vocabularies(ev: DataFrame, s: Settings) -> tuple[list[str], dict[str, list
 
 
 def build_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> DataFrame:
-    """``all_features`` after the clean-up."""
-    return cleaned(all_features(events, cookies, settings))
+    """``all_features``, of whose equal columns the first stays."""
+    return _without_copies(all_features(events, cookies, settings))
 
 
 def cleaned(features: DataFrame) -> DataFrame:
-    """NaN and infinity are NULL, and of equal columns the first stays; the features are written once."""
-    fractions = [f.name for f in features.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    clean = written(N.scrub(features, fractions), "features-clean")
-    return N.drop_duplicate_columns(clean, KEY, [c for c in clean.columns if c != KEY])
+    """NaN and infinity are NULL, and of equal columns the first stays; the features are read twice."""
+    return _without_copies(scrubbed(features))
+
+
+def _without_copies(features: DataFrame) -> DataFrame:
+    return N.drop_duplicate_columns(features, KEY, [c for c in features.columns if c != KEY])
+
+
+def scrubbed(features: DataFrame) -> DataFrame:
+    """NaN and infinity are NULL."""
+    return N.scrub(features, [f.name for f in features.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))])
 
 
 def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> DataFrame:
@@ -52,8 +59,8 @@ def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> D
 
     The enriched frame is kept while the families read it. Each family is written as a table of its own, several at a
     time: joining the families' plans would have every join analyse its side anew, as all come from one frame. These
-    tables, which have a row per visitor, are joined and written, as the platform-relative columns read the result
-    again. Vocabularies, term weights and ranks come from fit visitors alone. Columns are in the order of the source of
+    tables, which have a row per visitor, are joined and written without NaN and infinity, as the platform-relative
+    columns read the result again. Vocabularies, term weights and ranks come from fit visitors alone. Columns are in the order of the source of
     this format, which decides what stays of equal ones. Popularity compares visitors of one ``pool``, a column of
     ``cookies``, or all of them.
     """
@@ -91,7 +98,7 @@ def all_features(events: DataFrame, cookies: DataFrame, settings: Settings) -> D
         finally:
             ev.unpersist()
             documents.unpersist()
-        joined = written(merge(cookies.select(KEY), *(tables[name] for name in families)), "features-joined", keep=True)
+        joined = written(scrubbed(side_by_side(cookies.select(KEY), *(tables[name] for name in families))), "features-joined", keep=True)
     return with_relative(joined, cookies)
 
 
@@ -114,10 +121,11 @@ _SLOW = ("seqo", "seqp", "pointer_deep", "compression")
 
 
 def with_relative(features: DataFrame, cookies: DataFrame) -> DataFrame:
-    """The matrix with its platform-relative columns; written or cached features are read twice."""
+    """The matrix with its platform-relative columns, which are a table of their own; the features are read twice."""
     used = features.select(KEY, *(f"plat_{p}" for p in C.PLATFORMS), *B.RELATIVE_BASE).join(cookies.select(KEY, "is_fit"), KEY)
     relative = B.relative(used)
-    return features.join(relative.select(KEY, *(c for c in relative.columns if c not in (KEY, "dominant_platform")), "dominant_platform"), KEY, "left")
+    ranks = relative.select(KEY, *(c for c in relative.columns if c not in (KEY, "dominant_platform")), "dominant_platform")
+    return features.join(written(ranks, "features-relative"), KEY, "left")
 
 
 def strict_rebuild(events: DataFrame, cookies: DataFrame, settings: Settings, cut: int, pool_days: int | None = 7) -> DataFrame:
