@@ -10,10 +10,12 @@ those of one parse of the whole text.
 
 from __future__ import annotations
 
+import pickle
 import random
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_long, crc_bucket, fresh_name, slices
+from .common import as_long, attach, crc_bucket, fresh_name, materialise, slices
 
 UNKNOWN = "und"
 #: Symbols: 0 fills pieces up, 1 is anything but a letter or its mark, 2 a letter that no labelled text has.
@@ -264,103 +266,188 @@ class Parser:
                     out[:, k] += np.bincount(owner[a:b], row, len(texts))
         return out
 
-    def judge(self, texts: list[str | None], least_phrase: float = 2.0) -> tuple[list[str], list[float], np.ndarray]:
-        """Language and confidence of each text, and whether that language fits; ``und`` and 0 where there is no letter.
-
-        A language fits a text whose phrases, without the last, have ``least_phrase`` symbols or more on average.
-        """
+    def _entropies(self, texts: list[str | None], least_phrase: float) -> tuple:
+        """Bits a symbol of each text by language, its symbols, whether it has a letter, and whether its best language fits."""
         plain = [points(t) if t else np.empty(0, np.uint32) for t in texts]
         known = np.array([bool(self.alphabetic[p].any()) for p in plain], bool)
-        if not self.languages or not texts:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts), known
         coded = [symbols(p, self.letters) for p in plain]
-        sizes = np.maximum(1, np.array([len(c) for c in coded]))
+        sizes = np.maximum(1, np.array([len(c) for c in coded], np.int64))
         phrases = self.phrases(coded)
         entropy = phrases * self.bits / sizes[:, None]
         best = entropy.argmin(1)
-        worse = (entropy - entropy.min(1, keepdims=True)) * np.minimum(sizes, 40)[:, None]
-        sure = 1 / np.exp2(-np.minimum(worse, 60)).sum(1)
         fits = (phrases[np.arange(len(texts)), best] - 1) * least_phrase <= sizes
+        return entropy, best, sizes, known, fits
+
+    @staticmethod
+    def _near(entropy: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        worse = (entropy - entropy.min(1, keepdims=True)) * np.minimum(sizes, 40)[:, None]
+        return np.exp2(-np.minimum(worse, 60)).sum(1)
+
+    def judge(self, texts: list[str | None], least_phrase: float = 2.0) -> tuple[list[str], list[float], np.ndarray]:
+        """Language and confidence of each text, and whether that language fits; ``und`` and 0 where there is no letter.
+
+        A language fits a text whose phrases, without the last, have ``least_phrase`` symbols or more on average.
+        """
+        if not self.languages or not texts:
+            known = np.array([bool(t) and bool(self.alphabetic[points(t)].any()) for t in texts], bool)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), known
+        entropy, best, sizes, known, fits = self._entropies(texts, least_phrase)
+        sure = 1 / self._near(entropy, sizes)
         return (
             [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())],
             [s if k else 0.0 for s, k in zip(sure.tolist(), known.tolist())],
             known & fits,
         )
 
+    def nearest(self, texts: list[str | None], least_phrase: float = 2.0) -> list[pa.Array]:
+        """What other groups of languages need to know: best language, its bits, how near the others are, size, letters, fit."""
+        if not texts:
+            return [pa.array([], t) for t in (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_())]
+        entropy, best, sizes, known, fits = self._entropies(texts, least_phrase)
+        names = [self.languages[b] for b in best.tolist()]
+        return [pa.array(names, pa.string()), pa.array(entropy.min(1)), pa.array(self._near(entropy, sizes)), pa.array(sizes), pa.array(known), pa.array(fits)]
 
-def labelled_texts(docs: DataFrame, per_language: int = 60, most_chars: int = 1500, most_languages: int = 1000) -> dict[str, str]:
-    """A bounded sample of text per language from rows with crc32(doc_id) % 4 != 2 and a language.
+
+def labelled_sample(docs: DataFrame, per_language: int = 60, most_chars: int = 1500) -> DataFrame:
+    """(lang, rank, text): a bounded sample of each language from rows with crc32(doc_id) % 4 != 2 and a language.
 
     At most ``per_language`` rows of a language are taken, and of a longer text ``most_chars`` characters from a place
     that a hash of the id names. Languages are counted first; a hash of the id then thins each one to about twice the
-    number wanted before rows are ranked, so no language's rows meet in one task. More than ``most_languages`` values
-    of ``lang`` are an error.
+    number wanted before rows are ranked, so no language's rows meet in one task.
     """
     rows = docs.select(as_long("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and doc_id is not null")
     rows = rows.where(crc_bucket("doc_id", 4) != 2)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}  # a row for each language
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    if not counts:
-        return {}
     steps = 1 << 30
-    wanted = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(steps, 1 + int(steps * 2 * per_language / n)))))
+    wanted = F.least(F.lit(steps), 1 + (F.lit(2.0 * steps * per_language) / F.col("n")).cast("long")).alias("wanted")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", wanted)
     place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(steps))
-    few = rows.where(place < F.element_at(wanted, F.col("lang"))).where(F.col("text").rlike(r"\p{L}"))
+    few = attach(rows, counts, ["lang"], "language-counts", F.octet_length("lang") + 40, how="inner").where(place < F.col("wanted")).where(F.col("text").rlike(r"\p{L}"))
     start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.lit(1), F.length("text") - most_chars + 1).cast("long")).cast("int") + 1
     few = few.select("lang", "doc_id", F.substr("text", start, F.lit(most_chars)).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "text"))
-    kept = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text")
+    return few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text")
+
+
+def _joined(rows: list[tuple[str, int, str]]) -> dict[str, str]:
     found: dict[str, list[tuple[int, str]]] = {}
-    for r in kept.toLocalIterator():
-        found.setdefault(r["lang"], []).append((r["rank"], r["text"]))
+    for lang, rank, text in rows:
+        found.setdefault(lang, []).append((rank, text))
     return {k: " ".join(t for _, t in sorted(v)) for k, v in found.items()}
 
 
-def fit(docs: DataFrame, most_symbols: int = 24_000, **sample: int) -> Parser:
-    """Automata of ``most_symbols`` symbols a language from the bounded sample, however many languages there are."""
-    return Parser.fit(labelled_texts(docs, **sample), most_symbols)
+class Panel:
+    """The parsers of all languages, in groups of at most ``at_once`` by code point, each group's tables in one row.
+
+    Tasks fit the groups and write them; the driver holds one group at a time, about 1.3 MB a language.
+    """
+
+    def __init__(self, docs: DataFrame, most_symbols: int = 24_000, at_once: int = 64, **sample: int) -> None:
+        self.spark = docs.sparkSession
+        self.sample = materialise(labelled_sample(docs, **sample), "language-sample")
+        names = self.sample.select("lang").distinct()
+        self.n_languages = names.count()
+        self.n_groups = max(1, -(-self.n_languages // at_once))
+        self.most_symbols = most_symbols
+        if self.n_groups == 1:
+            return
+        place = F.row_number().over(Window.orderBy("lang")) - 1  # a row a language
+        grouped = self.sample.join(names.select("lang", F.floor(place / at_once).cast("int").alias("grp")), "lang")
+
+        def build(rows: pa.Table) -> pa.Table:
+            parser = Parser.fit(_joined([tuple(r.values()) for r in rows.select(["lang", "rank", "text"]).to_pylist()]), most_symbols)
+            return pa.Table.from_pylist([{"grp": rows.column("grp")[0].as_py(), "parser": pickle.dumps(parser)}], schema=pa.schema([("grp", pa.int32()), ("parser", pa.binary())]))
+
+        self.built = materialise(grouped.repartition(self.n_groups, "grp").groupBy("grp").applyInArrow(build, "grp int, parser binary"), "language-parsers")
+
+    def parser(self, group: int = 0) -> Parser:
+        if self.n_groups == 1:
+            return Parser.fit(_joined([tuple(r) for r in self.sample.select("lang", "rank", "text").collect()]), self.most_symbols)
+        return pickle.loads(self.built.where(F.col("grp") == group).first()["parser"])
+
+
+_PART = "row long, lang_pred string, low double, near double, size long, known boolean, fits boolean"
+
+
+def judged(docs: DataFrame, panel: Panel, names: tuple[str, str, str] = ("lang_pred", "score", "fits")) -> DataFrame:
+    """``docs`` with columns for the language, its score and whether it fits, when there are more languages than one group holds.
+
+    Rows are written with numbers; each group of languages is a pass over them that tells the best of the group and
+    how near its others are, and the groups' results, a row each for a document, are put together by its number.
+    """
+    number = fresh_name("row", docs)
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "language-rows")
+    parts = []
+    for group in range(panel.n_groups):
+        shared = docs.sparkSession.sparkContext.broadcast(panel.parser(group))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, most=1 << 20):
+                    told = shared.value.nearest(batch.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=[c.split()[0] for c in _PART.split(", ")])
+
+        parts.append(materialise(rows.select(number, "text").mapInArrow(scan, _PART), "language-part"))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts)
+    best = every.groupBy("row").agg(
+        F.min_by(F.struct("lang_pred", "low", "size", "known", "fits"), F.struct("low", "lang_pred")).alias("b"), F.collect_list(F.struct("low", "near")).alias("all")  # a row a group
+    )
+    worse = lambda x: F.least((x["low"] - F.col("b.low")) * F.least(F.col("b.size"), F.lit(40)), F.lit(60.0))
+    total = F.aggregate(F.sort_array("all"), F.lit(0.0), lambda t, x: t + x["near"] * F.pow(F.lit(2.0), -worse(x)))
+    told = best.select(F.col("row").alias(number), F.when(F.col("b.known"), F.col("b.lang_pred")).otherwise(UNKNOWN).alias(names[0]), F.when(F.col("b.known"), 1 / total).otherwise(0.0).alias(names[1]), (F.col("b.known") & F.col("b.fits")).alias(names[2]))
+    return rows.join(told, number).drop(number)
 
 
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def identify(docs: DataFrame, **sample: int) -> DataFrame:
+def identify(docs: DataFrame, **options: int) -> DataFrame:
     """One row per document row: doc_id, held_out, lang_pred, score.
 
     Texts that are null or have no letter are ``und`` with score 0. A null doc_id has a null held_out. Repeated rows
-    give a row each. Without any labelled text all are ``und``. Ties go to the first language by code point.
+    give a row each. Without any labelled text all are ``und``. Ties go to the first language by code point. Up to
+    ``at_once`` languages are one broadcast and one pass without a shuffle; more are parsed by group.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, **sample))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, most=1 << 20):
-                names, scores, _ = shared.value.judge(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=_OUT.names)
-
-    found = docs.select(as_long("doc_id"), "text").mapInArrow(scan, _OUT)
+    panel = Panel(docs, **options)
+    if panel.n_groups > 1:
+        found = judged(docs.select(as_long("doc_id"), "text"), panel)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(panel.parser())
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, most=1 << 20):
+                    names, scores, _ = shared.value.judge(batch.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=_OUT.names)
+
+        found = docs.select(as_long("doc_id"), "text").mapInArrow(scan, _OUT)
     return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, **sample: int) -> DataFrame:
-    """The documents that are in a language, all columns, ``lang`` set to the predicted one. No shuffle.
+def with_language(docs: DataFrame, **options: int) -> DataFrame:
+    """The documents that are in a language, all columns, ``lang`` set to the predicted one.
 
     Rejected are texts without a letter, and texts that the best language does not fit, as its phrases have under two
-    symbols on average: texts of other scripts and mere codes. Where no text is labelled there is nothing to compare with: documents with a letter
-    stay and keep their ``lang``. Repeated rows are judged alike; an empty table stays empty.
+    symbols on average: texts of other scripts and mere codes. Where no text is labelled there is nothing to compare with:
+    documents with a letter stay and keep their ``lang``. Repeated rows are judged alike; an empty table stays empty. No
+    shuffle, unless there are more languages than one group holds.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, **sample))
-    unlabelled = not shared.value.languages
-
-    @F.arrow_udf(T.StringType())
-    def language(text: pa.Array) -> pa.Array:
-        out: list[str | None] = []
-        for piece in slices(pa.RecordBatch.from_arrays([text], names=["text"]), text=0, most=1 << 20):
-            names, _, fits = shared.value.judge(piece.column(0).to_pylist())
-            out += [name if ok else None for name, ok in zip(names, fits.tolist())]
-        return pa.array(out, pa.string())
-
-    found = fresh_name("language", docs)  # not deterministic to the optimizer, or filter and value would parse twice
-    kept = docs.withColumn(found, language.asNondeterministic()("text")).where(F.col(found).isNotNull())
-    return kept.drop(found) if unlabelled else kept.select(*(F.col(found).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    panel = Panel(docs, **options)
+    found = fresh_name("language", docs)
+    if panel.n_groups > 1:
+        score, fits = fresh_name("score", docs), fresh_name("fits", docs)
+        kept = judged(docs, panel, (found, score, fits)).where(F.col(fits)).drop(score, fits)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(panel.parser())
+
+        @F.arrow_udf(T.StringType())
+        def language(text: pa.Array) -> pa.Array:
+            out: list[str | None] = []
+            for piece in slices(pa.RecordBatch.from_arrays([text], names=["text"]), text=0, most=1 << 20):
+                told, _, fits = shared.value.judge(piece.column(0).to_pylist())
+                out += [name if ok else None for name, ok in zip(told, fits.tolist())]
+            return pa.array(out, pa.string())
+
+        # not deterministic to the optimizer, or filter and value would parse twice
+        kept = docs.withColumn(found, language.asNondeterministic()("text")).where(F.col(found).isNotNull())
+    return kept.drop(found) if not panel.n_languages else kept.select(*(F.col(found).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
