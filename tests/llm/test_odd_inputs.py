@@ -123,3 +123,23 @@ def test_folders_of_components_are_deleted(spark):
         assert components(edges).where("component = 0").count() == 60
         assert len([p for p in (root / "clickloom").iterdir() if p.name.startswith("components-") and p.name not in before]) == 1
     assert not [p for p in (root / "clickloom").iterdir() if p.name.startswith("components-") and p.name not in before]
+
+
+def test_toxicity_score_is_that_of_all_taggings(spark):
+    import itertools
+
+    model = toxic_crf.Field({"w=vile": 2.0, "w=foul": 1.0, "w=so": 0.3}, -1.0, (-0.5, 0.4, -0.2, 0.6), (-3.0, 2.0, 1.5, 0.7))
+    texts = ["vile so foul", "so so", "foul vile vile and so", "nothing here at all", ""]
+    got = {r["doc_id"]: r for r in toxic_crf.tag(docs(spark, list(enumerate(texts))), model).collect()}
+    first, go, back, stay = model.moves
+    for i, t in enumerate(texts):
+        emit = [-1.0 + model.weights.get(f"w={w}", 0.0) for w in t.split()]
+        whole, on = 0.0, [0.0] * len(emit)
+        for tags in itertools.product((0, 1), repeat=len(emit)):
+            steps = sum({(0, 0): 0.0, (0, 1): go, (1, 0): back, (1, 1): stay}[x] for x in zip(tags, tags[1:]))
+            e = math.exp(sum(a for a, on_ in zip(emit, tags) if on_) + (first if tags and tags[0] else 0.0) + steps)
+            whole += e
+            on = [o + e * x for o, x in zip(on, tags)]
+        p = [o / whole for o in on]
+        facts = [1.0, math.log1p(sum(p)), max(p), math.sqrt(sum(p) / len(p))] if p else [1.0, 0.0, 0.0, 0.0]
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(facts, model.scale))))), t
