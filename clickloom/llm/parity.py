@@ -131,7 +131,7 @@ def block_keys(hashes: np.ndarray, counts: np.ndarray, share: Fraction) -> tuple
     at = 0
     sizes = np.cumsum(counts[of])
     while at < len(band):  # some millions of shingles at a time
-        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 21), "right")))
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 19), "right")))
         n = counts[of[at:stop]]
         h = hashes[ragged(starts[of[at:stop]], n)]
         cell = np.repeat(offset[at:stop], n) + (mixed(h, 0xB1) % np.repeat(cells[at:stop], n).astype(np.uint64)).astype(np.int64)
@@ -156,7 +156,7 @@ def set_facts(docs: DataFrame, width: int = 5) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, most=4 << 20):
+            for batch in slices(whole, most=2 << 20):
                 hashes, counts = shingle_sets(payloads(batch.column(1)), width)
                 ends = np.cumsum(counts)
                 sums = []
@@ -172,7 +172,7 @@ def set_facts(docs: DataFrame, width: int = 5) -> DataFrame:
 def _members(share: Fraction, width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, most=4 << 20):
+            for batch in slices(whole, most=2 << 20):
                 hashes, counts = shingle_sets(payloads(batch.column(1)), width)
                 of, key = block_keys(hashes, counts, share)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -261,7 +261,7 @@ class _Verifier:
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, most=4 << 20):
+                for batch in slices(whole, most=2 << 20):
                     hashes, counts = shingle_sets(payloads(batch.column(1)), width)
                     ends = np.cumsum(counts)
                     told = [hashes[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
