@@ -30,6 +30,11 @@ def seconds(df: DataFrame, column: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(`{column}` AS TIMESTAMP_NTZ))")
 
 
+def number_of(df: DataFrame, column: str) -> Column:
+    """A whole number that stands for a value: itself, or the 64-bit hash of what is no whole number."""
+    return ref(column).cast("long") if dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(ref(column))
+
+
 def share(of: Column) -> Column:
     """How often ``of`` holds, among the rows where it is known."""
     return F.avg(of.cast("double"))

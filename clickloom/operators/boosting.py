@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import KEY, ref
+from ..functions.kernels import KEY, number_of, ref
 from ..functions.storage import discard, written_at
 
 _ROWS = "id long, y double, w double, score double, bins binary"
@@ -182,7 +182,7 @@ class Boosting:
     def fit(self, df: DataFrame, columns: list[str]) -> BoostedTrees:
         """A model of ``df`` (cookie_id, columns, target, weight). Numbers of rows in a leaf count rows used, not weights."""
         probabilities = [i / self.bins for i in range(1, self.bins)]
-        rows = df.select(KEY, F.col("target").cast("double").alias("y"), F.col("weight").cast("double").alias("w"), *(ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+        rows = df.select(number_of(df, KEY).alias("id"), F.col("target").cast("double").alias("y"), F.col("weight").cast("double").alias("w"), *(ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
         found = rows.approxQuantile([f"c{i}" for i in range(len(columns))], probabilities, 0.1 / self.bins)  # a few numbers a column
         edges = [np.unique(np.array(e, np.float64)) for e in found]
         told = rows.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("p"), F.count("*").alias("n")).first()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.kernels import KEY, percent_ranks
+from ..functions.kernels import KEY, number_of, percent_ranks
 
 _MET = "visitor long, neighbours long, shared long, widest long, repeated long, jaccard_sum double, jaccard_max double"
 #: Pairs of (visitor, item) rows that are met at once in a task.
@@ -94,8 +94,9 @@ def covisitation(ev: DataFrame, s: Settings, pool: str = "'all'", blocks: int |
     visitors' common items meet, so overlaps are complete there and only sums by visitor leave it: an item of any audience
     is spread over the cells and no edge is written.
     """
-    pairs = ev.where("item_id IS NOT NULL").select(F.expr(pool).cast("string").alias("pool"), F.col(KEY).cast("long").alias(KEY), "item_id").distinct()
+    pairs = ev.where("item_id IS NOT NULL").select(F.expr(pool).cast("string").alias("pool"), KEY, "item_id").distinct()
     own = pairs.groupBy("pool", KEY).agg(F.count("*").alias("n_items"))
+    own = own.withColumn("visitor", number_of(own, KEY))
     items = pairs.groupBy("pool", "item_id").agg(F.count("*").alias("audience")).where("audience > 1")
     if blocks is None:
         told = items.agg(F.coalesce(F.sum("audience"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.expr("double(audience) * (audience - 1) / 2")), F.lit(0.0)).alias("m")).first()
@@ -107,10 +108,10 @@ def covisitation(ev: DataFrame, s: Settings, pool: str = "'all'", blocks: int |
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
     cell = F.least("block", "other") * F.lit(blocks).cast("long") + F.greatest("block", "other")
     # an item's rank by hash is as good as its id; halved, as the side is put below it
-    rows = rows.select(cell.alias("cell"), side.alias("side"), F.shiftright("item", 1).alias("item"), F.col(KEY).alias("visitor"), "n_items")
+    rows = rows.select(cell.alias("cell"), side.alias("side"), F.shiftright("item", 1).alias("item"), "visitor", "n_items")
     parts = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet, _MET)
-    sums = parts.groupBy(F.col("visitor").alias(KEY)).agg(*(F.sum(c).alias(c) for c in ("neighbours", "shared", "repeated", "jaccard_sum")), *(F.max(c).alias(c) for c in ("widest", "jaccard_max")))
-    out = own.join(sums, KEY, "left").select(
+    sums = parts.groupBy("visitor").agg(*(F.sum(c).alias(c) for c in ("neighbours", "shared", "repeated", "jaccard_sum")), *(F.max(c).alias(c) for c in ("widest", "jaccard_max")))
+    out = own.join(sums, "visitor", "left").select(
         KEY,
         "pool",
         F.coalesce("neighbours", F.lit(0)).alias("cv_degree"),

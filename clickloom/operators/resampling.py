@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import percent_ranks
+from ..functions.kernels import number_of, percent_ranks
 from ..functions.storage import written
 from .metrics import METRICS
 
@@ -125,14 +125,14 @@ def weighted_metrics(scored: DataFrame, weigh: Weigh, draws: int, least_recall:
     """(draw, p_at_r, roc_auc, average_precision, recall_at_fpr) of ``scored(id, y, s)`` under every draw's weights.
 
     The four metrics are those of ``metrics.score``: equal scores are one point, NaN stands on top and NULL last; a draw
-    without positives, or for roc_auc without one class, has NULL.
+    without positives, or for roc_auc without one class, has NULL. An id that is no whole number is told by its hash.
 
     A range sort by (score, id) makes pieces; equal scores may lie in several. A pass adds up each piece's draws, with its
     first and last group apart; one task walks the pieces' sums, a row each, and joins groups that pieces share; a second
     pass walks the groups inside every piece from what lies before it.
     """
     which = np.arange(draws)
-    rows = scored.select(F.col("id").cast("long").alias("id"), F.col("y").cast("double").alias("y"), F.col("s").cast("double").alias("s"))
+    rows = scored.select(number_of(scored, "id").alias("id"), F.col("y").cast("double").alias("y"), F.col("s").cast("double").alias("s"))
     rows = rows.withColumns({"hole": F.col("s").isNull(), "s": F.coalesce("s", F.lit(0.0))})
     order = [F.asc("hole"), F.desc("s"), F.asc("id")]
     rows = written(rows.repartitionByRange(*order).withColumn("piece", F.spark_partition_id()), "resampling")
