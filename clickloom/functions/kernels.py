@@ -77,6 +77,17 @@ def corr(x: str, y: str, where: str = "TRUE") -> Column:
     return F.when((n > 2) & (spread > 1e-9), (n * sxy - sx * sy) / F.sqrt(spread))
 
 
+def rounded(x: str | Column, digits: int) -> Column:
+    """A double rounded as DuckDB and C round it: scaled in binary first, halves away from zero.
+
+    Spark's ``round`` takes the shortest decimal that stands for the double, so 0.0653125, which lies a hair below that
+    number, would go up.
+    """
+    x = ref(x) if isinstance(x, str) else x
+    scaled = x * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < F.lit(float("inf")), F.round(scaled) / F.lit(10.0**digits)).otherwise(x)
+
+
 def beside(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
     """Join on keys where NULL equals NULL; ``right`` has the keys and new columns."""
     names = {k: f"_of_{i}" for i, k in enumerate(keys)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import Settings
-from ..functions.kernels import KEY, by_time, corr, derive, div, merge, ref, running, runs, seconds, share, summarise, value_counts
+from ..functions.kernels import KEY, by_time, corr, derive, div, merge, ref, rounded, running, runs, seconds, share, summarise, value_counts
 
 
 def _names(xs: tuple[str, ...]) -> str:
@@ -406,7 +406,7 @@ def relative(features: DataFrame, columns: tuple[str, ...] = RELATIVE_BASE) -> D
     top = F.greatest(*(F.col(f"plat_{p}") for p in C.PLATFORMS))
     platform = F.coalesce(*(F.when(F.col(f"plat_{p}") == top, p) for p in C.PLATFORMS))
     rows = features.withColumn("platform", platform)
-    long = rows.select(KEY, "platform", "is_fit", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.round(F.col(c).cast("double"), 9).alias("v")) for c in columns))).alias("x")).select(KEY, "platform", "is_fit", "x.*")
+    long = rows.select(KEY, "platform", "is_fit", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), rounded(F.col(c).cast("double"), 9).alias("v")) for c in columns))).alias("x")).select(KEY, "platform", "is_fit", "x.*")
     known = long.where("v IS NOT NULL AND platform IS NOT NULL").groupBy("name", "platform", "v").agg(F.count_if("is_fit").alias("fit"))
     known = running(known, "v", {"upto": "fit"}, ("name", "platform"))
     known = known.join(known.groupBy("name", "platform").agg(F.sum("fit").alias("all_fit")), ["name", "platform"])  # a row for each column and platform

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import beside, percent_ranks, running
+from ..functions.kernels import beside, percent_ranks, rounded, running
 
 
 def pr_curve(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -88,9 +88,9 @@ def blend_weights(ranks: DataFrame, families: tuple[str, ...], grid: int = 5) ->
     total = " + ".join(f"w_{f}" for f in families)
     grids = grids.drop("id").where(f"{total} > 0")
     blended = ranks.select("y", *families).join(F.broadcast(grids))
-    s = F.round(F.expr("(" + " + ".join(f"w_{f} * {f}" for f in families) + f") / double({total})"), 9)
+    s = rounded(F.expr("(" + " + ".join(f"w_{f} * {f}" for f in families) + f") / double({total})"), 9)
     names = tuple(f"w_{f}" for f in families)
-    found = average_precision(blended.select("y", s.alias("s"), *names), by=names).withColumn("ap", F.round("average_precision", 9))
+    found = average_precision(blended.select("y", s.alias("s"), *names), by=names).withColumn("ap", rounded("average_precision", 9))
     return found.orderBy(F.desc("ap"), *names).limit(1).select(*names, "ap")
 
 
@@ -112,7 +112,7 @@ def caught_and_missed(scored: DataFrame, columns: tuple[str, ...], least_recall:
     long = rows.select("part", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("part", "x.*")
     out = long.groupBy("feature").agg(*(F.expr(f"avg(CASE WHEN part = '{p}' THEN v END)").alias(f"{p}_mean") for p in ("missed", "caught", "other")))
     gap = F.expr("abs(missed_mean - caught_mean) / (abs(caught_mean) + 1e-6D)")
-    return out.withColumn("gap", F.round(gap, 9)).orderBy(F.desc_nulls_last("gap"), "feature").limit(top)
+    return out.withColumn("gap", rounded(gap, 9)).orderBy(F.desc_nulls_last("gap"), "feature").limit(top)
 
 
 def subgroup_reorder(scores: DataFrame, weight: float = 1.0) -> DataFrame:
@@ -122,7 +122,7 @@ def subgroup_reorder(scores: DataFrame, weight: float = 1.0) -> DataFrame:
     stand by id.
     """
     part = percent_ranks(percent_ranks(scores.where("inside"), "s", "a"), "r", "b")
-    part = part.withColumn("blend", F.round((1 - weight) * F.col("a") + weight * F.col("b"), 12))
+    part = part.withColumn("blend", rounded((1 - weight) * F.col("a") + weight * F.col("b"), 12))
     part = part.withColumn("one", F.lit(1))
     values = running(part.select("s", "id", "one"), ("s", "id"), {"k": "one"}).select("k", F.col("s").alias("new"))
     owners = running(part.select("blend", "id", "one"), ("blend", "id"), {"k": "one"}).select("id", "k")

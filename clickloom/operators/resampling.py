@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import number_of, percent_ranks
+from ..functions.kernels import number_of, percent_ranks, rounded
 from ..functions.storage import written
 from .metrics import METRICS
 
@@ -262,7 +262,7 @@ def surrogate_agreement(each: DataFrame, target: str = "p_at_r") -> DataFrame:
     names = [F.struct(F.lit(m).alias("surrogate"), F.col(m).alias("a")) for m in METRICS]
     first = each.where("draw % 2 = 0").select("model", F.expr("draw div 2").alias("split"), F.explode(F.array(*names)).alias("x")).select("model", "split", "x.*")
     second = each.where("draw % 2 = 1").select("model", F.expr("draw div 2").alias("split"), F.col(target).alias("b"))
-    both = first.join(second, ["model", "split"]).where("a IS NOT NULL AND b IS NOT NULL").withColumns({"a": F.round("a", 12), "b": F.round("b", 12)})
+    both = first.join(second, ["model", "split"]).where("a IS NOT NULL AND b IS NOT NULL").withColumns({"a": rounded("a", 12), "b": rounded("b", 12)})
     ranked = percent_ranks(percent_ranks(both, "a", "ra", ("surrogate", "split")), "b", "rb", ("surrogate", "split"))
     spread = lambda c: F.stddev_pop(c)
     known = F.when((spread("ra") > 0) & (spread("rb") > 0), F.covar_pop("ra", "rb") / (spread("ra") * spread("rb")))

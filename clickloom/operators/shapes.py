@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import KEY, beside, running
+from ..functions.kernels import KEY, beside, rounded, running
 
 #: (group, value) of each channel as SQL over enriched events: values are binned within their group; a NULL does not count.
 CHANNELS = {
@@ -35,7 +35,7 @@ def binned_values(ev: DataFrame, channels: dict[str, tuple[str, str]], bins: int
     parts of those. All channels share one count by (channel, group, value, visitor) and one running sum over distinct
     values. ``ev`` has ``is_fit``; values agree to six digits.
     """
-    parts = [F.struct(F.lit(name).alias("channel"), F.expr(g).alias("grp"), F.round(F.expr(v).cast("double"), 6).alias("v")) for name, (g, v) in channels.items()]
+    parts = [F.struct(F.lit(name).alias("channel"), F.expr(g).alias("grp"), rounded(F.expr(v).cast("double"), 6).alias("v")) for name, (g, v) in channels.items()]
     long = ev.select(KEY, "is_fit", F.explode(F.array(*parts)).alias("x")).select(KEY, "is_fit", "x.*").where("grp IS NOT NULL AND v IS NOT NULL")
     own = long.groupBy("channel", "grp", "v", KEY, "is_fit").agg(F.count("*").alias("n"))
     values = own.groupBy("channel", "grp", "v").agg(F.coalesce(F.sum(F.when(F.col("is_fit"), F.col("n"))), F.lit(0)).alias("fit"))
@@ -96,7 +96,7 @@ def column_drift(features: DataFrame, columns: tuple[str, ...], side: str) -> Da
     ``auc`` is the share of (b, a) pairs of known values with the larger one in b, ties half. All columns are counted by
     (column, value) at once and share one running sum. Values agree to nine digits; NaN is the greatest.
     """
-    long = features.select(F.col(side).alias("b"), F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.round(F.col(f"`{c}`").cast("double"), 9).alias("v")) for c in columns))).alias("x")).select("b", "x.*")
+    long = features.select(F.col(side).alias("b"), F.explode(F.array(*(F.struct(F.lit(c).alias("name"), rounded(F.col(f"`{c}`").cast("double"), 9).alias("v")) for c in columns))).alias("x")).select("b", "x.*")
     counts = long.groupBy("name", "v").agg(F.count_if("b").alias("b"), F.count_if(~F.col("b")).alias("a"))
     curve = running(counts.where("v IS NOT NULL"), "v", {"upto_a": "a"}, ("name",))
     told = curve.groupBy("name").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("b") * (F.col("upto_a") - F.col("a") / 2)).alias("ahead"))

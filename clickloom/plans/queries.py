@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions.kernels import KEY, merge, ref, summarise
+from ..functions.kernels import KEY, merge, ref, rounded, summarise
 from ..operators import analysis as A
 from ..operators import covisits as CV
 from ..operators import encoding as N
@@ -35,7 +35,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = ref(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = rounded(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(f.name))
@@ -124,7 +124,7 @@ def _top_customers(spark: SparkSession, d: str) -> DataFrame:
     spent = read("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("total"))
     rows = spent.join(read("customer").select("c_custkey", "c_nationkey"), "c_custkey").join(F.broadcast(read("nation").select("n_nationkey", F.col("n_name").alias("nation"))), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     place = F.row_number().over(Window.partitionBy("nation").orderBy(F.desc("total"), "c_custkey"))
-    return rows.withColumn("k", place).where("k <= 3").select("nation", "c_custkey", F.round("total", 2).alias("total"))
+    return rows.withColumn("k", place).where("k <= 3").select("nation", "c_custkey", rounded("total", 2).alias("total"))
 
 
 def _url_parts(spark: SparkSession, d: str) -> DataFrame:
