@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.kernels import KEY, number_of, percent_ranks
+from ..functions.storage import scratch, written
 
 _MET = "visitor long, neighbours long, shared long, widest long, repeated long, jaccard_sum double, jaccard_max double"
-#: Pairs of (visitor, item) rows that are met at once in a task.
-_AT_ONCE = 1 << 21
+#: Meetings, and places in a table of pairs, that a task holds at once.
+_AT_ONCE = 1 << 20
+#: A table of pairs may have so many places a meeting; sparser ones are sorted.
+_SPARSE = 8
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,47 +41,81 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _of_cell(side: np.ndarray, item: np.ndarray, visitor: np.ndarray, n_items: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums of a cell's visitors. Some visitors at a time meet all of the other side, or of a block's own rows, and are
+    summed at once: so memory hangs on the cell's rows and on ``_AT_ONCE``, never on its meetings."""
     names, number = np.unique(visitor, return_inverse=True)
     size = np.zeros(len(names), np.int64)
     size[number] = n_items
     one_sided = side.max() == 0
-    order = np.lexsort((number, side, item))
-    item, number, side = item[order], number[order], side[order]
-    # each row meets the rows of its item behind it: all of them, or those of the other side
-    last = np.searchsorted(item, item, "right")
-    if one_sided:
-        first = np.arange(1, len(item) + 1)
-    else:
-        split = np.searchsorted(item * 2 + (side == 2), item * 2 + 1)  # where the item's second side begins
-        first = np.where(side == 1, split, last)
-    take = last - first
-    upto, at = np.cumsum(take), 0
-    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    while at < len(take):
+    here = np.ones(len(item), bool) if one_sided else side == 1
+    there = here if one_sided else ~here
+    # those who are met, by item; those who meet, by visitor
+    order = np.argsort(item[there], kind="stable")
+    met_item, met_number = item[there][order], number[there][order]
+    order = np.argsort(number[here], kind="stable")
+    item, number = item[here][order], number[here][order]
+    first = np.searchsorted(met_item, item)
+    take = np.searchsorted(met_item, item, "right") - first
+    starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(number) else np.empty(0, np.int64)
+    if not len(starts):
+        return
+    upto = np.cumsum(np.add.reduceat(take, starts))  # meetings of the visitors so far
+    ends, n = np.append(starts[1:], len(number)), len(names)
+    neighbours, shared, widest, repeated = (np.zeros(n, np.int64) for _ in range(4))
+    jaccard_sum, jaccard_max = np.zeros(n), np.zeros(n)
+    at = 0
+    while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _AT_ONCE, "right")))
-        n = take[at:stop]
-        left = np.repeat(np.arange(at, stop), n)
-        right = np.repeat(first[at:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        a, b = number[left], number[right]
-        code, count = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b), return_counts=True)
-        merged, where = np.unique(np.concatenate((codes, code)), return_inverse=True)
-        counts = np.bincount(where, np.concatenate((counts, count)), len(merged)).astype(np.int64)
-        codes, at = merged, stop
-    if not len(codes):
+        rows = slice(starts[at], ends[stop - 1])
+        for a, b, count in _counted(number[rows], first[rows], take[rows], met_number, n):
+            if one_sided:  # a pair is met from both ends, and each visitor meets itself
+                a, b, count = (x[a != b] for x in (a, b, count))
+            jaccard = count / (size[a] + size[b] - count)
+            for me in (a,) if one_sided else (a, b):
+                neighbours += np.bincount(me, minlength=n)
+                shared += np.bincount(me, count, n).astype(np.int64)
+                repeated += np.bincount(me, count > 1, n).astype(np.int64)
+                jaccard_sum += np.bincount(me, jaccard, n)
+                np.maximum.at(widest, me, count)
+                np.maximum.at(jaccard_max, me, jaccard)
+        at = stop
+    met = np.flatnonzero(neighbours)
+    if len(met):
+        told = [names[met], *(x[met] for x in (neighbours, shared, widest, repeated, jaccard_sum, jaccard_max))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["visitor", "neighbours", "shared", "widest", "repeated", "jaccard_sum", "jaccard_max"])
+
+
+def _counted(number: np.ndarray, first: np.ndarray, take: np.ndarray, met_number: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(visitor, met visitor, items in common) of whole visitors; one who alone has more meetings is counted in a row of ``n``."""
+    total, visitors = int(take.sum()), np.unique(number)
+    if len(visitors) == 1 and total > _AT_ONCE:
+        counts, at, upto = np.zeros(n, np.int64), 0, np.cumsum(take)
+        while at < len(take):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _AT_ONCE, "right")))
+            counts += np.bincount(met_number[_spans(first[at:stop], take[at:stop])], minlength=n)
+            at = stop
+        b = np.flatnonzero(counts)
+        yield np.full(len(b), visitors[0]), b, counts[b]
+        return
+    if not total:
         return
-    a, b = codes // len(names), codes % len(names)
-    jaccard = counts / (size[a] + size[b] - counts)
-    me, w, j = np.concatenate((a, b)), np.concatenate((counts, counts)), np.concatenate((jaccard, jaccard))
-    add = lambda x: np.bincount(me, x, len(names))
-    widest, most = np.zeros(len(names), np.int64), np.zeros(len(names))
-    np.maximum.at(widest, me, w)
-    np.maximum.at(most, me, j)
-    met = np.flatnonzero(np.bincount(me, minlength=len(names)))
-    told = [names[met], *(x[met].astype(np.int64) for x in (add(None), add(w), widest, add(w > 1))), add(j)[met], most[met]]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["visitor", "neighbours", "shared", "widest", "repeated", "jaccard_sum", "jaccard_max"])
-
-
-def blocks_for(n_rows: int, n_meetings: int, cell_rows: int = 500_000, cell_meetings: int = 4_000_000) -> int:
+    place = np.searchsorted(visitors, number)
+    code = np.repeat(place * n, take) + met_number[_spans(first, take)]
+    if len(visitors) * n <= _SPARSE * total:
+        counts = np.bincount(code, minlength=len(visitors) * n)
+        code = np.flatnonzero(counts)
+        counts = counts[code]
+    else:
+        code, counts = np.unique(code, return_counts=True)
+    yield visitors[code // n], code % n, counts
+
+
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first[i], ..., first[i] + n[i] - 1 of every i, one behind the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def blocks_for(n_rows: int, n_meetings: int, cell_rows: int = 500_000, cell_meetings: int = 16_000_000) -> int:
     """Into how many blocks visitors are dealt, so that a cell of two blocks has about so many rows and meetings."""
     return max(1, int(np.ceil(max(2 * n_rows / cell_rows, (n_meetings / cell_meetings) ** 0.5))))
 
@@ -92,9 +129,17 @@ def covisitation(ev: DataFrame, s: Settings, pool: str = "'all'", blocks: int |
 
     Visitors are dealt into blocks by a hash. The rows of two blocks that share items form a cell, where all of two
     visitors' common items meet, so overlaps are complete there and only sums by visitor leave it: an item of any audience
-    is spread over the cells and no edge is written.
+    is spread over the cells and no edge is written. The sums are written, as the percentiles read them several times.
     """
-    pairs = ev.where("item_id IS NOT NULL").select(F.expr(pool).cast("string").alias("pool"), KEY, "item_id").distinct()
+    with scratch():  # pairs go when the sums are written
+        out = written(_sums(ev, pool, blocks), "covisits", keep=True)
+    for name in ("cv_degree", "cv_deg_per_item", "cv_shared_mean"):
+        out = percent_ranks(out, name, f"{name}_pct", ("pool",))
+    return out.drop("pool")
+
+
+def _sums(ev: DataFrame, pool: str, blocks: int | None) -> DataFrame:
+    pairs = written(ev.where("item_id IS NOT NULL").select(F.expr(pool).cast("string").alias("pool"), KEY, "item_id").distinct(), "covisits-pairs")
     own = pairs.groupBy("pool", KEY).agg(F.count("*").alias("n_items"))
     own = own.withColumn("visitor", number_of(own, KEY))
     items = pairs.groupBy("pool", "item_id").agg(F.count("*").alias("audience")).where("audience > 1")
@@ -111,7 +156,7 @@ def covisitation(ev: DataFrame, s: Settings, pool: str = "'all'", blocks: int |
     rows = rows.select(cell.alias("cell"), side.alias("side"), F.shiftright("item", 1).alias("item"), "visitor", "n_items")
     parts = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet, _MET)
     sums = parts.groupBy("visitor").agg(*(F.sum(c).alias(c) for c in ("neighbours", "shared", "repeated", "jaccard_sum")), *(F.max(c).alias(c) for c in ("widest", "jaccard_max")))
-    out = own.join(sums, "visitor", "left").select(
+    return own.join(sums, "visitor", "left").select(
         KEY,
         "pool",
         F.coalesce("neighbours", F.lit(0)).alias("cv_degree"),
@@ -123,6 +168,3 @@ def covisitation(ev: DataFrame, s: Settings, pool: str = "'all'", blocks: int |
         F.col("jaccard_max").alias("cv_jaccard_max"),
         (F.col("jaccard_sum") / F.col("neighbours")).alias("cv_jaccard_mean"),
     )
-    for name in ("cv_degree", "cv_deg_per_item", "cv_shared_mean"):
-        out = percent_ranks(out, name, f"{name}_pct", ("pool",))
-    return out.drop("pool")

@@ -1,8 +1,13 @@
 """What shows only on larger tables: ties in the last digit, and work that must not grow in one task."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
+import pytest
 
 from clickloom.functions import kernels as K
+from clickloom.operators import covisits
 from clickloom.plans.queries import tidy
 
 
@@ -14,3 +19,41 @@ def test_ties_round_as_in_sql(spark):
     assert [r["v"] for r in sorted(got, key=lambda r: r["k"])] == want
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double").select(K.rounded("v", 6).alias("v")).collect()
     assert [str(r["v"]) for r in odd] == ["nan", "inf", "None"]
+
+
+def cell(n, items, own, sides):
+    """Arrays of a cell: ``n`` visitors with about ``own`` of ``items`` each."""
+    rng = np.random.default_rng(5)
+    pairs = np.unique(np.stack((np.repeat(np.arange(n), own), rng.integers(0, items, n * own))), axis=1)
+    return (pairs[0] % 2 + 1 if sides == 2 else np.zeros(pairs.shape[1], np.int64)), pairs[1], pairs[0] + 100, np.bincount(pairs[0])[pairs[0]]
+
+
+def test_a_cell_holds_no_more_for_more_meetings():
+    peaks = []
+    for items in (400, 25):  # 16 times the meetings of as many rows
+        rows = cell(12000, items, 5, 2)
+        tracemalloc.start()
+        list(covisits._of_cell(*rows))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 200e6
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+@pytest.mark.parametrize("at_once", [1, 7, 100, 1 << 20])
+@pytest.mark.parametrize("sparse", [0, 8])
+def test_cells_in_slices_match_all_pairs(monkeypatch, sides, at_once, sparse):
+    monkeypatch.setattr(covisits, "_AT_ONCE", at_once)
+    monkeypatch.setattr(covisits, "_SPARSE", sparse)
+    side, item, visitor, n_items = cell(30, 12, 4, sides)
+    sets = {v: set(item[visitor == v].tolist()) for v in visitor.tolist()}
+    side_of = dict(zip(visitor.tolist(), side.tolist()))
+    got = {r["visitor"]: r for b in covisits._of_cell(side, item, visitor, n_items) for r in b.to_pylist()}
+    for v, own in sets.items():
+        met = {w: len(own & s) for w, s in sets.items() if w != v and own & s and (sides == 1 or side_of[w] != side_of[v])}
+        assert (v in got) == bool(met)
+        if met:
+            j = [k / (len(own) + len(sets[w]) - k) for w, k in met.items()]
+            want = (len(met), sum(met.values()), max(met.values()), sum(k > 1 for k in met.values()))
+            assert tuple(got[v][c] for c in ("neighbours", "shared", "widest", "repeated")) == want
+            assert (got[v]["jaccard_sum"], got[v]["jaccard_max"]) == (pytest.approx(sum(j)), pytest.approx(max(j)))
