@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import number_of, percent_ranks, rounded
-from ..functions.storage import written
+from ..functions.storage import scratch, written, written_together
 from .metrics import METRICS
 
 Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -56,9 +57,10 @@ def halves(seed: int) -> Weigh:
 
 
 def _share(ids: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
-    """``analysis.share_of_hash`` of (seed, draw, id)."""
+    """``analysis.share_of_hash`` of (seed, draw, id); a draw that stands there twice is hashed once."""
+    draws, where = np.unique(draws, return_inverse=True)
     of = lambda d, i: int.from_bytes(hashlib.md5(f"{seed}:{d}:{i}".encode()).digest()[:4], "big")
-    return np.array([[of(d, i) for d in draws.tolist()] for i in ids.tolist()], np.float64).reshape(len(ids), len(draws)) / 2.0**32
+    return np.array([[of(d, i) for d in draws.tolist()] for i in ids.tolist()], np.float64).reshape(len(ids), len(draws))[:, where] / 2.0**32
 
 
 def hashed_share(share: float, seed: int) -> Weigh:
@@ -71,6 +73,43 @@ def hashed_halves(seed: int) -> Weigh:
     return lambda ids, draws: ((_share(ids, draws // 2, seed) < 0.5) == (draws % 2 == 0)).astype(np.float64)
 
 
+def packed(weights: np.ndarray) -> list[bytes]:
+    """Each row's weights as bytes: bits if all of them are 0 or 1, else doubles."""
+    bits = ((weights == 0) | (weights == 1)).all()
+    return [r.tobytes() for r in (np.packbits(weights.astype(np.uint8), axis=1) if bits else weights.astype(np.float64))]
+
+
+def unpacked(rows: list[bytes], draws: int) -> np.ndarray:
+    """``packed`` weights; rows of bits and of doubles have different lengths."""
+    n = (draws + 7) // 8
+    bits = np.fromiter((len(r) == n for r in rows), bool, len(rows))
+    out = np.empty((len(rows), draws))
+    out[bits] = np.unpackbits(np.frombuffer(b"".join(r for r in rows if len(r) == n), np.uint8).reshape(-1, n), axis=1, count=draws)
+    out[~bits] = np.frombuffer(b"".join(r for r in rows if len(r) != n), np.float64).reshape(-1, draws)
+    return out
+
+
+def with_weights(scored: DataFrame, weigh: Weigh, draws: int, pieces: int | None = None) -> DataFrame:
+    """``scored`` with ``w``, each id's packed weights under every draw, told once for an id whatever its number of rows.
+
+    Ids are dealt evenly over ``pieces``, as Spark would put these short rows into few tasks.
+    """
+    spark = scored.sparkSession
+    number = F.coalesce(number_of(scored, "id"), F.lit(-(2**63)))  # rows without id are weighed alike
+    ids = scored.select(number.alias("_id")).distinct()
+    which = np.arange(draws)
+    step = max(1, _AT_ONCE // max(draws, 1))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                some = batch.column(0).slice(a, step)
+                yield pa.RecordBatch.from_arrays([some, pa.array(packed(weigh(some.to_numpy(zero_copy_only=False), which)), pa.binary())], names=["_id", "w"])
+
+    ids = ids.repartition(pieces or 4 * spark.sparkContext.defaultParallelism, "_id").mapInArrow(told, "_id long, w binary")
+    return scored.join(written(ids, "resampling-weights"), number == F.col("_id")).drop("_id")
+
+
 class _Curve:
     """The curves of all draws, walked down the scores: sums so far, and what the metrics gather at each point."""
 
@@ -97,15 +136,16 @@ _SUMS = "piece int, first double, last double, groups long, sums binary"
 _PARTS = "piece int, parts binary"
 
 
-def _weighed(rows: pd.DataFrame, weigh: Weigh, draws: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positives, rows) of all draws for each run of equal scores, best first; rows are sorted."""
-    s, y, ids = rows["s"].to_numpy(float), rows["y"].to_numpy(float), rows["id"].to_numpy(np.int64)
+def _weighed(rows: pd.DataFrame, weigh: Weigh | None, draws: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positives, rows) of all draws for each run of equal scores, best first; rows are sorted. ``w`` holds weights if there is no ``weigh``."""
+    s, y = rows["s"].to_numpy(float), rows["y"].to_numpy(float)
+    ids = rows["id"].to_numpy(np.int64) if weigh else None
     same = np.concatenate(([False], (s[1:] == s[:-1]) | (np.isnan(s[1:]) & np.isnan(s[:-1]))))
     starts = np.flatnonzero(~same)
     step = max(1, _AT_ONCE // len(draws))
     open_: tuple | None = None
     for a in range(0, len(s), step):
-        w = weigh(ids[a : a + step], draws)
+        w = weigh(ids[a : a + step], draws) if weigh else unpacked(rows["w"].iloc[a : a + step].tolist(), len(draws))
         p = w * y[a : a + step, None]
         inside = starts[(starts >= a) & (starts < a + step)] - a
         cuts = np.concatenate(([0], inside)) if not len(inside) or inside[0] else inside
@@ -121,18 +161,19 @@ def _weighed(rows: pd.DataFrame, weigh: Weigh, draws: np.ndarray) -> Iterator[tu
         yield open_
 
 
-def weighted_metrics(scored: DataFrame, weigh: Weigh, draws: int, least_recall: float = 0.70, most_fpr: float = 0.01) -> DataFrame:
+def weighted_metrics(scored: DataFrame, weigh: Weigh | None, draws: int, least_recall: float = 0.70, most_fpr: float = 0.01) -> DataFrame:
     """(draw, p_at_r, roc_auc, average_precision, recall_at_fpr) of ``scored(id, y, s)`` under every draw's weights.
 
     The four metrics are those of ``metrics.score``: equal scores are one point, NaN stands on top and NULL last; a draw
-    without positives, or for roc_auc without one class, has NULL. An id that is no whole number is told by its hash.
+    without positives, or for roc_auc without one class, has NULL. An id that is no whole number is told by its hash. Without
+    ``weigh`` the rows have their weights in ``w``, from ``with_weights``.
 
     A range sort by (score, id) makes pieces; equal scores may lie in several. A pass adds up each piece's draws, with its
     first and last group apart; one task walks the pieces' sums, a row each, and joins groups that pieces share; a second
     pass walks the groups inside every piece from what lies before it.
     """
     which = np.arange(draws)
-    rows = scored.select(number_of(scored, "id").alias("id"), F.col("y").cast("double").alias("y"), F.col("s").cast("double").alias("s"))
+    rows = scored.select(number_of(scored, "id").alias("id"), F.col("y").cast("double").alias("y"), F.col("s").cast("double").alias("s"), *(() if weigh else ("w",)))
     rows = rows.withColumns({"hole": F.col("s").isNull(), "s": F.coalesce("s", F.lit(0.0))})
     order = [F.asc("hole"), F.desc("s"), F.asc("id")]
     rows = written(rows.repartitionByRange(*order).withColumn("piece", F.spark_partition_id()), "resampling")
@@ -271,11 +312,13 @@ def surrogate_agreement(each: DataFrame, target: str = "p_at_r") -> DataFrame:
 
 
 def of_models(scores: DataFrame, weigh: Weigh, draws: int, **options) -> DataFrame:
-    """``weighted_metrics`` of each ``model`` of ``scores(model, id, y, s)``; the models are few and are taken one by one."""
-    names = [r["model"] for r in scores.select("model").distinct().orderBy("model").collect()]  # a row a model
-    parts = [weighted_metrics(scores.where(F.col("model") == n), weigh, draws, **options).select(F.lit(n).alias("model"), "*") for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``weighted_metrics`` of each ``model`` of ``scores(model, id, y, s)``; the models are few, some are taken at once.
 
+    An id's weights are told once for all models, and the metrics are written, as what ranks them reads them several times.
+    """
+    names = [r["model"] for r in scores.select("model").distinct().orderBy("model").collect()]  # a row a model
+    with scratch():
+        weighed = written(with_weights(scores, weigh, draws), "resampling-models")
+        of = lambda n: weighted_metrics(weighed.where(F.col("model") == n), None, draws, **options).select(F.lit(n).alias("model"), "*")
+        parts = written_together({f"resampling-model-{i}": (lambda n=n: of(n)) for i, n in enumerate(names)}, at_once=4)
+        return written(reduce(DataFrame.unionByName, parts), "resampling-metrics", keep=True)

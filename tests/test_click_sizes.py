@@ -5,9 +5,10 @@ import tracemalloc
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clickloom.functions import kernels as K
-from clickloom.operators import covisits
+from clickloom.operators import covisits, resampling
 from clickloom.plans.queries import tidy
 
 
@@ -57,3 +58,28 @@ def test_cells_in_slices_match_all_pairs(monkeypatch, sides, at_once, sparse):
             want = (len(met), sum(met.values()), max(met.values()), sum(k > 1 for k in met.values()))
             assert tuple(got[v][c] for c in ("neighbours", "shared", "widest", "repeated")) == want
             assert (got[v]["jaccard_sum"], got[v]["jaccard_max"]) == (pytest.approx(sum(j)), pytest.approx(max(j)))
+
+
+def test_packed_weights_come_back():
+    for w in (np.array([[0.0, 1, 1], [1, 0, 0]]), np.array([[0.0, 2, 1]]), np.ones((3, 9))):
+        assert (resampling.unpacked(resampling.packed(w), w.shape[1]) == w).all()
+    mixed = resampling.packed(np.array([[1.0, 0, 1]])) + resampling.packed(np.array([[1.5, 0, 1]]))
+    assert resampling.unpacked(mixed, 3).tolist() == [[1, 0, 1], [1.5, 0, 1]]
+
+
+def test_weights_are_told_once_for_all_models(spark):
+    told = spark.sparkContext.accumulator(0)
+    of = resampling.poisson(0.7, 3)
+
+    def weigh(ids, draws):
+        told.add(len(ids))
+        return of(ids, draws)
+
+    rows = spark.range(60).selectExpr("IF(id = 59, NULL, id) AS id", "int(id % 4 = 0) AS y", "explode(array('a', 'b', 'c')) AS model").withColumn("s", F.expr("double((id * 7 + ascii(model)) % 11)"))
+    got = resampling.of_models(rows, weigh, 6)
+    first = {(r["model"], r["draw"]): r for r in got.collect()}
+    got.collect()
+    assert told.value == 60 and len(first) == 18
+    for m in "abc":
+        want = resampling.weighted_metrics(rows.where(F.col("model") == m).na.fill(-(2**63), ["id"]), of, 6).collect()
+        assert all(first[m, r["draw"]][c] == (None if r[c] is None else pytest.approx(r[c])) for r in want for c in ("p_at_r", "roc_auc", "average_precision", "recall_at_fpr"))
