@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import Settings
-from ..functions.kernels import KEY, by_time, corr, derive, div, merge, ref, rounded, running, runs, seconds, share, summarise, value_counts
+from ..functions.kernels import KEY, ORDER, by_time, corr, derive, div, merge, ref, rounded, running, runs, seconds, share, summarise, value_counts
 
 
 def _names(xs: tuple[str, ...]) -> str:
@@ -297,23 +297,24 @@ def conditional_timing(ev: DataFrame, s: Settings) -> DataFrame:
 def navigation(ev: DataFrame, s: Settings) -> DataFrame:
     n = {x: f"count_if(event_name = '{x}')" for x in C.EVENT_NAMES}
     contact = f"count_if(event_name IN ({_names(C.CONTACT)}))"
-    base = summarise(
-        ev,
-        {
-            "funnel_items_per_search": f"{n['item_view']} / ({n['search_results_view']} + 1D)", "funnel_contact_per_item": f"{contact} / ({n['item_view']} + 1D)",
-            "funnel_seller_per_item": f"{n['seller_page_view']} / ({n['item_view']} + 1D)", "funnel_swipe_per_item": f"{n['photo_swipe']} / ({n['item_view']} + 1D)",
-        },
-    )
-    parts = []
-    for column, short in (("item_category", "cat"), ("item_location", "loc"), ("search_query", "query")):
-        rows = ev.where(f"{column} IS NOT NULL").withColumn("before", F.lag(column).over(by_time())).where("before IS NOT NULL")
-        rows = rows.withColumn("changed", F.expr(f"int({column} <> before)"))
-        rows = rows.withColumn("island", F.sum("changed").over(by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        lengths = rows.groupBy(KEY, "island").agg(F.count("*").alias("n"), F.sum("changed").alias("c"))
-        parts.append(summarise(lengths, {f"nav_{short}_switch_rate": "sum(c) / double(sum(n))", f"nav_{short}_run_mean": "avg(n)", f"nav_{short}_run_max": "max(n)"}))
-    swipes = summarise(runs(ev, "event_name = 'photo_swipe'"), {"swipe_run_max": "max(n)"})
-    again = ev.where("item_id IS NOT NULL").groupBy(KEY, "item_id").agg(F.count("*").alias("n"))
-    return merge(base, *parts, swipes, summarise(again, {"item_revisit_max": "max(n)"})).na.fill(0, ["swipe_run_max"])
+    facts = {
+        "funnel_items_per_search": f"{n['item_view']} / ({n['search_results_view']} + 1D)", "funnel_contact_per_item": f"{contact} / ({n['item_view']} + 1D)",
+        "funnel_seller_per_item": f"{n['seller_page_view']} / ({n['item_view']} + 1D)", "funnel_swipe_per_item": f"{n['photo_swipe']} / ({n['item_view']} + 1D)",
+    }
+    # one sort by visitor and time tells each event's place in the runs of all columns, so that runs are neither grouped nor joined
+    w, kinds = by_time(), {"cat": "item_category", "loc": "item_location", "query": "search_query"}
+    upto, behind = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = ev.select(KEY, *ORDER, "event_name", "item_id", *kinds.values()).withColumn("at", F.row_number().over(w))
+    rows = rows.withColumns({f"before_{k}": F.last(c, ignorenulls=True).over(behind) for k, c in kinds.items()})
+    rows = rows.withColumns({f"changed_{k}": F.expr(f"int({c} <> before_{k})") for k, c in kinds.items()})
+    rows = rows.withColumns({f"known_{k}": F.count(f"changed_{k}").over(upto) for k in kinds} | {"other_upto": F.max(F.expr("CASE WHEN event_name = 'photo_swipe' THEN NULL ELSE at END")).over(upto)})
+    rows = rows.withColumns({f"since_{k}": F.max(F.expr(f"CASE WHEN changed_{k} = 1 THEN known_{k} END")).over(upto) for k in kinds})
+    for k in kinds:  # a row that is not the first begins a run where its value changed; the first begins one in any case
+        facts |= {f"nav_{k}_switch_rate": f"avg(changed_{k})", f"nav_{k}_run_mean": f"try_divide(double(count(changed_{k})), double(count_if(changed_{k} = 1 OR (changed_{k} = 0 AND known_{k} = 1))))"}
+        facts |= {f"nav_{k}_run_max": f"max(CASE WHEN changed_{k} IS NOT NULL THEN known_{k} - coalesce(since_{k}, 1) + 1 END)"}
+    seen = F.row_number().over(Window.partitionBy(KEY, "item_id").orderBy(F.lit(0)))
+    rows = rows.withColumn("seen", F.when(F.col("item_id").isNotNull(), seen))
+    return summarise(rows, facts | {"swipe_run_max": "max(CASE WHEN event_name = 'photo_swipe' THEN at - coalesce(other_upto, 0) ELSE 0 END)", "item_revisit_max": "max(seen)"})
 
 
 def scoped(rows: DataFrame, s: Settings, prefix: str, families: tuple) -> DataFrame:

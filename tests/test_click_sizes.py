@@ -1,14 +1,17 @@
 """What shows only on larger tables: ties in the last digit, and work that must not grow in one task."""
 
+import random
 import tracemalloc
+from itertools import groupby
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clickloom.config import FIXTURE
 from clickloom.functions import kernels as K
-from clickloom.operators import covisits, resampling
+from clickloom.operators import covisits, events, families, resampling
 from clickloom.plans.queries import tidy
 
 
@@ -83,3 +86,27 @@ def test_weights_are_told_once_for_all_models(spark):
     for m in "abc":
         want = resampling.weighted_metrics(rows.where(F.col("model") == m).na.fill(-(2**63), ["id"]), of, 6).collect()
         assert all(first[m, r["draw"]][c] == (None if r[c] is None else pytest.approx(r[c])) for r in want for c in ("p_at_r", "roc_auc", "average_precision", "recall_at_fpr"))
+
+
+def test_runs_come_from_one_exchange_and_match_counting_by_hand(spark):
+    rng = random.Random(3)
+    names = ("item_view", "photo_swipe", "photo_swipe", "search_results_view", None)
+    rows = [(i, rng.randrange(12), i, rng.choice(names), rng.choice((None, "a", "b")), rng.choice(("x", "x", "y", None)), None, rng.choice((None, 1, 2, 3))) for i in range(150)] + [(150, 99, 0, "login", None, None, None, None)]
+    log = spark.createDataFrame(rows, "event_id long, cookie_id long, at long, event_name string, item_category string, item_location string, search_query string, item_id long").withColumn("event_ts", F.expr("timestamp_seconds(at)"))
+    out = families.navigation(events.enrich(log, FIXTURE), FIXTURE)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    got = {r["cookie_id"]: r for r in out.collect()}
+    assert len(got) == len({r[1] for r in rows})
+    for v, r in got.items():
+        own = [x for x in rows if x[1] == v]
+        for k, at in (("cat", 4), ("loc", 5), ("query", 6)):
+            values = [x[at] for x in own if x[at] is not None]
+            changed = [a != b for a, b in zip(values, values[1:])]
+            island = [sum(changed[: i + 1]) for i in range(len(changed))]
+            lengths = [len(list(g)) for _, g in groupby(island)]
+            want = (sum(changed) / len(changed), sum(lengths) / len(lengths), max(lengths)) if changed else (None,) * 3
+            assert tuple(r[f"nav_{k}_{x}"] for x in ("switch_rate", "run_mean", "run_max")) == want
+        assert r["swipe_run_max"] == max((len(list(g)) for s, g in groupby(own, lambda x: x[3] == "photo_swipe") if s), default=0)
+        items = [x[7] for x in own if x[7] is not None]
+        assert r["item_revisit_max"] == max((items.count(i) for i in items), default=None)
