@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import Settings
 from ..functions.kernels import KEY, ORDER, by_time, corr, derive, div, merge, ref, rounded, running, runs, seconds, share, summarise, value_counts
+from ..functions.storage import written
 
 
 def _names(xs: tuple[str, ...]) -> str:
@@ -189,14 +190,14 @@ def client(ev: DataFrame, s: Settings) -> DataFrame:
     """User-agent and device frequencies are those of the whole log, fit and scored visitors alike.
 
     A frequency is counted once per distinct agent; that table is small and joined back, so a common agent's rows
-    never meet in one task.
+    never meet in one task. Agents are read by their patterns once for each visitor, not for each event, and
+    written, as both frequencies and the visitors read them.
     """
-    rows = user_agent_facts(ev, s)
-    agents = ev.groupBy("user_agent").agg(F.count("*").alias("ua_freq"))
-    devices = rows.where("device IS NOT NULL").groupBy("device").agg(F.count("*").alias("n"))
+    own = written(user_agent_facts(ev.groupBy(KEY, "user_agent").agg(F.count("*").alias("c")), s), "client")
+    agents = own.groupBy("user_agent").agg(F.sum("c").alias("ua_freq"))
+    devices = own.where("device IS NOT NULL").groupBy("device").agg(F.sum("c").alias("n"))
     devices = devices.select("device", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("device_freq"))
     families = (s.app_name, *C.SCRIPT_CLIENTS, *C.BROWSERS, "other")
-    own = rows.groupBy(KEY, "user_agent", "device").agg(F.count("*").alias("c"), *(F.max(x).alias(x) for x in ("app_version", "os_version", "browser_version")), F.first("family").alias("family"))
     own = own.join(agents, "user_agent", "left").join(devices, "device", "left")
     part = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0)) / F.sum("c")
     agent = F.col("user_agent")

@@ -110,3 +110,13 @@ def test_runs_come_from_one_exchange_and_match_counting_by_hand(spark):
         assert r["swipe_run_max"] == max((len(list(g)) for s, g in groupby(own, lambda x: x[3] == "photo_swipe") if s), default=0)
         items = [x[7] for x in own if x[7] is not None]
         assert r["item_revisit_max"] == max((items.count(i) for i in items), default=None)
+
+
+def test_agents_are_read_once_for_each_visitor(spark, monkeypatch):
+    seen = []
+    facts = families.user_agent_facts
+    monkeypatch.setattr(families, "user_agent_facts", lambda rows, s: (seen.append(rows), facts(rows, s))[1])
+    log = spark.range(40).selectExpr("id AS event_id", "id % 4 AS cookie_id", "IF(id % 2 = 0, 'curl/8', 'NativeApp/7 (Android 13; Pixel 6)') AS user_agent", "'web' AS platform")
+    got = {r["cookie_id"]: r for r in families.client(log, FIXTURE).collect()}
+    assert seen[0].count() == 4 and [got[v]["ua_freq_min"] for v in range(4)] == [20] * 4
+    assert [got[v]["ua_script_rate"] for v in range(4)] == [1, 0, 1, 0] and got[1]["ua_device_freq"] == 1 and got[0]["ua_device_freq"] is None
